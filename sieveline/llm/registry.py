@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sieveline.llm import decontaminate
+from sieveline.llm import decontaminate, near_dup, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op7_ngram_jaccard_join": near_dup.op7,
+    "op8_substring_dedup": substring_dedup.op8,
     "op9_benchmark_decontamination": decontaminate.op9,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op7_ngram_jaccard_join": near_dup.OP7_SQL,
+    "op8_substring_dedup": substring_dedup.OP8_SQL,
     "op9_benchmark_decontamination": decontaminate.OP9_SQL,
 }
