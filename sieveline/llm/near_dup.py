@@ -12,10 +12,14 @@ m follows the set's size level (n/8 to n/4), and a set emits at its own level
 and, when a partner a third larger may reach it, at the next, so that partners
 always meet at one level. Below 8 shingles frequent ones are indexed singly.
 
-Texts that share a signature are first compared with the least and the greatest
-member of that signature only; what remains in different components is then
-compared in full, so groups of copies cost a linear number of comparisons and
-no link between components is lost. Comparisons intersect whole sets.
+Texts that share a signature are first compared with one member of it, the one
+whose shingles are the most widespread: for copies with edits that is the
+original or the one closest to it. Of what then lies in different components,
+only pairs that can still reach the similarity are compared: they share no more
+than the lesser number of their shingles that other texts hold, and no more
+than their common part with that member plus what each shares besides. So
+groups of copies cost about a linear number of comparisons, and no link between
+components is lost. Comparisons intersect whole sets.
 
 Empty or null texts have empty sets and link with nothing; equal texts with
 words always link; ids may repeat or be null (a null never becomes a
@@ -26,7 +30,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sieveline.llm.common import U64, WordHashes, components, cut, grams, mix, node_of, table, text_or_empty
@@ -38,7 +42,7 @@ PART, WHOLE = 75, 100
 #: 4 log2 of the number of texts up to which a shingle is rare (32 texts).
 RARE_CLASS = 20
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-_SCHEMA = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("tokens", pa.binary()), ("sigs", pa.list_(pa.int64()))])
+_SCHEMA = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("spread", pa.int64()), ("tokens", pa.binary()), ("sigs", pa.list_(pa.int64()))])
 
 
 def shingles(texts: list) -> tuple[list, list]:
@@ -93,65 +97,84 @@ def signatures(n: int, tokens: np.ndarray, classes: np.ndarray) -> np.ndarray |
 def _finish(node: int, n: int, tokens: np.ndarray, classes: np.ndarray) -> tuple:
     sigs = signatures(n, tokens, classes)
     if sigs is None:
-        return node, n, None, None
-    return node, n, np.sort(tokens).tobytes(), sigs.view(np.int64)
+        return node, n, None, None, None
+    return node, n, int(classes.astype(np.int64).sum()) * 1000 // n, np.sort(tokens).tobytes(), sigs.view(np.int64)
 
 
-def _verified(pairs: DataFrame, live: DataFrame) -> DataFrame:
-    """Of pairs (a, b) of nodes those whose sets reach the similarity."""
+def _enough(common: Column, na: str, nb: str) -> Column:
+    """WHOLE * common >= PART * union."""
+    return common * (WHOLE + PART) >= (F.col(na) + F.col(nb)) * PART
+
+
+def _compared(pairs: DataFrame, live: DataFrame) -> DataFrame:
+    """(a, na, b, nb, common) of distinct pairs (a, b) of nodes."""
     left = live.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
     right = live.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
 
     def check(batches):
         for batch in batches:
-            keep = []
-            for na, nb, ta, tb in zip(*(batch.column(c).to_pylist() for c in ("na", "nb", "ta", "tb"))):
+            common = []
+            for ta, tb in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist()):
                 both = np.concatenate((np.frombuffer(ta, U64), np.frombuffer(tb, U64)))
                 both.sort()
-                common = int((both[1:] == both[:-1]).sum())
-                keep.append(WHOLE * common >= PART * (na + nb - common))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                common.append(int((both[1:] == both[:-1]).sum()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("a", "na", "b", "nb")), pa.array(common, pa.int64())], names=["a", "na", "b", "nb", "common"])
 
-    sized = pairs.where((F.col("na") * WHOLE >= F.col("nb") * PART) & (F.col("nb") * WHOLE >= F.col("na") * PART)).select("a", "b").distinct()
-    return sized.join(right, "b").join(left, "a").mapInArrow(check, "a long, b long")
+    return pairs.join(right, "b").join(left, "a").mapInArrow(check, "a long, na long, b long, nb long, common long")
 
 
 def classes_of(documents: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(nodes: node, n; labels: node, label for the nodes that have links to other texts)."""
     docs = documents.select(node_of(text).alias("node"), text_or_empty(text).alias("text"))
     sets = cut(shared_tokens(docs, shingles, _finish, _SCHEMA))
-    live = sets.where("sigs is not null").select("node", "n", "tokens")
-    index = cut(sets.where("sigs is not null").select(F.explode("sigs").alias("sig"), "node", "n"))
-    ends = index.groupBy("sig").agg(F.min(F.struct("node", "n")).alias("lo"), F.max(F.struct("node", "n")).alias("hi")).where("lo.node < hi.node")
-    met = index.join(ends, "sig")
-    stars = met.select(F.col("lo.node").alias("a"), F.col("lo.n").alias("na"), F.col("node").alias("b"), F.col("n").alias("nb")).union(
-        met.select(F.col("hi.node").alias("a"), F.col("hi.n").alias("na"), F.col("node").alias("b"), F.col("n").alias("nb"))
-    ).where("a <> b")
-    found = cut(_verified(stars.withColumn("lo", F.least("a", "b")).select(
-        F.col("lo").alias("a"), F.when(F.col("a") == F.col("lo"), F.col("na")).otherwise(F.col("nb")).alias("na"),
-        F.greatest("a", "b").alias("b"), F.when(F.col("a") == F.col("lo"), F.col("nb")).otherwise(F.col("na")).alias("nb")), live))
+    live = sets.where("sigs is not null").withColumn("m", (F.length("tokens") / 8).cast("long"))
+    index = live.select(F.explode("sigs").alias("sig"), "node", "n", "m", "spread")
+    hubs = index.groupBy("sig").agg(F.max(F.struct("spread", "node", "n", "m")).alias("hub"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
+    met = cut(index.drop("spread").join(hubs.select("sig", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.m").alias("hub_m")), "sig"))
+    stars = met.where("node <> hub").where(_enough(F.least("m", "hub_m"), "n", "hub_n")).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    tested = cut(_compared(stars, live.select("node", "n", "tokens")))
+    found = tested.where(_enough(F.col("common"), "na", "nb")).select("a", "b")
     labels = components(found)
-    known = index.join(labels, "node", "left").select("sig", "node", "n", F.coalesce("label", "node").alias("label"))
-    split = known.groupBy("sig").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("l0 < l1")
-    rest = cut(known.join(split.select("sig", "lo", "hi"), "sig").where("node <> lo and node <> hi").select("sig", "node", "n", "label"))
-    x, y = rest.alias("x"), rest.alias("y")
-    left_over = x.join(y, F.col("x.sig") == F.col("y.sig")).where("x.label < y.label").select(
-        F.col("x.node").alias("a"), F.col("x.n").alias("na"), F.col("y.node").alias("b"), F.col("y.n").alias("nb"))
-    more = cut(_verified(left_over, live))
+    known = met.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    split = known.groupBy("sig").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 < l1").select("sig")
+    rest = known.where("node <> hub").join(split, "sig").join(tested.select(F.col("a").alias("hub"), F.col("b").alias("node"), "common"), ["hub", "node"], "left")
+    # without a test the hub was out of reach: nothing is known of what they share
+    rest = cut(rest.select("sig", "node", "n", "m", "label", "common"))
+    x, y = (rest.select("sig", *(F.col(c).alias(c + k) for c in ("node", "n", "m", "label", "common"))) for k in ("a", "b"))
+    plain = F.least("ma", "mb")
+    through = F.least("commona", "commonb") + F.least(F.col("ma") - F.col("commona"), F.col("mb") - F.col("commonb"))
+    left_over = x.join(y, "sig").where((F.col("labela") < F.col("labelb")) & _enough(F.least(plain, F.coalesce(through, plain)), "na", "nb"))
+    more = cut(_compared(left_over.select(F.col("nodea").alias("a"), F.col("nodeb").alias("b")).distinct(), live.select("node", "n", "tokens")))
+    more = more.where(_enough(F.col("common"), "na", "nb")).select("a", "b")
     if more.limit(1).count():
         labels = components(found.union(more))
     return sets.select("node", "n"), labels
 
 
+def labelled(documents: DataFrame, *columns: str) -> DataFrame:
+    """These columns of every document row, n (shingles) and label (a node of its component)."""
+    nodes, labels = classes_of(documents)
+    rows = documents.select(*columns, node_of().alias("node")).join(nodes, "node").join(labels, "node", "left")
+    return rows.select(*columns, "n", F.coalesce("label", "node").alias("label"))
+
+
 def near_duplicates(documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id: the least id of a document's component."""
-    nodes, labels = classes_of(documents)
-    docs = documents.select("doc_id", node_of().alias("node"))
-    rows = docs.join(nodes, "node").join(labels, "node", "left").select("doc_id", "n", F.coalesce("label", "node").alias("label"))
+    rows = labelled(documents, "doc_id")
     least = rows.where("n > 0").groupBy("label").agg(F.min("doc_id").alias("least"))
     return rows.join(least, "label", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
 
+def one_of_each(documents: DataFrame, broadcast_rows: int = 500_000) -> DataFrame:
+    """Documents without all but one of each component: the least id stays (null last), of equal ids the first row. Texts without words all stay."""
+    rows = documents.withColumn("__row", F.monotonically_increasing_id())
+    ids = cut(labelled(rows, "__row", "doc_id").where("n > 0"))
+    first = ids.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")).alias("x")).select("label", F.col("x.__row").alias("first"))
+    dropped = cut(ids.join(first, "label").where("__row <> first").select("__row"))
+    few = dropped.limit(broadcast_rows + 1).count() <= broadcast_rows
+    return rows.join(F.broadcast(dropped) if few else dropped, "__row", "left_anti").select(*documents.columns)
+
+
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
