@@ -99,6 +99,12 @@ def contamination(documents: DataFrame, benchmark: DataFrame, span: int = SPAN,
     return out.select("doc_id", "node", F.col("n_words").cast("long"), F.coalesce(F.size("hit_words"), F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
+def clean(documents: DataFrame, benchmark: DataFrame, span: int = SPAN, k: int = GRAM) -> DataFrame:
+    """Documents without those that hold a benchmark window; columns unchanged."""
+    hit = cut(contamination(documents, benchmark, span, k).where("n_hit > 0").select("node").distinct())
+    return documents.withColumn("__node", node_of()).join(_small(hit.withColumnRenamed("node", "__node")), "__node", "left_anti").select(*documents.columns)
+
+
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(

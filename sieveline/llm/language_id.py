@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from sieveline.llm.common import held_out, table, text_chunks, text_or_empty
 
@@ -241,7 +242,7 @@ def identify(documents: DataFrame, model: BiGRU | None) -> DataFrame:
                 names=[*columns, "lang_pred", "score", "position_labels"])
 
     source = documents.drop("lang_pred", "score", "position_labels").withColumn("__text", text_or_empty())
-    schema = source.drop("__text").schema.add("lang_pred", "string").add("score", "double").add("position_labels", "array<long>")
+    schema = source.drop("__text").schema.add("lang_pred", "string").add("score", "double").add("position_labels", ArrayType(LongType()))
     return source.mapInArrow(label, schema)
 
 
