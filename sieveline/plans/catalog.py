@@ -1,6 +1,187 @@
-"""Named queries over the standard tables, with their SQL."""
+"""Named queries over the standard tables, one for each operator, with their SQL where SQL can express them."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from sieveline import model
+from sieveline.functions import kernels
+from sieveline.model import Condition, Settings, Target
+from sieveline.operators import post, refine, tables, validation
+from sieveline.operators.search import SubgroupDiscovery, as_table, discover, per_target_value
+from sieveline.operators.stats import statistics
+from sieveline.plans import measures_catalog as mc
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = dict(mc.QUERIES)
+ORACLE_SQL: dict[str, str] = dict(mc.ORACLE_SQL)
+
+R = mc.NOMINAL_TARGET
+_IS_R = "(l_returnflag = 'R')"
+
+
+def _add(name: str, query: Query, sql: str | None = None) -> None:
+    QUERIES[name] = query
+    if sql:
+        ORACLE_SQL[name] = sql
+
+
+def _li(s: SparkSession, d: str, *columns: str) -> DataFrame:
+    df = s.read.parquet(f"{d}/lineitem.parquet")
+    return df.select(*columns) if columns else df
+
+
+def _table(s: SparkSession, d: str, name: str) -> DataFrame:
+    return s.read.parquet(f"{d}/{name}.parquet")
+
+
+def _r(c, digits: int = 6):
+    return F.round(c, digits) + 0.0
+
+
+# --- selections, casts and predicates ----------------------------------------
+
+_FLAGS = ("l_orderkey", "l_linenumber")
+
+
+def _filtered(*conditions: Condition, negate: bool = False) -> Query:
+    def run(s: SparkSession, d: str) -> DataFrame:
+        e = model.conjunction(conditions)
+        return _li(s, d).where(~e if negate else e).select(*_FLAGS)
+
+    return run
+
+
+def _where(text: str) -> str:
+    return f"select l_orderkey, l_linenumber from lineitem where {text}"
+
+
+Q, D = "l_quantity", "l_discount"
+_C = Condition
+_add("flagship", lambda s, d: mc._numeric(mc.scan(_li(s, d), R, mc.ATTRIBUTES, "wracc")).orderBy(F.desc("quality"), F.desc("coverage"), "attr", "op", "v").limit(50),
+     f"select * from ({ORACLE_SQL['QN02_wracc']}) order by quality desc, coverage desc, attr, op, v limit 50")
+_add("PF01_projection", lambda s, d: _li(s, d, "l_quantity", "l_tax"), "select l_quantity, l_tax from lineitem")
+_add("PF02_casts", lambda s, d: reduce(lambda df, x: tables.cast_column(df, *x), [("l_linenumber", model.NOMINAL), ("l_discount", model.BINARY)], _li(s, d, "l_orderkey", "l_linenumber", "l_discount")),
+     "select l_orderkey, l_linenumber::varchar as l_linenumber, l_discount <> 0 as l_discount from lineitem")
+_add("PF03_nominal_equals", _filtered(_C("l_returnflag", "=", "R")), _where("l_returnflag = 'R'"))
+_add("PF04_element_of", _filtered(_C("l_returnflag", "in", frozenset("AN"))), _where("l_returnflag in ('A', 'N')"))
+_add("PF05_numeric_equals", _filtered(_C(Q, "=", 5.0)), _where("l_quantity = 5"))
+_add("PF06_at_most", _filtered(_C(Q, "<=", 5.0)), _where("l_quantity <= 5"))
+_add("PF07_at_least", _filtered(_C(Q, ">=", 45.0)), _where("l_quantity >= 45"))
+_add("PF08_between", _filtered(_C(Q, "between", (10.0, 20.0))), _where("l_quantity > 10 and l_quantity <= 20"))
+_add("PF09_binary", lambda s, d: _li(s, d).withColumn("open", F.col("l_linestatus") == "O").where(model.conjunction((_C("open", "=", True),))).select(*_FLAGS), _where("l_linestatus = 'O'"))
+_add("PF10_dispatch", lambda s, d: _li(s, d).select(*_FLAGS, *(_C(*c).expression().alias(f"c{i}") for i, c in enumerate([(Q, "<=", 9.0), ("l_linestatus", "=", "O"), (D, "between", (0.02, float("inf")))]))),
+     "select l_orderkey, l_linenumber, l_quantity <= 9 as c0, l_linestatus = 'O' as c1, l_discount > 0.02 as c2 from lineitem")
+_add("PF11_conjunction", _filtered(_C(Q, "<=", 25.0), _C("l_returnflag", "=", "R"), _C(D, ">=", 0.05)), _where("l_quantity <= 25 and l_returnflag = 'R' and l_discount >= 0.05"))
+_add("PF12_selection", lambda s, d: discover(_li(s, d, *mc.ATTRIBUTES, "l_returnflag", "l_linestatus"), R, Settings(minimum=-1, max_results=5, numeric_strategy="all"), types=dict.fromkeys(mc.ATTRIBUTES, model.NUMERIC), selection=F.col("l_linestatus") == "O").select("coverage", _r("quality").alias("quality"), _r("secondary").alias("secondary"), "tertiary"),
+     f"select coverage, round(quality::double, 6) + 0.0 as quality, round(HB / B, 6) + 0.0 as secondary, HB::double as tertiary from (with src as (select *, {_IS_R}::int as t from lineitem where l_linestatus = 'O'), w as (select count(*)::double as N, sum(t)::double as H from src), u as (select 'l_quantity' as attr, 0 as k, l_quantity as v, t from src union all select 'l_discount', 1, l_discount, t from src union all select 'l_tax', 2, l_tax, t from src), g as (select attr, k, v, count(*)::double as B, sum(t)::double as HB from u group by all), s as (select attr, k, 0 as o, v, sum(B) over (partition by attr order by v) as B, sum(HB) over (partition by attr order by v) as HB from g union all select attr, k, 1, v, sum(B) over (partition by attr order by v desc), sum(HB) over (partition by attr order by v desc) from g) select B::bigint as coverage, HB / N - (H / N) * (B / N) as quality, B, HB from s, w where B < N and B >= 2 order by quality desc, coverage desc, k, o, v limit 5)")
+_add("PF13_row_subset", lambda s, d: _li(s, d).where(F.col("l_tax") > 0.06), "select * from lineitem where l_tax > 0.06")
+_add("PF16_missing_mask", lambda s, d: _li(s, d).withColumn("x", F.when(F.pmod("l_orderkey", F.lit(7)) != 0, F.col("l_tax"))).groupBy(tables.missing(_li(s, d).withColumn("x", F.col("l_tax")), "x").alias("is_missing")).agg(F.count(F.lit(1)).alias("n")),
+     "select x is null as is_missing, count(*) as n from (select case when l_orderkey % 7 <> 0 then l_tax end as x from lineitem) group by 1")
+_add("PF17_column_groups", lambda s, d: tables.without_columns_of(tables.with_columns_of(_li(s, d, "l_orderkey", Q), {"dom_a": F.col(Q) * 2, "x_b": F.col(Q) + 1}), "dom_"), "select l_orderkey, l_quantity, l_quantity + 1 as x_b from lineitem")
+_add("PF18_type_census", lambda s, d: s.createDataFrame([(k, *v) for k, v in tables.type_census(_li(s, d), {Q, "l_returnflag"}).items()], "kind string, columns int, enabled int"),
+     "select * from (values ('nominal', 2, 1), ('numeric', 8, 1), ('binary', 0, 0)) as t(kind, columns, enabled)")
+_add("PF19_exact_sample", lambda s, d: tables.materialised(validation.sample_exactly(_li(s, d, "l_orderkey"), 100)).agg(F.count(F.lit(1)).alias("n")), "select 100::bigint as n")
+_add("PF20_value_mask", lambda s, d: s.createDataFrame([(x,) for x in tables.subset_by_mask(sorted(r[0] for r in _li(s, d, "l_returnflag").distinct().collect()), 5)], "value string"),
+     "select value from (select l_returnflag as value, row_number() over (order by l_returnflag) as i from (select distinct l_returnflag from lineitem)) where i in (1, 3)")
+_add("PF21_complement", _filtered(_C(Q, "<=", 25.0), negate=True), _where("not (l_quantity <= 25)"))
+_add("PF22_replace_missing", lambda s, d: tables.replace_missing(_li(s, d).select("l_orderkey", F.when(F.pmod("l_orderkey", F.lit(7)) != 0, F.col("l_tax")).alias("x")), {"x": -1.0}), "select l_orderkey, case when l_orderkey % 7 <> 0 then l_tax else -1.0::double end as x from lineitem")
+_add("SO01_and", _filtered(_C(Q, "<=", 25.0), _C("l_linestatus", "=", "O")), _where("l_quantity <= 25 and l_linestatus = 'O'"))
+_add("SO02_and_not", lambda s, d: _li(s, d).where(_C(Q, "<=", 25.0).expression() & ~_C("l_linestatus", "=", "O").expression()).select(*_FLAGS), _where("l_quantity <= 25 and not (l_linestatus = 'O')"))
+_add("SO03_xor", lambda s, d: _li(s, d).where(_C(Q, "<=", 25.0).expression() != _C("l_linestatus", "=", "O").expression()).select(*_FLAGS), _where("(l_quantity <= 25) <> (l_linestatus = 'O')"))
+_add("SO04_complement", _filtered(_C("l_returnflag", "=", "R"), negate=True), _where("l_returnflag <> 'R'"))
+
+# --- joins --------------------------------------------------------------------
+
+_add("JN01_enrichment", lambda s, d: tables.enrich(_table(s, d, "customer").select("c_custkey", "c_nationkey"), _table(s, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_regionkey"), _table(s, d, "supplier").groupBy((F.col("s_nationkey") % 4).cast("int").alias("n_regionkey")).agg((F.count(F.lit(1)) / 1000).alias("score")), "c_nationkey", "n_regionkey", ["score"]).select("c_custkey", "score"),
+     "select c_custkey, coalesce(case when score > 0.01 then score end, 0.0) as score from customer left join nation on c_nationkey = n_nationkey left join (select (s_nationkey % 4)::int as k, count(*) / 1000::double as score from supplier group by 1) on k = n_regionkey")
+_add("JN02_semi", lambda s, d: _table(s, d, "orders").join(_li(s, d).where(_C(Q, ">=", 49.0).expression()).select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "left_semi").select("o_orderkey"), "select o_orderkey from orders where o_orderkey in (select l_orderkey from lineitem where l_quantity >= 49)")
+_add("JN03_anti", lambda s, d: _table(s, d, "orders").join(_li(s, d).where(_C(Q, ">=", 25.0).expression()).select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "left_anti").select("o_orderkey"), "select o_orderkey from orders where o_orderkey not in (select l_orderkey from lineitem where l_quantity >= 25)")
+
+# --- aggregates ------------------------------------------------------------------
+
+_G = "from lineitem group by 1"
+_add("AG01_nominal_counts", lambda s, d: _li(s, d).groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n")), f"select l_returnflag, count(*) as n {_G}")
+_add("AG02_numeric_counts", lambda s, d: _li(s, d).groupBy(Q).agg(F.count(F.lit(1)).alias("n")).orderBy(Q), f"select l_quantity, count(*) as n {_G} order by 1")
+_add("AG03_value_counts_in_selection", lambda s, d: _li(s, d).where("l_linestatus = 'O'").groupBy(D).agg(F.count(F.lit(1)).alias("n")), "select l_discount, count(*) as n from lineitem where l_linestatus = 'O' group by 1")
+
+
+def _cells(s: SparkSession, d: str, target: Target, *attributes: str) -> tuple[DataFrame, object]:
+    df = _li(s, d, *dict.fromkeys([*attributes, *target.columns]))
+    stats = statistics(df, target)
+    kinds = {a: k for a, k in model.attribute_types(df).items() if a in attributes}
+    return refine.values(df.withColumn("cand", F.lit(0)), kinds, stats), stats
+
+
+_add("AG04_counts_and_positives", lambda s, d: _cells(s, d, R, Q, D)[0].select("attr", "v", F.col("B").cast("long").alias("n"), F.col("HB").cast("long").alias("positives")),
+     f"select 'l_quantity' as attr, l_quantity as v, count(*) as n, sum({_IS_R}::int)::bigint as positives from lineitem group by 2 union all select 'l_discount', l_discount, count(*), sum({_IS_R}::int)::bigint from lineitem group by 2")
+_add("AG05_counts_and_sums", lambda s, d: _li(s, d).groupBy(D).agg(F.count(F.lit(1)).alias("n"), F.sum(Q).alias("total")), f"select l_discount, count(*) as n, sum(l_quantity) as total {_G}")
+_add("AG06_counts_sums_squares", lambda s, d: _li(s, d).groupBy(D).agg(F.count(F.lit(1)).alias("n"), F.sum(Q).alias("total"), F.sum(F.col(Q) * F.col(Q)).alias("squares")), f"select l_discount, count(*) as n, sum(l_quantity) as total, sum(l_quantity * l_quantity) as squares {_G}")
+_add("AG07_statistics", lambda s, d: _li(s, d).groupBy("l_returnflag").agg(F.count(Q).alias("n"), F.sum(Q).alias("total"), _r(F.var_pop(Q) * F.count(Q), 3).alias("ssd"), F.median(Q).alias("median")).join(_li(s, d).join(_li(s, d).groupBy("l_returnflag").agg(F.median(Q).alias("m")), "l_returnflag").groupBy("l_returnflag").agg(F.median(F.abs(F.col(Q) - F.col("m"))).alias("mad")), "l_returnflag"),
+     "select l_returnflag, count(l_quantity) as n, sum(l_quantity) as total, round(var_pop(l_quantity) * count(l_quantity), 3) + 0.0 as ssd, median(l_quantity) as median, mad(l_quantity) as mad from lineitem group by 1")
+_add("AG08_average", lambda s, d: _li(s, d).where("l_returnflag = 'R'").agg(_r(F.avg("l_extendedprice"), 3).alias("mean")), "select round(avg(l_extendedprice), 3) + 0.0 as mean from lineitem where l_returnflag = 'R'")
+_add("AG09_count_value", lambda s, d: _li(s, d).agg(F.count_if(F.col("l_returnflag") == "A").alias("n")), "select count(*) filter (l_returnflag = 'A') as n from lineitem")
+_add("AG10_min_max", lambda s, d: _li(s, d).agg(*(f(c).alias(f"{n}_{c}") for c in mc.ATTRIBUTES for n, f in (("min", F.min), ("max", F.max)))), "select " + ", ".join(f"{n}({c}) as {n}_{c}" for c in mc.ATTRIBUTES for n in ("min", "max")) + " from lineitem")
+_add("AG11_cardinality", lambda s, d: _li(s, d).agg(*(F.count_distinct(c).alias(c) for c in (Q, D, "l_returnflag", "l_partkey"))), "select " + ", ".join(f"count(distinct {c}) as {c}" for c in (Q, D, "l_returnflag", "l_partkey")) + " from lineitem")
+_add("AG12_domain", lambda s, d: _li(s, d, "l_tax").distinct().orderBy("l_tax"), "select distinct l_tax from lineitem order by 1")
+_add("AG13_cross_table", lambda s, d: _li(s, d).groupBy("l_linestatus").agg(F.count_if(F.col("l_returnflag") == "R").alias("pos"), F.count_if(F.col("l_returnflag") != "R").alias("neg")), "select l_linestatus, count(*) filter (l_returnflag = 'R') as pos, count(*) filter (l_returnflag <> 'R') as neg from lineitem group by 1")
+_add("AG14_rate_order", lambda s, d: _li(s, d).groupBy("l_linenumber").agg((F.count_if(F.col("l_returnflag") == "R") / F.count(F.lit(1))).alias("rate")).withColumn("place", F.row_number().over(Window.orderBy(F.desc("rate"), "l_linenumber"))).select("l_linenumber", "place"),
+     "select l_linenumber, row_number() over (order by rate desc, l_linenumber)::int as place from (select l_linenumber, avg((l_returnflag = 'R')::int) as rate from lineitem group by 1)")
+_EQ = "with g as (select l_discount as v, count(*)::double as b, sum((l_returnflag = 'R')::int)::double as hb from lineitem group by 1), m as (select *, (hb / b is distinct from lag(hb / b) over (order by v))::int as new from g), k as (select *, sum(new) over (order by v) as block from m)"
+_add("AG15_base_intervals", lambda s, d: (lambda g: g.withColumn("new", (~F.lag("r").over(Window.orderBy("v")).eqNullSafe(F.col("r"))).cast("int")).withColumn("block", F.sum("new").over(Window.orderBy("v"))).groupBy("block").agg(F.max("v").alias("upper"), F.sum("b").alias("n"), F.sum("hb").alias("positives")).drop("block"))(_li(s, d).groupBy(F.col(D).alias("v")).agg(F.count(F.lit(1)).cast("double").alias("b"), F.count_if(F.col("l_returnflag") == "R").cast("double").alias("hb")).withColumn("r", F.col("hb") / F.col("b"))),
+     _EQ + " select max(v) as upper, sum(b) as n, sum(hb) as positives from k group by block")
+_TEAM = [(_C(Q, "<=", 10.0),), (_C(Q, "<=", 20.0),), (_C(D, ">=", 0.05),), (_C("l_returnflag", "=", "R"),), (_C("l_linestatus", "=", "O"), _C("l_tax", ">=", 0.04))]
+_TEAM_SQL = ["l_quantity <= 10", "l_quantity <= 20", "l_discount >= 0.05", "l_returnflag = 'R'", "l_linestatus = 'O' and l_tax >= 0.04"]
+_BITS = ", ".join(f"({c}) as b{i}" for i, c in enumerate(_TEAM_SQL))
+_RES = [{"conditions": c, "quality": q, "coverage": 0} for c, q in zip(_TEAM, (0.05, 0.04, 0.03, 0.02, 0.01))]
+_add("AG16_joint_counts", lambda s, d: post.pattern_counts(_li(s, d), _TEAM).select(*(F.col("mask")[i].alias(f"b{i}") for i in range(5)), "n"), f"select b0, b1, b2, b3, b4, count(*) as n from (select {_BITS} from lineitem) group by all")
+_add("AG17_joint_entropy", lambda s, d: post.pattern_counts(_li(s, d), _TEAM).agg((-F.sum(F.col("n") / F.lit(1.0) * F.log2("n")) / F.sum("n") + F.log2(F.sum("n"))).alias("h")).select(_r("h").alias("entropy")),
+     f"select round(log2(sum(n)) - sum(n * log2(n)) / sum(n), 6) + 0.0 as entropy from (select count(*)::double as n from (select {_BITS} from lineitem) group by b0, b1, b2, b3, b4)")
+_add("AG18_phi", lambda s, d: _li(s, d).agg(*(_r(F.corr(model.conjunction(_TEAM[i]).cast("double"), model.conjunction(_TEAM[j]).cast("double"))).alias(f"r{i}{j}") for i in range(5) for j in range(i))), f"select {', '.join(f'round(corr(b{i}::int, b{j}::int), 6) + 0.0 as r{i}{j}' for i in range(5) for j in range(i))} from (select {_BITS} from lineitem)")
+_add("AG19_binary_selection", lambda s, d: _li(s, d).select("l_orderkey", *(model.conjunction(c).alias(f"b{i}") for i, c in enumerate(_TEAM[:2]))).where("b1"), "select l_orderkey, l_quantity <= 10 as b0, l_quantity <= 20 as b1 from lineitem where l_quantity <= 20")
+
+
+def _network_counts(s: SparkSession, d: str) -> dict[int, int]:
+    cover, n = post.masks(_li(s, d), _TEAM)
+    return {int(sum(int(b) << i for i, b in enumerate(row))): int(c) for row, c in zip(cover, n)}
+
+
+_add("AG20_bdeu", lambda s, d: (lambda c: s.createDataFrame([(x, float(round(kernels.bdeu(c, x, p), 6))) for x, p in ((0, ()), (1, (0,)), (3, (2,)))], "child int, score double"))(_network_counts(s, d)))
+_add("AG21_cover_counts", lambda s, d: _li(s, d).select(sum((model.conjunction(c).cast("int") for c in _TEAM), F.lit(0)).alias("c")).crossJoin(F.broadcast(_li(s, d).select(sum((model.conjunction(c).cast("int") for c in _TEAM), F.lit(0)).alias("c")).agg(F.avg("c").alias("m")))).agg(_r(F.avg(F.abs(F.col("c") - F.col("m"))) / F.max("m")).alias("redundancy")),
+     f"with c as (select {' + '.join(f'({x})::int' for x in _TEAM_SQL)} as c from lineitem), m as (select avg(c) as m from c) select round(avg(abs(c - m)) / max(m), 6) + 0.0 as redundancy from c, m")
+_add("AG22_average_ranking", lambda s, d: (lambda df: df.agg(*(F.sum(p).cast("long").alias(x) for x, p in zip("abc", __import__("sieveline.operators.stats", fromlist=["x"]).ranks_of(F.col("ranking"), list("abc"))))))(mc.ranked(_li(s, d))),
+     f"select {', '.join(f'sum((position({chr(39)}{x}{chr(39)} in ranking) - 1) // 2)::bigint as {x}' for x in 'abc')} from ({mc._RANK_SRC})")
+_add("AG23_preference_matrix", lambda s, d: (lambda st: s.createDataFrame([(int(k[2]), int(k[4]), round(v, 6)) for k, v in st.whole.items() if k.startswith("m_")], "i int, j int, preference double"))(statistics(mc.ranked(_li(s, d)), Target("label_ranking", ("ranking",)))),
+     "with src as (" + mc._RANK_SRC + "), w as (" + mc._RANK_WHOLE + ") select 0 as i, 1 as j, round(m_0_1, 6) + 0.0 as preference from w union all select 0, 2, round(m_0_2, 6) + 0.0 from w union all select 1, 2, round(m_1_2, 6) + 0.0 from w")
+_MODE = lambda i, j: f"sign(position('{'abc'[j]}' in ranking) - position('{'abc'[i]}' in ranking))"
+_add("AG24_mode_matrix", lambda s, d: mc.ranked(_li(s, d)).select(*(F.expr(f"cast(sign(instr(ranking, '{'abc'[j]}') - instr(ranking, '{'abc'[i]}')) as int)").alias(f"m_{i}_{j}") for i, j in mc._PAIRS)).agg(*(F.count_if(F.col(f"m_{i}_{j}") == k).alias(f"n_{i}_{j}_{n}") for i, j in mc._PAIRS for k, n in ((-1, "less"), (1, "more")))),
+     f"select {', '.join(f'count(*) filter ({_MODE(i, j)} = {k}) as n_{i}_{j}_{n}' for i, j in mc._PAIRS for k, n in ((-1, 'less'), (1, 'more')))} from ({mc._RANK_SRC})")
+_add("AG25_regression_sums", lambda s, d: _li(s, d).groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), _r(F.regr_slope(D, Q), 9).alias("slope"), _r(F.regr_intercept(D, Q), 9).alias("intercept"), _r(F.corr(Q, D), 9).alias("r")),
+     "select l_returnflag, count(*) as n, round(regr_slope(l_discount, l_quantity), 9) + 0.0 as slope, round(regr_intercept(l_discount, l_quantity), 9) + 0.0 as intercept, round(corr(l_quantity, l_discount), 9) + 0.0 as r from lineitem group by 1")
+_SIDES = {"in": "l_returnflag = 'R'", "out": "l_returnflag <> 'R'"}
+_add("AG26_two_sided_covariance", lambda s, d: _li(s, d).agg(*(f.alias(f"{n}_{k}") for k, c in _SIDES.items() for n, f in (("var", _r(F.var_samp(F.when(F.expr(c), F.col(Q))), 5)), ("cov", _r(F.covar_samp(F.when(F.expr(c), F.col(Q)), F.when(F.expr(c), F.col(D))), 7))))),
+     "select " + ", ".join(f"round({f} filter ({c}), {n}) + 0.0 as {a}_{k}" for k, c in _SIDES.items() for a, f, n in (("var", "var_samp(l_quantity)", 5), ("cov", "covar_samp(l_quantity, l_discount)", 7))) + " from lineitem")
+_add("AG27_histogram", lambda s, d: tables.histogram(_li(s, d), Q, F.col("l_returnflag"), 7), "with m as (select min(l_quantity) as lo, max(l_quantity) as hi from lineitem) select least(floor((l_quantity - lo) / ((hi - lo) / 7)), 6)::int as bin, l_returnflag as target, count(*) as n from lineitem, m group by 1, 2")
+_add("AG28_descriptives", lambda s, d: _li(s, d).agg(*(_r(c, 4).alias(k) if k not in ("n",) else c.alias(k) for k, c in tables.descriptives(Q).items())),
+     "select count(l_quantity) as n, round(avg(l_quantity), 4) + 0.0 as mean, round(var_samp(l_quantity), 4) + 0.0 as variance, round(stddev_samp(l_quantity), 4) + 0.0 as sd, round(quantile_cont(l_quantity, 0.5), 4) + 0.0 as median, round(quantile_cont(l_quantity, 0.75) - quantile_cont(l_quantity, 0.25), 4) + 0.0 as iqr, round(sum(power(l_quantity - mu, 3)) / count(*) / power(any_value(sp), 3), 4) + 0.0 as skewness, round(sum(power(l_quantity - mu, 4)) / count(*) / power(any_value(sp), 4) - 3, 4) + 0.0 as kurtosis, round(min(l_quantity), 4) + 0.0 as minimum, round(max(l_quantity), 4) + 0.0 as maximum from lineitem, (select avg(l_quantity) as mu, stddev_pop(l_quantity) as sp from lineitem)")
+
+
+def _rules(s: SparkSession, d: str) -> DataFrame:
+    row = _li(s, d).agg(*(c.alias(k) for k, c in tables.descriptives(Q).items())).first()
+    return s.createDataFrame([(k, round(float(v), 4)) for k, v in tables.bin_rules(row["n"], row["sd"], row["iqr"], row["skewness"], row["maximum"] - row["minimum"]).items()], "rule string, value double")
+
+
+_add("AG29_bin_rules", _rules, "with a as (select count(*)::double as n, stddev_samp(l_quantity) as sd, quantile_cont(l_quantity, 0.75) - quantile_cont(l_quantity, 0.25) as iqr, max(l_quantity) - min(l_quantity) as w, avg(l_quantity) as mu, stddev_pop(l_quantity) as sp from lineitem), k as (select sum(power(l_quantity - mu, 3)) / count(*) / power(any_value(sp), 3) as g from lineitem, a) "
+     "select 'square_root' as rule, ceil(sqrt(n))::double as value from a union all select 'sturges', ceil(log2(n)) + 1 from a union all select 'rice', ceil(2 * power(n, 1.0 / 3)) from a union all select 'doane', ceil(1 + log2(n) + log2(1 + abs(g) / sqrt(6 * (n - 2) / ((n + 1) * (n + 3))))) from a, k union all select 'scott', ceil(w / (3.5 * sd * power(n, -1.0 / 3))) from a union all select 'freedman_diaconis', ceil(w / (2 * iqr * power(n, -1.0 / 3))) from a union all select 'silverman', round(0.9 * least(sd, iqr / 1.34) * power(n, -0.2), 4) from a")
+_add("AG30_integral", lambda s, d: _li(s, d).groupBy(F.col(Q).alias("x")).agg(F.count(F.lit(1)).cast("double").alias("y")).select(tables.trapezoid(_li(s, d), "x", "y").alias("t")).agg(F.sum("t").alias("area")),
+     "select sum(t) as area from (select (x - lag(x) over (order by x)) * (y + lag(y) over (order by x)) / 2 as t from (select l_quantity as x, count(*)::double as y from lineitem group by 1))")
+_add("AG31_mean_of_top", lambda s, d: tables.mean_of_top(_table(s, d, "orders").select(F.col("o_orderstatus").alias("strategy"), F.col("o_totalprice").alias("quality"), F.col("o_orderkey").alias("nr")), ["strategy"], 10).select("strategy", _r("mean_quality", 4).alias("mean_quality")),
+     "select o_orderstatus as strategy, round(avg(o_totalprice), 4) + 0.0 as mean_quality from (select *, row_number() over (partition by o_orderstatus order by o_totalprice desc, o_orderkey) as p from orders) where p <= 10 group by 1")
+_add("AG32_kendall_tau", lambda s, d: (lambda r: s.createDataFrame([(round(tables.kendall_tau([x[1] for x in r], [x[2] for x in r]), 6),)], "tau double"))(_li(s, d).groupBy("l_linenumber").agg(F.count(F.lit(1)), F.count_if(F.col("l_returnflag") == "R")).collect()),
+     "with g as (select l_linenumber as k, count(*) as a, count(*) filter (l_returnflag = 'R') as b from lineitem group by 1) select round(sum(sign(x.a - y.a) * sign(x.b - y.b))::double / count(*), 6) + 0.0 as tau from g x join g y on x.k < y.k")
+_add("AG33_bayes_rule", lambda s, d: post.bayes_statistics(_li(s, d), F.col(Q) <= 20, F.col("l_returnflag") == "R").select(*(_r(c).alias(c) for c in ("x_given_t", "x_given_not_t", "t_given_x", "t_given_not_x"))),
+     "with c as (select (l_quantity <= 20)::int as x, (l_returnflag = 'R')::int as t from lineitem) select round(avg(x) filter (t = 1), 6) + 0.0 as x_given_t, round(avg(x) filter (t = 0), 6) + 0.0 as x_given_not_t, round(avg(t) filter (x = 1), 6) + 0.0 as t_given_x, round(avg(t) filter (x = 0), 6) + 0.0 as t_given_not_x from c")
