@@ -7,7 +7,6 @@ values or pattern counts: aggregated per value or pattern before the shuffle.
 
 from __future__ import annotations
 
-from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -117,11 +116,13 @@ def level(df: DataFrame, beam: list[Conditions], types: dict[str, str], stats: S
     everything = data.groupBy(*names).agg(F.count(F.lit(1)).cast("double").alias("c")).orderBy(*names).toPandas().to_numpy(float)
     marked = refine.membership(data.drop("cand") if "cand" in data.columns else data, own).groupBy("cand", *names).agg(F.count(F.lit(1)).cast("double").alias("c")).withColumnRenamed("cand", "i")
 
+    seed, measure = settings.seed, settings.measure
+
     def run(pdf: pd.DataFrame, seed: int) -> pd.DataFrame:
         a = pdf.sort_values(names)[[*names, "c"]].to_numpy(float)
-        return pd.DataFrame([(int(pdf["i"].iloc[0]), *map(float, score(a, everything, settings.measure, target, seed)))], columns=["i", "quality", "secondary", "tertiary"])
+        return pd.DataFrame([(int(pdf["i"].iloc[0]), *map(float, score(a, everything, measure, target, seed)))], columns=["i", "quality", "secondary", "tertiary"])
 
-    scored = marked.groupBy("i").applyInPandas(partial(run, seed=settings.seed), "i int, quality double, secondary double, tertiary double")
+    scored = marked.groupBy("i").applyInPandas(lambda pdf: run(pdf, seed), "i int, quality double, secondary double, tertiary double")
     schema = "i int, cand int, attr string, op string, v double, lo double, hi double, s string, set array<string>, coverage bigint, support bigint"
     table = spark.createDataFrame([(i, r["cand"], r["attr"], r["op"], r["v"], r["lo"], r["hi"], r["s"], r["set"], r["coverage"], None) for i, r in enumerate(found)], schema)
     return tables.materialised(table.join(scored, "i").drop("i"))

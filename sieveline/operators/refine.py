@@ -150,7 +150,8 @@ def consecutive(g: DataFrame, stats: Statistics, bins: int) -> DataFrame:
     return g.join(edges.union(first), ["cand", "attr"]).where("v > lo and v <= hi").groupBy("cand", "attr", F.lit(BETWEEN).alias("op"), "lo", "hi").agg(*(F.sum(p).alias(p) for p in stats.parts))
 
 
-def best_per_operator(rows: DataFrame) -> DataFrame:
-    """The first maximum in ascending value order of each candidate, attribute and operator."""
-    w = Window.partitionBy("cand", "attr", "op").orderBy(F.col("quality").desc(), F.col("v").asc(), F.col("lo").asc(), F.col("hi").asc(), F.col("s").asc())
-    return rows.withColumn("place", F.row_number().over(w)).where("place = 1").drop("place")
+def best_per_operator(rows: DataFrame, numeric: bool = True) -> DataFrame:
+    """The first maximum in ascending value order of each candidate, attribute and operator; nominal values all stay, of value sets the best."""
+    w = Window.partitionBy("cand", "attr", "op").orderBy(F.col("quality").desc(), F.col("v").asc(), F.col("lo").asc(), F.col("hi").asc(), F.col("set").asc())
+    every = F.col("s").isNotNull() if numeric else F.col("set").isNull()
+    return rows.withColumn("place", F.when(every, F.lit(1)).otherwise(F.row_number().over(w))).where("place = 1").drop("place")

@@ -67,9 +67,9 @@ class SubgroupDiscovery:
             beam_gate = (F.col("coverage") > s.min_coverage) & (F.col("coverage") > 1) & F.lit(depth < s.depth)
             best = "best" in s.numeric_strategy or s.numeric_strategy == "intervals"
             for_result, for_beam = rows.where(result_gate), rows.where(beam_gate)
-            if best:
-                for_result, for_beam = refine.best_per_operator(for_result), refine.best_per_operator(for_beam)
-            ranked = [F.col("quality").desc(), F.col("coverage").desc(), "attr", "op", "v", "s"]
+            if best or s.nominal_sets:
+                for_result, for_beam = refine.best_per_operator(for_result, best), refine.best_per_operator(for_beam, best)
+            ranked = [F.col("quality").desc(), F.col("coverage").desc(), *self._tie_order()]
             # duplicates by another order of conditions fall away on the driver, so one in (depth)! is kept at worst
             bound = s.max_results * max(1, depth) if s.max_results > 0 else 0
             taken = for_result.orderBy(*ranked).limit(bound) if bound else for_result
@@ -92,6 +92,12 @@ class SubgroupDiscovery:
             out = post.without_weak_specialisations(out, s.min_improvement)
         return out[: s.max_results] if s.max_results > 0 else out
 
+    def _tie_order(self) -> list:
+        """Columns in table order, operators in canonical order, then values."""
+        place = F.create_map(*(F.lit(x) for a in self.types for x in (a, self.order.get(a, 1 << 30))))
+        operator = F.create_map(*(F.lit(x) for o, i in model.OPERATOR_ORDER.items() for x in (o, i)))
+        return [place[F.col("attr")], operator[F.col("op")], F.col("v"), F.col("lo"), F.col("hi"), F.col("s"), F.col("cand")]
+
     def _level(self, beam: list[Conditions]) -> DataFrame:
         if self.kernel:
             return kernel_search.level(self.df, beam, self.types, self.stats, self.settings, self.target)

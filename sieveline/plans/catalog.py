@@ -125,7 +125,7 @@ _add("AG07_statistics", lambda s, d: _li(s, d).groupBy("l_returnflag").agg(F.cou
      "select l_returnflag, count(l_quantity) as n, sum(l_quantity) as total, round(var_pop(l_quantity) * count(l_quantity), 3) + 0.0 as ssd, median(l_quantity) as median, mad(l_quantity) as mad from lineitem group by 1")
 _add("AG08_average", lambda s, d: _li(s, d).where("l_returnflag = 'R'").agg(_r(F.avg("l_extendedprice"), 3).alias("mean")), "select round(avg(l_extendedprice), 3) + 0.0 as mean from lineitem where l_returnflag = 'R'")
 _add("AG09_count_value", lambda s, d: _li(s, d).agg(F.count_if(F.col("l_returnflag") == "A").alias("n")), "select count(*) filter (l_returnflag = 'A') as n from lineitem")
-_add("AG10_min_max", lambda s, d: _li(s, d).agg(*(f(c).alias(f"{n}_{c}") for c in mc.ATTRIBUTES for n, f in (("min", F.min), ("max", F.max)))), "select " + ", ".join(f"{n}({c}) as {n}_{c}" for c in mc.ATTRIBUTES for n in ("min", "max")) + " from lineitem")
+_add("AG10_min_max", lambda s, d: _li(s, d).agg(*((f(c) + 0.0).alias(f"{n}_{c}") for c in mc.ATTRIBUTES for n, f in (("min", F.min), ("max", F.max)))), "select " + ", ".join(f"case when {n}({c}) = 0 then 0.0::double else {n}({c}) end as {n}_{c}" for c in mc.ATTRIBUTES for n in ("min", "max")) + " from lineitem")
 _add("AG11_cardinality", lambda s, d: _li(s, d).agg(*(F.count_distinct(c).alias(c) for c in (Q, D, "l_returnflag", "l_partkey"))), "select " + ", ".join(f"count(distinct {c}) as {c}" for c in (Q, D, "l_returnflag", "l_partkey")) + " from lineitem")
 _add("AG12_domain", lambda s, d: _li(s, d, "l_tax").distinct().orderBy("l_tax"), "select distinct l_tax from lineitem order by 1")
 _add("AG13_cross_table", lambda s, d: _li(s, d).groupBy("l_linestatus").agg(F.count_if(F.col("l_returnflag") == "R").alias("pos"), F.count_if(F.col("l_returnflag") != "R").alias("neg")), "select l_linestatus, count(*) filter (l_returnflag = 'R') as pos, count(*) filter (l_returnflag <> 'R') as neg from lineitem group by 1")
@@ -185,3 +185,199 @@ _add("AG32_kendall_tau", lambda s, d: (lambda r: s.createDataFrame([(round(table
      "with g as (select l_linenumber as k, count(*) as a, count(*) filter (l_returnflag = 'R') as b from lineitem group by 1) select round(sum(sign(x.a - y.a) * sign(x.b - y.b))::double / count(*), 6) + 0.0 as tau from g x join g y on x.k < y.k")
 _add("AG33_bayes_rule", lambda s, d: post.bayes_statistics(_li(s, d), F.col(Q) <= 20, F.col("l_returnflag") == "R").select(*(_r(c).alias(c) for c in ("x_given_t", "x_given_not_t", "t_given_x", "t_given_not_x"))),
      "with c as (select (l_quantity <= 20)::int as x, (l_returnflag = 'R')::int as t from lineitem) select round(avg(x) filter (t = 1), 6) + 0.0 as x_given_t, round(avg(x) filter (t = 0), 6) + 0.0 as x_given_not_t, round(avg(t) filter (x = 1), 6) + 0.0 as t_given_x, round(avg(t) filter (x = 0), 6) + 0.0 as t_given_not_x from c")
+
+
+# --- scans ------------------------------------------------------------------------
+
+def _scan(s: SparkSession, d: str, target: Target, measure: str, *attributes: str, table: DataFrame | None = None, **settings) -> DataFrame:
+    return mc.scan(_li(s, d) if table is None else table, target, attributes, measure, Settings(**settings))
+
+
+_U = "with src as (select *, (l_returnflag = 'R')::int as t from lineitem), w as (select count(*)::double as N, sum(t)::double as H from src), g as (select l_quantity as v, count(*)::double as B, sum(t)::double as HB from src group by 1)"
+_WR = "round(HB / N - (H / N) * (B / N), 5) + 0.0"
+_add("WN01_prefix_coverage", lambda s, d: _scan(s, d, R, "wracc", Q, numeric_operators="leq").select("v", "coverage", "quality"), f"{_U}, s as (select v, sum(B) over (order by v) as B, sum(HB) over (order by v) as HB from g) select v, B::bigint as coverage, {_WR} as quality from s, w")
+_add("WN02_suffix_coverage", lambda s, d: _scan(s, d, R, "wracc", Q, numeric_operators="geq").select("v", "coverage", "quality"), f"{_U}, s as (select v, sum(B) over (order by v desc) as B, sum(HB) over (order by v desc) as HB from g) select v, B::bigint as coverage, {_WR} as quality from s, w")
+_add("WN03_per_value", lambda s, d: _scan(s, d, R, "wracc", Q, numeric_operators="eq").select("v", "coverage", "quality"), f"{_U} select v, B::bigint as coverage, {_WR} as quality from g, w")
+_CUT = "c as (select v, sum(B) over (order by v)::bigint as cover, sum(B) over ()::bigint as total from g), b as (select unnest(range(1, 8)) as b), k as (select b, min(v) as v from c, b where cover > total * b // 8 - (case when total * b % 8 = 0 then 1 else 0 end) group by b)"
+_add("WN04_bin_boundaries", lambda s, d: _scan(s, d, R, "wracc", Q, numeric_operators="leq", numeric_strategy="bins").select("v", "coverage", "quality"),
+     f"{_U}, {_CUT}, s as (select v, sum(B) over (order by v) as B, sum(HB) over (order by v) as HB from g) select v, B::bigint as coverage, {_WR} as quality from s, w where v in (select v from k) and B < N")
+QUERIES["RF05_bins"] = lambda s, d: _scan(s, d, R, "wracc", Q, numeric_strategy="bins").select("op", "v", "coverage", "quality")
+ORACLE_SQL["RF05_bins"] = f"{_U}, {_CUT}, k2 as (select b, min(v) as v from (select v, total, total - cover as above, min(v) over () as least from c), b where v > least and above < total - total * b // 8 group by b), s as (select '<=' as op, v, sum(B) over (order by v) as B, sum(HB) over (order by v) as HB from g union all select '>=', v, sum(B) over (order by v desc), sum(HB) over (order by v desc) from g) select op, v, B::bigint as coverage, {_WR} as quality from s, w where (op = '<=' and v in (select v from k) and B < N) or (op = '>=' and v in (select v from k2))"
+_IV = "with src as (select *, (l_returnflag = 'R')::int as t from lineitem), w as (select count(*)::double as N, sum(t)::double as H from src), g0 as (select l_discount as v, count(*)::double as b, sum(t)::double as hb from src group by 1), g1 as (select *, (hb / b is distinct from lag(hb / b) over (order by v))::int as new from g0), g2 as (select *, sum(new) over (order by v) as k from g1), g as (select max(v) as v, sum(b) as b, sum(hb) as hb from g2 group by k), p as (select v, max(v) over () as top, sum(b) over (order by v) as cb, sum(hb) over (order by v) as chb from g), lo as (select v as lo, cb as lb, chb as lhb from p where v < top union all select '-infinity'::double, 0, 0), s as (select lo, case when v = top then 'infinity'::double else v end as hi, cb - lb as B, chb - lhb as HB from p, lo where lo < v)"
+_add("WN05_interval_scan", lambda s, d: _scan(s, d, R, "wracc", D, numeric_strategy="intervals").select("lo", "hi", "coverage", "quality"), f"{_IV} select lo, hi, B::bigint as coverage, {_WR} as quality from s, w")
+_add("RF07_best_interval", lambda s, d: _scan(s, d, R, "wracc", D, numeric_strategy="intervals").orderBy(F.desc("quality"), F.desc("coverage"), "lo", "hi").limit(1).select("lo", "hi", "coverage", "quality"), f"{_IV} select lo, hi, B::bigint as coverage, {_WR} as quality from s, w order by quality desc, coverage desc, lo, hi limit 1")
+_add("WN06_best_per_operator", lambda s, d: refine.best_per_operator(_scan(s, d, R, "wracc", *mc.ATTRIBUTES).withColumn("cand", F.lit(0))).select("attr", "op", "v", "coverage", "quality"),
+     f"select attr, op, v, coverage, quality from (select *, row_number() over (partition by attr, op order by quality desc, v) as p from ({ORACLE_SQL['QN02_wracc']})) where p = 1")
+_add("WN07_score_order", lambda s, d: _table(s, d, "orders").where("o_orderkey <= 3000").select("o_orderkey", F.row_number().over(Window.orderBy(F.desc("o_totalprice"), "o_orderkey")).alias("place")), "select o_orderkey, row_number() over (order by o_totalprice desc, o_orderkey)::int as place from orders where o_orderkey <= 3000")
+
+
+def _scape(s: SparkSession, d: str) -> DataFrame:
+    return _table(s, d, "documents").join(_table(s, d, "labels"), "doc_id").select("lang", "source", (F.col("toxic") == 1).alias("toxic"), F.col("n_chars").cast("double").alias("score"))
+
+
+_LOSS = "select {k} sum(p * above) / nullif(sum(p), 0) as loss, sum(p) as pos, sum(q) as neg from (select *, coalesce(sum(q) over ({part} order by score desc rows between unbounded preceding and 1 preceding), 0) + q / 2 as above from (select {k} score, sum(t)::double as p, sum(1 - t)::double as q from src group by all)) {g}"
+_SS = "with src as (select lang, n_chars::double as score, (toxic = 1)::int as t from documents join labels using (doc_id)), a as (" + _LOSS.format(k="", part="", g="") + "), l as (" + _LOSS.format(k="lang,", part="partition by lang", g="group by lang") + ")"
+_add("WN08_subranking_loss", lambda s, d: tables.scape_loss(_scape(s, d), F.col("toxic"), F.col("score"), ("lang",)).select("lang", _r("loss").alias("loss"), "positives", "negatives"), _SS + " select lang, round(loss, 6) + 0.0 as loss, pos as positives, neg as negatives from l")
+for _i, (_m, _e) in enumerate([("subranking_loss", "l.loss"), ("negative_subranking_loss", "-l.loss"), ("relative_subranking_loss", "l.loss - a.loss"), ("reverse_relative_subranking_loss", "a.loss - l.loss")], 1):
+    _add(f"QS{_i:02d}_{_m}", lambda s, d, m=_m: discover(_scape(s, d).select("lang", "toxic", "score"), Target("scape", ("toxic", "score"), True), Settings(measure=m, minimum=-1e9, min_coverage=2), types={"lang": model.NOMINAL}).select("conditions", "coverage", _r("quality", 5).alias("quality"), "secondary", "tertiary"),
+         _SS + f" select 'lang = ''' || lang || '''' as conditions, (l.pos + l.neg)::bigint as coverage, round(coalesce({_e}, {'0' if 'a.' not in _e else _e.replace('l.loss', '0')}), 5) + 0.0 as quality, l.pos as secondary, l.neg as tertiary from l, a where l.pos + l.neg >= 2")
+_add("WN09_quantile_cuts", lambda s, d: tables.quantile_cuts(_li(s, d), "l_extendedprice", 10), "select b, min(v) as cut from (select v, sum(n) over (order by v)::bigint as through, sum(n) over ()::bigint as total from (select l_extendedprice as v, count(*) as n from lineitem group by 1)), (select unnest(range(1, 10))::int as b) where through > total * b // 10 group by b")
+_add("WN10_equal_width", lambda s, d: _li(s, d).groupBy(tables.equal_width_bin(F.col("l_extendedprice"), 0.0, 120000.0, 12).alias("bin")).agg(F.count(F.lit(1)).alias("n")), "select least(floor(l_extendedprice / 10000.0), 11)::int as bin, count(*) as n from lineitem group by 1")
+_add("WN11_ranks", lambda s, d: mc._numeric(_scan(s, d, R, "wracc", Q)).select("op", "v", F.row_number().over(Window.orderBy(F.desc("quality"), F.desc("coverage"), "op", "v")).alias("nr")), f"select op, v, row_number() over (order by quality desc, coverage desc, op, v)::int as nr from ({ORACLE_SQL['QN02_wracc']}) where attr = 'l_quantity'")
+
+# --- top-k, refinement and search --------------------------------------------------
+
+
+
+def _flags(s: SparkSession, d: str) -> DataFrame:
+    """Nominal attributes: line status, line number and a quantity band; a binary one; the flag is the target."""
+    return _li(s, d).select("l_returnflag", "l_linestatus", F.concat(F.lit("n"), F.col("l_linenumber").cast("string")).alias("line"), (F.col("l_tax") >= 0.04).alias("taxed"))
+
+
+_FS = "select l_returnflag, l_linestatus, 'n' || l_linenumber as line, l_tax >= 0.04 as taxed, (l_returnflag = 'R')::int as t from lineitem"
+_ONE = [("l_linestatus", "l_linestatus = '''||l_linestatus||'''"), ("line", "line = '''||line||'''"), ("taxed", "taxed = '''||taxed::int||'''")]
+
+
+def _conjunctions(pairs: bool, where: str = "") -> str:
+    parts = [f"select '{e}' as conditions, 1 as depth, count(*)::double as B, sum(t)::double as HB from src {where} group by {a}" for a, e in _ONE]
+    if pairs:
+        parts += [f"select '{_ONE[i][1]} AND {_ONE[j][1]}', 2, count(*)::double, sum(t)::double from src {where} group by {_ONE[i][0]}, {_ONE[j][0]}" for i in range(3) for j in range(i + 1, 3)]
+    return f"with src as ({_FS}), w as (select count(*)::double as N, sum(t)::double as H from src {where}), r as ({' union all '.join(parts)}) select conditions, depth, B::bigint as coverage, round(HB / N - (H / N) * (B / N), 6) + 0.0 as quality, round(HB / B, 6) + 0.0 as secondary, HB as tertiary from r, w where B >= 2 and B < N"
+
+
+def _found(df: DataFrame) -> DataFrame:
+    return df.select("conditions", "depth", "coverage", _r("quality").alias("quality"), _r("secondary").alias("secondary"), "tertiary")
+
+
+def _search(**settings) -> Query:
+    return lambda s, d: _found(discover(_flags(s, d), R, Settings(**({"minimum": -1.0} | settings))))
+
+
+_add("RF02_binary", lambda s, d: _found(discover(_flags(s, d), R, Settings(minimum=-1.0), types={"taxed": model.BINARY})), f"select * from ({_conjunctions(False)}) where conditions like 'taxed%'")
+_add("RF03_nominal_equals", lambda s, d: _found(discover(_flags(s, d), R, Settings(minimum=-1.0), types={"line": model.NOMINAL})), f"select * from ({_conjunctions(False)}) where conditions like 'line%'")
+_add("RF04_best_value_set", lambda s, d: _found(discover(_flags(s, d), R, Settings(minimum=-1.0, nominal_sets=True), types={"line": model.NOMINAL})),
+     f"with src as ({_FS}), w as (select count(*)::double as N, sum(t)::double as H from src), g as (select line, count(*)::double as B, sum(t)::double as HB from src group by 1), x as (select string_agg(line, ',' order by line) as v, sum(B) as B, sum(HB) as HB from g, w where HB / B >= H / N) select 'line in {{' || v || '}}' as conditions, 1 as depth, B::bigint as coverage, round(HB / N - (H / N) * (B / N), 6) + 0.0 as quality, round(HB / B, 6) + 0.0 as secondary, HB as tertiary from x, w".replace("{{", "{").replace("}}", "}"))
+_add("RF06_all_conditions", lambda s, d: mc._numeric(_scan(s, d, R, "wracc", *mc.ATTRIBUTES)), ORACLE_SQL["QN02_wracc"])
+_add("RF09_consecutive", lambda s, d: _scan(s, d, R, "wracc", Q, numeric_strategy="consecutive_all", bins=5).select("lo", "hi", "coverage", "quality"),
+     f"{_U}, {_CUT.replace('range(1, 8)', 'range(1, 5)').replace('// 8', '// 5').replace('% 8', '% 5')}, e as (select distinct v from k where v < (select max(v) from g)), i as (select v as lo, coalesce(lead(v) over (order by v), 'infinity'::double) as hi from e union all select '-infinity'::double, min(v) from e), s as (select lo, hi, sum(B) as B, sum(HB) as HB from g join i on v > lo and v <= hi group by lo, hi) select lo, hi, B::bigint as coverage, {_WR} as quality from s, w")
+_add("RF11_gates", _search(min_coverage=5000, max_coverage_share=0.4, minimum=0.0), f"select * from ({_conjunctions(False)}) where coverage >= 5000 and coverage <= 24000 and quality > 0")
+_add("RF12_minimum_support", _search(min_support=3000), f"select * from ({_conjunctions(False)}) where tertiary >= 3000")
+_add("SR01_beam", _search(depth=2, width=100), _conjunctions(True))
+_add("SR05_depth_first", _search(depth=2, strategy="depth_first"), _conjunctions(True))
+_add("SR06_breadth_first", _search(depth=2, strategy="breadth"), _conjunctions(True))
+_add("SR04_best_first", _search(depth=2, strategy="best_first", max_results=10), f"select * from ({_conjunctions(True)}) order by quality desc, coverage desc limit 10")
+_add("SR02_roc_beam", _search(depth=2, strategy="roc"))
+_add("SR03_cover_based_beam", _search(depth=2, strategy="cover", width=5))
+_add("SR07_beam_seed", _search(depth=1, beam_seed=[(_C("l_linestatus", "=", "O"),)]), f"select conditions, 1 as depth, coverage, quality, secondary, tertiary from ({_conjunctions(True)}) where depth = 2 and conditions like '%l_linestatus = ''O''%'")
+_add("SR08_time_limit", _search(depth=2, max_minutes=30.0), _conjunctions(True))
+_add("SR09_members", lambda s, d: _flags(s, d).where(model.conjunction((_C("line", "=", "n2"), _C("taxed", "=", True)))), "select l_returnflag, l_linestatus, 'n' || l_linenumber as line, l_tax >= 0.04 as taxed from lineitem where l_linenumber = 2 and l_tax >= 0.04")
+_add("SR10_per_target_value", lambda s, d: per_target_value(_flags(s, d).drop("line", "taxed"), "l_returnflag", Settings(minimum=-1.0)).select("target_value", "conditions", "coverage", _r("quality").alias("quality")),
+     "with v as (select distinct l_returnflag as target_value from lineitem), w as (select count(*)::double as N from lineitem) select target_value, 'l_linestatus = ''' || l_linestatus || '''' as conditions, count(*) as coverage, round(count(*) filter (l_returnflag = target_value) / any_value(N) - ((select count(*) from lineitem x where x.l_returnflag = target_value) / any_value(N)) * (count(*) / any_value(N)), 6) + 0.0 as quality from lineitem, v, w group by target_value, l_linestatus")
+_add("TK01_bounded_results", _search(depth=2, max_results=7), f"select * from ({_conjunctions(True)}) order by quality desc, coverage desc limit 7")
+_add("TK02_admission", _search(depth=2, max_results=3), f"select * from ({_conjunctions(True)}) order by quality desc, coverage desc limit 3")
+_add("TK03_bounded_beam", _search(depth=2, width=2, max_results=4))
+_add("TK04_result_order", lambda s, d: discover(_flags(s, d), R, Settings(minimum=-1.0, depth=2)).select("nr", "coverage", _r("quality").alias("quality")), f"select row_number() over (order by quality desc, coverage desc)::int as nr, coverage, quality from ({_conjunctions(True)})")
+_add("TK07_multi_sort", lambda s, d: tables.multi_sort(_flags(s, d).withColumn("k", F.lit(1)), "taxed", "line", "l_linestatus").select("taxed", "line").limit(500), "select true as taxed, line from (select 'n' || l_linenumber as line, l_linestatus from lineitem where l_tax >= 0.04 order by line, l_linestatus limit 500)")
+_add("TK09_delete_results", lambda s, d: _found(discover(_flags(s, d), R, Settings(minimum=-1.0)).where(~F.col("nr").isin(1, 2))), f"select * from ({_conjunctions(False)}) order by quality desc, coverage desc offset 2")
+
+# --- densities, networks and other measures without sums ----------------------------------
+
+
+def _small_pairs(s: SparkSession, d: str) -> DataFrame:
+    return _li(s, d).where("l_orderkey <= 400").select(Q, (F.col("l_extendedprice") / 1000).alias("price"), "l_returnflag", "l_linestatus")
+
+
+def _kernel(target: Target, measure: str, table=_small_pairs) -> Query:
+    return lambda s, d: discover(table(s, d), target, Settings(measure=measure, minimum=float("-inf"), min_coverage=20)).select("conditions", "coverage", _r("quality", 6).alias("quality"))
+
+
+for _i, _m in enumerate(kernels.DENSITY, 16):
+    _add(f"QU{_i}_{_m}", _kernel(Target("single_numeric", (Q,)), _m, lambda s, d: _li(s, d).select(Q, "l_returnflag", "l_linestatus")))
+for _i, _m in enumerate([*kernels.DENSITY_2D, "l2"], 1):
+    _add(f"QM{_i:02d}_{_m}", _kernel(Target("multi_numeric", (Q, "price")), _m))
+for _i, _m in enumerate(["auc", "wmw_ranks", "inverse_wmw_ranks", "abs_wmw_ranks", "mmad"], 1):
+    _RK = "with r as (select l_returnflag, rank() over (order by l_quantity) + (count(*) over (partition by l_quantity) - 1) / 2.0 as k from lineitem), w as (select count(*)::double as N from r), m as (select l_returnflag, median(k) as med from r group by 1), g as (select l_returnflag, count(*)::double as B, sum(k)::double as S, any_value(med) as med, median(abs(k - med)) as mad from r join m using (l_returnflag) group by 1)"
+    _Z = "(S - B * (N + 1) / 2) / sqrt(B * (N - B) * (N + 1) / 12)"
+    _E = {"auc": "1 + (B * (B + 1) / 2 - S) / (B * (N - B))", "wmw_ranks": _Z, "inverse_wmw_ranks": f"-({_Z})", "abs_wmw_ranks": f"abs({_Z})", "mmad": "B / (2 * med + mad)"}[_m]
+    _add(f"QO{_i:02d}_{_m}", lambda s, d, m=_m: discover(_li(s, d).select(Q, "l_returnflag"), Target("single_ordinal", (Q,)), Settings(measure=m, minimum=float("-inf"))).select("conditions", "coverage", _r("quality", 5).alias("quality")), f"{_RK} select 'l_returnflag = ''' || l_returnflag || '''' as conditions, B::bigint as coverage, round({_E}, 5) + 0.0 as quality from g, w")
+
+
+def _labels(s: SparkSession, d: str) -> DataFrame:
+    return _li(s, d).select((F.col("l_returnflag") == "R").alias("r"), (F.col("l_linestatus") == "O").alias("o"), (F.col(D) > 0.05).alias("cheap"), (F.col("l_tax") > 0.04).alias("taxed"), F.concat(F.lit("n"), F.col("l_linenumber").cast("string")).alias("line"))
+
+
+for _i, _m in enumerate(["edit_distance", "weed"], 1):
+    _add(f"QL{_i:02d}_{_m}", _kernel(Target("multi_label", ("r", "o", "cheap", "taxed")), _m, _labels))
+_add("QC06_correlation_p", _kernel(Target("double_correlation", (Q, D)), "correlation_p", lambda s, d: _li(s, d).select(Q, D, "l_returnflag", "l_linestatus")))
+_add("QN20_bayesian_score", _kernel(R, "bayesian_score", lambda s, d: _li(s, d).select("l_returnflag", "l_linestatus")))
+_add("QR05_cooks_distance", _kernel(Target("double_regression", (Q, "price")), "cooks_distance"))
+
+
+def _propensity(s: SparkSession, d: str) -> DataFrame:
+    """Propensity of the flag given line status and tax: logistic regression without a penalty."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    df = _li(s, d).select("l_linestatus", F.col("l_tax").alias("x0"), (F.col("l_linestatus") == "O").cast("double").alias("x1"), (F.col("l_returnflag") == "R").cast("double").alias("label"))
+    df = VectorAssembler(inputCols=["x0", "x1"], outputCol="features").transform(df)
+    return LogisticRegression(regParam=0.0, maxIter=25).fit(df).transform(df).select("l_linestatus", "label", vector_to_array("probability")[1].alias("ps"))
+
+
+def _propensity_scores(measure: str) -> Query:
+    from sieveline.functions.measures import PROPENSITY
+
+    def run(s: SparkSession, d: str) -> DataFrame:
+        df = _propensity(s, d)
+        g = df.groupBy("l_linestatus").agg(F.count(F.lit(1)).cast("double").alias("B"), F.sum("label").alias("HB"), F.sum("ps").alias("ps"))
+        return g.withColumn("N", F.lit(float(df.count()))).select("l_linestatus", _r(F.expr(PROPENSITY[measure].expression), 4).alias("quality"))
+
+    return run
+
+
+_add("QN21_prop_score_wracc", _propensity_scores("prop_score_wracc"))
+_add("QN22_prop_score_ratio", _propensity_scores("prop_score_ratio"))
+
+# --- post-processing and validation -------------------------------------------------------
+
+
+def _results(s: SparkSession, d: str, **kw) -> tuple[DataFrame, list[dict]]:
+    df = _flags(s, d)
+    return df, SubgroupDiscovery(df, R, Settings(**({"minimum": -1.0, "depth": 2, "max_results": 12} | kw))).run()
+
+
+_add("PP01_minimum_improvement", lambda s, d: (lambda x: _found(as_table(s, post.without_weak_specialisations(x[1], 0.0005))))(_results(s, d)))
+_add("PP03_cover_based_results", lambda s, d: (lambda x: _found(as_table(s, post.cover_based(x[0], x[1], 5))))(_results(s, d)))
+_add("PP04_pattern_team", lambda s, d: s.createDataFrame([(i, x) for i, x in enumerate(post.pattern_team(_li(s, d), _RES, 3))], "place int, subgroup int"))
+_add("PP05_grouping", lambda s, d: s.createDataFrame(list(enumerate(post.group_by_team(_li(s, d), _RES, [0, 2]))), "subgroup int, member int"),
+     f"with b as (select {_BITS} from lineitem) " + " union all ".join(f"select {i} as subgroup, case when abs(coalesce(corr(b{i}::int, b0::int), 0)) >= abs(coalesce(corr(b{i}::int, b2::int), 0)) then 0 else 2 end as member from b" for i in range(5)))
+_add("PP06_roc_points", lambda s, d: (lambda x: s.createDataFrame([(round(a, 6), round(b, 6)) for a, b in post.roc(x[1], float(x[0].count()), float(x[0].where(F.col("l_returnflag") == "R").count()))[0]], "fpr double, tpr double"))(_results(s, d, depth=1, max_results=0)),
+     f"select round((coverage - tertiary) / (N - H), 6) + 0.0 as fpr, round(tertiary / H, 6) + 0.0 as tpr from ({_conjunctions(False)}), (select count(*)::double as N, count(*) filter (l_returnflag = 'R')::double as H from lineitem)")
+_add("PP06_roc_hull", lambda s, d: (lambda x: s.createDataFrame([(round(post.roc(x[1], float(x[0].count()), float(x[0].where(F.col("l_returnflag") == "R").count()))[1], 6),)], "area double"))(_results(s, d, depth=1, max_results=0)))
+_SAME = [{"conditions": c} for c in ((_C(Q, "<=", 10.0),), (_C(Q, "<=", 10.5),), (_C(D, ">=", 0.05),), (_C(Q, "<=", 10.0), _C(Q, "<=", 30.0)))]
+_add("PP07_alternatives", lambda s, d: s.createDataFrame([(min(g), x) for g in post.alternatives(_li(s, d), "l_orderkey", _SAME) for x in g], "first int, subgroup int"), "select * from (values (0, 0), (0, 1), (2, 2), (0, 3)) as t(first, subgroup)")
+_add("PP08_network_rescoring", lambda s, d: (lambda c: s.createDataFrame([(round(sum(kernels.edit_distance(kernels.learn_network(c, 5, i), kernels.learn_network(c, 5, 100 + i), 5) for i in range(5)) / 5, 6),)], "mean_distance double"))(_network_counts(s, d)))
+_add("PP09_threshold_sweep", lambda s, d: reduce(DataFrame.union, [_li(s, d).groupBy("l_linestatus").agg(F.count_if(F.col(Q) >= v).alias("positives")).withColumn("threshold", F.lit(float(v))) for v in (10, 25, 40)]), " union all ".join(f"select l_linestatus, count(*) filter (l_quantity >= {v}) as positives, {v}::double as threshold from lineitem group by 1" for v in (10, 25, 40)))
+_add("PP10_discard_members", lambda s, d: _li(s, d).where(~model.conjunction(_TEAM[0]) & ~model.conjunction(_TEAM[4])).select(*_FLAGS), _where(f"not ({_TEAM_SQL[0]}) and not ({_TEAM_SQL[4]})"))
+_add("PP11_model_data", lambda s, d: _li(s, d).withColumn("inside", F.col("l_returnflag") == "R").groupBy("inside").agg(_r(F.regr_slope(D, Q), 9).alias("slope"), _r(F.regr_intercept(D, Q), 9).alias("intercept")), "select l_returnflag = 'R' as inside, round(regr_slope(l_discount, l_quantity), 9) + 0.0 as slope, round(regr_intercept(l_discount, l_quantity), 9) + 0.0 as intercept from lineitem group by 1")
+_W = Settings(measure="wracc", minimum=-1.0)
+_add("VA01_random_subsets", lambda s, d: s.createDataFrame([(float(x),) for x in validation.random_subset_qualities(_li(s, d, "l_returnflag"), R, _W, [600] * 20)], "quality double"))
+_add("VA02_random_descriptions", lambda s, d: (lambda df: s.createDataFrame([(model.text_of(c), q) for c, q in (lambda cs: zip(cs, validation.description_qualities(df, R, _W, cs)))(validation.random_descriptions(df, {Q: model.NUMERIC, "l_linestatus": model.NOMINAL}, 2, 20))], "conditions string, quality double"))(_li(s, d, Q, "l_linestatus", "l_returnflag")))
+_add("VA03_swap_randomisation", lambda s, d: s.createDataFrame([(x,) for x in validation.swap_randomised(_flags(s, d).drop("taxed"), R, _W, 2)], "quality double"))
+_QS = [0.01, 0.03, 0.02, 0.05, 0.04]
+_add("VA04_thresholds", lambda s, d: s.createDataFrame([(a, round(t, 9)) for a, t in validation.thresholds(_QS).items()], "alpha double, threshold double"), "with q as (select avg(x) as m, stddev_samp(x) as sd from (values (0.01::double), (0.03), (0.02), (0.05), (0.04)) as t(x)) select a as alpha, round(m + z * sd, 9) as threshold from q, (values (0.01::double, 2.3263478740408408::double), (0.05, 1.6448536269514722), (0.1, 1.2815515655446004)) as z(a, z)")
+_add("VA05_p_values", lambda s, d: s.createDataFrame([(x, validation.empirical_p(x, _QS)) for x in (0.0, 0.02, 0.045)], "quality double, p double"), "select q as quality, avg((x >= q)::int)::double as p from (values (0.01::double), (0.03), (0.02), (0.05), (0.04)) as t(x), (values (0.0::double), (0.02), (0.045)) as s(q) group by q")
+_add("VA06_set_p", lambda s, d: s.createDataFrame([(validation.set_p(0.03, _QS),)], "p double"), "select avg((x > 0.03)::int)::double as p from (values (0.01::double), (0.03), (0.02), (0.05), (0.04)) as t(x)")
+_add("VA07_regression_test", lambda s, d: s.createDataFrame([(round(validation.regression_test([{"quality": x} for x in (0.1, 0.08, 0.02)], _QS, 2), 6),)], "score double"), "select round((0.09 - avg(x)) / stddev_samp(x), 6) as score from (values (0.01::double), (0.03), (0.02), (0.05), (0.04)) as t(x)")
+_add("VA08_threshold_from_randomisation", lambda s, d: s.createDataFrame([(validation.thresholds(validation.swap_randomised(_flags(s, d).drop("taxed"), R, _W, 3))[0.05],)], "threshold double"))
+_add("VA09_folds", lambda s, d: tables.materialised(validation.with_folds(_li(s, d, "l_orderkey"), 10)).groupBy("fold").agg(F.count(F.lit(1)).alias("n")), "select f::int as fold, (select count(*) from lineitem) // 10 + (case when f < (select count(*) from lineitem) % 10 then 1 else 0 end) as n from range(10) as t(f)")
+_add("VA10_random_numeric", lambda s, d: s.createDataFrame([(float(x),) for x in validation.random_subset_qualities(_li(s, d, Q), Target("single_numeric", (Q,)), Settings(measure="z_score"), [500] * 10)], "quality double"))
+
+# --- sources and sinks ---------------------------------------------------------------------
+
+_add("IO06_missing_fields", lambda s, d: _table(s, d, "documents").select("doc_id", F.nullif(F.trim(F.substring("source", 1, 3)), F.lit("")).alias("x")), "select doc_id, nullif(trim(source[1:3]), '') as x from documents")
+_add("IO12_select_builder", lambda s, d: (_li(s, d).createOrReplaceTempView("sieveline_lineitem"), s.sql(__import__("sieveline.sources.runs", fromlist=["x"]).select_text(["l_returnflag", "count(*) AS n"], "sieveline_lineitem", ["l_quantity <= 10"], ["l_returnflag"], ["l_returnflag"], True)))[1], "select l_returnflag, count(*) as n from lineitem where l_quantity <= 10 group by 1")
+_add("IO13_gene_rank", lambda s, d: tables.enrich(_table(s, d, "part").select(F.col("p_partkey").alias("gene"), "p_brand"), _table(s, d, "part").select("p_brand", F.substring("p_type", 1, 4).alias("concept")).groupBy("p_brand").agg(F.min("concept").alias("concept")), _table(s, d, "part").groupBy(F.substring("p_type", 1, 4).alias("concept")).agg((F.count(F.lit(1)) / 100000).alias("score")), "p_brand", "concept", ["score"]).select("gene", "score"),
+     "with m as (select p_brand, min(p_type[1:4]) as concept from part group by 1), c as (select p_type[1:4] as concept, count(*) / 100000::double as score from part group by 1) select p_partkey as gene, case when score > 0.01 then score else 0.0 end as score from part left join m using (p_brand) left join c using (concept)")
+_add("IO19_fold_extents", lambda s, d: post.extents(_li(s, d), _RES[:3], ["l_orderkey"], "train"), f"select 'train' as fold, l_orderkey, {', '.join(f'({c})::int as s{i}' for i, c in enumerate(_TEAM_SQL[:3], 1))} from lineitem")
+_add("IO20_discretised", lambda s, d: tables.discretised(_li(s, d, "l_orderkey", Q), Q, 4), "with g as (select l_quantity as v, count(*) as n from lineitem group by 1), k as (select distinct min(v) as cut from (select v, sum(n) over (order by v)::bigint as through, sum(n) over ()::bigint as total from g), (select unnest(range(1, 4)) as b) where through > total * b // 4 group by b) select l_orderkey, l_quantity, (1 + (select count(*) from k where l_quantity >= cut))::int as l_quantity_bin from lineitem")

@@ -45,7 +45,7 @@ def typed(df: DataFrame, declared: dict[str, str] | None = None) -> DataFrame:
     flags = []
     for i, c in enumerate(df.columns):
         x = F.col(f"`{c}`")
-        flags += [F.bool_and(F.lower(x).isin(*tables.TRUE, *tables.FALSE)).alias(f"b{i}"), F.bool_and(x.try_cast("double").isNotNull()).alias(f"n{i}")]
+        flags += [F.bool_and(F.lower(x).isin(*tables.TRUE, *tables.FALSE)).alias(f"b{i}"), F.bool_and(F.when(x.isNotNull(), x.try_cast("double").isNotNull())).alias(f"n{i}")]
     row = df.agg(*flags).first()
     kinds = {c: model.BINARY if row[2 * i] else model.NUMERIC if row[2 * i + 1] else model.NOMINAL for i, c in enumerate(df.columns)}
     if declared:
