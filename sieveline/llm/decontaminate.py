@@ -50,6 +50,12 @@ def _fingerprints(df: DataFrame, short: list[int], span: int, k: int) -> DataFra
     return df.withColumn("fps", F.array_distinct(fps))
 
 
+def _short_hits(n: Column, size: int) -> Column:
+    """Spans (start, len) of windows of a short length whose hash is among hits."""
+    spans = F.transform(_positions(n, size), lambda i: F.struct(i.alias("start"), F.lit(size).alias("len")))
+    return F.filter(spans, lambda x: F.array_contains("hits", F.xxhash64(F.lit(size), F.slice("words", x["start"], size))))
+
+
 def benchmark_windows(benchmark: DataFrame, span: int = SPAN) -> DataFrame:
     """(item_id, len, words): each item's windows."""
     items = benchmark.select("item_id", words_of("text").alias("w")).withColumn("len", F.least(F.size("w"), F.lit(span))).where("len > 0")
@@ -84,9 +90,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, span: int = SPAN,
     near = F.filter(_positions(n, k), lambda i: F.array_contains("hits", F.get("grams", i - 1)))
     around = F.flatten(F.transform(near, lambda p: F.when(n >= span, F.sequence(F.greatest(p - (span - k), F.lit(1)), F.greatest(F.least(p, n - (span - 1)), F.greatest(p - (span - k), F.lit(1))))).otherwise(F.array().cast("array<int>"))))
     pieces = [F.transform(F.array_distinct(F.filter(around, lambda s: s <= n - (span - 1))), lambda s: F.struct(s.alias("start"), F.lit(span).alias("len")))]
-    for size in short:
-        hashes = F.transform(_positions(n, size), lambda i, size=size: F.struct(i.alias("start"), F.lit(size).alias("len")))
-        pieces.append(F.filter(hashes, lambda x, size=size: F.array_contains("hits", F.xxhash64(F.lit(size), F.slice("words", x["start"], size)))))
+    pieces += [_short_hits(n, size) for size in short]
     cut_out = F.transform(F.concat(*pieces), lambda x: F.struct(x["start"].alias("start"), x["len"].alias("len"), F.concat_ws(" ", F.slice("words", x["start"], x["len"])).alias("win")))
     found = cand.select("node", F.explode(cut_out).alias("x")).select("node", "x.start", "x.len", "x.win")
     by_window = windows.select("item_id", "len", F.concat_ws(" ", "words").alias("win")).groupBy("win", "len").agg(F.collect_set(F.col("item_id").cast("string")).alias("items"))
