@@ -66,7 +66,8 @@ def tokens_of(url: Column, host: Column, path: Column) -> Column:
         "mark": F.when(F.coalesce(url, F.lit("")).contains("#"), F.lit("1")),
     }
     assert len(slots) == SLOTS
-    return F.filter(F.array(*(F.when(v != "", F.concat(F.lit(k + "="), v)) for k, v in slots.items())), lambda t: t.isNotNull())
+    found = F.filter(F.array(*(F.when(v != "", F.concat(F.lit(k + "="), v)) for k, v in slots.items())), lambda t: t.isNotNull())
+    return F.when(host == "", F.array().cast("array<string>")).otherwise(found)
 
 
 def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
