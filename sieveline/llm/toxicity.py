@@ -58,7 +58,7 @@ def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs: in
     kept = np.flatnonzero(first >= KEPT_WEIGHT)
     weights = np.zeros(positive.shape[1])
     weights[kept], bias = _descend(positive[:, kept], unlabelled[:, kept], prior, FINAL_STEPS, DECAY / 50, seed, len(positive), len(unlabelled))
-    return weights, bias - _threshold(positive @ weights + bias, unlabelled @ weights + bias, prior)
+    return weights, bias - _threshold(positive[:, kept] @ weights[kept] + bias, unlabelled[:, kept] @ weights[kept] + bias, prior)
 
 
 def _threshold(p: np.ndarray, u: np.ndarray, prior: float) -> float:
