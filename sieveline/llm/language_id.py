@@ -25,7 +25,7 @@ from pyspark.sql.types import ArrayType, LongType
 
 from sieveline.llm.common import held_out, table, text_chunks, text_or_empty
 
-HIDDEN, WINDOW, BATCH = 8, 128, 8192
+HIDDEN, WINDOW, BATCH = 8, 128, 4096
 DOCS_PER_LANG, WINDOWS_PER_DOC = 400, 3
 EPOCHS, STEP_BATCH, RATE, SEED = 6, 128, 0.02, 17
 #: A rejected document has no letters or a score below this.
