@@ -37,6 +37,8 @@ from sieveline.llm.common import table, text_chunks, text_or_empty
 #: Fixed values of the format: zigzag position -> row-major position.
 ZIGZAG = np.array([i * 8 + j for s in range(15) for i, j in ([(k, s - k) for k in range(8) if 0 <= s - k < 8] if s % 2 else [(s - k, k) for k in range(8) if 0 <= s - k < 8])])
 SHIFT = 96
+#: Bytes of texts or files worked on at once.
+CHUNK = 384 << 10
 #: (components, first, last, high, low) of each scan written.
 SCRIPT = [((0, 1, 2), 0, 0, 0, 1), ((0, 1, 2), 0, 0, 1, 0), ((0,), 1, 5, 0, 1), ((0,), 1, 5, 1, 0), ((0,), 6, 63, 0, 0), ((1,), 1, 63, 0, 0), ((2,), 1, 63, 0, 0)]
 _END = re.compile(rb"\xff[^\x00\xd0-\xd7\xff]")
@@ -583,7 +585,7 @@ def store(documents: DataFrame) -> DataFrame:
     kind = dict(documents.dtypes)["doc_id"]
 
     def write(batches):
-        for batch, texts in text_chunks(batches, 1 << 20):
+        for batch, texts in text_chunks(batches, CHUNK):
             data = [t.encode("utf-8", "surrogatepass") for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(d) for d in data], pa.int64()), pa.array(encode_payloads([padded(d) for d in data]), pa.binary())], names=["doc_id", "n_bytes", "media"])
 
@@ -595,7 +597,7 @@ def load(stored: DataFrame, tensors: bool = False) -> DataFrame:
     kind = dict(stored.dtypes)["doc_id"]
 
     def read(batches):
-        for batch, files in text_chunks(batches, 1 << 20, "media"):
+        for batch, files in text_chunks(batches, CHUNK, "media"):
             rows = []
             for doc, n, f, p in zip(batch.column("doc_id").to_pylist(), batch.column("n_bytes").to_pylist(), files, decode(files)):
                 payload, rgb = payload_of(p), p.rgb()
