@@ -23,6 +23,8 @@ TARGETS = {"multi_numeric", "multi_label", "scape", "single_ordinal"}
 MEASURES = {*kernels.DENSITY, *kernels.DENSITY_2D, "l2", "edit_distance", "weed", "bayesian_score", "correlation_p", "cooks_distance"}
 #: Refinements scored by kernels at one level; the best covered ones first. Beyond it raise the coverage gate.
 MOST = 5000
+#: Distinct target values of the whole table that may come to the driver.
+MOST_VALUES = 2_000_000
 
 
 def base(df: DataFrame, target: Target) -> Statistics:
@@ -113,7 +115,10 @@ def level(df: DataFrame, beam: list[Conditions], types: dict[str, str], stats: S
     values = _value_columns(target)
     names = [f"x{i}" for i in range(len(values))]
     data = df.select("*", *values).where(" and ".join(f"{n} is not null" for n in names))
-    everything = data.groupBy(*names).agg(F.count(F.lit(1)).cast("double").alias("c")).orderBy(*names).toPandas().to_numpy(float)
+    counts = data.groupBy(*names).agg(F.count(F.lit(1)).cast("double").alias("c")).limit(MOST_VALUES + 1).toPandas()
+    if len(counts) > MOST_VALUES:
+        raise ValueError(f"more than {MOST_VALUES} distinct target values: round them, or sample the rows")
+    everything = counts.sort_values(names).to_numpy(float)
     marked = refine.membership(data.drop("cand") if "cand" in data.columns else data, own).groupBy("cand", *names).agg(F.count(F.lit(1)).cast("double").alias("c")).withColumnRenamed("cand", "i")
 
     seed, measure = settings.seed, settings.measure

@@ -13,7 +13,8 @@ from sieveline.operators.stats import Statistics
 
 #: Predicates in one projection; more would overrun generated methods.
 CHUNK = 50
-BIG = "cast(2147483647 as bigint)"
+#: Distinct values above which an attribute is scanned in buckets, and their number.
+WIDE, BUCKETS = 200_000, 256
 
 
 def membership(df: DataFrame, beam: list[Conditions]) -> DataFrame:
@@ -39,16 +40,46 @@ def values(df: DataFrame, types: dict[str, str], stats: Statistics) -> DataFrame
     return long.groupBy("cand", "attr", "v", "s").agg(*(F.sum("__" + p).alias(p) for p in parts))
 
 
-def _cumulative(g: DataFrame, stats: Statistics, up: bool) -> DataFrame:
-    w = Window.partitionBy("cand", "attr").orderBy(F.col("v").asc() if up else F.col("v").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    return g.select("cand", "attr", F.lit(AT_MOST if up else AT_LEAST).alias("op"), "v", *(F.sum(p).over(w).alias(p) for p in stats.parts))
+def wide_bounds(df: DataFrame, types: dict[str, str]) -> dict[str, list[float]]:
+    """For attributes with more than WIDE distinct values, cut points that split them into about BUCKETS equal parts."""
+    numeric = [a for a, t in types.items() if t == NUMERIC]
+    if not numeric:
+        return {}
+    row = df.agg(*(F.approx_count_distinct(F.col(f"`{a}`")).alias(f"n{i}") for i, a in enumerate(numeric))).first()
+    wide = [a for i, a in enumerate(numeric) if row[i] > WIDE]
+    if not wide:
+        return {}
+    shares = [i / BUCKETS for i in range(1, BUCKETS)]
+    cuts = df.agg(*(F.percentile_approx(F.col(f"`{a}`").cast("double"), shares).alias(f"c{i}") for i, a in enumerate(wide))).first()
+    return {a: sorted(set(c)) for a, c in zip(wide, cuts)}
 
 
-def bin_boundaries(g: DataFrame, count: str, bins: int, up: bool) -> DataFrame:
+def _running(g: DataFrame, parts: list[str], up: bool, keys: tuple[str, ...] = ("cand", "attr")) -> DataFrame:
+    w = Window.partitionBy(*keys).orderBy(F.col("v").asc() if up else F.col("v").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    return g.select(*keys, "v", *(F.sum(p).over(w).alias(p) for p in parts))
+
+
+def _cumulative(g: DataFrame, stats: Statistics, up: bool, wide: dict[str, list[float]] | None = None) -> DataFrame:
+    """Running sums by value. Attributes with many distinct values are summed in buckets first, so that no task gets them all."""
+    parts = list(stats.parts)
+    op = F.lit(AT_MOST if up else AT_LEAST).alias("op")
+    if not wide:
+        return _running(g, parts, up).select("cand", "attr", op, "v", *parts)
+    bounds = F.create_map(*(F.lit(x) if isinstance(x, str) else F.array(*map(F.lit, x)) for a, c in wide.items() for x in (a, c)))
+    many = g.where(F.col("attr").isin(*wide)).withColumn("bucket", F.size(F.filter(bounds[F.col("attr")], lambda x: x <= F.col("v"))))
+    order = Window.partitionBy("cand", "attr").orderBy(F.col("bucket").asc() if up else F.col("bucket").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    sums = many.groupBy("cand", "attr", "bucket").agg(*(F.sum(p).alias(p) for p in parts))
+    before = sums.select("cand", "attr", "bucket", *(F.coalesce(F.sum(p).over(order), F.lit(0.0)).alias("before_" + p) for p in parts))
+    inside = _running(many, parts, up, ("cand", "attr", "bucket")).join(before, ["cand", "attr", "bucket"])
+    inside = inside.select("cand", "attr", op, "v", *((F.col(p) + F.col("before_" + p)).alias(p) for p in parts))
+    return inside.union(_running(g.where(~F.col("attr").isin(*wide)), parts, up).select("cand", "attr", op, "v", *parts))
+
+
+def bin_boundaries(g: DataFrame, stats: Statistics, bins: int, up: bool, wide: dict[str, list[float]] | None = None) -> DataFrame:
     """(cand, attr, v): equal-height cut values. With <=: least v whose running count passes the boundary; with >=: mirrored."""
-    w = Window.partitionBy("cand", "attr").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    family = Window.partitionBy("cand", "attr")
-    c = g.select("cand", "attr", "v", F.sum(count).over(w).cast("long").alias("cover"), F.col(count).cast("long").alias("own"), F.sum(count).over(family).cast("long").alias("total"), F.min("v").over(family).alias("least"))
+    count = stats.count
+    family = g.groupBy("cand", "attr").agg(F.sum(count).cast("long").alias("total"), F.min("v").alias("least"))
+    c = _cumulative(g, stats, True, wide).select("cand", "attr", "v", F.col(count).cast("long").alias("cover")).join(family, ["cand", "attr"])
     c = c.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(bins - 1)))) if bins > 1 else c.withColumn("b", F.lit(1)).where("false")
     if up:
         cut = c.where(f"cover > total * b div {bins} - (case when (total * b) % {bins} = 0 then 1 else 0 end)").groupBy("cand", "attr", "b").agg(F.min_by(F.struct("v", "cover", "total"), "v").alias("x"))
@@ -56,7 +87,7 @@ def bin_boundaries(g: DataFrame, count: str, bins: int, up: bool) -> DataFrame:
     return c.where(f"v > least and total - cover < total - total * b div {bins}").groupBy("cand", "attr", "b").agg(F.min("v").alias("v")).select("cand", "attr", "v").distinct()
 
 
-def half_intervals(g: DataFrame, stats: Statistics, operators: tuple[str, ...], bins: int = 0) -> DataFrame:
+def half_intervals(g: DataFrame, stats: Statistics, operators: tuple[str, ...], bins: int = 0, wide: dict[str, list[float]] | None = None) -> DataFrame:
     """<=, >= and = conditions on numbers with their statistics; bins > 0 keeps equal-height cut values only."""
     g = g.where("v is not null")
     out = []
@@ -64,9 +95,9 @@ def half_intervals(g: DataFrame, stats: Statistics, operators: tuple[str, ...],
         if op == EQUALS:
             out.append(g.select("cand", "attr", F.lit(EQUALS).alias("op"), "v", *stats.parts))
             continue
-        scan = _cumulative(g, stats, op == AT_MOST)
+        scan = _cumulative(g, stats, op == AT_MOST, wide)
         if bins:
-            scan = scan.join(bin_boundaries(g, stats.count, bins, op == AT_MOST), ["cand", "attr", "v"], "left_semi")
+            scan = scan.join(bin_boundaries(g, stats, bins, op == AT_MOST, wide), ["cand", "attr", "v"], "left_semi")
         out.append(scan)
     return reduce(DataFrame.unionByName, out)
 
@@ -121,7 +152,7 @@ def _shaped(df: DataFrame, stats: Statistics) -> DataFrame:
     return df.select("cand", "attr", "op", *(F.col(c) if c in df.columns else F.lit(None).cast(t).alias(c) for c, t in _SHAPE.items()), *stats.parts)
 
 
-def level(df: DataFrame, beam: list[Conditions], types: dict[str, str], stats: Statistics, settings: model.Settings) -> DataFrame:
+def level(df: DataFrame, beam: list[Conditions], types: dict[str, str], stats: Statistics, settings: model.Settings, wide: dict[str, list[float]] | None = None) -> DataFrame:
     """Scored refinements of every candidate in the beam."""
     g = values(membership(df, beam), types, stats)
     pieces = []
@@ -130,7 +161,7 @@ def level(df: DataFrame, beam: list[Conditions], types: dict[str, str], stats: S
         if settings.numeric_strategy in ("intervals", "consecutive_all", "consecutive_best") or operators == (BETWEEN,):
             pieces.append(consecutive(g, stats, settings.bins) if settings.numeric_strategy.startswith("consecutive") else intervals(g, stats))
         else:
-            pieces.append(half_intervals(g, stats, operators, settings.bins if "bins" in settings.numeric_strategy else 0))
+            pieces.append(half_intervals(g, stats, operators, settings.bins if "bins" in settings.numeric_strategy else 0, wide))
     if {NOMINAL, BINARY} & set(types.values()):
         nominal = [a for a, t in types.items() if t == NOMINAL]
         if settings.nominal_sets and nominal:
@@ -143,7 +174,7 @@ def level(df: DataFrame, beam: list[Conditions], types: dict[str, str], stats: S
 def consecutive(g: DataFrame, stats: Statistics, bins: int) -> DataFrame:
     """Consecutive equal-height intervals (lo, hi]; the outer ones are unbounded."""
     g = g.where("v is not null")
-    cuts = bin_boundaries(g, stats.count, bins, True)
+    cuts = bin_boundaries(g, stats, bins, True)
     w = Window.partitionBy("cand", "attr").orderBy("v")
     edges = cuts.select("cand", "attr", F.col("v").alias("lo"), F.coalesce(F.lead("v").over(w), F.lit(float("inf"))).alias("hi"))
     first = cuts.groupBy("cand", "attr").agg(F.min("v").alias("hi")).select("cand", "attr", F.lit(float("-inf")).alias("lo"), "hi")
@@ -151,7 +182,8 @@ def consecutive(g: DataFrame, stats: Statistics, bins: int) -> DataFrame:
 
 
 def best_per_operator(rows: DataFrame, numeric: bool = True) -> DataFrame:
-    """The first maximum in ascending value order of each candidate, attribute and operator; nominal values all stay, of value sets the best."""
-    w = Window.partitionBy("cand", "attr", "op").orderBy(F.col("quality").desc(), F.col("v").asc(), F.col("lo").asc(), F.col("hi").asc(), F.col("set").asc())
+    """The first maximum in ascending value order of each candidate, attribute and operator, as one aggregate; nominal values all stay, of value sets the best."""
     every = F.col("s").isNotNull() if numeric else F.col("set").isNull()
-    return rows.withColumn("place", F.when(every, F.lit(1)).otherwise(F.row_number().over(w))).where("place = 1").drop("place")
+    order = F.struct(-F.col("quality"), "v", "lo", "hi", "set")
+    best = rows.where(~every).groupBy("cand", "attr", "op").agg(F.min_by(F.struct(*rows.columns), order).alias("best")).select("best.*")
+    return rows.where(every).unionByName(best)

@@ -46,6 +46,7 @@ class SubgroupDiscovery:
         s = self.settings
         self.df = self.df.select(*dict.fromkeys([*self.types, *self.target.columns]))
         self.stats = kernel_search.base(self.df, self.target) if self.kernel else statistics(self.df, self.target)
+        self.wide = {} if self.kernel else refine.wide_bounds(self.df, self.types)
         measure = s.measure
         minimum = s.minimum if s.minimum is not None else self.stats.measures[measure].minimum
         total = int(self.stats.whole["N"])
@@ -101,7 +102,7 @@ class SubgroupDiscovery:
     def _level(self, beam: list[Conditions]) -> DataFrame:
         if self.kernel:
             return kernel_search.level(self.df, beam, self.types, self.stats, self.settings, self.target)
-        return refine.level(self.df, beam, self.types, self.stats, self.settings)
+        return refine.level(self.df, beam, self.types, self.stats, self.settings, self.wide)
 
     def _next(self, rows: list[dict], wide: bool) -> list[tuple]:
         s = self.settings
