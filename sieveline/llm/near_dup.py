@@ -139,11 +139,14 @@ def classes_of(documents: DataFrame, text: str = "text") -> tuple[DataFrame, Dat
     split = known.groupBy("sig").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 < l1").select("sig")
     rest = known.where("node <> hub").join(split, "sig").join(tested.select(F.col("a").alias("hub"), F.col("b").alias("node"), "common"), ["hub", "node"], "left")
     # without a test the hub was out of reach: nothing is known of what they share
-    rest = cut(rest.select("sig", "node", "n", "m", "label", "common"))
-    x, y = (rest.select("sig", *(F.col(c).alias(c + k) for c in ("node", "n", "m", "label", "common"))) for k in ("a", "b"))
+    rest = rest.select("sig", "node", "n", "m", "label", "common")
+    rest = cut(rest.join(rest.groupBy("node").agg(F.collect_set("sig").alias("sigs")), "node"))
+    x, y = (rest.select("sig", *(F.col(c).alias(c + k) for c in ("node", "n", "m", "label", "common", "sigs"))) for k in ("a", "b"))
     plain = F.least("ma", "mb")
     through = F.least("commona", "commonb") + F.least(F.col("ma") - F.col("commona"), F.col("mb") - F.col("commonb"))
-    left_over = x.join(y, "sig").where((F.col("labela") < F.col("labelb")) & _enough(F.least(plain, F.coalesce(through, plain)), "na", "nb"))
+    able = (F.col("labela") < F.col("labelb")) & _enough(F.least(plain, F.coalesce(through, plain)), "na", "nb")
+    once = F.array_min(F.array_intersect("sigsa", "sigsb")) == F.col("sig")  # a pair comes out of one signature only
+    left_over = x.join(y, "sig").where(able & once)
     more = cut(_compared(left_over.select(F.col("nodea").alias("a"), F.col("nodeb").alias("b")).distinct(), live.select("node", "n", "tokens")))
     more = more.where(_enough(F.col("common"), "na", "nb")).select("a", "b")
     if more.limit(1).count():
