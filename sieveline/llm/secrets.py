@@ -118,7 +118,7 @@ def train_from(documents: DataFrame) -> MarkovRatio:
                 rest = text
                 for a, b, _ in sorted(spans, reverse=True):
                     rest = rest[:a] + " " + rest[b:]
-                good.update(re.findall(r"[A-Za-z0-9+/_=-]{6,}", rest)[:200])
+                good.update(re.findall(r"[A-Za-z0-9+/_=-]{6,}", rest))
             rows = [(x, 0) for x in sorted(good)] + [(x, 1) for x in sorted(bad) if x]
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows], pa.string()), pa.array([y for _, y in rows], pa.int32())], names=["value", "label"])
 
