@@ -187,3 +187,19 @@ def test_scape_matches_brute_force(spark):
     (loss,) = [r["loss"] for r in tables.scape_loss(df, F.col("t"), F.col("score")).collect()]
     pos, neg = [r[0] for r in rows if r[1]], [r[0] for r in rows if not r[1]]
     assert loss == pytest.approx(sum((n > p) + 0.5 * (n == p) for p in pos for n in neg) / len(pos))
+
+
+def test_bucketed_running_sums_equal_plain_ones(spark, monkeypatch):
+    from sieveline.operators import refine
+    from sieveline.operators.stats import statistics
+
+    df = spark.createDataFrame([(float(i * 37 % 101), float(i % 3), i % 4 == 0) for i in range(300)], "x double, y double, t boolean")
+    target, types = Target("single_nominal", ("t",), True), {"x": "numeric", "y": "numeric"}
+    stats = statistics(df, target)
+    monkeypatch.setattr(refine, "WIDE", 20)
+    monkeypatch.setattr(refine, "BUCKETS", 8)
+    wide = refine.wide_bounds(df, types)
+    assert list(wide) == ["x"]
+    for strategy in ("all", "bins"):
+        rows = [sorted((r.attr, r.op, r.v, r.coverage, round(r.quality, 9)) for r in refine.level(df, [()], types, stats, Settings(numeric_strategy=strategy), w).collect()) for w in (wide, None)]
+        assert rows[0] == rows[1] and rows[0]
