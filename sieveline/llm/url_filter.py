@@ -6,10 +6,15 @@ the end. A rule ``host/path`` fits a host and all its subdomains when the url's
 path starts with ``/path``; the longest fitting rule gives the verdict.
 
 For urls that no rule fits, FP-growth mines which combinations of url tokens go
-with a verdict in labelled urls. A url has at most ``SLOTS`` tokens, one a slot,
-so a url that is repeated in a third of all rows has no more than 2^SLOTS
-frequent combinations. Rules below MIN_SUPPORT or MIN_CONFIDENCE are dropped, as
-are rules that a more general one with no less confidence makes redundant. They
+with a verdict in labelled urls. Every host label, path segment and query key is
+a token. What is mined is made smaller without losing a rule: tokens below
+MIN_SUPPORT are in no rule; tokens that lie in the same labelled urls are one
+item, which a url has when it has any of them; tokens of all labelled urls add
+nothing to a combination and are rules of their own. A set of more than MAX_ITEMS
+items that is repeated often enough to be frequent, with all its 2^items
+combinations, is an error that asks for a greater support. Rules below
+MIN_SUPPORT or MIN_CONFIDENCE are dropped, as are rules that a more general one
+with no less confidence makes redundant. They
 are matched through an inverted index from each rule's rarest token; the
 matching rule of greatest confidence, then support, then least tokens decides, and
 without one a url is allowed. At most MAX_RULES rules go to the executors as a
@@ -30,7 +35,7 @@ from sieveline.llm.common import cut, table
 #: The rules, as (rule, verdict).
 RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
 MIN_SUPPORT, MIN_CONFIDENCE, MAX_RULES = 0.005, 0.6, 20_000
-SLOTS = 9
+MAX_ITEMS = 20
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
@@ -54,28 +59,57 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[C
 
 
 def tokens_of(url: Column, host: Column, path: Column) -> Column:
-    """One token a slot: scheme, top domain, domain, first label, first and last segment, depth, query key, fragment."""
+    """Scheme, top domain, domain, every label before it, first, last and every inner segment, depth, every query key, fragment."""
+    url = F.coalesce(url, F.lit(""))
     labels, segments = F.split(host, r"\."), F.filter(F.split(path, "/"), lambda s: s != "")
     plain = lambda s: F.regexp_replace(s, r"[0-9]+", "0")
+    keys = F.split(F.regexp_extract(url, r"\?([^#]*)", 1), "&")
     slots = {
-        "scheme": F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^(.*?)://", 1)),
+        "scheme": F.lower(F.regexp_extract(url, r"(?s)^(.*?)://", 1)),
         "top": F.element_at(labels, -1), "domain": F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1),
-        "sub": F.when(F.size(labels) > 2, F.element_at(labels, 1)),
         "first": plain(F.get(segments, F.lit(0))), "last": F.when(F.size(segments) > 1, plain(F.element_at(segments, -1))),
-        "depth": F.size(segments).cast("string"), "query": F.regexp_extract(F.coalesce(url, F.lit("")), r"\?([^=&#]*)", 1),
-        "mark": F.when(F.coalesce(url, F.lit("")).contains("#"), F.lit("1")),
+        "depth": F.size(segments).cast("string"),
+        "mark": F.when(url.contains("#"), F.lit("1")),
     }
-    assert len(slots) == SLOTS
-    found = F.filter(F.array(*(F.when(v != "", F.concat(F.lit(k + "="), v)) for k, v in slots.items())), lambda t: t.isNotNull())
-    return F.when(host == "", F.array().cast("array<string>")).otherwise(found)
-
-
-def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
-    """(tokens, verdict, confidence, support) from rows (tokens, verdict); pruned."""
+    many = {
+        "label": F.slice(labels, 1, F.greatest(F.size(labels) - 2, F.lit(0))),
+        "segment": F.transform(F.slice(segments, 2, F.greatest(F.size(segments) - 2, F.lit(0))), plain),
+        "query": F.transform(keys, lambda q: F.regexp_extract(q, "^([^=]*)", 1)),
+    }
+    named = lambda k: lambda v: F.when(v != "", F.concat(F.lit(k + "="), v))
+    found = F.concat(F.array(*(named(k)(v) for k, v in slots.items())), *(F.transform(v, named(k)) for k, v in many.items()))
+    return F.when(host == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.filter(found, lambda t: t.isNotNull())))
+
+
+def items_of(labelled: DataFrame, min_support: float = MIN_SUPPORT) -> tuple[dict[str, str], set[str]]:
+    """(item of each frequent token: the least token in the same rows; items of all rows)."""
+    rows = labelled.withColumn("h", F.xxhash64(F.monotonically_increasing_id()))
+    total = labelled.count()
+    counts = rows.select(F.explode("tokens").alias("token"), "h").groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.bit_xor("h").alias("x"), F.sum(F.col("h").cast("decimal(38,0)")).alias("y"))
+    same, items, everywhere = {}, {}, set()
+    for token, n, x, y in sorted(counts.where(F.col("n") >= min_support * total).collect()):
+        items[token] = same.setdefault((n, x, y), token)
+        if n == total:
+            everywhere.add(items[token])
+    return items, everywhere
+
+
+def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, items: dict[str, str] | None = None, everywhere: set[str] = frozenset()) -> DataFrame:
+    """(tokens, verdict, confidence, support) from rows (tokens, verdict); pruned. With items, tokens are first replaced by their items."""
+    if items is not None:
+        put = lambda own: own.map(lambda ts: sorted({items[t] for t in ts if t in items} - everywhere))
+        labelled = cut(labelled.select(F.pandas_udf(put, "array<string>")("tokens").alias("tokens"), "verdict"))
+        total = labelled.count()
+        if labelled.where(F.size("tokens") > MAX_ITEMS).groupBy("tokens").count().where(F.col("count") >= min_support * total).limit(1).count():
+            raise ValueError(f"a set of more than {MAX_ITEMS} tokens is frequent: raise min_support")
     baskets = labelled.select(F.array_append("tokens", F.concat(F.lit("verdict="), "verdict")).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
     rules = model.associationRules.where(F.col("consequent")[0].startswith("verdict=") & ~F.exists("antecedent", lambda t: t.startswith("verdict=")))
-    rules = cut(rules.select(F.array_sort("antecedent").alias("tokens"), F.expr("substring(consequent[0], 9)").alias("verdict"), "confidence", "support"))
+    rules = rules.select(F.array_sort("antecedent").alias("tokens"), F.expr("substring(consequent[0], 9)").alias("verdict"), "confidence", "support")
+    if everywhere:
+        share = labelled.groupBy("verdict").agg((F.count(F.lit(1)) / total).alias("support")).where((F.col("support") >= min_support) & (F.col("support") >= min_confidence))
+        rules = rules.unionByName(share.select(F.explode(F.array(*(F.array(F.lit(t)) for t in sorted(everywhere)))).alias("tokens"), "verdict", F.col("support").alias("confidence"), "support"))
+    rules = cut(rules)
     # a rule is redundant when one with one token less says the same with no less confidence
     shorter = rules.select(F.explode(F.transform("tokens", lambda t: F.array_remove("tokens", t))).alias("part"), "tokens", "verdict", "confidence")
     general = rules.select(F.col("tokens").alias("part"), "verdict", F.col("confidence").alias("c0"))
@@ -90,14 +124,17 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES) -> DataFrame:
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     rows = rows.withColumns({"rule": rule, "said": verdict, "tokens": tokens_of(F.col("url"), F.col("host"), F.col("path"))})
     labelled = rows.where("said is not null").select("tokens", F.col("said").alias("verdict"))
-    found = [row.asDict() for row in mine(labelled).limit(MAX_RULES + 1).collect()] if labelled.limit(1).count() else []
+    items, found = {}, []
+    if labelled.limit(1).count():
+        items, everywhere = items_of(labelled)
+        found = [row.asDict() for row in mine(labelled, items=items, everywhere=everywhere).limit(MAX_RULES + 1).collect()]
     if len(found) > MAX_RULES:
         raise ValueError(f"more than {MAX_RULES} rules: raise min_support")
-    return match(rows, found).select("page_id", "host", "path", "rule", F.coalesce("said", "mined.verdict", F.lit("allow")).alias("verdict"), F.when(F.col("said").isNull(), F.array_join("mined.tokens", " ")).alias("mined"))
+    return match(rows, found, items).select("page_id", "host", "path", "rule", F.coalesce("said", "mined.verdict", F.lit("allow")).alias("verdict"), F.when(F.col("said").isNull(), F.array_join("mined.tokens", " ")).alias("mined"))
 
 
-def match(rows: DataFrame, rules: list[dict]) -> DataFrame:
-    """Adds mined: the best rule whose tokens a row has, by an index from each rule's rarest token."""
+def match(rows: DataFrame, rules: list[dict], items: dict[str, str] | None = None) -> DataFrame:
+    """Adds mined: the best rule whose tokens (with items: one token of each item) a row has, by an index from each rule's rarest token."""
     kind = "struct<tokens:array<string>,verdict:string,confidence:double,support:double>"
     if not rules:
         return rows.withColumn("mined", F.lit(None).cast(kind))
@@ -115,10 +152,10 @@ def match(rows: DataFrame, rules: list[dict]) -> DataFrame:
 
         out = []
         for own in tokens:
-            own = set(own) if own is not None else set()
-            hits = [place for t in own for place, need in index.get(t, ()) if need <= own]
+            own = {(items or {}).get(t, t): t for t in sorted(own, reverse=True)} if own is not None else {}
+            hits = [place for t in own for place, need in index.get(t, ()) if need <= own.keys()]
             r = rank[min(hits)] if hits else None
-            out.append((list(r["tokens"]), r["verdict"], r["confidence"], r["support"]) if r else (None, None, None, None))
+            out.append(([own[t] for t in r["tokens"]], r["verdict"], r["confidence"], r["support"]) if r else (None, None, None, None))
         return pd.DataFrame(out, columns=["tokens", "verdict", "confidence", "support"])
 
     return rows.withColumn("mined", F.pandas_udf(best, kind)(F.col("tokens")))

@@ -322,6 +322,35 @@ def test_url_rules(spark):
     assert url_filter.judge(df).count() == len(urls) + 1 and url_filter.judge(df.where("false")).count() == 0
 
 
+def test_every_label_segment_and_query_key_is_a_token(spark):
+    from pyspark.sql import functions as F
+
+    urls = ["https://m.casino-win.a1.example.com/en/x7/y/z?page=2&ref=x#q?no", "http://h/", "http://example.net?k"]
+    df = spark.createDataFrame([(u,) for u in urls], "url string")
+    got = [set(r[0]) for r in df.select(url_filter.tokens_of(F.col("url"), url_filter.host_of(F.col("url")), url_filter.path_of(F.col("url")))).collect()]
+    assert {"label=m", "label=casino-win", "label=a1", "domain=example.com", "top=com", "first=en", "segment=x0", "segment=y", "last=z", "query=page", "query=ref", "mark=1"} <= got[0]
+    assert got[1] == {"scheme=http", "top=h", "depth=0"} and "query=k" in got[2] and not any(t.startswith("label=") for t in got[2])
+    rows = [(i, f"http://m.{'casino-win' if i % 2 else 'garden'}.example.net/{'de' if i % 2 else 'en'}/{i}") for i in range(60)] + [(99, "http://m.casino-win.example.org/xx/1")]
+    assert {r.page_id: r for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}[99].verdict == "block"
+
+
+def test_items_lose_no_rule(spark):
+    rng = np.random.default_rng(5)
+    rows = [(["all=1", *(f"{t}=1" for t in "abcd" if rng.random() < 0.5)], str(rng.choice(["block", "allow"]))) for _ in range(80)]
+    rows = [(ts + ["twin=1"] if "a=1" in ts else ts, v) for ts, v in rows]
+    df = spark.createDataFrame(rows, "tokens array<string>, verdict string")
+    items, everywhere = url_filter.items_of(df, 0.05)
+    assert items["twin=1"] == "a=1" and everywhere == {"all=1"}
+    rules = lambda found: {(tuple(sorted(items[t] for t in r.tokens)), r.verdict, round(r.confidence, 9), round(r.support, 9)) for r in found.collect()}
+    assert rules(url_filter.mine(df, 0.05, 0.5, items, everywhere)) == rules(url_filter.mine(df, 0.05, 0.5))
+    probe = spark.createDataFrame([(["twin=1"],)], "tokens array<string>")
+    hit = url_filter.match(probe, [{"tokens": ["a=1"], "verdict": "block", "confidence": 0.9, "support": 0.1}], items).first().mined
+    assert hit.verdict == "block" and hit.tokens == ["twin=1"]
+    one = spark.createDataFrame([([f"t{i}=1" for i in range(30) if i != k % 31], "block") for k in range(310)], "tokens array<string>, verdict string")
+    with pytest.raises(ValueError):
+        url_filter.mine(one, 0.005, 0.6, *url_filter.items_of(one)).count()
+
+
 def test_mined_rules_match_brute_force(spark):
     rules = [{"tokens": ["a=1"], "verdict": "block", "confidence": 0.7, "support": 0.2}, {"tokens": ["a=1", "b=2"], "verdict": "allow", "confidence": 0.9, "support": 0.1}, {"tokens": ["c=3"], "verdict": "block", "confidence": 0.9, "support": 0.1}]
     rows = spark.createDataFrame([(1, ["a=1"]), (2, ["b=2", "a=1"]), (3, ["c=3", "a=1", "b=2"]), (4, []), (5, None)], "i int, tokens array<string>")
