@@ -85,18 +85,18 @@ def score(inside: np.ndarray, everything: np.ndarray, measure: str, target: Targ
         h = kernels.bandwidth(x)
         grid = kernels.grid_of(x, h)
         return kernels.divergence(measure, kernels.density(x, grid, h), kernels.density(own, grid, h), n / total), own.mean(), own.std(ddof=1) if len(own) > 1 else 0.0
-    own = expand(inside, slice(0, width))
-    rest = everything.copy()
-    left = {tuple(r[:-1]): r[-1] for r in inside}
-    rest[:, -1] -= [left.get(tuple(r[:-1]), 0) for r in rest]
-    out = expand(rest[rest[:, -1] > 0], slice(0, width))
+    rest = pd.DataFrame(everything).merge(pd.DataFrame(inside), how="left", on=list(range(width)))
+    rest = np.column_stack((everything[:, :width], everything[:, -1] - rest.iloc[:, -1].fillna(0).to_numpy()))
+    rest = rest[rest[:, -1] > 0]
     if measure == "correlation_p":
+        own, out = expand(inside, slice(0, width)), expand(rest, slice(0, width))
         r = lambda a: float(np.corrcoef(a.T)[0, 1]) if len(a) > 2 and a.std(axis=0).all() else 0.0
         return kernels.fisher_p(r(own), len(own), r(out), len(out)), r(own), abs(r(out) - r(own))
+    own, c, out, d = inside[:, :width], inside[:, -1], rest[:, :width], rest[:, -1]
     if measure == "cooks_distance":
         both = np.concatenate((own, out))
-        return kernels.cooks_distance(both[:, 0], both[:, 1], np.arange(len(both)) < len(own)) if len(out) > 2 else 0.0, float(n), float(total - n)
-    return (kernels.l2(own, out) if measure == "l2" else kernels.divergence_2d(measure, own, out)), float(n), float(total - n)
+        return kernels.cooks_distance(both[:, 0], both[:, 1], np.arange(len(both)) < len(own), np.concatenate((c, d))) if d.sum() > 2 else 0.0, float(n), float(total - n)
+    return (kernels.l2(own, out, c, d) if measure == "l2" else kernels.divergence_2d(measure, own, out, inside_counts=c, outside_counts=d)), float(n), float(total - n)
 
 
 def level(df: DataFrame, beam: list[Conditions], types: dict[str, str], stats: Statistics, settings: Settings, target: Target) -> DataFrame:

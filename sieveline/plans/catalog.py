@@ -283,11 +283,11 @@ _add("TK09_delete_results", lambda s, d: _found(discover(_flags(s, d), R, Settin
 # --- densities, networks and other measures without sums ----------------------------------
 
 
-def _small_pairs(s: SparkSession, d: str) -> DataFrame:
-    return _li(s, d).where("l_orderkey <= 400").select(Q, (F.col("l_extendedprice") / 1000).alias("price"), "l_returnflag", "l_linestatus")
+def _pairs(s: SparkSession, d: str) -> DataFrame:
+    return _li(s, d).select(Q, (F.col("l_extendedprice") / 1000).alias("price"), "l_returnflag", "l_linestatus")
 
 
-def _kernel(target: Target, measure: str, table=_small_pairs) -> Query:
+def _kernel(target: Target, measure: str, table=_pairs) -> Query:
     return lambda s, d: discover(table(s, d), target, Settings(measure=measure, minimum=float("-inf"), min_coverage=20)).select("conditions", "coverage", _r("quality", 6).alias("quality"))
 
 

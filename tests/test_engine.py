@@ -167,6 +167,34 @@ def test_kernels():
     assert kernels.v_structures(frozenset({(0, 2), (1, 2)})) == {(0, 1, 2)}
 
 
+def test_kernels_of_counted_values():
+    rng = np.random.default_rng(1)
+    a, b = (np.stack((rng.integers(1, 51, n) * 1.0, np.round(rng.random(n) * 100 * s, 1)), axis=1) for n, s in ((900, 1.0), (2100, 0.9)))
+    (ua, ca), (ub, cb) = np.unique(np.concatenate((a, a[:400])), axis=0, return_counts=True), np.unique(b, axis=0, return_counts=True)
+    a = np.repeat(ua, ca, axis=0)
+    ca, cb = ca.astype(float), cb.astype(float)
+    assert len(ua) + len(ub) > 2000
+    both = np.concatenate((a, b))
+    scale = both.std(axis=0, ddof=1) * len(both) ** (-1 / 6) * np.sqrt(2)
+    mean = lambda x, y: np.exp(-0.5 * (((x[:, None, :] - y[None, :, :]) / scale) ** 2).sum(axis=2)).mean()
+    pairs = (mean(a, a) + mean(b, b) - 2 * mean(a, b)) / np.prod(scale * np.sqrt(2 * np.pi))
+    assert kernels.l2(ua, ub, ca, cb) == pytest.approx(pairs, rel=1e-9) == kernels.l2(a, b)
+    for m in kernels.DENSITY_2D:
+        assert kernels.divergence_2d(m, ua, ub, inside_counts=ca, outside_counts=cb) == pytest.approx(kernels.divergence_2d(m, a, b), rel=1e-9)
+    u, rows = np.concatenate((ua, ub)), np.arange(len(both)) < len(a)
+    assert kernels.cooks_distance(u[:, 0], u[:, 1], np.arange(len(u)) < len(ua), np.concatenate((ca, cb))) == pytest.approx(kernels.cooks_distance(both[:, 0], both[:, 1], rows), rel=1e-9)
+
+
+@pytest.mark.parametrize("name", ["QM08_l2", "QR05_cooks_distance"])
+def test_measures_of_pairs_see_every_row(spark, name):
+    from sieveline.plans import catalog
+
+    folder = "/root/testdata/sf0.001"
+    found = {r.conditions: r.coverage for r in catalog.QUERIES[name](spark, folder).collect()}
+    whole = spark.read.parquet(f"{folder}/lineitem.parquet").count()
+    assert sum(n for c, n in found.items() if c.startswith("l_linestatus")) == whole
+
+
 def test_tables(spark):
     df = spark.createDataFrame([(float("nan"), None, "1"), (2.0, True, "x")], "n double, b boolean, s string")
     assert [tuple(r) for r in tables.clean_missing(df).select("n", "b").collect()] == [(None, False), (2.0, True)]
