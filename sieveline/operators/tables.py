@@ -125,6 +125,18 @@ def trapezoid(df: DataFrame, x: str, y: str) -> Column:
     return (F.col(x) - F.lag(x).over(w)) * (F.col(y) + F.lag(y).over(w)) / 2
 
 
+def score_order(df: DataFrame, score: str, key: str, name: str = "place", buckets: int = 256) -> DataFrame:
+    """Place of every row from 1 by falling score (missing ones last), equals by key: in ranges of the score, with offsets, so that no task gets all rows."""
+    x = F.col(score).cast("double")
+    cuts = sorted(set(df.agg(F.percentile_approx(x, [i / buckets for i in range(1, buckets)])).first()[0] or []))
+    bounds = F.array(*map(F.lit, cuts)).cast("array<double>")
+    parted = df.withColumn("__b", F.when(x.isNull(), -1).otherwise(F.size(F.filter(bounds, lambda c: c <= x))))
+    sizes = parted.groupBy("__b").count()
+    offsets = sizes.select("__b", F.coalesce(F.sum("count").over(Window.orderBy(F.desc("__b")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    inside = F.row_number().over(Window.partitionBy("__b").orderBy(F.desc(score), key))
+    return parted.withColumn("__i", inside).join(F.broadcast(offsets), "__b").withColumn(name, F.col("__i") + F.col("__before")).drop("__b", "__i", "__before")
+
+
 def kendall_tau(a: list[float], b: list[float]) -> float:
     n = len(a)
     s = sum(math.copysign(1, a[i] - a[j]) * math.copysign(1, b[i] - b[j]) for i in range(n) for j in range(i) if a[i] != a[j] and b[i] != b[j])

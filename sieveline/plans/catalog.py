@@ -210,6 +210,8 @@ _add("WN06_best_per_operator", lambda s, d: refine.best_per_operator(_scan(s, d,
      f"select attr, op, v, coverage, quality from (select *, row_number() over (partition by attr, op order by quality desc, v) as p from ({ORACLE_SQL['QN02_wracc']})) where p = 1")
 _add("WN07_score_order", lambda s, d: _table(s, d, "orders").where("o_orderkey <= 3000").select("o_orderkey", F.row_number().over(Window.orderBy(F.desc("o_totalprice"), "o_orderkey")).alias("place")), "select o_orderkey, row_number() over (order by o_totalprice desc, o_orderkey)::int as place from orders where o_orderkey <= 3000")
 
+_add("WN07_score_order_all", lambda s, d: tables.score_order(_table(s, d, "orders"), "o_totalprice", "o_orderkey").select("o_orderkey", "place"))
+
 
 def _scape(s: SparkSession, d: str) -> DataFrame:
     return _table(s, d, "documents").join(_table(s, d, "labels"), "doc_id").select("lang", "source", (F.col("toxic") == 1).alias("toxic"), F.col("n_chars").cast("double").alias("score"))
@@ -278,6 +280,7 @@ _add("TK02_admission", _search(depth=2, max_results=3), f"select * from ({_conju
 _add("TK03_bounded_beam", _search(depth=2, width=2, max_results=4))
 _add("TK04_result_order", lambda s, d: discover(_flags(s, d), R, Settings(minimum=-1.0, depth=2)).select("nr", "coverage", _r("quality").alias("quality")), f"select row_number() over (order by quality desc, coverage desc)::int as nr, coverage, quality from ({_conjunctions(True)})")
 _add("TK07_multi_sort", lambda s, d: tables.multi_sort(_flags(s, d).withColumn("k", F.lit(1)), "taxed", "line", "l_linestatus").select("taxed", "line").limit(500), "select true as taxed, line from (select 'n' || l_linenumber as line, l_linestatus from lineitem where l_tax >= 0.04 order by line, l_linestatus limit 500)")
+_add("TK07_multi_sort_all", lambda s, d: tables.multi_sort(_flags(s, d).withColumn("k", F.lit(1)), "taxed", "line", "l_linestatus").select("taxed", "line", "l_linestatus"))
 _add("TK09_delete_results", lambda s, d: _found(discover(_flags(s, d), R, Settings(minimum=-1.0)).where(~F.col("nr").isin(1, 2))), f"select * from ({_conjunctions(False)}) order by quality desc, coverage desc offset 2")
 
 # --- densities, networks and other measures without sums ----------------------------------
@@ -302,6 +305,7 @@ for _i, _m in enumerate(["auc", "wmw_ranks", "inverse_wmw_ranks", "abs_wmw_ranks
     _add(f"QO{_i:02d}_{_m}", lambda s, d, m=_m: discover(_li(s, d).select(Q, "l_returnflag"), Target("single_ordinal", (Q,)), Settings(measure=m, minimum=float("-inf"))).select("conditions", "coverage", _r("quality", 5).alias("quality")), f"{_RK} select 'l_returnflag = ''' || l_returnflag || '''' as conditions, B::bigint as coverage, round({_E}, 5) + 0.0 as quality from g, w")
 
 
+
 def _labels(s: SparkSession, d: str) -> DataFrame:
     return _li(s, d).select((F.col("l_returnflag") == "R").alias("r"), (F.col("l_linestatus") == "O").alias("o"), (F.col(D) > 0.05).alias("cheap"), (F.col("l_tax") > 0.04).alias("taxed"), F.concat(F.lit("n"), F.col("l_linenumber").cast("string")).alias("line"))
 

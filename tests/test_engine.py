@@ -195,6 +195,19 @@ def test_measures_of_pairs_see_every_row(spark, name):
     assert sum(n for c, n in found.items() if c.startswith("l_linestatus")) == whole
 
 
+def test_score_order_and_sort_take_every_row(spark):
+    from sieveline.plans import catalog
+
+    rng = np.random.default_rng(3)
+    rows = [(i, None if i % 50 == 0 else float(rng.integers(0, 40))) for i in range(700)]
+    got = {r.k: r.place for r in tables.score_order(spark.createDataFrame(rows, "k long, x double"), "x", "k", buckets=8).collect()}
+    assert got == {k: p for p, (k, _) in enumerate(sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0])), 1)}
+    folder = "/root/testdata/sf0.001"
+    want = sorted(spark.read.parquet(f"{folder}/orders.parquet").collect(), key=lambda r: (-r.o_totalprice, r.o_orderkey))
+    assert {r.o_orderkey: r.place for r in catalog.QUERIES["WN07_score_order_all"](spark, folder).collect()} == {r.o_orderkey: p for p, r in enumerate(want, 1)}
+    assert catalog.QUERIES["TK07_multi_sort_all"](spark, folder).count() == spark.read.parquet(f"{folder}/lineitem.parquet").count()
+
+
 def test_tables(spark):
     df = spark.createDataFrame([(float("nan"), None, "1"), (2.0, True, "x")], "n double, b boolean, s string")
     assert [tuple(r) for r in tables.clean_missing(df).select("n", "b").collect()] == [(None, False), (2.0, True)]
