@@ -103,14 +103,16 @@ def level(df: DataFrame, beam: list[Conditions], types: dict[str, str], stats: S
     from sieveline.operators.search import _condition
 
     spark = df.sparkSession
-    plain = model.Settings(measure="coverage", numeric_strategy=settings.numeric_strategy if "bins" in settings.numeric_strategy else "bins", numeric_operators=settings.numeric_operators, bins=settings.bins)
+    if settings.nominal_sets and model.NOMINAL in types.values():
+        raise ValueError("value sets need a measure over sums: leave nominal_sets off")
+    plain = model.Settings(measure="coverage", numeric_strategy=settings.numeric_strategy, numeric_operators=settings.numeric_operators, bins=settings.bins)
     count = Statistics(stats.parts, stats.whole, "c0", "c0", "N - c0", {"coverage": measures.Measure("coverage", "c0", 0)})
     total = stats.whole["N"]
     rows = refine.level(df, beam, types, count, plain)
     rows = rows.where((F.col("coverage") >= settings.min_coverage) & (F.col("coverage") <= total * settings.max_coverage_share) & (F.col("coverage") < total))
     found = rows.orderBy(F.desc("coverage"), "cand", "attr", "op", "v", "s").limit(MOST + 1).collect()
     if len(found) > MOST:
-        raise ValueError(f"more than {MOST} refinements at one level: raise min_coverage, or lower the width or bins")
+        raise ValueError(f"more than {MOST} refinements at one level: raise min_coverage, lower the width or take numeric_strategy bins")
     own = [(*beam[r["cand"]], _condition(r, types)) for r in found]
     values = _value_columns(target)
     names = [f"x{i}" for i in range(len(values))]

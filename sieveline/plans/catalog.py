@@ -304,6 +304,7 @@ for _i, _m in enumerate(["auc", "wmw_ranks", "inverse_wmw_ranks", "abs_wmw_ranks
     _E = {"auc": "1 + (B * (B + 1) / 2 - S) / (B * (N - B))", "wmw_ranks": _Z, "inverse_wmw_ranks": f"-({_Z})", "abs_wmw_ranks": f"abs({_Z})", "mmad": "B / (2 * med + mad)"}[_m]
     _add(f"QO{_i:02d}_{_m}", lambda s, d, m=_m: discover(_li(s, d).select(Q, "l_returnflag"), Target("single_ordinal", (Q,)), Settings(measure=m, minimum=float("-inf"))).select("conditions", "coverage", _r("quality", 5).alias("quality")), f"{_RK} select 'l_returnflag = ''' || l_returnflag || '''' as conditions, B::bigint as coverage, round({_E}, 5) + 0.0 as quality from g, w")
 
+_add("QO06_abs_wmw_ranks_numeric", lambda s, d: discover(_li(s, d).select(Q, D), Target("single_ordinal", (Q,)), Settings(measure="abs_wmw_ranks", minimum=float("-inf"), numeric_strategy="all")).select("conditions", "coverage", _r("quality", 5).alias("quality")))
 
 
 def _labels(s: SparkSession, d: str) -> DataFrame:

@@ -195,6 +195,18 @@ def test_measures_of_pairs_see_every_row(spark, name):
     assert sum(n for c, n in found.items() if c.startswith("l_linestatus")) == whole
 
 
+def test_kernel_search_keeps_the_strategy(spark):
+    df = spark.createDataFrame([(float(i % 20), float((i * 7) % 11 + (5 if i % 20 > 13 else 0)), "xyz"[i % 3]) for i in range(200)], "a double, t double, s string")
+    run = lambda **kw: SubgroupDiscovery(df, Target("single_ordinal", ("t",)), Settings(**({"measure": "abs_wmw_ranks", "minimum": float("-inf")} | kw)), types={"a": "numeric"}).run()
+    every = run(numeric_strategy="all")
+    assert len(every) == 38 and {c.value for r in every for c in r["conditions"]} == {float(i) for i in range(20)}
+    best = run()
+    assert len(best) == 2 and best[0]["quality"] == max(r["quality"] for r in every)
+    assert len(run(numeric_strategy="intervals", numeric_operators="intervals", max_results=0)) == 1 and len(run(numeric_strategy="bins", numeric_operators="leq")) == 7
+    with pytest.raises(ValueError):
+        SubgroupDiscovery(df, Target("single_ordinal", ("t",)), Settings(measure="auc", nominal_sets=True), types={"s": "nominal"}).run()
+
+
 def test_score_order_and_sort_take_every_row(spark):
     from sieveline.plans import catalog
 
