@@ -58,8 +58,9 @@ def random_descriptions(df: DataFrame, types: dict[str, str], depth: int, count:
     rng = random.Random(seed)
     numeric = [a for a, t in types.items() if t == model.NUMERIC]
     ranges = dict(zip(numeric, df.agg(*(F.struct(F.min(a), F.max(a)).alias(a) for a in numeric)).first())) if numeric else {}
-    domains = {a: [r[0] for r in df.select(a).where(F.col(a).isNotNull()).distinct().orderBy(a).limit(1000).collect()] for a, t in types.items() if t != model.NUMERIC}
-    out = []
+    domains = {a: df.select(a).where(F.col(a).isNotNull()).distinct() for a, t in types.items() if t != model.NUMERIC}
+    sizes = {a: values.count() for a, values in domains.items()}
+    out, drawn = [], {a: set() for a in domains}
     for _ in range(count):
         own = []
         for _ in range(rng.randint(1, depth)):
@@ -68,9 +69,12 @@ def random_descriptions(df: DataFrame, types: dict[str, str], depth: int, count:
                 lo, hi = (float(x) for x in ranges[a])
                 own.append(Condition(a, rng.choice((model.AT_MOST, model.AT_LEAST)), lo + (0.1 + 0.8 * rng.random()) * (hi - lo)))
             else:
-                own.append(Condition(a, model.EQUALS, rng.choice(domains[a])))
-        out.append(tuple(own))
-    return out
+                own.append((a, rng.randrange(sizes[a])))
+                drawn[a].add(own[-1][1])
+        out.append(own)
+    # the values at the drawn positions of each sorted domain
+    at = {a: domains[a].orderBy(a).rdd.zipWithIndex().filter(lambda r, own=drawn[a]: r[1] in own).map(lambda r: (r[1], r[0][0])).collectAsMap() for a in domains if drawn[a]}
+    return [tuple(c if isinstance(c, Condition) else Condition(c[0], model.EQUALS, at[c[0]][c[1]]) for c in own) for own in out]
 
 
 def description_qualities(df: DataFrame, target: Target, settings: Settings, descriptions: list[tuple]) -> list[float | None]:

@@ -220,6 +220,12 @@ def test_score_order_and_sort_take_every_row(spark):
     assert catalog.QUERIES["TK07_multi_sort_all"](spark, folder).count() == spark.read.parquet(f"{folder}/lineitem.parquet").count()
 
 
+def test_random_descriptions_draw_from_the_whole_domain(spark):
+    df = spark.createDataFrame([(f"v{i:04d}",) for i in range(1500)], "s string")
+    drawn = {c.value for cs in validation.random_descriptions(df, {"s": "nominal"}, 1, 200) for c in cs}
+    assert drawn <= {f"v{i:04d}" for i in range(1500)} and any(v >= "v1000" for v in drawn)
+
+
 def test_tables(spark):
     df = spark.createDataFrame([(float("nan"), None, "1"), (2.0, True, "x")], "n double, b boolean, s string")
     assert [tuple(r) for r in tables.clean_missing(df).select("n", "b").collect()] == [(None, False), (2.0, True)]
