@@ -169,13 +169,26 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
 
 
 def one_of_each(documents: DataFrame, broadcast_rows: int = 500_000) -> DataFrame:
-    """Documents without all but one of each component: the least id stays (null last), of equal ids the first row. Texts without words all stay."""
-    rows = documents.withColumn("__row", F.monotonically_increasing_id())
-    ids = cut(labelled(rows, "__row", "doc_id").where("n > 0"))
-    first = ids.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")).alias("x")).select("label", F.col("x.__row").alias("first"))
-    dropped = cut(ids.join(first, "label").where("__row <> first").select("__row"))
-    few = dropped.limit(broadcast_rows + 1).count() <= broadcast_rows
-    return rows.join(F.broadcast(dropped) if few else dropped, "__row", "left_anti").select(*documents.columns)
+    """Documents without all but one of each component: the least id stays (null last), of equal ids one text, of its rows one. Texts without words all stay.
+
+    Decided by id and text only, never by a row's place, so that another split of the files or a lost executor changes nothing.
+    """
+    rows = documents.withColumn("__node", node_of())
+    nodes, labels = classes_of(documents)
+    keys = rows.groupBy(F.col("__node").alias("node"), "doc_id").agg(F.count(F.lit(1)).alias("rows"))
+    keys = cut(keys.join(nodes.where("n > 0").select("node"), "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
+    first = keys.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("x")).select("label", F.col("x.node").alias("__first"), F.col("x.doc_id").alias("__id"))
+    stays = (F.col("node") == F.col("__first")) & F.col("doc_id").eqNullSafe(F.col("__id"))
+    judged = keys.join(first, "label").select(F.col("node").alias("__n"), F.col("doc_id").alias("__d"), stays.alias("__stays"), "rows")
+    taken = cut(judged.where("not __stays or rows > 1").drop("rows"))
+    few = taken.limit(broadcast_rows + 1).count() <= broadcast_rows
+    own = (F.col("__node") == F.col("__n")) & F.col("doc_id").eqNullSafe(F.col("__d"))
+    out = rows.join(F.broadcast(taken) if few else taken, own, "left_anti").select(*documents.columns)
+    again = taken.where("__stays")
+    if again.limit(1).count():
+        row = F.min_by(F.struct(*documents.columns), F.xxhash64(*documents.columns))
+        out = out.union(rows.join(F.broadcast(again) if few else again, own, "left_semi").groupBy("__node", "doc_id").agg(row.alias("x")).select("x.*"))
+    return out
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

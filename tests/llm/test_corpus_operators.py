@@ -91,6 +91,20 @@ def test_near_duplicates(docs, rows, none):
     assert near_dup.near_duplicates(none).count() == 0
 
 
+def test_kept_rows_do_not_depend_on_file_splits(spark, tmp_path):
+    rows = [(i // 2 if i < 20 else i, " ".join(f"w{i // 2 if i < 40 else i}_{k}" for k in range(30)), i) for i in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string, extra int").repartition(6).write.parquet(str(tmp_path / "d"))
+    kept = near_dup.one_of_each(spark.read.parquet(str(tmp_path / "d")))
+    try:
+        spark.conf.set("spark.sql.files.minPartitionNum", "1")  # the files are split otherwise than before
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        got = sorted(r.doc_id for r in kept.collect())
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert got == [*range(10), *range(20, 40, 2), *range(40, 60)]
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_signatures_meet(seed):
     """Sets that reach the similarity share a signature, whatever is rare or frequent."""
