@@ -1,9 +1,8 @@
 """Statistics that are not sums: densities, networks and Bayes factors, in numpy.
 
-Density and network measures are scored after a candidate's rows are brought
-together by ``applyInPandas``; the engine gates on coverage first. Densities
-need each candidate's values, which is bounded by ``SAMPLE`` rows a candidate
-(a documented parameter; 0 takes all rows).
+Densities are sums over rows at grid points that are fixed beforehand, so that
+partial sums of any split of the rows add up; rows are distinct values with
+counts. Nothing here keeps state, and every function can be sent to a task.
 """
 
 from __future__ import annotations
@@ -12,167 +11,208 @@ import math
 
 import numpy as np
 
-GRID = 1001
-SAMPLE = 0
-_LOG_GAMMA = np.vectorize(math.lgamma, otypes=[float])
+#: Grid points of a density, deviations at which a kernel is cut, and the greatest weighted squared Hellinger distance.
+GRID, CUT, MOST_HELLINGER = 1001, 4.0, 4 / 27
+#: Grid points a side of a density of two columns.
+POINTS = 40
 
 
-def bandwidth(x: np.ndarray) -> float:
+def log_gamma(x) -> np.ndarray:
+    """ln of the gamma function for positive numbers: Stirling's series, arguments below 10 shifted up by 10."""
+    x = np.asarray(x, float)
+    low = x < 10
+    y = np.where(low, x + 10, x)
+    series = 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - 1 / (1680 * y**7) + 1 / (1188 * y**9)
+    out = (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + series
+    if low.any():
+        small = np.where(low, x, 1.0)
+        out = out - np.where(low, sum(np.log(small + i) for i in range(10)), 0.0)
+    return out
+
+
+def bandwidth_of(n: float, sd: float, q1: float, q3: float, low: float, high: float) -> float:
     """0.9 min(sd, IQR / 1.34) n^-0.2, at least a thousandth of the range."""
-    q1, q3 = np.percentile(x, [25, 75])
-    spread = min(s for s in (x.std(ddof=1) if len(x) > 1 else 0.0, (q3 - q1) / 1.34) if s >= 0)
-    return max(0.9 * spread * len(x) ** -0.2, (x.max() - x.min()) / 1000, 1e-12)
+    return max(0.9 * min(sd, (q3 - q1) / 1.34) * n**-0.2, (high - low) / 1000, 1e-12)
 
 
-def grid_of(x: np.ndarray, h: float) -> np.ndarray:
-    return np.linspace(x.min() - 4 * h, x.max() + 4 * h, GRID)
+def grid_of(low: float, high: float, h: float) -> np.ndarray:
+    return np.linspace(low - CUT * h, high + CUT * h, GRID)
 
 
-def density(x: np.ndarray, grid: np.ndarray, h: float) -> np.ndarray:
-    """Gaussian kernel density with kernels cut at 4 h, from value counts in sorted blocks."""
+def kernel_sums(values: np.ndarray, counts: np.ndarray, grid: np.ndarray, h: float) -> np.ndarray:
+    """Sum of cut Gaussian kernels (height 1) at the grid points, in blocks."""
     out = np.zeros(len(grid))
-    values, counts = np.unique(x, return_counts=True)
     for a in range(0, len(values), 2048):
         z = (grid[:, None] - values[None, a : a + 2048]) / h
         k = np.exp(-0.5 * z * z)
-        k[np.abs(z) > 4] = 0
+        k[np.abs(z) > CUT + 1e-9] = 0  # grid points lie on the edge but for rounding
         out += k @ counts[a : a + 2048]
-    return out / (len(x) * h * math.sqrt(2 * math.pi))
+    return out
+
+
+def density(values: np.ndarray, counts: np.ndarray, grid: np.ndarray, h: float) -> np.ndarray:
+    return kernel_sums(values, counts, grid, h) / (counts.sum() * h * math.sqrt(2 * math.pi))
 
 
 def divergence(name: str, p: np.ndarray, q: np.ndarray, share: float, cell: float = 1.0) -> float:
-    """Plain sums over grid points of data density p and subgroup density q, times the cell's size where one is given."""
+    """Plain sums over grid points of the density p compared with and the subgroup's density q, times the cell's size where one is given.
+
+    With two columns a point without subgroup density makes the Kullback-Leibler
+    sum infinite, with one column it adds nothing.
+    """
     base = name.replace("_2d", "")
     if "hellinger" in base:
         value = 0.5 * ((np.sqrt(p) - np.sqrt(q)) ** 2).sum() * cell
     elif "kullback" in base:
         ok = q > 0
+        if base != name and not ok.all():
+            return math.inf
         with np.errstate(divide="ignore"):
             value = float((q[ok] * np.log(q[ok] / p[ok])).sum()) * cell
     else:
         value = np.abs(p - q).sum() * cell
     weighted = base.endswith("weighted") and not base.endswith("unweighted") or base.endswith("adjusted") or base == "cwracc"
     value *= share if weighted else 1.0
-    return float(value / (4 / 27) if base.endswith("adjusted") else value)
+    return float(value / MOST_HELLINGER if base.endswith("adjusted") else value)
 
 
 DENSITY = ("squared_hellinger", "squared_hellinger_weighted", "squared_hellinger_weighted_adjusted", "kullback_leibler", "kullback_leibler_weighted", "cwracc", "cwracc_unweighted")
 DENSITY_2D = tuple(f"{m}_2d" for m in DENSITY)
 
 
-def _counted(x: np.ndarray, counts: np.ndarray | None) -> np.ndarray:
-    return np.ones(len(x)) if counts is None else counts
 
 
-def _bandwidth_matrix(x: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Covariance times n^(-1/3)."""
-    return np.atleast_2d(np.cov(x, rowvar=False, fweights=counts.astype(int))) * counts.sum() ** (-1 / 3)
+def moments(n: float, sx: float, sy: float, sxx: float, syy: float, sxy: float) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and covariance (n - 1) from sums."""
+    mean = np.array([sx, sy]) / n
+    second = np.array([[sxx, sxy], [sxy, syy]])
+    return mean, (second - n * np.outer(mean, mean)) / (n - 1)
+
 
+def plane_of(n: float, cov: np.ndarray, n_out: float, cov_out: np.ndarray, low: np.ndarray, high: np.ndarray, points: int = POINTS) -> dict | None:
+    """Bandwidth matrices of subgroup and complement (covariance times n^(-1/3)) and a common grid of three deviations around all rows; None for degenerate data."""
+    if min(n, n_out) < 3:
+        return None
+    ha, hb = cov * n ** (-1 / 3), cov_out * n_out ** (-1 / 3)
+    if min(np.linalg.det(ha), np.linalg.det(hb)) <= 1e-12:
+        return None
+    reach = 3 * np.sqrt(np.maximum(np.diag(ha), np.diag(hb)))
+    axes = [np.linspace(low[i] - reach[i], high[i] + reach[i], points) for i in (0, 1)]
+    return {"inside": ha, "outside": hb, "axes": axes, "cell": (axes[0][1] - axes[0][0]) * (axes[1][1] - axes[1][0])}
 
-def density_2d(x: np.ndarray, grid: np.ndarray, h: np.ndarray, counts: np.ndarray | None = None) -> np.ndarray:
-    """Gaussian kernel density of distinct rows with counts; in coordinates where the kernel is round."""
-    counts = _counted(x, counts)
+
+def plane_sums(rows: np.ndarray, counts: np.ndarray, axes: list[np.ndarray], h: np.ndarray) -> np.ndarray:
+    """Sum of Gaussian kernels (height 1) of two columns at the points of a grid; in coordinates where the kernel is round."""
     w = np.linalg.cholesky(np.linalg.inv(h))
-    x, grid = x @ w, grid @ w
+    x, grid = rows @ w, np.stack(np.meshgrid(*axes, indexing="ij"), axis=-1).reshape(-1, 2) @ w
     out = np.zeros(len(grid))
     for a in range(0, len(x), 512):
-        z = grid[:, :1] - x[None, a : a + 512, 0]
-        z *= z
-        y = grid[:, 1:] - x[None, a : a + 512, 1]
-        y *= y
-        z += y
+        z = (grid[:, :1] - x[None, a : a + 512, 0]) ** 2
+        z += (grid[:, 1:] - x[None, a : a + 512, 1]) ** 2
         z *= -0.5
         out += np.exp(z, out=z) @ counts[a : a + 512]
-    return out / (counts.sum() * 2 * math.pi * math.sqrt(np.linalg.det(h)))
+    return out
 
 
-def divergence_2d(name: str, inside: np.ndarray, outside: np.ndarray, points: int = 40, inside_counts: np.ndarray | None = None, outside_counts: np.ndarray | None = None) -> float:
-    """Subgroup against complement on a common grid of three deviations around both; 0 for degenerate data. Rows may be distinct ones with counts."""
-    ca, cb = _counted(inside, inside_counts), _counted(outside, outside_counts)
-    n = ca.sum() + cb.sum()
-    if min(ca.sum(), cb.sum()) < 3:
-        return 0.0
-    ha, hb = _bandwidth_matrix(inside, ca), _bandwidth_matrix(outside, cb)
-    if min(np.linalg.det(ha), np.linalg.det(hb)) <= 1e-12:
-        return 0.0
-    both = np.concatenate((inside, outside))
-    reach = 3 * np.sqrt(np.maximum(np.diag(ha), np.diag(hb)))
-    axes = [np.linspace(both[:, i].min() - reach[i], both[:, i].max() + reach[i], points) for i in (0, 1)]
-    grid = np.stack(np.meshgrid(*axes, indexing="ij"), axis=-1).reshape(-1, 2)
-    cell = (axes[0][1] - axes[0][0]) * (axes[1][1] - axes[1][0])
-    return divergence(name, density_2d(outside, grid, hb, cb), density_2d(inside, grid, ha, ca), ca.sum() / n, cell)
+def plane_density(sums: np.ndarray, n: float, h: np.ndarray) -> np.ndarray:
+    return sums / (n * 2 * math.pi * math.sqrt(np.linalg.det(h)))
+
+
+def silverman(n: float, columns: int) -> float:
+    """(4 / (d + 2))^(1 / (d + 4)) n^(-1 / (d + 4))."""
+    return (4 / (columns + 2)) ** (1 / (columns + 4)) * n ** (-1 / (columns + 4))
 
 
-def _pair_sums(a: np.ndarray, b: np.ndarray, ca: np.ndarray, cb: np.ndarray) -> float:
-    """Mean kernel over pairs of a with a and b with b, less twice that of a with b, in blocks of rows."""
-    def mean(x: np.ndarray, y: np.ndarray, cx: np.ndarray, cy: np.ndarray) -> float:
-        total = 0.0
-        for i in range(0, len(x), 256):
-            z = ((x[i : i + 256, None, :] - y[None, :, :]) ** 2).sum(axis=2)
-            total += cx[i : i + 256] @ np.exp(-0.5 * z) @ cy
-        return total / (cx.sum() * cy.sum())
+def l2_scale(n: float, sd: np.ndarray, n_out: float, sd_out: np.ndarray) -> np.ndarray:
+    """Deviations of the kernel between a member and another row: both sides' bandwidths, squared and added."""
+    d = len(sd)
+    return np.sqrt((silverman(n, d) * sd) ** 2 + (silverman(n_out, d) * sd_out) ** 2)
 
-    return mean(a, a, ca, ca) + mean(b, b, cb, cb) - 2 * mean(a, b, ca, cb)
 
+def l2_of(kernel_sum: float, scale: np.ndarray, n: float, n_out: float) -> float:
+    """The sum of kernels over all pairs of a member and another row, scaled."""
+    return float(kernel_sum / ((2 * math.pi) ** (len(scale) / 2) * np.prod(scale) * math.sqrt(n * n_out)))
 
-def _wave_sums(a: np.ndarray, b: np.ndarray, ca: np.ndarray, cb: np.ndarray) -> float:
-    """The same of two columns in linear time: the kernel as a Fourier series, exact to about 1e-15 for pairs within the data's range.
 
-    The period leaves 9 deviations beyond the range, so that copies of the kernel do not reach in; waves beyond frequency 9 weigh below 3e-18.
+def pair_kernel_sum(a: np.ndarray, b: np.ndarray, ca: np.ndarray, cb: np.ndarray, scale: np.ndarray) -> float:
+    """Sum of exp(-M^2 / 2) over pairs of rows with counts, in blocks."""
+    a, b, total = a / scale, b / scale, 0.0
+    for i in range(0, len(a), 256):
+        z = ((a[i : i + 256, None, :] - b[None, :, :]) ** 2).sum(axis=2)
+        total += ca[i : i + 256] @ np.exp(-0.5 * z) @ cb
+    return float(total)
+
+
+def waves_of(low: np.ndarray, high: np.ndarray, scale: np.ndarray) -> dict:
+    """The kernel of one or two columns as a Fourier series over the rows' range.
+
+    The period leaves 9 deviations beyond the range, so that copies of the kernel
+    do not reach in; waves beyond frequency 9 weigh below 3e-18. So the sum over
+    pairs is a sum over waves, to about 1e-15 of the number of pairs, in linear time.
     """
-    both = np.concatenate((a, b))
-    low = both.min(axis=0)
-    period = both.max(axis=0) - low + 9.0
+    period = (high - low) / scale + 9.0
     most = np.ceil(9 * period / (2 * math.pi)).astype(int)
-    k, m = np.arange(0, most[0] + 1), np.arange(-most[1], most[1] + 1)
+    return {"low": low, "scale": scale, "period": period, "k": np.arange(0, most[0] + 1), "m": np.arange(-most[1], most[1] + 1) if len(scale) > 1 else np.zeros(1, int)}
+
 
-    def waves(x: np.ndarray, c: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(k), len(m)), complex)
-        for i in range(0, len(x), 8192):
-            t = (x[i : i + 8192] - low) * (2 * math.pi / period)
-            out += np.exp(1j * np.outer(k, t[:, 0])) @ (np.exp(1j * np.outer(t[:, 1], m)) * c[i : i + 8192, None])
-        return out / c.sum()
+def wave_sums(rows: np.ndarray, counts: np.ndarray, w: dict) -> np.ndarray:
+    """Complex sums of the waves over rows with counts."""
+    out = np.zeros((len(w["k"]), len(w["m"])), complex)
+    for i in range(0, len(rows), 8192):
+        t = (rows[i : i + 8192] - w["low"]) / w["scale"] * (2 * math.pi / w["period"])
+        second = np.exp(1j * np.outer(t[:, 1], w["m"])) if t.shape[1] > 1 else np.ones((len(t), 1))
+        out += np.exp(1j * np.outer(w["k"], t[:, 0])) @ (second * counts[i : i + 8192, None])
+    return out.ravel()
 
+
+def wave_kernel_sum(a: np.ndarray, b: np.ndarray, w: dict) -> float:
+    """The sum over pairs from both sides' waves."""
     weigh = lambda j, p: math.sqrt(2 * math.pi) / p * np.exp(-0.5 * (2 * math.pi * j / p) ** 2)
-    w = np.where(k > 0, 2, 1)[:, None] * weigh(k, period[0])[:, None] * weigh(m, period[1])[None, :]
-    return float((w * np.abs(waves(a, ca) - waves(b, cb)) ** 2).sum())
-
-
-def l2(inside: np.ndarray, outside: np.ndarray, inside_counts: np.ndarray | None = None, outside_counts: np.ndarray | None = None) -> float:
-    """Squared distance of two densities with a diagonal bandwidth; rows may be distinct ones with counts. Many rows of two columns go by waves, others by pairs."""
-    if not len(inside) or not len(outside):
-        return 0.0
-    ca, cb = _counted(inside, inside_counts), _counted(outside, outside_counts)
-    both, counts = np.concatenate((inside, outside)), np.concatenate((ca, cb))
-    n, d = counts.sum(), both.shape[1]
-    spread = np.sqrt(np.atleast_1d(np.diag(np.atleast_2d(np.cov(both, rowvar=False, fweights=counts.astype(int))))))
-    scale = np.maximum(spread * n ** (-1 / (d + 4)), 1e-12) * math.sqrt(2)
-    a, b = inside / scale, outside / scale
-    norm = 1 / np.prod(scale * math.sqrt(2 * math.pi))
-    terms = np.prod(2 * np.ceil(9 * (both.max(axis=0) - both.min(axis=0)) / scale / (2 * math.pi)) + 30)
-    sums = _wave_sums if d == 2 and len(both) > 2000 and terms < min(len(both) * 20, 4_000_000) else _pair_sums
-    return float(sums(a, b, ca, cb) * norm)
+    weights = (np.where(w["k"] > 0, 2, 1) * weigh(w["k"], w["period"][0]))[:, None]
+    weights = weights * weigh(w["m"], w["period"][1])[None, :] if len(w["scale"]) > 1 else weights
+    return float((weights.ravel() * (a * b.conj()).real).sum())
 
 
 # --- Bayes factor of a subgroup ------------------------------------------------
 
 
-def _log_beta(a: float, b: float) -> float:
-    return math.lgamma(a) + math.lgamma(b) - math.lgamma(a + b)
+#: Priors of the models equal, higher and lower.
+PRIORS = (0.33333333, 0.33333333, 0.33333334)
+#: Terms summed at once.
+TERMS = 1 << 20
+
+
+def _log_beta(a, b):
+    return log_gamma(a) + log_gamma(b) - log_gamma(a + b)
+
+
+def log_exceeds(c: int, d: int, a: int, b: int) -> float:
+    """ln P(X > Y) of X ~ Beta(c, d), Y ~ Beta(a, b), whole numbers: a sum of c terms or, mirrored, of b, whichever are fewer."""
+    if b < c:
+        a, b, c, d = d, c, b, a
+    total = -math.inf
+    for start in range(0, c, TERMS):
+        k = np.arange(start, min(c, start + TERMS), dtype=float)
+        logs = _log_beta(a + k, b + d) - np.log(d + k) - _log_beta(1 + k, d) - _log_beta(a, b)
+        top = float(logs.max())
+        total = float(np.logaddexp(total, top + math.log(np.exp(logs - top).sum())))
+    return total
 
 
 def bayesian_score(n: float, h: float, b: float, hb: float) -> float:
-    """ln posterior of 'higher inside' less that of 'equal or lower', flat priors (1/3 each, alpha = beta = 1)."""
-    n11, n12, n21, n22 = hb, b - hb, h - hb, n - b - h + hb
-    equal = _log_beta(n11 + n21 + 1, n12 + n22 + 1)
-    a1, b1, a2, b2 = n11 + 1, n12 + 1, n21 + 1, n22 + 1
-    whole = _log_beta(a1, b1) + _log_beta(a2, b2)
-    # P(theta1 > theta2) of two independent beta variables, as a sum over a1 terms
-    k = np.arange(int(a1))
-    logs = _LOG_GAMMA(a2 + k) + math.lgamma(b1 + b2) - _LOG_GAMMA(a2 + b1 + b2 + k) - np.log(b1 + k) - (_LOG_GAMMA(1 + k) + math.lgamma(b1) - _LOG_GAMMA(1 + b1 + k)) - _log_beta(a2, b2)
-    higher = min(max(float(np.exp(logs).sum()), 1e-300), 1 - 1e-16)
-    log_high, log_low = whole + math.log(2 * higher), whole + math.log(2 * (1 - higher))
-    return log_high - float(np.logaddexp(equal, log_low))
+    """ln posterior of 'higher inside' less that of 'equal or lower', with flat beta priors. Both tails are sums of logarithms, so neither saturates."""
+    n11, n12, n21 = int(hb), int(b - hb), int(h - hb)
+    n22 = int(n) - n11 - n12 - n21
+    inside, outside = (n11 + 1, n12 + 1), (n21 + 1, n22 + 1)
+    equal = float(_log_beta(n11 + n21 + 1, n12 + n22 + 1))
+    whole = float(_log_beta(*inside) + _log_beta(*outside)) + math.log(2)
+    e, up, low = map(math.log, PRIORS)
+    higher, lower = whole + log_exceeds(*inside, *outside), whole + log_exceeds(*outside, *inside)
+    return up + higher - float(np.logaddexp(e + equal, low + lower))
+
+
+def bayesian_scores(n: np.ndarray, h: np.ndarray, b: np.ndarray, hb: np.ndarray) -> np.ndarray:
+    return np.array([bayesian_score(*x) for x in zip(n, h, b, hb)])
 
 
 # --- Bayesian networks over boolean targets ------------------------------------
@@ -187,7 +227,7 @@ def bdeu(counts: dict[int, int], child: int, parents: tuple[int, ...]) -> float:
         cells[key, (mask >> child) & 1] += n
     alpha = 1.0 / (2 * q)
     rows = cells.sum(axis=1)
-    return float((_LOG_GAMMA(cells + alpha) - math.lgamma(alpha)).sum() - (_LOG_GAMMA(rows + 2 * alpha) - math.lgamma(2 * alpha)).sum())
+    return float((log_gamma(cells + alpha) - math.lgamma(alpha)).sum() - (log_gamma(rows + 2 * alpha) - math.lgamma(2 * alpha)).sum())
 
 
 def _reaches(edges: set, a: int, b: int) -> bool:
@@ -250,14 +290,15 @@ def learn_network(counts: dict[int, int], k: int, seed: int = 1, max_parents: in
 
 
 def v_structures(edges: frozenset) -> set:
+    """Unconnected pairs with a common child."""
     joined = {frozenset(e) for e in edges}
-    return {(min(a, b), max(a, b), c) for a, c in edges for b, d in edges if c == d and a != b and frozenset((a, b)) not in joined}
+    return {frozenset((a, b)) for a, c in edges for b, d in edges if c == d and a != b} - joined
 
 
 def edit_distance(a: frozenset, b: frozenset, k: int) -> float:
-    """Differences of skeletons and v-structures over the number of pairs."""
-    skeleton = {frozenset(e) for e in a} ^ {frozenset(e) for e in b}
-    return (len(skeleton) + len(v_structures(a) ^ v_structures(b))) / (k * (k - 1) / 2)
+    """Pairs that only one network connects, and pairs that neither connects but of which only one makes a v-structure, over the number of pairs."""
+    one, two = ({frozenset(e) for e in x} for x in (a, b))
+    return (len(one ^ two) + len((v_structures(a) ^ v_structures(b)) - one - two)) / (k * (k - 1) / 2)
 
 
 def weed(distance: float, share: float, alpha: float = 0.5, beta: float = 1.0) -> float:
@@ -265,22 +306,10 @@ def weed(distance: float, share: float, alpha: float = 0.5, beta: float = 1.0) -
     return h**alpha * distance**beta
 
 
-def fisher_p(r1: float, n1: float, r2: float, n2: float) -> float:
-    """Greater tail of the Fisher z difference of two correlations over the sum of their deviations."""
-    if min(n1, n2) <= 3:
-        return 0.0
-    z = (math.atanh(max(min(r1, 1 - 1e-12), -1 + 1e-12)) - math.atanh(max(min(r2, 1 - 1e-12), -1 + 1e-12))) / (1 / math.sqrt(n1 - 3) + 1 / math.sqrt(n2 - 3))
-    p = 0.5 * (1 + math.erf(z / math.sqrt(2)))
-    return max(p, 1 - p)
-
-
-def cooks_distance(x: np.ndarray, y: np.ndarray, rows: np.ndarray, counts: np.ndarray | None = None) -> float:
-    """Cook's distance of a group of rows for a line fitted to all: the shift of the coefficients when they are left out. Rows may be distinct ones with counts."""
-    c = _counted(x, counts)
-    root = np.sqrt(c)
-    a = np.stack((np.ones_like(x), x), axis=1)
-    fit = lambda at: np.linalg.lstsq(a[at] * root[at, None], y[at] * root[at], rcond=None)[0]
-    beta = fit(np.ones(len(x), bool))
-    s2 = (c * (y - a @ beta) ** 2).sum() / max(c.sum() - 2, 1)
-    d = beta - fit(~rows)
-    return float(d @ (a.T @ (a * c[:, None])) @ d / (2 * s2)) if s2 > 0 else 0.0
+def normal_cdf(z) -> np.ndarray:
+    return np.array([0.5 * (1 + math.erf(x / math.sqrt(2))) if x == x else math.nan for x in np.asarray(z, float)])
+
+
+def greater_tail(z) -> np.ndarray:
+    """The greater of the normal distribution's tails at z; 0 where there is none."""
+    return np.nan_to_num(normal_cdf(np.abs(np.asarray(z, float))), nan=0.0)

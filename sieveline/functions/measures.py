@@ -16,9 +16,13 @@ from dataclasses import dataclass
 
 @dataclass(frozen=True)
 class Measure:
+    """With ``call``, a function of kernels, the quality is that function of the expression, or of these columns."""
+
     name: str
     expression: str
     minimum: float
+    call: str | None = None
+    columns: tuple[str, ...] = ()
 
 
 def _either(test: str, yes: str, no: str) -> str:
@@ -44,8 +48,8 @@ def _nominal(expression: str) -> str:
     return _either("H = 0 or H = N", "0.0", expression)
 
 
-NOMINAL = {m.name: Measure(m.name, _nominal(m.expression), m.minimum) for m in [
-    Measure("cortana_quality", f"{WRACC} / (H / N - power(H / N, 2))", 0.1),
+NOMINAL = {m.name: m if m.call else Measure(m.name, _nominal(m.expression), m.minimum) for m in [
+    Measure("normalised_wracc", f"{WRACC} / (H / N - power(H / N, 2))", 0.1),
     Measure("wracc", WRACC, 0.02),
     Measure("abs_wracc", f"abs({WRACC})", 0.02),
     Measure("binomial", "sqrt(B / N) * (HB / B - H / N)", 0.05),
@@ -64,6 +68,7 @@ NOMINAL = {m.name: Measure(m.name, _nominal(m.expression), m.minimum) for m in [
     Measure("correlation", _either("B = 0 or B = N", "0.0", "(HB * (N - H) - H * (B - HB)) / sqrt(nullif(H * (N - H) * B * (N - B), 0))"), 0.1),
     Measure("lift", "HB * N / (B * H)", 1),
     Measure("relative_lift", "HB * N / (B * H) - 1", 0),
+    Measure("bayesian_score", "", 0, "bayesian_scores", ("N", "H", "B", "HB")),
 ]}
 #: With ps, the covered rows' sum of propensity scores.
 PROPENSITY = {"prop_score_wracc": Measure("prop_score_wracc", "(HB / B - ps / B) * B / N", -0.25), "prop_score_ratio": Measure("prop_score_ratio", "(HB / N) / nullif(ps / N, 0)", 1)}
@@ -93,9 +98,12 @@ def _complement(text: str) -> str:
 
 _DISTANCE = _either("c0 <= 2 or c0_b - c0 <= 2", "0.0", f"abs({_complement(_R)} - {_R})")
 _D = "(Sxy / nullif(Sy, 0) - (Sx - Sxy) / nullif(c0 - Sy, 0))"
+#: Difference of two Fisher-transformed correlations in standard errors; null for three rows or fewer on a side.
+_FISHER = f"(case when c0 > 3 and c0_b - c0 > 3 then (atanh(greatest(least({_R}, 1 - 1e-12), -1 + 1e-12)) - atanh(greatest(least({_complement(_R)}, 1 - 1e-12), -1 + 1e-12))) / (1 / sqrt(c0 - 3) + 1 / sqrt(c0_b - c0 - 3)) end)"
 CORRELATION = {m.name: m for m in [
     Measure("correlation_r", _R, 0.2), Measure("correlation_r_neg", f"-({_R})", 0.2), Measure("correlation_r_neg_sq", f"-power({_R}, 2)", 0.2), Measure("correlation_r_sq", f"power({_R}, 2)", 0.2),
     Measure("correlation_distance", _DISTANCE, 0),
+    Measure("correlation_p", _FISHER, 0, "greater_tail"),
     Measure("correlation_entropy", _either("c0 = 0", "0.0", f"-(c0 / c0_b) * log2(c0 / c0_b) * {_DISTANCE}"), 0),
     Measure("adapted_wracc", "(Sx / c0 - Sy / c0) * c0 / c0_b", 0),
     Measure("costs_wracc", "coalesce((Sx - c0 * Sx_b / c0_b) * (Sxy / nullif(Sx, 0) - (Sy_b - Sy) / nullif(c0_b - c0, 0)), 0.0)", 0),
@@ -114,11 +122,18 @@ _SSE_C = f"({_yyc} - 2 * {_ICEPT} * {_yc} - 2 * {_SLOPE} * {_xyc} + {_nc} * powe
 _V = f"({_SSE} / nullif(c0 - 2, 0) / nullif(Sxx - Sx * Sx / c0, 0))"
 _VC = f"({_SSE_C} / nullif({_nc} - 2, 0) / nullif({_xxc} - {_xc} * {_xc} / nullif({_nc}, 0), 0))"
 _ERR = f"nullif(sqrt(greatest({_V} + {_VC}, 0)), 0)"
+_SLOPE_B, _SLOPE_C = "((c0_b * Sxy_b - Sx_b * Sy_b) / nullif(c0_b * Sxx_b - Sx_b * Sx_b, 0))", _complement(_SLOPE)
+_ICEPT_B, _ICEPT_C = f"((Sy_b - {_SLOPE_B} * Sx_b) / c0_b)", f"(({_yc} - {_SLOPE_C} * {_xc}) / nullif({_nc}, 0))"
+#: Shift of the coefficients of the line of all rows when the subgroup is left out.
+_D0, _D1 = f"({_ICEPT_B} - {_ICEPT_C})", f"({_SLOPE_B} - {_SLOPE_C})"
+_S2 = f"((Syy_b - {_ICEPT_B} * Sy_b - {_SLOPE_B} * Sxy_b) / nullif(c0_b - 2, 0))"
+_COOK = f"coalesce((c0_b * {_D0} * {_D0} + 2 * Sx_b * {_D0} * {_D1} + Sxx_b * {_D1} * {_D1}) / nullif(2 * {_S2}, 0), 0.0)"
 _OUT = "c0 in (0, 2) or c0_b - c0 in (0, 2)"
 REGRESSION = {m.name: m for m in [
     Measure("ssd_complement", _either(_OUT, "0.0", f"coalesce(abs({_complement(_SLOPE)} - {_SLOPE}) / {_ERR}, 0.0)"), 0),
     Measure("ssd_dataset", _either(_OUT, "0.0", f"coalesce(abs((c0_b * Sxy_b - Sx_b * Sy_b) / nullif(c0_b * Sxx_b - Sx_b * Sx_b, 0) - {_SLOPE}) / {_ERR}, 0.0)"), 0),
     Measure("flatness", _either(_OUT, "0.0", f"coalesce(-abs({_SLOPE}), 0.0)"), 0),
+    Measure("cooks_distance", _either(f"{_nc} > 2", _COOK, "0.0"), 0),
     Measure("ssd_4", _either(_OUT, "0.0", f"coalesce(abs({_complement(_SLOPE)} - {_SLOPE}) / {_ERR}, 0.0)"), 0),
 ]}
 

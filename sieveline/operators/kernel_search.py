@@ -1,16 +1,20 @@
-"""Scoring of targets whose statistics are not sums: every gated refinement's rows meet in one group.
+"""Scoring of targets whose statistics are not sums of a row's numbers.
 
 Refinements come from the same aggregate as elsewhere (coverage gates first);
-their conditions then mark rows, and a group holds one refinement's sorted
-values or pattern counts: aggregated per value or pattern before the shuffle.
+their conditions then mark rows, which are counted by refinement and distinct
+target value. What a measure needs of these counts is again a sum, over grid
+points or waves that are fixed from a few moments: tasks add up kernels for the
+values they hold, and sums of at most a grid's size meet for each refinement.
+Values are never brought to the driver or to one task.
 """
 
 from __future__ import annotations
 
+import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sieveline import model
@@ -19,84 +23,202 @@ from sieveline.model import Conditions, Settings, Target
 from sieveline.operators import refine, tables
 from sieveline.operators.stats import Statistics, positive
 
-TARGETS = {"multi_numeric", "multi_label", "scape", "single_ordinal"}
-MEASURES = {*kernels.DENSITY, *kernels.DENSITY_2D, "l2", "edit_distance", "weed", "bayesian_score", "correlation_p", "cooks_distance"}
-#: Refinements scored by kernels at one level; the best covered ones first. Beyond it raise the coverage gate.
+TARGETS = {"multi_numeric", "multi_label", "scape"}
+MEASURES = {*kernels.DENSITY, *kernels.DENSITY_2D, "l2", "edit_distance", "weed", "mmad"}
+#: Refinements scored by kernels at one level; more are an error that asks for a higher coverage gate.
 MOST = 5000
-#: Distinct target values of the whole table that may come to the driver.
-MOST_VALUES = 2_000_000
+#: Distinct rows of one side for which ``l2`` of three or more columns compares all pairs; more are an error.
+MOST_PAIRED = 20_000
+_SCORES = "i int, quality double, secondary double, tertiary double"
 
 
 def base(df: DataFrame, target: Target) -> Statistics:
     n = df.count()
-    known = {m: measures.Measure(m, m, 0.0) for m in MEASURES} | measures.SCAPE | measures.ORDINAL
+    known = {m: measures.Measure(m, m, 0.0) for m in MEASURES} | measures.SCAPE
     return Statistics({"c0": F.lit(1.0)}, {"N": float(n)}, "c0", "c0", "N - c0", known)
 
 
-def _value_columns(target: Target) -> list:
+def _value_columns(target: Target) -> list[Column]:
     cols = [F.col(f"`{c}`") for c in target.columns]
     if target.type == "multi_label":
-        return [sum((F.shiftleft(F.coalesce(c, F.lit(False)).cast("int"), i) for i, c in enumerate(cols)), F.lit(0)).cast("double").alias("x0")]
-    if target.type == "single_nominal":
-        return [positive(target).cast("double").alias("x0")]
+        return [sum((F.shiftleft(F.coalesce(c, F.lit(False)).cast("long"), i) for i, c in enumerate(cols)), F.lit(0).cast("long")).alias("x0")]
     if target.type == "scape":
         return [positive(Target("single_nominal", target.columns[:1], target.value)).cast("double").alias("x0"), cols[1].cast("double").alias("x1")]
     return [c.cast("double").alias(f"x{i}") for i, c in enumerate(cols)]
 
 
-def score(inside: np.ndarray, everything: np.ndarray, measure: str, target: Target, seed: int) -> tuple[float, float, float]:
-    """(quality, secondary, tertiary) from value rows (values..., count) of a subgroup and of all."""
-    expand = lambda a, c: np.repeat(a[:, c], a[:, -1].astype(int), axis=0)
-    n, total = inside[:, -1].sum(), everything[:, -1].sum()
-    width = inside.shape[1] - 1
-    if target.type == "multi_label":
-        k = len(target.columns)
-        counts = lambda a: {int(m): int(c) for m, c in zip(a[:, 0], a[:, -1])}
-        d = kernels.edit_distance(kernels.learn_network(counts(everything), k, seed), kernels.learn_network(counts(inside), k, seed), k)
-        h = kernels.weed(1.0, n / total, 1.0)
-        return (d if measure == "edit_distance" else kernels.weed(d, n / total)), d, h
-    if measure == "bayesian_score":
-        h, hb = (everything[:, 0] * everything[:, -1]).sum(), (inside[:, 0] * inside[:, -1]).sum()
-        return kernels.bayesian_score(total, h, n, hb), hb / n, hb
-    if target.type == "single_ordinal":
-        order = np.argsort(everything[:, 0])
-        ends = np.cumsum(everything[order, -1])
-        rank = dict(zip(everything[order, 0], ends - (everything[order, -1] - 1) / 2))
-        own = np.repeat([rank[v] for v in inside[:, 0]], inside[:, -1].astype(int))
-        s, mean = own.sum(), n * (total + 1) / 2
-        z = (s - mean) / np.sqrt(n * (total - n) * (total + 1) / 12) if n < total else 0.0
-        med = float(np.median(own))
-        mad = float(np.median(np.abs(own - med)))
-        value = {"auc": 1 + (n * (n + 1) / 2 - s) / (n * (total - n)) if n < total else 0.0, "wmw_ranks": z, "inverse_wmw_ranks": -z, "abs_wmw_ranks": abs(z), "mmad": n / (2 * med + mad) if med else 0.0}[measure]
-        return float(value), float(s / n), med
-    if target.type == "scape":
-        def loss(a: np.ndarray) -> tuple[float, float, float]:
-            a = a[np.argsort(-a[:, 1], kind="stable")]
-            _, at = np.unique(-a[:, 1], return_inverse=True)
-            p, q = np.bincount(at, a[:, -1] * a[:, 0]), np.bincount(at, a[:, -1] * (1 - a[:, 0]))
-            above = np.cumsum(q) - q / 2
-            return (p * above).sum() / p.sum() if p.sum() else 0.0, p.sum(), q.sum()
-
-        own, p, q = loss(inside)
-        whole = loss(everything)[0]
-        return {"subranking_loss": own, "negative_subranking_loss": -own, "relative_subranking_loss": own - whole, "reverse_relative_subranking_loss": whole - own}[measure], p, q
-    if measure in kernels.DENSITY:
-        x, own = expand(everything, 0), expand(inside, 0)
-        h = kernels.bandwidth(x)
-        grid = kernels.grid_of(x, h)
-        return kernels.divergence(measure, kernels.density(x, grid, h), kernels.density(own, grid, h), n / total), own.mean(), own.std(ddof=1) if len(own) > 1 else 0.0
-    rest = pd.DataFrame(everything).merge(pd.DataFrame(inside), how="left", on=list(range(width)))
-    rest = np.column_stack((everything[:, :width], everything[:, -1] - rest.iloc[:, -1].fillna(0).to_numpy()))
-    rest = rest[rest[:, -1] > 0]
-    if measure == "correlation_p":
-        own, out = expand(inside, slice(0, width)), expand(rest, slice(0, width))
-        r = lambda a: float(np.corrcoef(a.T)[0, 1]) if len(a) > 2 and a.std(axis=0).all() else 0.0
-        return kernels.fisher_p(r(own), len(own), r(out), len(out)), r(own), abs(r(out) - r(own))
-    own, c, out, d = inside[:, :width], inside[:, -1], rest[:, :width], rest[:, -1]
-    if measure == "cooks_distance":
-        both = np.concatenate((own, out))
-        return kernels.cooks_distance(both[:, 0], both[:, 1], np.arange(len(both)) < len(own), np.concatenate((c, d))) if d.sum() > 2 else 0.0, float(n), float(total - n)
-    return (kernels.l2(own, out, c, d) if measure == "l2" else kernels.divergence_2d(measure, own, out, inside_counts=c, outside_counts=d)), float(n), float(total - n)
+def _counted(df: DataFrame, *keys: str) -> DataFrame:
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).cast("double").alias("c"))
+
+
+def _dealt(rows: DataFrame, sides: int, *values: str) -> DataFrame:
+    """Rows of each refinement together, or, of few refinements, in as many shares as there are partitions."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, "i", F.pmod(F.xxhash64(*values), F.lit(max(1, parts // max(1, sides)))))
+
+
+def _of_one_column(data: DataFrame, marked: DataFrame, found: int, measure: str) -> DataFrame:
+    """Densities over a grid fixed from all rows; the whole table counts as refinement -1."""
+    row = data.agg(F.count("x0"), F.stddev_samp("x0"), F.percentile("x0", F.array(F.lit(0.25), F.lit(0.75))), F.min("x0"), F.max("x0")).first()
+    h = kernels.bandwidth_of(row[0], row[1] or 0.0, *row[2], row[3], row[4])
+    grid = kernels.grid_of(row[3], row[4], h)
+    everything = _counted(data, "x0").select(F.lit(-1).alias("i"), "x0", "c")
+    inside = tables.materialised(_counted(marked, "i", "x0"))
+
+    def partial(frames):
+        sums: dict[int, np.ndarray] = {}
+        for pdf in frames:
+            for i, own in pdf.groupby("i"):
+                sums[i] = sums.get(i, 0.0) + kernels.kernel_sums(own["x0"].to_numpy(float), own["c"].to_numpy(float), grid, h)
+        for i, s in sums.items():
+            yield pd.DataFrame({"i": np.int32(i), "g": np.arange(len(s), dtype=np.int32), "s": s})
+
+    sums = _dealt(inside.unionByName(everything), found + 1, "x0").mapInPandas(partial, "i int, g int, s double").groupBy("i", "g").agg(F.sum("s").alias("s"))
+    sums = tables.materialised(sums)
+    factor = h * math.sqrt(2 * math.pi)
+    whole = np.array([r[0] for r in sums.where("i = -1").orderBy("g").select("s").collect()]) / (row[0] * factor)  # one grid
+    mean = F.sum(F.col("c") * F.col("x0")) / F.sum("c")
+    numbers = inside.groupBy("i").agg(F.sum("c").alias("n"), mean.alias("mean"), F.sum(F.col("c") * F.col("x0") * F.col("x0")).alias("squares"))
+    total = float(row[0])
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        n, mean, squares = (float(pdf[c].iloc[0]) for c in ("n", "mean", "squares"))
+        own = pdf.sort_values("g")["s"].to_numpy(float) / (n * factor)
+        sd = math.sqrt(max(squares - n * mean * mean, 0.0) / (n - 1)) if n > 1 else 0.0
+        return pd.DataFrame([(int(pdf["i"].iloc[0]), kernels.divergence(measure, whole, own, n / total), mean, sd)], columns=["i", "quality", "secondary", "tertiary"])
+
+    return sums.where("i >= 0").join(numbers, "i").groupBy("i").applyInPandas(compare, _SCORES)
+
+
+def _sides(data: DataFrame, marked: DataFrame, found: int, names: list[str]) -> DataFrame:
+    """(i, values, c, d): every distinct row for every refinement, counted inside and outside it."""
+    inside = _counted(marked, "i", *names)
+    everything = _counted(data, *names).select(F.explode(F.sequence(F.lit(0), F.lit(found - 1))).alias("i"), *names, F.col("c").alias("all"))
+    both = everything.join(inside, ["i", *names], "left").withColumn("c", F.coalesce("c", F.lit(0.0)))
+    return tables.materialised(both.select("i", *names, "c", (F.col("all") - F.col("c")).alias("d")))
+
+
+def _moments(sides: DataFrame, names: list[str]) -> list:
+    """Counts, sums and sums of products of each refinement and of the rest, about the means of all rows; and the ranges."""
+    centre = sides.where("i = 0").agg(*((F.sum((F.col("c") + F.col("d")) * F.col(x)) / F.sum(F.col("c") + F.col("d"))).alias(x) for x in names), *(f(x) for f in (F.min, F.max) for x in names)).first()
+    k = len(names)
+    at = {x: F.col(x) - F.lit(centre[j]) for j, x in enumerate(names)}
+    pairs = [(a, b) for j, a in enumerate(names) for b in names[j:]]
+    aggs = [F.sum(w).alias(f"n_{w}") for w in "cd"]
+    aggs += [F.sum(F.col(w) * at[x]).alias(f"s_{w}_{x}") for w in "cd" for x in names]
+    aggs += [F.sum(F.col(w) * at[a] * at[b]).alias(f"s_{w}_{a}_{b}") for w in "cd" for a, b in pairs]
+    return [np.array(centre[k : 2 * k], float), np.array(centre[2 * k :], float), sides.groupBy("i").agg(*aggs).orderBy("i").collect()]
+
+
+def _of_two_columns(data: DataFrame, marked: DataFrame, found: int, measure: str, names: list[str]) -> DataFrame:
+    """Subgroup against complement on a common grid for each refinement."""
+    sides = _sides(data, marked, found, names)
+    low, high, rows = _moments(sides, names)
+    planes = {}
+    for r in rows:
+        a, b = ((r[f"n_{w}"], r[f"s_{w}_x0"], r[f"s_{w}_x1"], r[f"s_{w}_x0_x0"], r[f"s_{w}_x1_x1"], r[f"s_{w}_x0_x1"]) for w in "cd")
+        if min(a[0], b[0]) >= 3 and (plane := kernels.plane_of(a[0], kernels.moments(*a)[1], b[0], kernels.moments(*b)[1], low, high)):
+            planes[r["i"]] = plane | {"n": a[0], "m": b[0]}
+
+    def partial(frames):
+        sums: dict[int, list] = {}
+        for pdf in frames:
+            for i, own in pdf.groupby("i"):
+                if i in planes:
+                    p, x = planes[i], own[names].to_numpy(float)
+                    new = [kernels.plane_sums(x[w > 0], w[w > 0], p["axes"], p[k]) for w, k in ((own["c"].to_numpy(float), "inside"), (own["d"].to_numpy(float), "outside"))]
+                    sums[i] = [a + b for a, b in zip(sums[i], new)] if i in sums else new
+        for i, (s, t) in sums.items():
+            yield pd.DataFrame({"i": np.int32(i), "g": np.arange(len(s), dtype=np.int32), "s": s, "t": t})
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        i = int(pdf["i"].iloc[0])
+        p, pdf = planes[i], pdf.sort_values("g")
+        own, rest = kernels.plane_density(pdf["s"].to_numpy(float), p["n"], p["inside"]), kernels.plane_density(pdf["t"].to_numpy(float), p["m"], p["outside"])
+        return pd.DataFrame([(i, kernels.divergence(measure, rest, own, p["n"] / (p["n"] + p["m"]), p["cell"]), p["n"], p["m"])], columns=["i", "quality", "secondary", "tertiary"])
+
+    sums = _dealt(sides, found, *names).mapInPandas(partial, "i int, g int, s double, t double").groupBy("i", "g").agg(F.sum("s").alias("s"), F.sum("t").alias("t"))
+    flat = [(r["i"], 0.0, float(r["n_c"]), float(r["n_d"])) for r in rows if r["i"] not in planes]  # degenerate data
+    out = sums.groupBy("i").applyInPandas(compare, _SCORES)
+    return out.union(data.sparkSession.createDataFrame(flat, _SCORES)) if flat else out
+
+
+def _l2(data: DataFrame, marked: DataFrame, found: int, names: list[str]) -> DataFrame:
+    """The sum of kernels over all pairs of a member and another row; of one or two columns by waves."""
+    sides = _sides(data, marked, found, names)
+    low, high, rows = _moments(sides, names)
+    known, flat = {}, []
+    for r in rows:
+        n, m = float(r["n_c"]), float(r["n_d"])
+        sd = [np.sqrt([max(r[f"s_{w}_{x}_{x}"] - r[f"s_{w}_{x}"] ** 2 / k, 0.0) / max(k - 1, 1) for x in names]) for w, k in (("c", n), ("d", m)) if k]
+        scale = kernels.l2_scale(n, sd[0], m, sd[1]) if len(sd) == 2 else np.zeros(len(names))
+        if (scale > 0).all():
+            known[r["i"]] = {"n": n, "m": m, "scale": scale, "waves": kernels.waves_of(low, high, scale) if len(names) < 3 else None}
+        else:
+            flat.append((r["i"], 0.0, n, m))
+
+    def result(i: int, total: float) -> pd.DataFrame:
+        k = known[i]
+        return pd.DataFrame([(i, kernels.l2_of(total, k["scale"], k["n"], k["m"]), k["n"], k["m"])], columns=["i", "quality", "secondary", "tertiary"])
+
+    def partial(frames):
+        sums: dict[int, list] = {}
+        for pdf in frames:
+            for i, own in pdf.groupby("i"):
+                if i in known:
+                    new = [kernels.wave_sums(own[names].to_numpy(float), own[w].to_numpy(float), known[i]["waves"]) for w in "cd"]
+                    sums[i] = [a + b for a, b in zip(sums[i], new)] if i in sums else new
+        for i, (a, b) in sums.items():
+            yield pd.DataFrame({"i": np.int32(i), "g": np.arange(len(a), dtype=np.int32), "ar": a.real, "ai": a.imag, "br": b.real, "bi": b.imag})
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        i, pdf = int(pdf["i"].iloc[0]), pdf.sort_values("g")
+        a, b = (pdf[x + "r"].to_numpy(float) + 1j * pdf[x + "i"].to_numpy(float) for x in "ab")
+        return result(i, kernels.wave_kernel_sum(a, b, known[i]["waves"]))
+
+    def paired(pdf: pd.DataFrame) -> pd.DataFrame:
+        i = int(pdf["i"].iloc[0])
+        if len(pdf) > MOST_PAIRED:
+            raise ValueError(f"l2 of three or more columns compares at most {MOST_PAIRED} distinct rows")
+        a, b = pdf[pdf["c"] > 0], pdf[pdf["d"] > 0]
+        return result(i, kernels.pair_kernel_sum(a[names].to_numpy(float), b[names].to_numpy(float), a["c"].to_numpy(float), b["d"].to_numpy(float), known[i]["scale"]))
+
+    if len(names) > 2:
+        out = sides.where(F.col("i").isin(*known)).groupBy("i").applyInPandas(paired, _SCORES)
+    else:
+        sums = _dealt(sides, found, *names).mapInPandas(partial, "i int, g int, ar double, ai double, br double, bi double")
+        out = sums.groupBy("i", "g").agg(*(F.sum(x).alias(x) for x in ("ar", "ai", "br", "bi"))).groupBy("i").applyInPandas(compare, _SCORES)
+    return out.union(data.sparkSession.createDataFrame(flat, _SCORES)) if flat else out
+
+
+def _losses(data: DataFrame, marked: DataFrame, measure: str) -> DataFrame:
+    """Ranking losses of each refinement's rows, and of all."""
+    own = tables.scape_loss(marked, F.col("x0") == 1, F.col("x1"), ("i",))
+    whole = tables.scape_loss(data, F.col("x0") == 1, F.col("x1")).first()["loss"] or 0.0
+    e = F.expr(measures.SCAPE[measure].expression.replace("loss_all", repr(float(whole))))
+    return own.withColumn("loss", F.coalesce("loss", F.lit(0.0))).select("i", e.cast("double").alias("quality"), F.col("positives").alias("secondary"), F.col("negatives").alias("tertiary"))
+
+
+def _networks(data: DataFrame, marked: DataFrame, target: Target, settings: Settings, total: float) -> DataFrame:
+    """Distance of each refinement's network from that of all rows, learned from counts by pattern of labels."""
+    k, seed, measure = len(target.columns), settings.seed, settings.measure
+    everything = kernels.learn_network({int(r[0]): int(r[1]) for r in _counted(data, "x0").collect()}, k, seed)  # 2^labels patterns at most
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        n = float(pdf["c"].sum())
+        d = kernels.edit_distance(everything, kernels.learn_network({int(m): int(c) for m, c in zip(pdf["x0"], pdf["c"])}, k, seed), k)
+        return pd.DataFrame([(int(pdf["i"].iloc[0]), d if measure == "edit_distance" else kernels.weed(d, n / total), d, kernels.weed(1.0, n / total, 1.0))], columns=["i", "quality", "secondary", "tertiary"])
+
+    return _counted(marked, "i", "x0").groupBy("i").applyInPandas(run, _SCORES)
+
+
+def _median_deviations(data: DataFrame, marked: DataFrame) -> DataFrame:
+    """mmad of the ranks among all rows: their median and median absolute deviation, as exact percentiles of counted values."""
+    ranks = tables.mid_ranks(_counted(data, "x0"), "x0", "c").select("x0", "rank")
+    rows = tables.materialised(_counted(marked, "i", "x0").join(tables.few(ranks), "x0"))
+    own = rows.groupBy("i").agg(F.sum("c").alias("B"), F.percentile("rank", F.lit(0.5), F.col("c").cast("long")).alias("med"), F.sum(F.col("c") * F.col("rank")).alias("S1"))
+    far = rows.join(F.broadcast(own), "i").groupBy("i").agg(F.percentile(F.abs(F.col("rank") - F.col("med")), F.lit(0.5), F.col("c").cast("long")).alias("mad"))
+    return own.join(far, "i").select("i", F.coalesce(F.expr(measures.ORDINAL["mmad"].expression), F.lit(0.0)).cast("double").alias("quality"), (F.col("S1") / F.col("B")).alias("secondary"), F.col("med").alias("tertiary"))
 
 
 def level(df: DataFrame, beam: list[Conditions], types: dict[str, str], stats: Statistics, settings: Settings, target: Target) -> DataFrame:
@@ -110,26 +232,30 @@ def level(df: DataFrame, beam: list[Conditions], types: dict[str, str], stats: S
     total = stats.whole["N"]
     rows = refine.level(df, beam, types, count, plain)
     rows = rows.where((F.col("coverage") >= settings.min_coverage) & (F.col("coverage") <= total * settings.max_coverage_share) & (F.col("coverage") < total))
-    found = rows.orderBy(F.desc("coverage"), "cand", "attr", "op", "v", "s").limit(MOST + 1).collect()
+    found = rows.orderBy(F.desc("coverage"), "cand", "attr", "op", "v", "s", "lo", "hi").limit(MOST + 1).collect()
     if len(found) > MOST:
         raise ValueError(f"more than {MOST} refinements at one level: raise min_coverage, lower the width or take numeric_strategy bins")
+    schema = "i int, cand int, attr string, op string, v double, lo double, hi double, s string, set array<string>, coverage bigint, support bigint"
+    table = spark.createDataFrame([(i, r["cand"], r["attr"], r["op"], r["v"], r["lo"], r["hi"], r["s"], r["set"], r["coverage"], None) for i, r in enumerate(found)], schema)
+    if not found:
+        return table.drop("i").withColumns({c: F.lit(None).cast("double") for c in ("quality", "secondary", "tertiary")})
     own = [(*beam[r["cand"]], _condition(r, types)) for r in found]
     values = _value_columns(target)
     names = [f"x{i}" for i in range(len(values))]
     data = df.select("*", *values).where(" and ".join(f"{n} is not null" for n in names))
-    counts = data.groupBy(*names).agg(F.count(F.lit(1)).cast("double").alias("c")).limit(MOST_VALUES + 1).toPandas()
-    if len(counts) > MOST_VALUES:
-        raise ValueError(f"more than {MOST_VALUES} distinct target values: round them, or sample the rows")
-    everything = counts.sort_values(names).to_numpy(float)
-    marked = refine.membership(data.drop("cand") if "cand" in data.columns else data, own).groupBy("cand", *names).agg(F.count(F.lit(1)).cast("double").alias("c")).withColumnRenamed("cand", "i")
-
-    seed, measure = settings.seed, settings.measure
-
-    def run(pdf: pd.DataFrame, seed: int) -> pd.DataFrame:
-        a = pdf.sort_values(names)[[*names, "c"]].to_numpy(float)
-        return pd.DataFrame([(int(pdf["i"].iloc[0]), *map(float, score(a, everything, measure, target, seed)))], columns=["i", "quality", "secondary", "tertiary"])
-
-    scored = marked.groupBy("i").applyInPandas(lambda pdf: run(pdf, seed), "i int, quality double, secondary double, tertiary double")
-    schema = "i int, cand int, attr string, op string, v double, lo double, hi double, s string, set array<string>, coverage bigint, support bigint"
-    table = spark.createDataFrame([(i, r["cand"], r["attr"], r["op"], r["v"], r["lo"], r["hi"], r["s"], r["set"], r["coverage"], None) for i, r in enumerate(found)], schema)
+    marked = refine.membership(data.drop("cand") if "cand" in data.columns else data, own).withColumnRenamed("cand", "i").select("i", *names)
+    data = data.select(*names)
+    measure = settings.measure
+    if target.type == "multi_label":
+        scored = _networks(data, marked, target, settings, total)
+    elif target.type == "scape":
+        scored = _losses(data, marked, measure)
+    elif measure == "mmad":
+        scored = _median_deviations(data, marked)
+    elif measure == "l2":
+        scored = _l2(data, marked, len(found), names)
+    elif measure in kernels.DENSITY_2D:
+        scored = _of_two_columns(data, marked, len(found), measure, names)
+    else:
+        scored = _of_one_column(data, marked, len(found), measure)
     return tables.materialised(table.join(scored, "i").drop("i"))

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from sieveline.functions import measures
 from sieveline.model import Target
 
+#: Mid-ranks of an ordinal target; probabilities of a nominal one.
+RANK, PROPENSITY = "__rank", "__propensity"
+
 
 @dataclass
 class Statistics:
@@ -40,8 +43,11 @@ def statistics(df: DataFrame, target: Target) -> Statistics:
     cols = [F.col(f"`{c}`") for c in target.columns]
     if kind == "single_nominal":
         parts = {"B": one, "HB": positive(target).cast("double")}
+        known = measures.NOMINAL
+        if PROPENSITY in df.columns:
+            parts, known = parts | {"ps": F.col(PROPENSITY)}, known | measures.PROPENSITY
         n, h = df.agg(F.count(F.lit(1)), F.sum(parts["HB"])).first()
-        return Statistics(parts, {"N": float(n), "H": float(h or 0)}, "B", "HB / B", "HB", measures.NOMINAL)
+        return Statistics(parts, {"N": float(n), "H": float(h or 0)}, "B", "HB / B", "HB", known)
     if kind == "single_numeric":
         y = cols[0].cast("double")
         n, mu, sigma = df.agg(F.count(y), F.avg(y), F.stddev_pop(y)).first()
@@ -49,6 +55,10 @@ def statistics(df: DataFrame, target: Target) -> Statistics:
         parts = {"c0": y.isNotNull().cast("double"), "S1": F.coalesce(d, F.lit(0.0)), "S2": F.coalesce(d * d, F.lit(0.0))}
         whole = {"N": float(n), "mu": mu or 0.0, "sigma": sigma or 0.0, "S2_all": (sigma or 0.0) ** 2 * n}
         return Statistics(parts, whole, "c0", "S1 / c0 + mu", "sqrt(greatest((S2 - S1 * S1 / c0) / nullif(c0 - 1, 0), 0))", measures.NUMERIC)
+    if kind == "single_ordinal":  # the table has RANK, see tables.with_mid_rank
+        r = F.col(RANK)
+        parts = {"B": r.isNotNull().cast("double"), "S1": F.coalesce(r, F.lit(0.0))}
+        return Statistics(parts, {"N": float(df.where(r.isNotNull()).count())}, "B", "S1 / B", "S1", measures.ORDINAL)
     if kind in ("double_correlation", "double_regression"):
         first, second = (c.cast("double") for c in cols)
         x, y = (second, first) if kind == "double_correlation" else (first, second)

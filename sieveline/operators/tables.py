@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 import tempfile
 from functools import reduce
 
@@ -15,12 +16,61 @@ from sieveline import model
 
 def materialised(df: DataFrame) -> DataFrame:
     """Written once to the shared checkpoint folder, so that seeded or generated columns never change."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sieveline-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def shared_folder(spark) -> str:
+    """The checkpoint folder. Where none is named, a local session (tests) takes a temporary one; a cluster has no folder that all can read."""
+    sc = spark.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("name a folder that driver and executors share in spark.checkpoint.dir")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="sieveline-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+#: Rows of a few values that may be broadcast; they are counted first.
+FEW = 200_000
+
+
+def few(df: DataFrame) -> DataFrame:
+    """Broadcast a table that is counted to be small; deal others anew, so that adaptive execution can split the rows they meet."""
+    return F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def running(df: DataFrame, order: str, parts: list[str], keys: tuple[str, ...] = (), ascending: bool = True, buckets: int = 256) -> DataFrame:
+    """Adds run_<part>, the sum over all rows of a group up to each one's value of ``order`` (numbers, distinct in a group).
+
+    In ranges of the value first: sums by range give offsets, so that no task gets a whole group.
+    """
+    x = F.col(order)
+    cuts = sorted(set(df.agg(F.percentile_approx(x, [i / buckets for i in range(1, buckets)], 10_000)).first()[0] or []))
+    bounds = F.array(*map(F.lit, cuts)).cast("array<double>")
+    parted = df.withColumn("__b", F.size(F.filter(bounds, lambda c: c <= x)))
+    sums = parted.groupBy(*keys, "__b").agg(*(F.sum(p).alias(p) for p in parts))
+    turn = (lambda c: F.col(c).asc()) if ascending else (lambda c: F.col(c).desc())
+    earlier = Window.partitionBy(*keys).orderBy(turn("__b")).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(*keys, "__b", *(F.coalesce(F.sum(p).over(earlier), F.lit(0)).alias("__" + p) for p in parts))
+    inside = Window.partitionBy(*keys, "__b").orderBy(turn(order)).rowsBetween(Window.unboundedPreceding, 0)
+    out = parted.withColumns({f"run_{p}": F.sum(p).over(inside) for p in parts}).join(few(offsets), [*keys, "__b"])
+    return out.withColumns({f"run_{p}": F.col(f"run_{p}") + F.col("__" + p) for p in parts}).drop("__b", *("__" + p for p in parts))
+
+
+def mid_ranks(counts: DataFrame, value: str, count: str) -> DataFrame:
+    """Adds rank, the mean place from 1 of the rows with each value, to counts by value."""
+    return running(counts, value, [count]).withColumn("rank", F.col(f"run_{count}") - (F.col(count) - 1) / 2).drop(f"run_{count}")
+
+
+def with_mid_rank(df: DataFrame, column: str, name: str) -> DataFrame:
+    """The table with the mid-rank of each row's number among all rows; missing numbers have none."""
+    x = F.col(f"`{column}`").cast("double")
+    counts = df.where(x.isNotNull()).groupBy(x.alias("__v")).agg(F.count(F.lit(1)).cast("double").alias("__c"))
+    ranks = mid_ranks(counts, "__v", "__c").select("__v", F.col("rank").alias(name))
+    return materialised(df.withColumn("__v", x).join(few(ranks), "__v", "left").drop("__v"))
+
+
 def with_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
     return materialised(df.withColumn(name, F.monotonically_increasing_id()))
 
@@ -81,9 +131,9 @@ def multi_sort(df: DataFrame, *columns: str) -> DataFrame:
 def quantile_cuts(df: DataFrame, name: str, bins: int) -> DataFrame:
     """Split points: the value at place n*b/B (from 0) of the sorted column for b = 1..B-1; counts by value first."""
     counts = df.where(F.col(name).isNotNull()).groupBy(F.col(name).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    w = Window.orderBy("v")
-    run = counts.select("v", F.sum("n").over(w).alias("through"), F.sum("n").over(Window.partitionBy()).alias("total"))
-    return run.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(bins - 1)))).where(f"through > total * b div {bins}").groupBy("b").agg(F.min("v").alias("cut"))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    run = running(counts, "v", ["n"]).withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(bins - 1))))
+    return run.where(f"run_n > {total}L * b div {bins}").groupBy("b").agg(F.min("v").alias("cut"))
 
 
 def discretised(df: DataFrame, name: str, bins: int) -> DataFrame:
@@ -171,7 +221,6 @@ def subset_by_mask(values: list, mask: int) -> list:
 
 def scape_loss(rows: DataFrame, positive: Column, score: Column, keys: tuple[str, ...] = ()) -> DataFrame:
     """Mean over positives of the negatives ranked above, ties a half, by group; counts by score first."""
-    g = rows.where(score.isNotNull()).groupBy(*keys, score.alias("score")).agg(F.sum(positive.cast("double")).alias("p"), F.sum((~positive).cast("double")).alias("q"))
-    w = Window.partitionBy(*keys).orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    above = g.withColumn("above", F.coalesce(F.sum("q").over(w), F.lit(0.0)) + F.col("q") / 2)
+    g = rows.where(score.isNotNull()).groupBy(*keys, score.cast("double").alias("score")).agg(F.sum(positive.cast("double")).alias("p"), F.sum((~positive).cast("double")).alias("q"))
+    above = running(materialised(g), "score", ["q"], keys, ascending=False).withColumn("above", F.col("run_q") - F.col("q") / 2)
     return above.groupBy(*keys).agg((F.sum(F.col("p") * F.col("above")) / F.nullif(F.sum("p"), F.lit(0.0))).alias("loss"), F.sum("p").alias("positives"), F.sum("q").alias("negatives"))
