@@ -150,6 +150,10 @@ class Settings:
     beam_seed: list[Conditions] = field(default_factory=list)
     alpha: float = 0.9
     seed: int = 10
+    #: "gaussian" or "empirical": p-values of results from this many randomised qualities of a kind ("swap", "subsets", "descriptions").
+    p_values: str = ""
+    randomised: str = "swap"
+    repeats: int = 100
 
 
 def attribute_types(df: DataFrame, leave_out: tuple[str, ...] = ()) -> dict[str, str]:

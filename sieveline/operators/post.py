@@ -5,10 +5,14 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sieveline import model
+from sieveline.functions import kernels
+from sieveline.model import Target
+from sieveline.operators import refine, tables
 
 
 def without_weak_specialisations(results: list[dict], least: float) -> list[dict]:
@@ -29,20 +33,29 @@ def masks(df: DataFrame, subgroups: list[tuple], bound: int = 1_000_000) -> tupl
     return np.array([r[0] for r in rows], bool).reshape(len(rows), len(subgroups)), np.array([r[1] for r in rows], np.int64)
 
 
-def cover_based(df: DataFrame, rows: list[dict], k: int, alpha: float = 0.9) -> list[dict]:
-    """Greedy choice of k: a subgroup's quality times the mean of alpha^(times its rows are covered already)."""
+def cover_choice(df: DataFrame, rows: list[dict], k: int, alpha: float = 0.9, others: float = -math.inf) -> tuple[list[int], bool]:
+    """Greedy choice of k: a subgroup's quality times the mean of alpha^(times its rows are covered already).
+
+    Returns indices, and whether no subgroup with a quality of ``others`` or less would have been chosen before one of them.
+    """
     if not rows:
-        return []
+        return [], True
     cover, n = masks(df, [r["conditions"] for r in rows])
     times, left, chosen = np.zeros(len(n)), list(range(len(rows))), []
     size = np.maximum(n @ cover, 1)
     while left and len(chosen) < k:
         weight = ((alpha**times * n) @ cover) / size
         best = max(left, key=lambda i: (rows[i]["quality"] * weight[i], -i))
+        if rows[best]["quality"] * weight[best] < others:
+            return chosen, False
         chosen.append(best)
         left.remove(best)
         times += cover[:, best]
-    return [rows[i] for i in chosen]
+    return chosen, len(chosen) == k or others == -math.inf
+
+
+def cover_based(df: DataFrame, rows: list[dict], k: int, alpha: float = 0.9) -> list[dict]:
+    return [rows[i] for i in cover_choice(df, rows, k, alpha)[0]]
 
 
 def entropy(counts: np.ndarray) -> float:
@@ -132,6 +145,51 @@ def extents(df: DataFrame, results: list[dict], keep: list[str], fold: str | Non
     return df.select(*own, *keep, *(model.conjunction(r["conditions"]).cast("int").alias(f"s{i}") for i, r in enumerate(results, 1)))
 
 
+def rescored_by_networks(df: DataFrame, target: Target, results: list[dict], measure: str = "weed", networks: int = 20) -> list[dict]:
+    """Multi-label results scored anew by the mean over ``networks`` x ``networks`` pairs of networks of all rows and of the subgroup, learned from different seeds, and ranked by it."""
+    k = len(target.columns)
+    pattern = sum((F.shiftleft(F.coalesce(F.col(f"`{c}`"), F.lit(False)).cast("long"), i) for i, c in enumerate(target.columns)), F.lit(0).cast("long"))
+    counted = df.select(F.explode(F.concat(F.array(F.lit(-1)), refine.covering([r["conditions"] for r in results]))).alias("i"), pattern.alias("x")).groupBy("i", "x").agg(F.count(F.lit(1)).alias("c"))
+    counted = tables.materialised(counted)  # 2^labels patterns a subgroup at most
+    everything = {r["x"]: r["c"] for r in counted.where("i = -1").collect()}
+    total = sum(everything.values())
+    known = [kernels.learn_network(everything, k, seed) for seed in range(networks)]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = dict(zip(pdf["x"].tolist(), pdf["c"].tolist()))
+        learned = [kernels.learn_network(own, k, networks + seed) for seed in range(networks)]
+        mean = sum(kernels.edit_distance(a, b, k) if measure == "edit_distance" else kernels.weed(kernels.edit_distance(a, b, k), sum(own.values()) / total) for a in known for b in learned) / networks**2
+        return pd.DataFrame([(int(pdf["i"].iloc[0]), mean)], columns=["i", "quality"])
+
+    scores = {r["i"]: r["quality"] for r in counted.where("i >= 0").groupBy("i").applyInPandas(run, "i int, quality double").collect()}
+    return sorted(({**r, "quality": scores.get(i, 0.0)} for i, r in enumerate(results)), key=lambda r: -r["quality"])
+
+
+def threshold_points(df: DataFrame, column: str, results: list[dict]) -> DataFrame:
+    """(threshold, subgroup, fpr, tpr): ROC points of results for the target ``column >= threshold`` at every distinct value but the least."""
+    x = F.col(f"`{column}`").cast("double")
+    known = df.where(x.isNotNull())
+    counts = known.select(F.explode(F.concat(F.array(F.lit(-1)), refine.covering([r["conditions"] for r in results]))).alias("subgroup"), x.alias("v")).groupBy("subgroup", "v").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    counts = tables.materialised(counts)
+    whole = tables.running(counts.where("subgroup = -1"), "v", ["n"], ascending=False).select(F.col("v").alias("threshold"), F.col("run_n").alias("H"))
+    total = float(known.count())
+    size = counts.where("subgroup >= 0").groupBy("subgroup").agg(F.sum("n").alias("B"))
+    # each subgroup's count at every threshold, also where it has no row of that value
+    every = whole.where(F.col("H") < total).select(F.explode(F.sequence(F.lit(0), F.lit(len(results) - 1))).alias("subgroup"), F.col("threshold").alias("v"), "H")
+    filled = every.join(counts, ["subgroup", "v"], "left").withColumn("n", F.coalesce("n", F.lit(0.0)))
+    rows = tables.running(filled, "v", ["n"], ("subgroup",), ascending=False).join(F.broadcast(size), "subgroup")
+    return rows.select(F.col("v").alias("threshold"), "subgroup", ((F.col("B") - F.col("run_n")) / (total - F.col("H"))).alias("fpr"), (F.col("run_n") / F.col("H")).alias("tpr"))
+
+
+def threshold_areas(df: DataFrame, column: str, results: list[dict]) -> DataFrame:
+    """(threshold, area): area under the hull of the results' ROC points at every threshold."""
+
+    def area(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([(pdf["threshold"].iloc[0], area_under(roc_hull(list(zip(pdf["fpr"], pdf["tpr"])))))], columns=["threshold", "area"])
+
+    return threshold_points(df, column, results).groupBy("threshold").applyInPandas(area, "threshold double, area double")
+
+
 def bayes_statistics(df: DataFrame, x, t) -> DataFrame:
     """P(X|T), P(X|not T), P(T|X), P(T|not X) of two boolean columns."""
     rate = lambda a, b: F.count_if(a & b) / F.nullif(F.count_if(b), F.lit(0))

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sieveline import model
+from sieveline.functions import kernels, measures
 from sieveline.model import AT_LEAST, AT_MOST, BETWEEN, BINARY, ELEMENT_OF, EQUALS, NOMINAL, NUMERIC, Conditions
+from sieveline.operators import tables
 from sieveline.operators.stats import Statistics
 
 #: Predicates in one projection; more would overrun generated methods.
@@ -17,27 +21,41 @@ CHUNK = 50
 WIDE, BUCKETS = 200_000, 256
 
 
+def covering(beam: list[Conditions]) -> Column:
+    """The numbers of the candidates that cover a row."""
+    pieces = [F.filter(F.array(*(F.when(model.conjunction(c), F.lit(i)) for i, c in list(enumerate(beam))[a : a + CHUNK])), lambda x: x.isNotNull()) for a in range(0, len(beam), CHUNK)]
+    return F.concat(*pieces)
+
+
 def membership(df: DataFrame, beam: list[Conditions]) -> DataFrame:
     """Each row once for every candidate that covers it (cand)."""
     if list(beam) == [()]:
         return df.withColumn("cand", F.lit(0))
-    pieces = [F.filter(F.array(*(F.when(model.conjunction(c), F.lit(i)) for i, c in list(enumerate(beam))[a : a + CHUNK])), lambda x: x.isNotNull()) for a in range(0, len(beam), CHUNK)]
-    return df.withColumn("cand", F.explode(F.concat(*pieces)))
+    return df.withColumn("cand", F.explode(covering(beam)))
+
 
+def values(df: DataFrame, beam: list[Conditions], types: dict[str, str], stats: Statistics) -> DataFrame:
+    """(cand, attr, v, s, statistics...): v holds numbers, s nominal and binary values.
 
-def values(df: DataFrame, types: dict[str, str], stats: Statistics) -> DataFrame:
-    """(cand, attr, v, s, statistics...): v holds numbers, s nominal and binary values; one aggregate, partial before its shuffle."""
+    Rows are first summed by attribute, value and set of covering candidates; only these sums are multiplied by candidates.
+    """
     parts = list(stats.parts)
-    df = df.select("cand", *(F.col(f"`{a}`") for a in types), *(v.alias("__" + k) for k, v in stats.parts.items()))
+    single = list(beam) == [()]
+    df = df.select(F.lit(0).alias("cand") if single else covering(beam).alias("cands"), *(F.col(f"`{a}`") for a in types), *(v.alias("__" + k) for k, v in stats.parts.items()))
+    key = "cand" if single else "cands"
+    df = df if single else df.where(F.size("cands") > 0)
     cells = []
     for a, kind in types.items():
         c = F.col(f"`{a}`")
         number = c.cast("double") if kind == NUMERIC else F.lit(None).cast("double")
         text = F.lit(None).cast("string") if kind == NUMERIC else F.coalesce(c, F.lit(False)).cast("int").cast("string") if kind == BINARY else c
         cells.append(F.struct(F.lit(a).alias("attr"), number.alias("v"), text.alias("s")))
-    long = df.select("cand", F.explode(F.array(*cells)).alias("x"), *(F.col("__" + p) for p in parts))
-    long = long.select("cand", "x.attr", F.when(~F.isnan("x.v"), F.col("x.v")).alias("v"), "x.s", *(F.col("__" + p) for p in parts)).where("v is not null or s is not null")
-    return long.groupBy("cand", "attr", "v", "s").agg(*(F.sum("__" + p).alias(p) for p in parts))
+    long = df.select(key, F.explode(F.array(*cells)).alias("x"), *(F.col("__" + p) for p in parts))
+    long = long.select(key, "x.attr", F.when(~F.isnan("x.v"), F.col("x.v")).alias("v"), "x.s", *(F.col("__" + p) for p in parts)).where("v is not null or s is not null")
+    summed = long.groupBy(key, "attr", "v", "s").agg(*(F.sum("__" + p).alias(p) for p in parts))
+    if single:
+        return summed
+    return summed.withColumn("cand", F.explode("cands")).groupBy("cand", "attr", "v", "s").agg(*(F.sum(p).alias(p) for p in parts))
 
 
 def wide_bounds(df: DataFrame, types: dict[str, str]) -> dict[str, list[float]]:
@@ -102,17 +120,24 @@ def half_intervals(g: DataFrame, stats: Statistics, operators: tuple[str, ...],
     return reduce(DataFrame.unionByName, out)
 
 
-def intervals(g: DataFrame, stats: Statistics) -> DataFrame:
-    """All (lo, hi] over neighbouring values merged where the class ratio is the same (single nominal), as prefix differences."""
+def _blocks(g: DataFrame, stats: Statistics) -> DataFrame:
+    """Sums by value, with neighbouring values of one class ratio merged (single nominal)."""
     g = g.where("v is not null")
+    if "HB" not in stats.parts:
+        return g.select("cand", "attr", "v", *stats.parts)
     w = Window.partitionBy("cand", "attr").orderBy("v")
-    if "HB" in stats.parts:
-        ratio = g.withColumn("r", F.col("HB") / F.col("B"))
-        g = ratio.withColumn("new", (~F.lag("r").over(w).eqNullSafe(F.col("r"))).cast("int")).withColumn("block", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-        g = g.groupBy("cand", "attr", "block").agg(F.max("v").alias("v"), *(F.sum(p).alias(p) for p in stats.parts))
+    ratio = g.withColumn("r", F.col("HB") / F.col("B"))
+    g = ratio.withColumn("new", (~F.lag("r").over(w).eqNullSafe(F.col("r"))).cast("int")).withColumn("block", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return g.groupBy("cand", "attr", "block").agg(F.max("v").alias("v"), *(F.sum(p).alias(p) for p in stats.parts)).drop("block")
+
+
+def intervals(g: DataFrame, stats: Statistics) -> DataFrame:
+    """All (lo, hi] over neighbouring values merged where the class ratio is the same, as prefix differences; a square of the number of values, which is bounded."""
     total = Window.partitionBy("cand", "attr")
-    run = w.rowsBetween(Window.unboundedPreceding, 0)
-    p = g.select("cand", "attr", "v", F.max("v").over(total).alias("top"), *(F.sum(x).over(run).alias(x) for x in stats.parts))
+    run = total.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    p = _blocks(g, stats).select("cand", "attr", "v", F.max("v").over(total).alias("top"), F.count(F.lit(1)).over(total).alias("cuts"), *(F.sum(x).over(run).alias(x) for x in stats.parts))
+    few = F.when(F.col("cuts") > MOST_PAIRED, F.raise_error(F.lit(f"more than {MOST_PAIRED} cut values of an attribute: take numeric_strategy bins, or best intervals of a convex measure"))).otherwise(True)
+    p = p.where(few.cast("boolean"))
     low = p.where("v < top").select("cand", "attr", F.col("v").alias("lo"), *(F.col(x).alias("lo_" + x) for x in stats.parts))
     start = p.groupBy("cand", "attr").agg(F.lit(float("-inf")).alias("lo"), *(F.lit(0.0).alias("lo_" + x) for x in stats.parts))
     joined = p.join(low.unionByName(start), ["cand", "attr"]).where("lo < v")
@@ -120,28 +145,128 @@ def intervals(g: DataFrame, stats: Statistics) -> DataFrame:
     return joined.select("cand", "attr", F.lit(BETWEEN).alias("op"), "lo", hi.alias("hi"), *((F.col(x) - F.col("lo_" + x)).alias(x) for x in stats.parts))
 
 
+def _hull(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the points on the convex hull, and its edges: a lower and an upper chain."""
+    order = np.lexsort((points[:, 1], points[:, 0])).tolist()
+    kept, edges = [], []
+    for side in (1.0, -1.0):
+        chain: list[int] = []
+        for i in order:
+            x, y = points[i]
+            while len(chain) > 1:
+                (x1, y1), (x2, y2) = points[chain[-2]], points[chain[-1]]
+                if side * ((x2 - x1) * (y - y1) - (y2 - y1) * (x - x1)) >= 0:
+                    break
+                chain.pop()
+            chain.append(i)
+        kept += chain
+        edges += [points[b] - points[a] for a, b in zip(chain, chain[1:])]
+    return np.unique(kept), np.array(edges, float).reshape(-1, 2)
+
+
+def extreme_intervals(points: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs i < j of places among running sums that hold every corner of the convex hull of all differences points[j] - points[i].
+
+    By halving: differences across the middle are those of two sets. A corner of
+    these is extreme in a range of directions between normals of both sets' edges,
+    and in one such direction each set has its own extreme point.
+    """
+    out: set[tuple[int, int]] = set()
+    todo = [(0, len(points))]
+    while todo:
+        a, b = todo.pop()
+        if b - a < 2:
+            continue
+        m = (a + b) // 2
+        todo += [(a, m), (m, b)]
+        (left, e), (right, f) = _hull(points[a:m]), _hull(points[m:b])
+        left, right, edges = left + a, right + m, np.concatenate((e, f, [[1.0, 0.0], [0.0, 1.0]]))
+        turn = np.arctan2(edges[:, 0], -edges[:, 1])
+        turn = np.unique(np.concatenate((turn, turn + np.pi)) % (2 * np.pi))
+        turn = np.concatenate((turn, (turn + np.append(turn[1:], turn[0] + 2 * np.pi)) / 2))
+        d = np.stack((np.cos(turn), np.sin(turn)))
+        out.update(zip(left[np.argmin(points[left] @ d, axis=0)].tolist(), right[np.argmax(points[right] @ d, axis=0)].tolist()))
+    return sorted(out)
+
+
+#: Measures that are convex in covered rows and positives: their best interval is a corner.
+CONVEX = {"wracc", "normalised_wracc", "abs_wracc", "chi_squared", "information_gain", "mutual_information"}
+#: Cut values of one attribute: for the best interval by corners, and for all pairs. More are an error.
+MOST_CUTS, MOST_PAIRED = 2_000_000, 20_000
+
+
+def best_intervals(g: DataFrame, stats: Statistics) -> DataFrame:
+    """Intervals (lo, hi] that hold the best one by any convex measure of B and HB, in about linear time."""
+    parts = list(stats.parts)
+
+    def corners(pdf: pd.DataFrame) -> pd.DataFrame:
+        if len(pdf) > MOST_CUTS:
+            raise ValueError(f"more than {MOST_CUTS} cut values of an attribute: take numeric_strategy bins")
+        pdf = pdf.sort_values("v")
+        v = np.concatenate(([-np.inf], pdf["v"].to_numpy(float)[:-1], [np.inf]))
+        run = {c: np.concatenate(([0.0], np.cumsum(pdf[c].to_numpy(float)))) for c in parts}
+        i, j = np.array(extreme_intervals(np.stack((run["B"], run["HB"]), axis=1))).T
+        return pd.DataFrame({"cand": pdf["cand"].iloc[0], "attr": pdf["attr"].iloc[0], "lo": v[i], "hi": v[j]} | {c: r[j] - r[i] for c, r in run.items()})
+
+    found = _blocks(g, stats).groupBy("cand", "attr").applyInPandas(corners, "cand int, attr string, lo double, hi double, " + ", ".join(f"{c} double" for c in parts))
+    return found.select("cand", "attr", F.lit(BETWEEN).alias("op"), "lo", "hi", *parts)
+
+
 def nominal_values(g: DataFrame, stats: Statistics) -> DataFrame:
     return g.where("s is not null").select("cand", "attr", F.lit(EQUALS).alias("op"), "s", *stats.parts)
 
 
-def value_sets(g: DataFrame, stats: Statistics) -> DataFrame:
-    """Prefixes, from both ends, of the values in the order of positive rate (mean target for numbers)."""
+def value_sets(g: DataFrame, stats: Statistics) -> tuple[DataFrame, DataFrame]:
+    """Prefixes, from both ends, of the values in the order of positive rate (mean target for numbers).
+
+    Returns them with their length as v and their end as lo (0 from the highest
+    rate), and the values by end and place, from which ``with_sets`` makes the set.
+    """
     g = g.where("s is not null")
-    rate = F.col("HB") / F.col("B") if "HB" in stats.parts else F.col("S1") / F.col("c0")
-    out = []
-    for order in (rate.desc(), rate.asc()):
+    if not {"HB", "S1"} & set(stats.parts):
+        raise ValueError("value sets need a nominal, numeric or ordinal target: values are ordered by positive rate or mean")
+    rate = F.col("HB" if "HB" in stats.parts else "S1") / F.col(stats.count)
+    g = g.withColumn("rate", rate)
+    sums, ordered = [], []
+    for end, order in enumerate((F.col("rate").desc(), F.col("rate").asc())):
         w = Window.partitionBy("cand", "attr").orderBy(order, "s").rowsBetween(Window.unboundedPreceding, 0)
-        out.append(g.select("cand", "attr", F.lit(ELEMENT_OF).alias("op"), F.array_sort(F.collect_list("s").over(w)).alias("set"), *(F.sum(p).over(w).alias(p) for p in stats.parts)))
-    return out[0].union(out[1]).dropDuplicates(["cand", "attr", "set"])
+        place = F.count(F.lit(1)).over(w).cast("double")
+        sums.append(g.select("cand", "attr", F.lit(ELEMENT_OF).alias("op"), place.alias("v"), F.lit(float(end)).alias("lo"), *(F.sum(p).over(w).alias(p) for p in stats.parts)))
+        ordered.append(g.select("cand", "attr", F.lit(float(end)).alias("end"), place.alias("place"), F.col("s").alias("value")))
+    return sums[0].union(sums[1]), ordered[0].union(ordered[1])
+
+
+def with_sets(rows: DataFrame, ordered: DataFrame | None) -> DataFrame:
+    """Value sets (the best ones) get their values in place of length and end."""
+    if ordered is None:
+        return rows
+    names = rows.columns
+    sets = rows.where(F.col("op") == ELEMENT_OF).drop("set", "s")
+    on = [sets[c] == ordered[c] for c in ("cand", "attr")] + [sets["lo"] == ordered["end"], ordered["place"] <= sets["v"]]
+    own = [c for c in names if c not in ("set", "s")]
+    made = sets.join(ordered, on).groupBy(*(sets[c] for c in own)).agg(F.array_sort(F.collect_list("value")).alias("set"))
+    made = made.withColumns({"v": F.lit(None).cast("double"), "lo": F.lit(None).cast("double"), "s": F.lit(None).cast("string")}).select(*names)
+    return rows.where(F.col("op") != ELEMENT_OF).unionByName(made)
+
+
+def quality_of(measure: measures.Measure) -> Column:
+    """The measure over columns of statistics; a function of kernels runs on vectors of them."""
+    plain = F.expr(f"cast({measure.expression or 'null'} as double)")
+    if not measure.call:
+        return plain
+    call = getattr(kernels, measure.call)
+    run = F.pandas_udf(lambda *columns: pd.Series(call(*(c.to_numpy(float) for c in columns))), "double")
+    return run(*map(F.col, measure.columns)) if measure.columns else run(plain)
 
 
 def scored(rows: DataFrame, stats: Statistics, measure: str) -> DataFrame:
     """Adds coverage, quality, secondary and tertiary."""
     rows = rows.withColumns({k: F.lit(float(v)) for k, v in stats.whole.items()})
     e = lambda text: F.expr(f"cast({text} as double)")
+    quality = quality_of(stats.measures[measure])
     return rows.where(f"{stats.count} > 0").select(
         "cand", "attr", "op", "v", "lo", "hi", "s", "set", F.col(stats.count).cast("long").alias("coverage"),
-        e(stats.measures[measure].expression).alias("quality"), e(stats.secondary).alias("secondary"), e(stats.tertiary).alias("tertiary"),
+        quality.alias("quality"), e(stats.secondary).alias("secondary"), e(stats.tertiary).alias("tertiary"),
         *([F.col("HB").cast("long").alias("support")] if "HB" in stats.parts else [F.lit(None).cast("long").alias("support")]))
 
 
@@ -152,21 +277,40 @@ def _shaped(df: DataFrame, stats: Statistics) -> DataFrame:
     return df.select("cand", "attr", "op", *(F.col(c) if c in df.columns else F.lit(None).cast(t).alias(c) for c, t in _SHAPE.items()), *stats.parts)
 
 
-def level(df: DataFrame, beam: list[Conditions], types: dict[str, str], stats: Statistics, settings: model.Settings, wide: dict[str, list[float]] | None = None) -> DataFrame:
-    """Scored refinements of every candidate in the beam."""
-    g = values(membership(df, beam), types, stats)
+def level(df: DataFrame, beam: list[Conditions], types: dict[str, str], stats: Statistics, settings: model.Settings, wide: dict[str, list[float]] | None = None, best: bool = False) -> DataFrame:
+    """Scored refinements of every candidate in the beam; with ``best``, of intervals only those among which the best one is."""
+    return _level(values(df, beam, types, stats), types, stats, settings, wide, best)
+
+
+def level_with_sets(df: DataFrame, beam: list[Conditions], types: dict[str, str], stats: Statistics, settings: model.Settings, wide: dict[str, list[float]] | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """The same with value sets of nominal attributes, and what ``with_sets`` needs."""
+    g = tables.materialised(values(df, beam, types, stats))
+    nominal = [a for a, t in types.items() if t == NOMINAL]
+    if not nominal:
+        return _level(g, types, stats, settings, wide, True), None
+    sets, ordered = value_sets(g.where(F.col("attr").isin(nominal)), stats)
+    rows = scored(_shaped(sets, stats), stats, settings.measure)
+    rest = {a: t for a, t in types.items() if t != NOMINAL}
+    return (rows.union(_level(g.where(F.col("attr").isin(*rest)), rest, stats, settings, wide, True)) if rest else rows), ordered
+
+
+def _level(g: DataFrame, types: dict[str, str], stats: Statistics, settings: model.Settings, wide: dict[str, list[float]] | None, best: bool) -> DataFrame:
     pieces = []
     if NUMERIC in types.values():
         operators = model.SETTINGS[settings.numeric_operators]
-        if settings.numeric_strategy in ("intervals", "consecutive_all", "consecutive_best") or operators == (BETWEEN,):
-            pieces.append(consecutive(g, stats, settings.bins) if settings.numeric_strategy.startswith("consecutive") else intervals(g, stats))
+        if settings.numeric_strategy.startswith("consecutive"):
+            pieces.append(consecutive(g, stats, settings.bins))
+        elif settings.numeric_strategy == "intervals" or operators == (BETWEEN,):
+            if best and settings.measure in CONVEX and "HB" in stats.parts and settings.numeric_strategy == "intervals":
+                # the best interval is chosen before any gate
+                numbers = {a: t for a, t in types.items() if t == NUMERIC}
+                rest = {a: t for a, t in types.items() if t != NUMERIC}
+                rows = best_per_operator(scored(_shaped(best_intervals(g.where("v is not null"), stats), stats), stats, settings.measure))
+                return rows.union(_level(g.where(~F.col("attr").isin(*numbers)), rest, stats, settings, wide, best)) if rest else rows
+            pieces.append(intervals(g, stats))
         else:
             pieces.append(half_intervals(g, stats, operators, settings.bins if "bins" in settings.numeric_strategy else 0, wide))
     if {NOMINAL, BINARY} & set(types.values()):
-        nominal = [a for a, t in types.items() if t == NOMINAL]
-        if settings.nominal_sets and nominal:
-            pieces.append(value_sets(g.where(F.col("attr").isin(nominal)), stats))
-            g = g.where(~F.col("attr").isin(nominal))
         pieces.append(nominal_values(g, stats))
     return scored(reduce(DataFrame.union, [_shaped(p, stats) for p in pieces]), stats, settings.measure)
 
@@ -183,7 +327,7 @@ def consecutive(g: DataFrame, stats: Statistics, bins: int) -> DataFrame:
 
 def best_per_operator(rows: DataFrame, numeric: bool = True) -> DataFrame:
     """The first maximum in ascending value order of each candidate, attribute and operator, as one aggregate; nominal values all stay, of value sets the best."""
-    every = F.col("s").isNotNull() if numeric else F.col("set").isNull()
+    every = F.col("s").isNotNull() if numeric else F.col("op") != ELEMENT_OF
     order = F.struct(-F.col("quality"), "v", "lo", "hi", "set")
     best = rows.where(~every).groupBy("cand", "attr", "op").agg(F.min_by(F.struct(*rows.columns), order).alias("best")).select("best.*")
     return rows.where(every).unionByName(best)

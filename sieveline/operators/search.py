@@ -1,21 +1,33 @@
 """Subgroup discovery: a driver loop over depth; each level is one job over all candidates and attributes.
 
-Only results and the next beam (at most as many rows as their bounds) come to
-the driver. An unbounded beam (breadth, best and depth first without a time
-limit find the same subgroups) is bounded by the number of gated refinements.
+A level's gated rows are written once to the shared checkpoint folder; results
+and the next beam are taken from there. Rows that come to one description by
+another order of conditions, or by conditions that imply each other, are one
+before any bound applies. Only results and the next beam come to the driver. An
+unbounded beam (breadth, best and depth first without a time limit find the same
+subgroups) is bounded by the number of gated refinements; more than MOST_CARRIED
+are an error that asks for a tighter gate.
 """
 
 from __future__ import annotations
 
+import math
 import time
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sieveline import model
+from sieveline.functions import measures
 from sieveline.model import Condition, Conditions, Settings, Target
-from sieveline.operators import kernel_search, post, refine
-from sieveline.operators.stats import positive, statistics
+from sieveline.operators import kernel_search, post, refine, tables
+from sieveline.operators.propensity import with_propensity
+from sieveline.operators.stats import RANK, positive, statistics
+
+#: Descriptions that an unbounded beam or result list may bring to the driver.
+MOST_CARRIED = 1_000_000
 
 
 def _condition(row, types: dict[str, str]) -> Condition:
@@ -30,10 +42,14 @@ def _condition(row, types: dict[str, str]) -> Condition:
 
 
 class SubgroupDiscovery:
-    """A run over one table, one target and one group of settings; an optional selection is a row filter."""
+    """A run over one table, one target and one group of settings; an optional selection is a row filter.
+
+    Background knowledge (descriptions) is what propensity measures expect the target from.
+    """
 
-    def __init__(self, df: DataFrame, target: Target, settings: Settings, types: dict[str, str] | None = None, selection=None):
+    def __init__(self, df: DataFrame, target: Target, settings: Settings, types: dict[str, str] | None = None, selection=None, knowledge: list[Conditions] = ()):
         self.df = df if selection is None else df.where(selection)
+        self.knowledge = list(knowledge)
         self.target, self.settings = target, settings
         found = model.attribute_types(df, target.columns)
         self.types = types if types is not None else found
@@ -44,9 +60,16 @@ class SubgroupDiscovery:
     def run(self) -> list[dict]:
         """Ranked results: dictionaries with conditions (a tuple), depth, coverage, quality, secondary, tertiary."""
         s = self.settings
-        self.df = self.df.select(*dict.fromkeys([*self.types, *self.target.columns]))
+        described = {c.attribute for own in self.knowledge for c in own}
+        self.df = self.df.select(*dict.fromkeys([*self.types, *self.target.columns, *sorted(described)]))
+        if s.measure in measures.PROPENSITY:
+            self.df = with_propensity(self.df, self.target, self.knowledge)
+        if self.target.type == "single_ordinal" and not self.kernel:
+            self.df = tables.with_mid_rank(self.df, self.target.columns[0], RANK)
         self.stats = kernel_search.base(self.df, self.target) if self.kernel else statistics(self.df, self.target)
         self.wide = {} if self.kernel else refine.wide_bounds(self.df, self.types)
+        if s.min_support and "HB" not in self.stats.parts:
+            raise ValueError("min_support needs a nominal target: only its positives are counted")
         measure = s.measure
         minimum = s.minimum if s.minimum is not None else self.stats.measures[measure].minimum
         total = int(self.stats.whole["N"])
@@ -59,39 +82,73 @@ class SubgroupDiscovery:
         for depth in range(1, s.depth + 1):
             if not beam or (s.max_minutes > 0 and time.monotonic() - started > 60 * s.max_minutes):
                 break
-            rows = self._level([c for c, _, _ in beam])
-            parents = self.df.sparkSession.createDataFrame([(i, n, len(c)) for i, (c, n, _) in enumerate(beam)], "cand int, parent bigint, length int")
+            candidates = [c for c, _, _ in beam]
+            rows = self._level(candidates)
+            parents = self.df.sparkSession.createDataFrame([(i, n) for i, (_, n, _) in enumerate(beam)], "cand int, parent bigint")
             rows = rows.join(F.broadcast(parents), "cand").where(F.col("coverage") < F.col("parent"))
             if s.min_support:
                 rows = rows.where(F.col("support") >= s.min_support)
             result_gate = (F.col("coverage") >= s.min_coverage) & (F.col("coverage") <= total * s.max_coverage_share) & (F.col("quality") > minimum)
             beam_gate = (F.col("coverage") > s.min_coverage) & (F.col("coverage") > 1) & F.lit(depth < s.depth)
+            rows = rows.withColumns({"as_result": F.coalesce(result_gate, F.lit(False)), "in_beam": F.coalesce(beam_gate, F.lit(False))}).where("as_result or in_beam")
+            rows = tables.materialised(rows)
             best = "best" in s.numeric_strategy or s.numeric_strategy == "intervals"
-            for_result, for_beam = rows.where(result_gate), rows.where(beam_gate)
+            for_result, for_beam = rows.where("as_result"), rows.where("in_beam")
             if best or s.nominal_sets:
                 for_result, for_beam = refine.best_per_operator(for_result, best), refine.best_per_operator(for_beam, best)
-            ranked = [F.col("quality").desc(), F.col("coverage").desc(), *self._tie_order()]
-            # duplicates by another order of conditions fall away on the driver, so one in (depth)! is kept at worst
-            bound = s.max_results * max(1, depth) if s.max_results > 0 else 0
-            taken = for_result.orderBy(*ranked).limit(bound) if bound else for_result
-            for row in taken.collect():
-                own = model.canonical((*beam[row["cand"]][0], _condition(row, self.types)), self.order)
-                kept = results.get(own)
-                if own and (kept is None or row["quality"] > kept["quality"]):
+            if s.nominal_sets:
+                for_result, for_beam = refine.with_sets(for_result, self.ordered), refine.with_sets(for_beam, self.ordered)
+            for_result = self._described(for_result, candidates, depth, results)
+            ranked = self._ranked()
+            for row in self._bounded(for_result.orderBy(*ranked), s.max_results):
+                own = self._own(row, candidates)
+                if own:
                     results[own] = {"conditions": own, "depth": depth, "coverage": row["coverage"], "quality": row["quality"], "secondary": row["secondary"], "tertiary": row["tertiary"], "p_value": None}
-            if depth == s.depth:
-                break
-            wide = s.strategy in ("breadth", "best_first", "depth_first")
-            width = 0 if wide else s.width * max(1, depth) * (3 if s.strategy in ("cover", "roc") else 1)
-            following: dict[Conditions, dict] = {}
-            for row in (for_beam.orderBy(*ranked).limit(width) if width else for_beam).collect():
-                own = model.canonical((*beam[row["cand"]][0], _condition(row, self.types)), self.order)
-                following.setdefault(own, {"conditions": own, "coverage": row["coverage"], "quality": row["quality"], "support": row["support"]})
-            beam = self._next(list(following.values()), wide)
+            if depth < s.depth:
+                beam = self._next(self._described(for_beam, candidates, depth), candidates)
         out = sorted(results.values(), key=lambda r: (-r["quality"], -r["coverage"], [c.key(self.order) for c in r["conditions"]]))
         if s.min_improvement:
             out = post.without_weak_specialisations(out, s.min_improvement)
-        return out[: s.max_results] if s.max_results > 0 else out
+        out = out[: s.max_results] if s.max_results > 0 else out
+        if s.p_values:
+            from sieveline.operators import validation
+
+            validation.assign_p_values(self.df, self.target, s, out)
+        return out
+
+    def _own(self, row, candidates: list[Conditions]) -> Conditions:
+        return model.canonical((*candidates[row["cand"]], _condition(row, self.types)), self.order)
+
+    def _ranked(self) -> list:
+        return [F.col("quality").desc(), F.col("coverage").desc(), *self._tie_order()]
+
+    def _bounded(self, rows: DataFrame, bound: int) -> list:
+        """The first rows, or all of them as long as they are not too many for the driver."""
+        found = rows.limit(bound if bound > 0 else MOST_CARRIED + 1).collect()
+        if bound <= 0 and len(found) > MOST_CARRIED:
+            raise ValueError(f"more than {MOST_CARRIED} descriptions at one level: raise min_coverage or the minimum quality, or bound the results")
+        return found
+
+    def _described(self, rows: DataFrame, candidates: list[Conditions], depth: int, known: dict = ()) -> DataFrame:
+        """Of the rows of one description the first in rank; none of a description that is known already."""
+        if depth == 1 and len(candidates) == 1:
+            return rows
+        order, types = self.order, self.types
+        names = ["cand", "attr", "op", "v", "lo", "hi", "s", "set"]
+
+        def texts(cand, attr, op, v, lo, hi, s, values):
+            out = []
+            for row in zip(cand, attr, op, v, lo, hi, s, values):
+                row = dict(zip(names, row))
+                out.append(repr(model.canonical((*candidates[row["cand"]], _condition(row, types)), order)))
+            return pd.Series(out)
+
+        keyed = rows.withColumn("description", F.pandas_udf(texts, "string")(*names))
+        if known:
+            earlier = rows.sparkSession.createDataFrame([(repr(k),) for k in known], "description string")
+            keyed = keyed.join(tables.few(earlier), "description", "left_anti")
+        turn = F.struct(-F.col("quality"), -F.col("coverage"), *self._tie_order())
+        return keyed.groupBy("description").agg(F.min_by(F.struct(*rows.columns), turn).alias("x")).select("x.*")
 
     def _tie_order(self) -> list:
         """Columns in table order, operators in canonical order, then values."""
@@ -100,20 +157,64 @@ class SubgroupDiscovery:
         return [place[F.col("attr")], operator[F.col("op")], F.col("v"), F.col("lo"), F.col("hi"), F.col("s"), F.col("cand")]
 
     def _level(self, beam: list[Conditions]) -> DataFrame:
+        self.ordered = None
         if self.kernel:
             return kernel_search.level(self.df, beam, self.types, self.stats, self.settings, self.target)
-        return refine.level(self.df, beam, self.types, self.stats, self.settings, self.wide)
-
-    def _next(self, rows: list[dict], wide: bool) -> list[tuple]:
-        s = self.settings
-        rows.sort(key=lambda r: (-r["quality"], -r["coverage"], [c.key(self.order) for c in r["conditions"]]))
+        if not self.settings.nominal_sets:
+            return refine.level(self.df, beam, self.types, self.stats, self.settings, self.wide, best=True)
+        rows, self.ordered = refine.level_with_sets(self.df, beam, self.types, self.stats, self.settings, self.wide)
+        return rows
+
+    def _next(self, rows: DataFrame, candidates: list[Conditions]) -> list[tuple]:
+        """The next beam."""
+        s, ranked = self.settings, self._ranked()
+        wide = s.strategy in ("breadth", "best_first", "depth_first")
         if s.strategy == "roc" and "H" in self.stats.whole:
-            n, h = self.stats.whole["N"], self.stats.whole["H"]
-            points = [((r["coverage"] - r["support"]) / max(n - h, 1), r["support"] / max(h, 1)) for r in rows]
-            rows = [r for r, keep in zip(rows, post.on_roc_hull(points)) if keep]
+            found = self._on_hull(rows)
         elif s.strategy == "cover":
-            rows = post.cover_based(self.df, rows, s.width, s.alpha)
-        return [(r["conditions"], r["coverage"], r["quality"]) for r in (rows if wide else rows[: s.width])]
+            found = self._covering(rows.orderBy(*ranked), candidates)
+        else:
+            found = self._bounded(rows.orderBy(*ranked), 0 if wide else s.width)
+        out = [(self._own(r, candidates), r["coverage"], r["quality"]) for r in found]
+        out = list({c: (c, n, q) for c, n, q in reversed(out)}.values())
+        return sorted(out, key=lambda r: (-r[2], -r[1], [c.key(self.order) for c in r[0]]))
+
+    def _on_hull(self, rows: DataFrame) -> list:
+        """All rows on the upper hull of their ROC points: each task keeps its own hull, the hull of these is that of all."""
+        n, h = self.stats.whole["N"], self.stats.whole["H"]
+        points = lambda coverage, support: list(zip((coverage - support) / max(n - h, 1), support / max(h, 1)))
+        spread = rows.withColumns({"coverage": F.col("coverage").cast("long"), "support": F.col("support").cast("long")})
+
+        def hull(frames):
+            frames = [f for f in frames if len(f)]
+            if frames:
+                kept = pd.concat(frames, ignore_index=True)
+                own = points(kept["coverage"].to_numpy(float), kept["support"].to_numpy(float))
+                corners = set(post.roc_hull(own))
+                yield kept[np.array([p in corners for p in own], bool)]
+
+        # a task gets only the best true positive rate of each false positive rate
+        top = spread.groupBy((F.col("coverage") - F.col("support")).alias("false")).agg(F.max("support").alias("support")).select((F.col("false") + F.col("support")).alias("coverage"), "support")
+        kept = top.mapInPandas(hull, "coverage long, support long").collect()
+        if not kept:
+            return []
+        on = post.on_roc_hull(points(np.array([r[0] for r in kept], float), np.array([r[1] for r in kept], float)))
+        vertices = self.df.sparkSession.createDataFrame([tuple(r) for r, k in zip(kept, on) if k], "coverage long, support long") if any(on) else None
+        return spread.join(F.broadcast(vertices), ["coverage", "support"]).collect() if vertices is not None else []
+
+    def _covering(self, rows: DataFrame, candidates: list[Conditions]) -> list:
+        """The greedy cover-based choice from all rows. They are loaded in blocks by falling quality: a weight is at most 1, so what is not loaded cannot beat a choice whose weighted quality is above its own quality."""
+        s = self.settings
+        block, loaded = max(4 * s.width, 50), []
+        while True:
+            new = rows.offset(len(loaded)).limit(block + 1).collect()
+            more = new[block]["quality"] if len(new) > block else None
+            loaded += new[:block]
+            own = [{"conditions": self._own(r, candidates), "quality": r["quality"]} for r in loaded]
+            chosen, sure = post.cover_choice(self.df, own, s.width, s.alpha, -math.inf if more is None else max(more, 0.0))
+            if more is None or sure:
+                return [loaded[i] for i in chosen]
+            block *= 4
 
     def table(self, spark: SparkSession | None = None, results: list[dict] | None = None) -> DataFrame:
         return as_table(spark or self.df.sparkSession, self.run() if results is None else results)

@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 from sieveline import model
 from sieveline.model import Condition, Settings, Target
 from sieveline.operators.post import normal_cdf
+from sieveline.operators.refine import quality_of
 from sieveline.operators.search import SubgroupDiscovery
 from sieveline.operators.stats import statistics
+from sieveline.operators.tables import materialised
 
 #: Standard normal quantiles of the 1, 5 and 10 % thresholds.
 QUANTILES = {0.01: 2.3263478740408408, 0.05: 1.6448536269514722, 0.1: 1.2815515655446004}
@@ -22,7 +24,8 @@ QUANTILES = {0.01: 2.3263478740408408, 0.05: 1.6448536269514722, 0.1: 1.28155156
 
 def numbered(df: DataFrame, seed: int, name: str = "row_id") -> DataFrame:
     """A dense number from 0 in a seeded order, without one task for all rows: partition sizes first, then offsets."""
-    parted = df.withColumn("__r", F.rand(seed)).withColumn("__p", F.floor(F.col("__r") * 4096).cast("int"))
+    # written once: sizes and places must see the same random numbers
+    parted = materialised(df.withColumn("__r", F.rand(seed)).withColumn("__p", F.floor(F.col("__r") * 4096).cast("int")))
     sizes = parted.groupBy("__p").count()
     offsets = sizes.withColumn("__before", F.coalesce(F.sum("count").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("count")
     place = F.row_number().over(Window.partitionBy("__p").orderBy("__r")) - 1
@@ -36,8 +39,6 @@ def sample_exactly(df: DataFrame, k: int, seed: int = 10) -> DataFrame:
 
 def permuted(df: DataFrame, columns: tuple[str, ...], seed: int) -> DataFrame:
     """The table with these columns' rows shuffled against the others."""
-    from sieveline.operators.tables import materialised
-
     base = materialised(numbered(df, seed))
     other = materialised(numbered(df.select(*columns), seed + 1))
     return base.drop(*columns).join(other, "row_id").drop("row_id").select(*df.columns)
@@ -50,7 +51,7 @@ def random_subset_qualities(df: DataFrame, target: Target, settings: Settings, s
     members = F.filter(F.array(*(F.when(F.rand(seed + i) < k / n, F.lit(i)) for i, k in enumerate(sizes))), lambda x: x.isNotNull())
     own = df.select(*(v.alias(k) for k, v in stats.parts.items()), members.alias("m")).select(F.explode("m").alias("cand"), *stats.parts)
     g = own.groupBy("cand").agg(*(F.sum(p).alias(p) for p in stats.parts)).withColumns({k: F.lit(float(v)) for k, v in stats.whole.items()})
-    return [r[0] for r in g.select(F.expr(f"cast({stats.measures[settings.measure].expression} as double)"), "cand").orderBy("cand").collect()]
+    return [r[0] for r in g.select(quality_of(stats.measures[settings.measure]), "cand").orderBy("cand").collect()]
 
 
 def random_descriptions(df: DataFrame, types: dict[str, str], depth: int, count: int, seed: int = 10) -> list[tuple]:
@@ -85,13 +86,13 @@ def description_qualities(df: DataFrame, target: Target, settings: Settings, des
     rows = [tuple([i, *(row[f"{k}__{i}"] for k in stats.parts), *map(float, stats.whole.values())]) for i in range(len(descriptions))]
     names = ["i", *stats.parts, *stats.whole]
     table = df.sparkSession.createDataFrame(rows, ", ".join(["i int", *(f"{n} double" for n in names[1:])]))
-    e = F.when(F.col(stats.count) > 0, F.expr(f"cast({stats.measures[settings.measure].expression} as double)"))
+    e = F.when(F.col(stats.count) > 0, quality_of(stats.measures[settings.measure]))
     return [r[0] for r in table.orderBy("i").select(e).collect()]
 
 
 def swap_randomised(df: DataFrame, target: Target, settings: Settings, repeats: int, seed: int = 10) -> list[float]:
     """The best quality of a run on each of ``repeats`` tables with a permuted target."""
-    quiet = replace(settings, max_results=1, minimum=float("-inf"))
+    quiet = replace(settings, max_results=1, minimum=float("-inf"), p_values="")
     out = []
     for i in range(repeats):
         found = SubgroupDiscovery(permuted(df, target.columns, seed + 2 * i), target, quiet).run()
@@ -119,6 +120,31 @@ def empirical_p(quality: float, qualities: list[float]) -> float:
     return sum(x >= quality for x in qualities) / len(qualities)
 
 
+def randomised_qualities(df: DataFrame, target: Target, settings: Settings, seed: int = 10) -> list[float]:
+    """Qualities under the settings' null model: the best of runs on permuted targets, random subsets, or random descriptions."""
+    if settings.randomised == "swap":
+        return swap_randomised(df, target, settings, settings.repeats, seed)
+    total = df.count()
+    if settings.randomised == "subsets":
+        rng = random.Random(seed)
+        least = min(settings.min_coverage, max(total - 1, 1))
+        return [q for q in random_subset_qualities(df, target, settings, [rng.randint(least, max(total - 1, least)) for _ in range(settings.repeats)], seed) if q is not None]
+    types = model.attribute_types(df, target.columns)
+    drawn = random_descriptions(df, types, settings.depth, settings.repeats, seed)
+    return [q for q in description_qualities(df, target, settings, drawn) if q is not None]
+
+
+def assign_p_values(df: DataFrame, target: Target, settings: Settings, results: list[dict], qualities: list[float] | None = None) -> list[dict]:
+    """Fills p_value of each result: the share of randomised qualities that are at least as high, or the tail of a normal distribution fitted to them."""
+    if settings.p_values not in ("gaussian", "empirical"):
+        raise ValueError("p_values is gaussian or empirical")
+    qualities = randomised_qualities(df, target, replace(settings, p_values="")) if qualities is None else qualities
+    p = gaussian_p if settings.p_values == "gaussian" else empirical_p
+    for r in results:
+        r["p_value"] = p(r["quality"], qualities)
+    return results
+
+
 def set_p(best: float, qualities: list[float]) -> float:
     return sum(x > best for x in qualities) / len(qualities)
 
@@ -136,7 +162,5 @@ def with_folds(df: DataFrame, k: int = 10, seed: int = 1) -> DataFrame:
 
 
 def cross_validate(df: DataFrame, target: Target, settings: Settings, k: int = 10, seed: int = 1) -> list[list[dict]]:
-    from sieveline.operators.tables import materialised
-
     folded = materialised(with_folds(df, k, seed))
     return [SubgroupDiscovery(folded.where(F.col("fold") != i).drop("fold"), target, settings).run() for i in range(k)]
