@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -9,12 +10,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sieveline import model
-from sieveline.functions import kernels
+from sieveline.functions import kernels, measures
 from sieveline.model import Condition, Settings, Target
 from sieveline.operators import post, refine, tables, validation
 from sieveline.operators.search import SubgroupDiscovery, as_table, discover, per_target_value
 from sieveline.operators.stats import statistics
 from sieveline.plans import measures_catalog as mc
+from sieveline.sources import runs, text
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = dict(mc.QUERIES)
@@ -114,7 +116,7 @@ def _cells(s: SparkSession, d: str, target: Target, *attributes: str) -> tuple[D
     df = _li(s, d, *dict.fromkeys([*attributes, *target.columns]))
     stats = statistics(df, target)
     kinds = {a: k for a, k in model.attribute_types(df).items() if a in attributes}
-    return refine.values(df.withColumn("cand", F.lit(0)), kinds, stats), stats
+    return refine.values(df, [()], kinds, stats), stats
 
 
 _add("AG04_counts_and_positives", lambda s, d: _cells(s, d, R, Q, D)[0].select("attr", "v", F.col("B").cast("long").alias("n"), F.col("HB").cast("long").alias("positives")),
@@ -150,7 +152,17 @@ def _network_counts(s: SparkSession, d: str) -> dict[int, int]:
     return {int(sum(int(b) << i for i, b in enumerate(row))): int(c) for row, c in zip(cover, n)}
 
 
-_add("AG20_bdeu", lambda s, d: (lambda c: s.createDataFrame([(x, float(round(kernels.bdeu(c, x, p), 6))) for x, p in ((0, ()), (1, (0,)), (3, (2,)))], "child int, score double"))(_network_counts(s, d)))
+_FAMILIES = ((0, ()), (1, (0,)), (3, (2,)))
+
+
+def _family_sql(x: int, parents: tuple[int, ...]) -> str:
+    keys, alpha = ", ".join(f"b{p}" for p in parents) or "1", f"(1.0 / {2 * (1 << len(parents))})"
+    cells = f"select {keys} as j, b{x} as k, count(*)::double as n from b group by all"
+    return f"select {x} as child, round((select sum(lgamma(n + {alpha}) - lgamma({alpha})) from ({cells})) - (select sum(lgamma(n + 2 * {alpha}) - lgamma(2 * {alpha})) from (select {keys} as j, count(*)::double as n from b group by all)), 6) + 0.0 as score"
+
+
+_add("AG20_bdeu", lambda s, d: (lambda c: s.createDataFrame([(x, float(round(kernels.bdeu(c, x, p), 6))) for x, p in _FAMILIES], "child int, score double"))(_network_counts(s, d)),
+     f"with b as (select {_BITS} from lineitem) " + " union all ".join(_family_sql(*f) for f in _FAMILIES))
 _add("AG21_cover_counts", lambda s, d: _li(s, d).select(sum((model.conjunction(c).cast("int") for c in _TEAM), F.lit(0)).alias("c")).crossJoin(F.broadcast(_li(s, d).select(sum((model.conjunction(c).cast("int") for c in _TEAM), F.lit(0)).alias("c")).agg(F.avg("c").alias("m")))).agg(_r(F.avg(F.abs(F.col("c") - F.col("m"))) / F.max("m")).alias("redundancy")),
      f"with c as (select {' + '.join(f'({x})::int' for x in _TEAM_SQL)} as c from lineitem), m as (select avg(c) as m from c) select round(avg(abs(c - m)) / max(m), 6) + 0.0 as redundancy from c, m")
 _add("AG22_average_ranking", lambda s, d: (lambda df: df.agg(*(F.sum(p).cast("long").alias(x) for x, p in zip("abc", __import__("sieveline.operators.stats", fromlist=["x"]).ranks_of(F.col("ranking"), list("abc"))))))(mc.ranked(_li(s, d))),
@@ -208,9 +220,9 @@ _add("WN05_interval_scan", lambda s, d: _scan(s, d, R, "wracc", D, numeric_strat
 _add("RF07_best_interval", lambda s, d: _scan(s, d, R, "wracc", D, numeric_strategy="intervals").orderBy(F.desc("quality"), F.desc("coverage"), "lo", "hi").limit(1).select("lo", "hi", "coverage", "quality"), f"{_IV} select lo, hi, B::bigint as coverage, {_WR} as quality from s, w order by quality desc, coverage desc, lo, hi limit 1")
 _add("WN06_best_per_operator", lambda s, d: refine.best_per_operator(_scan(s, d, R, "wracc", *mc.ATTRIBUTES).withColumn("cand", F.lit(0))).select("attr", "op", "v", "coverage", "quality"),
      f"select attr, op, v, coverage, quality from (select *, row_number() over (partition by attr, op order by quality desc, v) as p from ({ORACLE_SQL['QN02_wracc']})) where p = 1")
-_add("WN07_score_order", lambda s, d: _table(s, d, "orders").where("o_orderkey <= 3000").select("o_orderkey", F.row_number().over(Window.orderBy(F.desc("o_totalprice"), "o_orderkey")).alias("place")), "select o_orderkey, row_number() over (order by o_totalprice desc, o_orderkey)::int as place from orders where o_orderkey <= 3000")
-
-_add("WN07_score_order_all", lambda s, d: tables.score_order(_table(s, d, "orders"), "o_totalprice", "o_orderkey").select("o_orderkey", "place"))
+_PLACES = "select o_orderkey, row_number() over (order by o_totalprice desc, o_orderkey)::bigint as place from orders"
+for _n in ("WN07_score_order", "WN07_score_order_all"):
+    _add(_n, lambda s, d: tables.score_order(_table(s, d, "orders"), "o_totalprice", "o_orderkey").select("o_orderkey", F.col("place").cast("long").alias("place")), _PLACES)
 
 
 def _scape(s: SparkSession, d: str) -> DataFrame:
@@ -268,7 +280,10 @@ _add("SR01_beam", _search(depth=2, width=100), _conjunctions(True))
 _add("SR05_depth_first", _search(depth=2, strategy="depth_first"), _conjunctions(True))
 _add("SR06_breadth_first", _search(depth=2, strategy="breadth"), _conjunctions(True))
 _add("SR04_best_first", _search(depth=2, strategy="best_first", max_results=10), f"select * from ({_conjunctions(True)}) order by quality desc, coverage desc limit 10")
-_add("SR02_roc_beam", _search(depth=2, strategy="roc"))
+_HULL = "p.x > 0 and not exists (select 1 from q a, q b where a.x < p.x and b.x > p.x and p.y <= a.y + (b.y - a.y) * (p.x - a.x) / (b.x - a.x) + 1e-12) and not exists (select 1 from q where q.x = p.x and q.y > p.y)"
+_POINTS = "n as (select count(*)::double as N, count(*) filter (l_returnflag = 'R')::double as H from lineitem), pts as (select conditions, (coverage - tertiary) / (N - H) as x, tertiary / H as y from c, n where depth = 1 and coverage > 2), q as (select x, y from pts union select 0.0::double, 0.0::double union select 1.0::double, 1.0::double)"
+_add("SR02_roc_beam", _search(depth=2, strategy="roc"),
+     f"with c as ({_conjunctions(True)}), {_POINTS}, beam as (select conditions from pts p where {_HULL}) select c.* from c where depth = 1 or exists (select 1 from beam where list_contains(string_split(c.conditions, ' AND '), beam.conditions))")
 _add("SR03_cover_based_beam", _search(depth=2, strategy="cover", width=5))
 _add("SR07_beam_seed", _search(depth=1, beam_seed=[(_C("l_linestatus", "=", "O"),)]), f"select conditions, 1 as depth, coverage, quality, secondary, tertiary from ({_conjunctions(True)}) where depth = 2 and conditions like '%l_linestatus = ''O''%'")
 _add("SR08_time_limit", _search(depth=2, max_minutes=30.0), _conjunctions(True))
@@ -277,10 +292,11 @@ _add("SR10_per_target_value", lambda s, d: per_target_value(_flags(s, d).drop("l
      "with v as (select distinct l_returnflag as target_value from lineitem), w as (select count(*)::double as N from lineitem) select target_value, 'l_linestatus = ''' || l_linestatus || '''' as conditions, count(*) as coverage, round(count(*) filter (l_returnflag = target_value) / any_value(N) - ((select count(*) from lineitem x where x.l_returnflag = target_value) / any_value(N)) * (count(*) / any_value(N)), 6) + 0.0 as quality from lineitem, v, w group by target_value, l_linestatus")
 _add("TK01_bounded_results", _search(depth=2, max_results=7), f"select * from ({_conjunctions(True)}) order by quality desc, coverage desc limit 7")
 _add("TK02_admission", _search(depth=2, max_results=3), f"select * from ({_conjunctions(True)}) order by quality desc, coverage desc limit 3")
-_add("TK03_bounded_beam", _search(depth=2, width=2, max_results=4))
+_add("TK03_bounded_beam", _search(depth=2, width=2, max_results=4),
+     f"with c as ({_conjunctions(True)}), beam as (select conditions from c where depth = 1 and coverage > 2 order by quality desc, coverage desc limit 2) select c.* from c where depth = 1 or exists (select 1 from beam where list_contains(string_split(c.conditions, ' AND '), beam.conditions)) order by quality desc, coverage desc limit 4")
 _add("TK04_result_order", lambda s, d: discover(_flags(s, d), R, Settings(minimum=-1.0, depth=2)).select("nr", "coverage", _r("quality").alias("quality")), f"select row_number() over (order by quality desc, coverage desc)::int as nr, coverage, quality from ({_conjunctions(True)})")
-_add("TK07_multi_sort", lambda s, d: tables.multi_sort(_flags(s, d).withColumn("k", F.lit(1)), "taxed", "line", "l_linestatus").select("taxed", "line").limit(500), "select true as taxed, line from (select 'n' || l_linenumber as line, l_linestatus from lineitem where l_tax >= 0.04 order by line, l_linestatus limit 500)")
-_add("TK07_multi_sort_all", lambda s, d: tables.multi_sort(_flags(s, d).withColumn("k", F.lit(1)), "taxed", "line", "l_linestatus").select("taxed", "line", "l_linestatus"))
+for _n in ("TK07_multi_sort", "TK07_multi_sort_all"):
+    _add(_n, lambda s, d: tables.multi_sort(_flags(s, d).withColumn("k", F.lit(1)), "taxed", "line", "l_linestatus").select("taxed", "line", "l_linestatus"), "select l_tax >= 0.04 as taxed, 'n' || l_linenumber as line, l_linestatus from lineitem order by taxed desc, line, l_linestatus")
 _add("TK09_delete_results", lambda s, d: _found(discover(_flags(s, d), R, Settings(minimum=-1.0)).where(~F.col("nr").isin(1, 2))), f"select * from ({_conjunctions(False)}) order by quality desc, coverage desc offset 2")
 
 # --- densities, networks and other measures without sums ----------------------------------
@@ -294,8 +310,25 @@ def _kernel(target: Target, measure: str, table=_pairs) -> Query:
     return lambda s, d: discover(table(s, d), target, Settings(measure=measure, minimum=float("-inf"), min_coverage=20)).select("conditions", "coverage", _r("quality", 6).alias("quality"))
 
 
+def _density_sql(measure: str) -> str:
+    """Kernel densities of flag and status groups and of all rows at the grid points, and what their difference comes to."""
+    weighted = measure.endswith("_weighted") or measure.endswith("adjusted") or measure == "cwracc"
+    term = "0.5 * power(sqrt(p) - sqrt(s / n), 2)" if "hellinger" in measure else "case when s > 0 then s / n * ln(s / n / p) else 0.0 end" if "kullback" in measure else "abs(p - s / n)"
+    value = ("any_value(n / whole) * " if weighted else "") + f"sum({term})" + (f" / {kernels.MOST_HELLINGER!r}" if measure.endswith("adjusted") else "")
+    k = "sum(case when abs((g - v) / h) <= 4 + 1e-9 then n * exp(-0.5 * power((g - v) / h, 2)) else 0.0 end)"
+    return f"""with a as (select count(l_quantity)::double as N, stddev_samp(l_quantity) as sd, quantile_cont(l_quantity, 0.25) as q1, quantile_cont(l_quantity, 0.75) as q3, min(l_quantity) as lo, max(l_quantity) as hi from lineitem),
+b as (select *, greatest(0.9 * least(sd, (q3 - q1) / 1.34) * power(N, -0.2), (hi - lo) / 1000, 1e-12) as h from a),
+grid as (select i, lo - 4 * h + i * (hi - lo + 8 * h) / {kernels.GRID - 1} as g, h, N as whole from b, (select unnest(range({kernels.GRID})) as i)),
+v as (select 'l_returnflag = ''' || l_returnflag || '''' as conditions, l_quantity as v, count(*)::double as n from lineitem group by all union all select 'l_linestatus = ''' || l_linestatus || '''', l_quantity, count(*) from lineitem group by all),
+w as (select l_quantity as v, count(*)::double as n from lineitem group by all),
+p as (select i, {k} / any_value(whole * h * sqrt(2 * pi())) as p from grid, w group by i),
+z as (select conditions, sum(n) as n from v group by all),
+q as (select v.conditions, i, {k} / any_value(h * sqrt(2 * pi())) as s from grid, v group by all)
+select conditions, any_value(z.n)::bigint as coverage, round({value}, 6) + 0.0 as quality from q join z using (conditions) join p using (i), (select N as whole from a) group by conditions"""
+
+
 for _i, _m in enumerate(kernels.DENSITY, 16):
-    _add(f"QU{_i}_{_m}", _kernel(Target("single_numeric", (Q,)), _m, lambda s, d: _li(s, d).select(Q, "l_returnflag", "l_linestatus")))
+    _add(f"QU{_i}_{_m}", _kernel(Target("single_numeric", (Q,)), _m, lambda s, d: _li(s, d).select(Q, "l_returnflag", "l_linestatus")), _density_sql(_m))
 for _i, _m in enumerate([*kernels.DENSITY_2D, "l2"], 1):
     _add(f"QM{_i:02d}_{_m}", _kernel(Target("multi_numeric", (Q, "price")), _m))
 for _i, _m in enumerate(["auc", "wmw_ranks", "inverse_wmw_ranks", "abs_wmw_ranks", "mmad"], 1):
@@ -313,35 +346,14 @@ def _labels(s: SparkSession, d: str) -> DataFrame:
 
 for _i, _m in enumerate(["edit_distance", "weed"], 1):
     _add(f"QL{_i:02d}_{_m}", _kernel(Target("multi_label", ("r", "o", "cheap", "taxed")), _m, _labels))
-_add("QC06_correlation_p", _kernel(Target("double_correlation", (Q, D)), "correlation_p", lambda s, d: _li(s, d).select(Q, D, "l_returnflag", "l_linestatus")))
-_add("QN20_bayesian_score", _kernel(R, "bayesian_score", lambda s, d: _li(s, d).select("l_returnflag", "l_linestatus")))
-_add("QR05_cooks_distance", _kernel(Target("double_regression", (Q, "price")), "cooks_distance"))
-
-
-def _propensity(s: SparkSession, d: str) -> DataFrame:
-    """Propensity of the flag given line status and tax: logistic regression without a penalty."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-
-    df = _li(s, d).select("l_linestatus", F.col("l_tax").alias("x0"), (F.col("l_linestatus") == "O").cast("double").alias("x1"), (F.col("l_returnflag") == "R").cast("double").alias("label"))
-    df = VectorAssembler(inputCols=["x0", "x1"], outputCol="features").transform(df)
-    return LogisticRegression(regParam=0.0, maxIter=25).fit(df).transform(df).select("l_linestatus", "label", vector_to_array("probability")[1].alias("ps"))
 
+#: Background knowledge: one known description, so that the expected share is that of its two sides.
+_KNOWN = [(_C("l_linestatus", "=", "O"),)]
+_EXPECTED = "with k as (select l_linestatus, avg((l_returnflag = 'R')::int) as ps from lineitem group by 1), c as (select 'line = ''n' || l_linenumber || '''' as conditions, (l_returnflag = 'R')::int as t, ps from lineitem join k using (l_linestatus)), r as (select conditions, count(*)::double as B, sum(t)::double as HB, sum(ps) as ps from c group by 1), w as (select count(*)::double as N from lineitem)"
+for _i, _m in enumerate(measures.PROPENSITY, 21):
+    _add(f"QN{_i}_{_m}", lambda s, d, m=_m: discover(_flags(s, d).drop("taxed"), R, Settings(measure=m, minimum=-10.0), types={"line": model.NOMINAL}, knowledge=_KNOWN).select("conditions", "coverage", _r("quality", 4).alias("quality")),
+         f"{_EXPECTED} select conditions, B::bigint as coverage, round({measures.PROPENSITY[_m].expression}, 4) + 0.0 as quality from r, w")
 
-def _propensity_scores(measure: str) -> Query:
-    from sieveline.functions.measures import PROPENSITY
-
-    def run(s: SparkSession, d: str) -> DataFrame:
-        df = _propensity(s, d)
-        g = df.groupBy("l_linestatus").agg(F.count(F.lit(1)).cast("double").alias("B"), F.sum("label").alias("HB"), F.sum("ps").alias("ps"))
-        return g.withColumn("N", F.lit(float(df.count()))).select("l_linestatus", _r(F.expr(PROPENSITY[measure].expression), 4).alias("quality"))
-
-    return run
-
-
-_add("QN21_prop_score_wracc", _propensity_scores("prop_score_wracc"))
-_add("QN22_prop_score_ratio", _propensity_scores("prop_score_ratio"))
 
 # --- post-processing and validation -------------------------------------------------------
 
@@ -351,18 +363,31 @@ def _results(s: SparkSession, d: str, **kw) -> tuple[DataFrame, list[dict]]:
     return df, SubgroupDiscovery(df, R, Settings(**({"minimum": -1.0, "depth": 2, "max_results": 12} | kw))).run()
 
 
-_add("PP01_minimum_improvement", lambda s, d: (lambda x: _found(as_table(s, post.without_weak_specialisations(x[1], 0.0005))))(_results(s, d)))
+_TOP = f"t as (select * from ({_conjunctions(True)}) order by quality desc, coverage desc limit 12)"
+_add("PP01_minimum_improvement", lambda s, d: (lambda x: _found(as_table(s, post.without_weak_specialisations(x[1], 0.0005))))(_results(s, d)),
+     f"with {_TOP} select * from t r where not exists (select 1 from t o where o.depth < r.depth and list_contains(string_split(r.conditions, ' AND '), o.conditions) and r.quality - o.quality <= 0.0005)")
 _add("PP03_cover_based_results", lambda s, d: (lambda x: _found(as_table(s, post.cover_based(x[0], x[1], 5))))(_results(s, d)))
-_add("PP04_pattern_team", lambda s, d: s.createDataFrame([(i, x) for i, x in enumerate(post.pattern_team(_li(s, d), _RES, 3))], "place int, subgroup int"))
+_ENTROPY = lambda *i: f"(select log2(sum(n)) - sum(n * log2(n)) / sum(n) from (select count(*)::double as n from b group by {', '.join(f'b{x}' for x in i)}))"
+_TEAM_CTE = (f"with b as (select {_BITS} from lineitem), e1 as ({' union all '.join(f'select {i} as i, {_ENTROPY(i)} as h' for i in range(5))}), f1 as (select i from e1 order by h desc, i limit 1), "
+             f"e2 as ({' union all '.join(f'select {i} as i, {j} as j, {_ENTROPY(i, j)} as h' for i in range(5) for j in range(5) if i != j)}), f2 as (select i, j from e2 join f1 using (i) order by h desc, j limit 1), "
+             f"e3 as ({' union all '.join(f'select {i} as i, {j} as j, {k} as k, {_ENTROPY(i, j, k)} as h' for i in range(5) for j in range(5) for k in range(5) if len({i, j, k}) == 3)}), f3 as (select i, j, k from e3 join f2 using (i, j) order by h desc, k limit 1)")
+_add("PP04_pattern_team", lambda s, d: s.createDataFrame([(i, x) for i, x in enumerate(post.pattern_team(_li(s, d), _RES, 3))], "place int, subgroup int"),
+     _TEAM_CTE + " select 0 as place, i as subgroup from f3 union all select 1, j from f3 union all select 2, k from f3")
 _add("PP05_grouping", lambda s, d: s.createDataFrame(list(enumerate(post.group_by_team(_li(s, d), _RES, [0, 2]))), "subgroup int, member int"),
      f"with b as (select {_BITS} from lineitem) " + " union all ".join(f"select {i} as subgroup, case when abs(coalesce(corr(b{i}::int, b0::int), 0)) >= abs(coalesce(corr(b{i}::int, b2::int), 0)) then 0 else 2 end as member from b" for i in range(5)))
 _add("PP06_roc_points", lambda s, d: (lambda x: s.createDataFrame([(round(a, 6), round(b, 6)) for a, b in post.roc(x[1], float(x[0].count()), float(x[0].where(F.col("l_returnflag") == "R").count()))[0]], "fpr double, tpr double"))(_results(s, d, depth=1, max_results=0)),
      f"select round((coverage - tertiary) / (N - H), 6) + 0.0 as fpr, round(tertiary / H, 6) + 0.0 as tpr from ({_conjunctions(False)}), (select count(*)::double as N, count(*) filter (l_returnflag = 'R')::double as H from lineitem)")
-_add("PP06_roc_hull", lambda s, d: (lambda x: s.createDataFrame([(round(post.roc(x[1], float(x[0].count()), float(x[0].where(F.col("l_returnflag") == "R").count()))[1], 6),)], "area double"))(_results(s, d, depth=1, max_results=0)))
+_add("PP06_roc_hull", lambda s, d: (lambda x: s.createDataFrame([(round(post.roc(x[1], float(x[0].count()), float(x[0].where(F.col("l_returnflag") == "R").count()))[1], 6),)], "area double"))(_results(s, d, depth=1, max_results=0)),
+     f"with c as ({_conjunctions(False)}), {_POINTS}, hull as (select distinct x, y from q p where {_HULL.replace('p.x > 0 and ', '')}) select round(sum((x - lx) * (y + ly) / 2), 6) + 0.0 as area from (select x, y, lag(x) over (order by x) as lx, lag(y) over (order by x) as ly from hull)")
 _SAME = [{"conditions": c} for c in ((_C(Q, "<=", 10.0),), (_C(Q, "<=", 10.5),), (_C(D, ">=", 0.05),), (_C(Q, "<=", 10.0), _C(Q, "<=", 30.0)))]
 _add("PP07_alternatives", lambda s, d: s.createDataFrame([(min(g), x) for g in post.alternatives(_li(s, d), "l_orderkey", _SAME) for x in g], "first int, subgroup int"), "select * from (values (0, 0), (0, 1), (2, 2), (0, 3)) as t(first, subgroup)")
-_add("PP08_network_rescoring", lambda s, d: (lambda c: s.createDataFrame([(round(sum(kernels.edit_distance(kernels.learn_network(c, 5, i), kernels.learn_network(c, 5, 100 + i), 5) for i in range(5)) / 5, 6),)], "mean_distance double"))(_network_counts(s, d)))
-_add("PP09_threshold_sweep", lambda s, d: reduce(DataFrame.union, [_li(s, d).groupBy("l_linestatus").agg(F.count_if(F.col(Q) >= v).alias("positives")).withColumn("threshold", F.lit(float(v))) for v in (10, 25, 40)]), " union all ".join(f"select l_linestatus, count(*) filter (l_quantity >= {v}) as positives, {v}::double as threshold from lineitem group by 1" for v in (10, 25, 40)))
+_NETWORK = Target("multi_label", ("r", "o", "cheap", "taxed"))
+_add("PP08_network_rescoring", lambda s, d: (lambda df: as_table(s, post.rescored_by_networks(df, _NETWORK, SubgroupDiscovery(df, _NETWORK, Settings(measure="weed", minimum=float("-inf"), min_coverage=20)).run())).select("conditions", "coverage", _r("quality").alias("quality")))(_labels(s, d)))
+_LINES = [{"conditions": (_C("l_linestatus", "=", x),)} for x in "FO"] + [{"conditions": (_C(D, ">=", 0.05),)}]
+_SWEEP = "with v as (select 0 as subgroup, l_quantity as v from lineitem where l_linestatus = 'F' union all select 1, l_quantity from lineitem where l_linestatus = 'O' union all select 2, l_quantity from lineitem where l_discount >= 0.05), t as (select distinct l_quantity as threshold from lineitem where l_quantity > (select min(l_quantity) from lineitem)), w as (select threshold, (select count(*)::double from lineitem) as N, (select count(*)::double from lineitem where l_quantity >= threshold) as H from t), c as (select subgroup, threshold, N, H, count(*)::double as B, count(*) filter (v >= threshold)::double as HB from v, w group by all), p as (select threshold, subgroup, (B - HB) / (N - H) as fpr, HB / H as tpr from c)"
+_add("PP09_threshold_sweep", lambda s, d: post.threshold_points(_li(s, d), Q, _LINES).select("threshold", "subgroup", _r("fpr").alias("fpr"), _r("tpr").alias("tpr")), _SWEEP + " select threshold, subgroup, round(fpr, 6) + 0.0 as fpr, round(tpr, 6) + 0.0 as tpr from p")
+_add("PP09_threshold_areas", lambda s, d: post.threshold_areas(_li(s, d), Q, _LINES).select("threshold", _r("area").alias("area")),
+     _SWEEP + ", q as (select threshold, fpr as x, tpr as y from p union select threshold, 0.0::double, 0.0::double from t union select threshold, 1.0::double, 1.0::double from t), hull as (select distinct threshold, x, y from q p where not exists (select 1 from q a, q b where a.threshold = p.threshold and b.threshold = p.threshold and a.x < p.x and b.x > p.x and p.y <= a.y + (b.y - a.y) * (p.x - a.x) / (b.x - a.x) + 1e-12) and not exists (select 1 from q where q.threshold = p.threshold and q.x = p.x and q.y > p.y)) select threshold, round(sum((x - lx) * (y + ly) / 2), 6) + 0.0 as area from (select *, lag(x) over (partition by threshold order by x) as lx, lag(y) over (partition by threshold order by x) as ly from hull) group by threshold")
 _add("PP10_discard_members", lambda s, d: _li(s, d).where(~model.conjunction(_TEAM[0]) & ~model.conjunction(_TEAM[4])).select(*_FLAGS), _where(f"not ({_TEAM_SQL[0]}) and not ({_TEAM_SQL[4]})"))
 _add("PP11_model_data", lambda s, d: _li(s, d).withColumn("inside", F.col("l_returnflag") == "R").groupBy("inside").agg(_r(F.regr_slope(D, Q), 9).alias("slope"), _r(F.regr_intercept(D, Q), 9).alias("intercept")), "select l_returnflag = 'R' as inside, round(regr_slope(l_discount, l_quantity), 9) + 0.0 as slope, round(regr_intercept(l_discount, l_quantity), 9) + 0.0 as intercept from lineitem group by 1")
 _W = Settings(measure="wracc", minimum=-1.0)
@@ -372,6 +397,8 @@ _add("VA03_swap_randomisation", lambda s, d: s.createDataFrame([(x,) for x in va
 _QS = [0.01, 0.03, 0.02, 0.05, 0.04]
 _add("VA04_thresholds", lambda s, d: s.createDataFrame([(a, round(t, 9)) for a, t in validation.thresholds(_QS).items()], "alpha double, threshold double"), "with q as (select avg(x) as m, stddev_samp(x) as sd from (values (0.01::double), (0.03), (0.02), (0.05), (0.04)) as t(x)) select a as alpha, round(m + z * sd, 9) as threshold from q, (values (0.01::double, 2.3263478740408408::double), (0.05, 1.6448536269514722), (0.1, 1.2815515655446004)) as z(a, z)")
 _add("VA05_p_values", lambda s, d: s.createDataFrame([(x, validation.empirical_p(x, _QS)) for x in (0.0, 0.02, 0.045)], "quality double, p double"), "select q as quality, avg((x >= q)::int)::double as p from (values (0.01::double), (0.03), (0.02), (0.05), (0.04)) as t(x), (values (0.0::double), (0.02), (0.045)) as s(q) group by q")
+_add("VA05_result_p_values", lambda s, d: (lambda x: as_table(s, validation.assign_p_values(x[0], R, Settings(p_values="empirical"), x[1], [-0.0005, 0.0, 0.0001, 0.0002, 0.001])).select("conditions", _r("quality").alias("quality"), "p_value"))(_results(s, d, depth=1, max_results=0)),
+     f"select conditions, quality, (select avg((x >= quality)::int)::double from (values (-0.0005::double), (0.0), (0.0001), (0.0002), (0.001)) as t(x)) as p_value from ({_conjunctions(False)})")
 _add("VA06_set_p", lambda s, d: s.createDataFrame([(validation.set_p(0.03, _QS),)], "p double"), "select avg((x > 0.03)::int)::double as p from (values (0.01::double), (0.03), (0.02), (0.05), (0.04)) as t(x)")
 _add("VA07_regression_test", lambda s, d: s.createDataFrame([(round(validation.regression_test([{"quality": x} for x in (0.1, 0.08, 0.02)], _QS, 2), 6),)], "score double"), "select round((0.09 - avg(x)) / stddev_samp(x), 6) as score from (values (0.01::double), (0.03), (0.02), (0.05), (0.04)) as t(x)")
 _add("VA08_threshold_from_randomisation", lambda s, d: s.createDataFrame([(validation.thresholds(validation.swap_randomised(_flags(s, d).drop("taxed"), R, _W, 3))[0.05],)], "threshold double"))
@@ -386,3 +413,22 @@ _add("IO13_gene_rank", lambda s, d: tables.enrich(_table(s, d, "part").select(F.
      "with m as (select p_brand, min(p_type[1:4]) as concept from part group by 1), c as (select p_type[1:4] as concept, count(*) / 100000::double as score from part group by 1) select p_partkey as gene, case when score > 0.01 then score else 0.0 end as score from part left join m using (p_brand) left join c using (concept)")
 _add("IO19_fold_extents", lambda s, d: post.extents(_li(s, d), _RES[:3], ["l_orderkey"], "train"), f"select 'train' as fold, l_orderkey, {', '.join(f'({c})::int as s{i}' for i, c in enumerate(_TEAM_SQL[:3], 1))} from lineitem")
 _add("IO20_discretised", lambda s, d: tables.discretised(_li(s, d, "l_orderkey", Q), Q, 4), "with g as (select l_quantity as v, count(*) as n from lineitem group by 1), k as (select distinct min(v) as cut from (select v, sum(n) over (order by v)::bigint as through, sum(n) over ()::bigint as total from g), (select unnest(range(1, 4)) as b) where through > total * b // 4 group by b) select l_orderkey, l_quantity, (1 + (select count(*) from k where l_quantity >= cut))::int as l_quantity_bin from lineitem")
+
+
+def _written(s: SparkSession, name: str, write: Callable[[str], None]) -> str:
+    """A new folder in the shared checkpoint folder with what is written there."""
+    path = f"{tables.shared_folder(s)}/{name}-{uuid.uuid4().hex}"
+    write(path)
+    return path
+
+
+_NATION = "select n_nationkey::double as n_nationkey, n_name, n_regionkey::double as n_regionkey from nation"
+_add("IO01_text", lambda s, d: text.read_text(s, _written(s, "text", lambda p: text.write_text(_table(s, d, "nation"), p))), _NATION)
+_add("IO02_delimiter", lambda s, d: text.read_text(s, _written(s, "tabs", lambda p: _table(s, d, "nation").coalesce(1).write.csv(p, header=True, sep="\t"))), _NATION)
+_add("IO05_fields", lambda s, d: text.read_text(s, _written(s, "quoted", lambda p: _table(s, d, "nation").select("n_nationkey", F.concat("n_name", F.lit(", x")).alias("n_name")).coalesce(1).write.csv(p, header=True, quoteAll=True))), "select n_nationkey::double as n_nationkey, n_name || ', x' as n_name from nation")
+_add("IO07_declared_types", lambda s, d: text.read_text(s, _written(s, "typed", lambda p: text.write_text(_table(s, d, "nation"), p)), {"n_regionkey": model.NOMINAL}), "select n_nationkey::double as n_nationkey, n_name, n_regionkey::varchar as n_regionkey from nation")
+_add("IO17_member_rows", lambda s, d: text.read_text(s, _written(s, "members", lambda p: text.write_text(_li(s, d, "l_orderkey", "l_linenumber", Q), p, model.conjunction((_C(Q, "<=", 5.0),))))), "select l_orderkey::double as l_orderkey, l_linenumber::double as l_linenumber, l_quantity from lineitem where l_quantity <= 5")
+_add("IO18_result_list", lambda s, d: s.read.csv(_written(s, "results", lambda p: text.write_results(discover(_flags(s, d), R, Settings(minimum=-1.0)), p)), sep="\t", header=True).select("conditions", F.col("coverage").cast("long").alias("coverage"), _r(F.col("quality").cast("double")).alias("quality")), f"select conditions, coverage, quality from ({_conjunctions(False)})")
+_add("IO14_concept_list", lambda s, d: runs.read_concept_list(s, _written(s, "concepts", lambda p: runs.write_concept_list(_table(s, d, "nation").select("n_name"), p))), "select n_name as concept from nation")
+_add("IO16_knowledge", lambda s, d: (lambda known: _li(s, d).agg(*(F.count_if(model.conjunction(c)).alias(f"n{i}") for i, c in enumerate(sorted(known, key=model.text_of)))))(runs.read_knowledge(s, _written(s, "knowledge", lambda p: s.createDataFrame([("l_quantity <= 5.0 AND l_returnflag = 'R'",), ("l_discount in (0.02, 0.05]",)], "value string").write.text(p)), {Q: model.NUMERIC, D: model.NUMERIC, "l_returnflag": model.NOMINAL})),
+     "select count(*) filter (l_discount > 0.02 and l_discount <= 0.05) as n0, count(*) filter (l_quantity <= 5 and l_returnflag = 'R') as n1 from lineitem")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sieveline import model
-from sieveline.functions import measures
+from sieveline.functions import kernels, measures
 from sieveline.model import Settings, Target
 from sieveline.operators import refine
 from sieveline.operators.stats import statistics
@@ -80,9 +80,28 @@ _PAIRS = [(0, 1), (0, 2), (1, 2)]
 _RANK = {"B": "1"} | {f"P_{i}_{j}": f"sign({_PLACE[j]} - {_PLACE[i]})" for i, j in _PAIRS}
 _RANK_WHOLE = "select count(*)::double as N, " + ", ".join(f"avg({_RANK[f'P_{i}_{j}']})::double as m_{i}_{j}" for i, j in _PAIRS) + " from src"
 
+def _bayes_sql() -> str:
+    """The Bayesian score of every half-interval."""
+    inner = scan_sql(_SRC, _N_PARTS, _N_WHOLE, "B", "0.0", "HB / B", "HB", ATTRIBUTES)
+    sums = "select r.*, tertiary + 1 as c, coverage - tertiary + 1 as d, H - tertiary + 1 as a, N - H - coverage + tertiary + 1 as b, N, H from rows_ r, (select count(*)::double as N, count(*) filter (l_returnflag = 'R')::double as H from lineitem)"
+    tail = lambda x: f"lgamma({x[2]} + k) + lgamma({x[3]} + {x[1]}) - lgamma({x[2]} + k + {x[3]} + {x[1]}) - ln({x[1]} + k) - lgamma(1.0 + k) - lgamma({x[1]}) + lgamma(1.0 + k + {x[1]}) - lgamma({x[2]}) - lgamma({x[3]}) + lgamma({x[2]} + {x[3]})"
+    side = lambda n, x: f"{n}0 as (select attr, op, v, {tail(x)} as t from (select *, unnest(range({x[0]}::bigint))::double as k from z)), {n}1 as (select attr, op, v, max(t) as m from {n}0 group by all), {n} as (select attr, op, v, any_value(m) + ln(sum(exp(t - m))) as {n} from {n}0 join {n}1 using (attr, op, v) group by all)"
+    beta = lambda p, q: f"(lgamma({p}) + lgamma({q}) - lgamma({p} + {q}))"
+    whole = f"({beta('c', 'd')} + {beta('a', 'b')} + ln(2.0))"
+    e, up, low = (f"ln({x})" for x in kernels.PRIORS)
+    x, y = f"({e} + {beta('c + a - 1', 'd + b - 1')})", f"({low} + {whole} + lo)"
+    score = f"{up} + {whole} + hi - (greatest({x}, {y}) + ln(1 + exp(-abs({x} - {y}))))"
+    return f"with rows_ as ({inner}), z as ({sums}), {side('hi', 'cdab')}, {side('lo', 'abcd')} select attr, op, v, coverage, round({score}, {DIGITS}) + 0.0 as quality, secondary, tertiary from z join hi using (attr, op, v) join lo using (attr, op, v)"
+
+
+def _erf_sql(x: str) -> str:
+    """The error function of a number from 0, as a sum of positive terms."""
+    return f"list_sum(list_transform(range(200), lambda n: exp((2 * n + 1) * ln(greatest({x}, 1e-300)) - lgamma(n + 1.5) - {x} * {x})))"
+
+
 _IDS = {
     "QN": list(measures.NOMINAL), "QU": list(measures.NUMERIC), "QR": list(measures.REGRESSION), "QB": list(measures.DOUBLE_BINARY), "QK": list(measures.ranking(3)),
-    "QC": ["correlation_r", "correlation_r_neg", "correlation_r_neg_sq", "correlation_r_sq", "correlation_distance", None, "correlation_entropy", "adapted_wracc", "costs_wracc", "cwtpd", "tmcc", "mcc", "pdc", "mvpdc"],
+    "QC": ["correlation_r", "correlation_r_neg", "correlation_r_neg_sq", "correlation_r_sq", "correlation_distance", "correlation_p", "correlation_entropy", "adapted_wracc", "costs_wracc", "cwtpd", "tmcc", "mcc", "pdc", "mvpdc"],
 }
 
 
@@ -91,12 +110,13 @@ def _entries() -> tuple[dict, dict]:
 
     def add(key: str, measure: str, table, target: Target, attributes: tuple[str, ...], parts: dict, source: str, whole: str, count: str, known: dict, secondary: str, tertiary: str) -> None:
         queries[key] = lambda spark, d: _numeric(scan(table(spark, d), target, attributes, measure))
-        sql[key] = scan_sql(source, parts, whole, count, known[measure].expression, secondary, tertiary, attributes)
+        e = known[measure].expression
+        if known[measure].call == "greater_tail":
+            e = f"coalesce(0.5 * (1 + {_erf_sql(f'(abs({e}) / sqrt(2.0))')}), 0.0)"
+        sql[key] = _bayes_sql() if measure == "bayesian_score" else scan_sql(source, parts, whole, count, e, secondary, tertiary, attributes)
 
     for prefix, names in _IDS.items():
         for i, m in enumerate(names, 1):
-            if m is None:
-                continue
             key = f"{prefix}-{i:02d}_{m}".replace("-", "")
             if prefix == "QN":
                 add(key, m, _lineitem, NOMINAL_TARGET, ATTRIBUTES, _N_PARTS, _SRC, _N_WHOLE, "B", measures.NOMINAL, "HB / B", "HB")

@@ -52,7 +52,7 @@ def from_xml(e: ET.Element) -> Run:
     for x in p:
         if x.tag in plain and x.tag != "beam_seed":
             old = getattr(settings, x.tag)
-            setattr(settings, x.tag, x.text == "True" if isinstance(old, bool) else float(x.text) if isinstance(old, float) or old is None else int(x.text) if isinstance(old, int) else x.text)
+            setattr(settings, x.tag, x.text == "True" if isinstance(old, bool) else float(x.text) if isinstance(old, float) or old is None else int(x.text) if isinstance(old, int) else x.text or "")
     columns = {c.get("name"): c.get("type") for c in table.findall("column")}
     return Run(target, settings, table.get("source"), columns, tuple(c.get("name") for c in table.findall("column") if c.get("enabled") == "false"))
 
@@ -109,6 +109,36 @@ def create_table_as(name: str, query: str) -> str:
     return f"CREATE TABLE {name} AS {query}"
 
 
+def _connection(spark: SparkSession, url: str):
+    return spark._jvm.java.sql.DriverManager.getConnection(url)
+
+
+def list_tables(spark: SparkSession, url: str) -> DataFrame:
+    """name and type (TABLE or VIEW) of a database's tables and views."""
+    connection = _connection(spark, url)
+    try:
+        kinds = spark.sparkContext._gateway.new_array(spark._jvm.java.lang.String, 2)
+        kinds[0], kinds[1] = "TABLE", "VIEW"
+        found, rows = connection.getMetaData().getTables(None, None, "%", kinds), []
+        while found.next():
+            rows.append((found.getString("TABLE_NAME"), found.getString("TABLE_TYPE")))
+    finally:
+        connection.close()
+    return spark.createDataFrame(sorted(rows), "name string, type string")
+
+
+def run_create_table_as(spark: SparkSession, name: str, query: str, url: str | None = None) -> None:
+    """Creates a table from a query: in Spark's catalog, or in a database whose dialect has the statement."""
+    if url is None:
+        spark.sql(create_table_as(name, query))
+        return
+    connection = _connection(spark, url)
+    try:
+        connection.createStatement().execute(create_table_as(name, query))
+    finally:
+        connection.close()
+
+
 def select_text(columns: list[str], table: str, where: list[str] = (), group: list[str] = (), order: list[str] = (), descending: bool = False) -> str:
     """A SELECT statement from its parts."""
     text = f"SELECT {', '.join(columns)} FROM {table}"
@@ -126,13 +156,17 @@ def parse_condition(text: str, types: dict[str, str]) -> Condition:
     if not m:
         raise ValueError(f"not a condition: {text}")
     name, op, value = m.groups()
-    if op == "in" and value.startswith("{"):
-        return Condition(name, model.ELEMENT_OF, frozenset(x for x in value.strip("{}").split(",")))
-    if op == "in":
+    kind = types.get(name, model.NOMINAL)
+    if op == "in" and not value.startswith("{"):
+        op = model.BETWEEN
+    if op not in model.VALID[kind]:
+        raise ValueError(f"{op} does not suit a {kind} attribute: {text}")
+    if op == model.ELEMENT_OF:
+        return Condition(name, op, frozenset(value.strip("{}").split(",")))
+    if op == model.BETWEEN:
         lo, hi = value.strip("()[] ").split(",")
-        return Condition(name, model.BETWEEN, (float(lo), float(hi)))
+        return Condition(name, op, (float(lo), float(hi)))
     value = value.strip("'")
-    kind = types.get(name, model.NOMINAL)
     return Condition(name, op, float(value) if kind == model.NUMERIC else value in ("1", "true") if kind == model.BINARY else value)
 
 
@@ -159,6 +193,11 @@ def read_beam_seed(spark: SparkSession, path: str, types: dict[str, str]) -> lis
     return out
 
 
+def read_concept_list(spark: SparkSession, path: str) -> DataFrame:
+    """(concept): the values of a concept list, blank lines left out."""
+    return spark.read.text(path).select(F.trim("value").alias("concept")).where("concept <> ''")
+
+
 def write_concept_list(df: DataFrame, path: str) -> None:
     """The first column's values, one a line."""
     df.select(F.col(df.columns[0]).cast("string")).write.text(path)

@@ -54,7 +54,7 @@ def test_predicates_and_missing(spark):
 
 
 def test_known_selection_case(small):
-    found = SubgroupDiscovery(small, Target("single_nominal", ("target",), "t"), Settings(measure="cortana_quality", minimum=0.1, max_results=2, min_coverage=2), selection=F.col("selector1") == "A").run()
+    found = SubgroupDiscovery(small, Target("single_nominal", ("target",), "t"), Settings(measure="normalised_wracc", minimum=0.1, max_results=2, min_coverage=2), selection=F.col("selector1") == "A").run()
     assert [model.text_of(r["conditions"]) for r in found] == ["id <= 2.0", "selector2 <= 2.0"]
     for r in found:
         assert r["coverage"] == 2 and r["quality"] == pytest.approx(0.6666667) and r["secondary"] == 1.0 and r["tertiary"] == 2.0
@@ -149,43 +149,189 @@ def test_validation(small, spark):
     assert len(validation.cross_validate(small, Target("single_nominal", ("target",), "t"), Settings(minimum=-1), 2)) == 2
 
 
+def counted(x):
+    return np.unique(x, axis=0, return_counts=True)
+
+
 def test_kernels():
     rng = np.random.default_rng(0)
-    x = rng.normal(size=400)
-    h = kernels.bandwidth(x)
-    grid = kernels.grid_of(x, h)
-    p = kernels.density(x, grid, h)
+    x, n = counted(np.round(rng.normal(size=400), 1))
+    rows = np.repeat(x, n)
+    h = kernels.bandwidth_of(400, rows.std(ddof=1), *np.percentile(rows, [25, 75]), x.min(), x.max())
+    grid = kernels.grid_of(x.min(), x.max(), h)
+    p = kernels.density(x, n, grid, h)
+    z = (grid[:, None] - rows[None, :]) / h
+    assert p == pytest.approx(np.where(np.abs(z) <= 4 + 1e-9, np.exp(-0.5 * z * z), 0).sum(axis=1) / (400 * h * math.sqrt(2 * math.pi)))
     assert p.sum() * (grid[1] - grid[0]) == pytest.approx(1, abs=0.01)
     assert kernels.divergence("squared_hellinger", p, p, 1.0) == 0
-    a, b = rng.normal(size=(80, 2)), rng.normal(2, 1, size=(90, 2))
-    assert kernels.divergence_2d("cwracc_unweighted_2d", a, b) > kernels.divergence_2d("cwracc_unweighted_2d", a, rng.normal(size=(90, 2)))
-    assert kernels.l2(a, b) > kernels.l2(a, a) - 1e-12
-    assert kernels.bayesian_score(100, 50, 20, 18) > 0 > kernels.bayesian_score(100, 50, 20, 10)
+    zero = np.array([0.0, 1.0]), np.array([1.0, 0.0])
+    assert kernels.divergence("kullback_leibler_2d", *zero, 1.0) == math.inf and kernels.divergence("kullback_leibler", np.array([0.5, 0.5]), zero[1], 1.0) == pytest.approx(math.log(2))
     counts = {0b00: 40, 0b11: 40, 0b01: 2, 0b10: 2}
     net = kernels.learn_network(counts, 2)
     assert len(net) == 1 and kernels.edit_distance(net, frozenset(), 2) == 1.0
-    assert kernels.v_structures(frozenset({(0, 2), (1, 2)})) == {(0, 1, 2)}
 
 
-def test_kernels_of_counted_values():
+def test_edit_distance_counts_a_pair_once():
+    """a -> c <- b and a -> d <- b make one v-structure of the pair; a connected pair makes none."""
+    one, two = frozenset({(0, 2), (1, 2), (0, 3), (1, 3)}), frozenset({(2, 0), (2, 1), (3, 0), (3, 1)})
+    assert kernels.v_structures(one) == {frozenset((0, 1))}
+    assert kernels.edit_distance(one, two, 4) == pytest.approx((1 + 1) / 6)  # the pairs (0, 1) and (2, 3)
+    assert kernels.edit_distance(one, one | {(0, 1)}, 4) == pytest.approx(1 / 6)
+
+
+def test_log_gamma_and_bayesian_score():
+    x = np.array([0.25, 1, 2.5, 9.99, 10, 77.5, 1e6])
+    assert kernels.log_gamma(x) == pytest.approx([math.lgamma(v) for v in x], rel=1e-13, abs=1e-12)
+
+    def brute(n, h, b, hb):
+        """Both models as integrals over a grid of rates."""
+        t = (np.arange(4000) + 0.5) / 4000
+        a = hb * np.log(t) + (b - hb) * np.log1p(-t)
+        c = (h - hb) * np.log(t) + (n - h - b + hb) * np.log1p(-t)
+        inside, outside = np.exp(a), np.exp(c)
+        below = np.cumsum(outside) - outside / 2
+        up, low = 2 * (inside * below).mean() / 4000, 2 * (inside * (outside.sum() - below)).mean() / 4000
+        same = np.exp(a + c).mean()
+        return math.log(up / (same + low))
+
+    for case in ((100, 50, 20, 18), (100, 50, 20, 10), (60, 20, 30, 2), (40, 10, 10, 10)):
+        assert kernels.bayesian_score(*case) == pytest.approx(brute(*case), abs=1e-3)
+    # ten times the evidence scores higher
+    assert kernels.bayesian_score(1000, 500, 200, 190) < kernels.bayesian_score(10000, 5000, 2000, 1900) < kernels.bayesian_score(60000, 30000, 12000, 11400)
+
+
+def test_kernel_functions_can_be_sent_to_tasks_at_any_time():
+    from pyspark import cloudpickle
+
+    kernels.bdeu({0: 3, 1: 2}, 0, ())
+    for f in vars(kernels).values():
+        if callable(f):
+            assert cloudpickle.loads(cloudpickle.dumps(f)) is not None
+
+
+@pytest.fixture(scope="module")
+def pairs(spark):
     rng = np.random.default_rng(1)
-    a, b = (np.stack((rng.integers(1, 51, n) * 1.0, np.round(rng.random(n) * 100 * s, 1)), axis=1) for n, s in ((900, 1.0), (2100, 0.9)))
-    (ua, ca), (ub, cb) = np.unique(np.concatenate((a, a[:400])), axis=0, return_counts=True), np.unique(b, axis=0, return_counts=True)
-    a = np.repeat(ua, ca, axis=0)
-    ca, cb = ca.astype(float), cb.astype(float)
-    assert len(ua) + len(ub) > 2000
-    both = np.concatenate((a, b))
-    scale = both.std(axis=0, ddof=1) * len(both) ** (-1 / 6) * np.sqrt(2)
-    mean = lambda x, y: np.exp(-0.5 * (((x[:, None, :] - y[None, :, :]) / scale) ** 2).sum(axis=2)).mean()
-    pairs = (mean(a, a) + mean(b, b) - 2 * mean(a, b)) / np.prod(scale * np.sqrt(2 * np.pi))
-    assert kernels.l2(ua, ub, ca, cb) == pytest.approx(pairs, rel=1e-9) == kernels.l2(a, b)
-    for m in kernels.DENSITY_2D:
-        assert kernels.divergence_2d(m, ua, ub, inside_counts=ca, outside_counts=cb) == pytest.approx(kernels.divergence_2d(m, a, b), rel=1e-9)
-    u, rows = np.concatenate((ua, ub)), np.arange(len(both)) < len(a)
-    assert kernels.cooks_distance(u[:, 0], u[:, 1], np.arange(len(u)) < len(ua), np.concatenate((ca, cb))) == pytest.approx(kernels.cooks_distance(both[:, 0], both[:, 1], rows), rel=1e-9)
-
-
-@pytest.mark.parametrize("name", ["QM08_l2", "QR05_cooks_distance"])
+    rows = [(float(rng.integers(1, 21)), float(np.round(rng.random() * 50 + (10 if i % 3 == 0 else 0), 0)), "xyz"[i % 3], float(i % 5)) for i in range(600)]
+    rows[7] = (None, 4.0, "x", 1.0)
+    return rows, spark.createDataFrame(rows, "p double, q double, k string, a double")
+
+
+def in_conditions(row, conditions):
+    return all({"k": row[2], "a": row[3]}[c.attribute] == c.value if c.operator == "=" else {"a": row[3]}[c.attribute] <= c.value if c.operator == "<=" else {"a": row[3]}[c.attribute] >= c.value for c in conditions)
+
+
+def split_by(rows, conditions, columns):
+    rows = [r for r in rows if all(r[c] is not None for c in columns)]
+    take = lambda keep: np.array([[r[c] for c in columns] for r in rows if in_conditions(r, conditions) == keep], float)
+    return take(True), take(False)
+
+
+@pytest.mark.parametrize("measure", ["l2", "squared_hellinger_2d", "kullback_leibler_weighted_2d", "cwracc_2d"])
+def test_pair_measures_match_brute_force(pairs, measure):
+    rows, df = pairs
+    found = SubgroupDiscovery(df, Target("multi_numeric", ("p", "q")), Settings(measure=measure, minimum=float("-inf"), numeric_strategy="all"), types={"k": "nominal", "a": "numeric"}).run()
+    assert len(found) == 3 + 8
+    for r in found:
+        x, y = split_by(rows, r["conditions"], (0, 1))
+        if measure == "l2":
+            scale = np.sqrt(sum((len(z) ** (-1 / 6) * z.std(axis=0, ddof=1)) ** 2 for z in (x, y)))
+            sums = np.exp(-0.5 * (((x[:, None, :] - y[None, :, :]) / scale) ** 2).sum(axis=2)).sum()
+            want = sums / (2 * math.pi * np.prod(scale) * math.sqrt(len(x) * len(y)))
+        else:
+            ha, hb = (np.cov(z, rowvar=False) * len(z) ** (-1 / 3) for z in (x, y))
+            both, reach = np.concatenate((x, y)), 3 * np.sqrt(np.maximum(np.diag(ha), np.diag(hb)))
+            axes = [np.linspace(both[:, i].min() - reach[i], both[:, i].max() + reach[i], 40) for i in (0, 1)]
+            grid = np.array([(a, b) for a in axes[0] for b in axes[1]])
+
+            def density(z, h):
+                d = grid[:, None, :] - z[None, :, :]
+                return np.exp(-0.5 * np.einsum("gni,ij,gnj->gn", d, np.linalg.inv(h), d)).sum(axis=1) / (len(z) * 2 * math.pi * math.sqrt(np.linalg.det(h)))
+
+            q, p, cell = density(x, ha), density(y, hb), (axes[0][1] - axes[0][0]) * (axes[1][1] - axes[1][0])
+            share = len(x) / len(both)
+            want = cell * {"squared_hellinger_2d": 0.5 * ((np.sqrt(p) - np.sqrt(q)) ** 2).sum(), "kullback_leibler_weighted_2d": share * (q * np.log(q / p)).sum(), "cwracc_2d": share * np.abs(p - q).sum()}[measure]
+        assert r["quality"] == pytest.approx(want, rel=1e-6)
+
+
+@pytest.mark.parametrize("measure", ["squared_hellinger", "kullback_leibler_weighted", "cwracc_unweighted"])
+def test_density_measures_match_brute_force(pairs, measure):
+    rows, df = pairs
+    found = SubgroupDiscovery(df, Target("single_numeric", ("p",)), Settings(measure=measure, minimum=float("-inf"), numeric_strategy="all"), types={"k": "nominal", "a": "numeric"}).run()
+    every = np.array([r[0] for r in rows if r[0] is not None])
+    h = kernels.bandwidth_of(len(every), every.std(ddof=1), *np.percentile(every, [25, 75]), every.min(), every.max())
+    grid = kernels.grid_of(every.min(), every.max(), h)
+    p = kernels.density(every, np.ones(len(every)), grid, h)
+    assert len(found) == 11
+    for r in found:
+        x = split_by(rows, r["conditions"], (0,))[0][:, 0]
+        assert r["quality"] == pytest.approx(kernels.divergence(measure, p, kernels.density(x, np.ones(len(x)), grid, h), len(x) / len(every)), rel=1e-9)
+        assert r["secondary"] == pytest.approx(x.mean()) and r["tertiary"] == pytest.approx(x.std(ddof=1))
+
+
+def test_rank_measures_match_brute_force(pairs):
+    rows, df = pairs
+    every = sorted(r[0] for r in rows if r[0] is not None)
+    rank = {v: np.mean([i for i, x in enumerate(every, 1) if x == v]) for v in set(every)}
+    for measure in ("auc", "mmad"):
+        found = SubgroupDiscovery(df, Target("single_ordinal", ("p",)), Settings(measure=measure, minimum=float("-inf"), numeric_strategy="all"), types={"k": "nominal", "a": "numeric"}).run()
+        assert len(found) == 11
+        for r in found:
+            x, y = (z[:, 0] for z in split_by(rows, r["conditions"], (0,)))
+            own = np.array([rank[v] for v in x])
+            med = np.median(own)
+            want = len(x) / (2 * med + np.median(np.abs(own - med))) if measure == "mmad" else np.mean([(a < b) + 0.5 * (a == b) for a in x for b in y])
+            assert r["quality"] == pytest.approx(want, rel=1e-9)
+
+
+def test_tail_and_cook_match_brute_force(pairs):
+    rows, df = pairs
+    for kind, measure in (("double_correlation", "correlation_p"), ("double_regression", "cooks_distance")):
+        found = SubgroupDiscovery(df, Target(kind, ("p", "q")), Settings(measure=measure, minimum=float("-inf"), numeric_strategy="all"), types={"k": "nominal", "a": "numeric"}).run()
+        assert len(found) == 11
+        for r in found:
+            x, y = split_by(rows, r["conditions"], (0, 1))
+            if measure == "correlation_p":
+                z = abs(math.atanh(np.corrcoef(x.T)[0, 1]) - math.atanh(np.corrcoef(y.T)[0, 1])) / (1 / math.sqrt(len(x) - 3) + 1 / math.sqrt(len(y) - 3))
+                want = 0.5 * (1 + math.erf(z / math.sqrt(2)))
+            else:
+                both = np.concatenate((x, y))
+                a = np.stack((np.ones(len(both)), both[:, 0]), axis=1)
+                beta = np.linalg.lstsq(a, both[:, 1], rcond=None)[0]
+                d = beta - np.linalg.lstsq(np.stack((np.ones(len(y)), y[:, 0]), axis=1), y[:, 1], rcond=None)[0]
+                want = d @ a.T @ a @ d / (2 * ((both[:, 1] - a @ beta) ** 2).sum() / (len(both) - 2))
+            assert r["quality"] == pytest.approx(want, rel=1e-6)
+
+
+def test_best_interval_by_corners_equals_all_pairs(spark):
+    from sieveline.operators import refine
+
+    rng = np.random.default_rng(5)
+    for n in (1, 2, 3, 40):
+        p = np.concatenate(([[0.0, 0.0]], np.cumsum(np.stack((rng.integers(1, 5, n), rng.integers(0, 3, n)), axis=1), axis=0))).astype(float)
+        pairs = refine.extreme_intervals(p)
+        every = [(i, j) for i in range(len(p)) for j in range(i + 1, len(p))]
+        assert set(pairs) <= set(every)
+        for w in rng.normal(size=(50, 2)):
+            assert max((p[j] - p[i]) @ w for i, j in pairs) == pytest.approx(max((p[j] - p[i]) @ w for i, j in every))
+    df = spark.createDataFrame([(float(rng.integers(0, 60)), float(rng.normal()), bool(rng.random() < 0.3 + 0.3 * (i % 7 == 0))) for i in range(400)], "x double, y double, t boolean")
+    for measure in ("wracc", "chi_squared", "information_gain"):
+        run = lambda **kw: SubgroupDiscovery(df, Target("single_nominal", ("t",)), Settings(measure=measure, minimum=float("-inf"), min_coverage=1, **kw)).run()
+        found = run(numeric_strategy="intervals")
+        every = run(numeric_strategy="all", numeric_operators="intervals")
+        for a in "xy":
+            best = lambda rs: max(r["quality"] for r in rs if r["conditions"][0].attribute == a)
+            assert best(found) == pytest.approx(best(every))
+
+
+def test_best_interval_of_many_values_ends(spark):
+    df = spark.range(0, 200_000, 1, 4).selectExpr("id * 1.0 as x", "pmod(xxhash64(id), 3) = 0 or id between 50000 and 90000 as t")
+    (best,) = SubgroupDiscovery(df, Target("single_nominal", ("t",)), Settings(measure="wracc", numeric_strategy="intervals", minimum=0.0)).run()
+    lo, hi = best["conditions"][0].value
+    assert abs(lo - 50000) < 50 and abs(hi - 90000) < 50
+
+
+@pytest.mark.parametrize("name", ["QM08_l2", "QU16_squared_hellinger"])
 def test_measures_of_pairs_see_every_row(spark, name):
     from sieveline.plans import catalog
 
@@ -204,7 +350,7 @@ def test_kernel_search_keeps_the_strategy(spark):
     assert len(best) == 2 and best[0]["quality"] == max(r["quality"] for r in every)
     assert len(run(numeric_strategy="intervals", numeric_operators="intervals", max_results=0)) == 1 and len(run(numeric_strategy="bins", numeric_operators="leq")) == 7
     with pytest.raises(ValueError):
-        SubgroupDiscovery(df, Target("single_ordinal", ("t",)), Settings(measure="auc", nominal_sets=True), types={"s": "nominal"}).run()
+        SubgroupDiscovery(df, Target("single_ordinal", ("t",)), Settings(measure="mmad", nominal_sets=True), types={"s": "nominal"}).run()
 
 
 def test_score_order_and_sort_take_every_row(spark):
@@ -262,3 +408,106 @@ def test_bucketed_running_sums_equal_plain_ones(spark, monkeypatch):
     for strategy in ("all", "bins"):
         rows = [sorted((r.attr, r.op, r.v, r.coverage, round(r.quality, 9)) for r in refine.level(df, [()], types, stats, Settings(numeric_strategy=strategy), w).collect()) for w in (wide, None)]
         assert rows[0] == rows[1] and rows[0]
+
+
+def test_roc_and_cover_beams_see_every_candidate(spark):
+    """Against a plain search in Python, with a beam that binds."""
+    rng = np.random.default_rng(11)
+    rows = [("abcdefgh"[rng.integers(0, 8)], "uvwxyz"[rng.integers(0, 6)], "klmno"[rng.integers(0, 5)]) for _ in range(500)]
+    rows = [(*r, bool(rng.random() < (0.7 if r[0] == "a" or r[1] == "u" else 0.25))) for r in rows]
+    df = spark.createDataFrame(rows, "a string, b string, c string, t boolean")
+    n, h = len(rows), sum(r[3] for r in rows)
+    single = [("abc"[i], v) for i in range(3) for v in sorted({r[i] for r in rows})]
+    cover = {x: {k for k, r in enumerate(rows) if r["abc".index(x[0])] == x[1]} for x in single}
+    score = lambda own: sum(rows[k][3] for k in own) / n - h / n * len(own) / n
+
+    def expected(beam):
+        out = {(x,) for x in single}
+        for x in beam:
+            for y in single:
+                both = cover[x] & cover[y]
+                if x[0] != y[0] and len(both) >= 2 and len(both) < len(cover[x]):
+                    out.add(tuple(sorted((x, y))))
+        return out
+
+    def run(**kw):
+        found = SubgroupDiscovery(df, Target("single_nominal", ("t",)), Settings(depth=2, minimum=-1.0, **kw)).run()
+        return {tuple((c.attribute, c.value) for c in r["conditions"]) for r in found}
+
+    points = {x: ((len(cover[x]) - sum(rows[k][3] for k in cover[x])) / (n - h), sum(rows[k][3] for k in cover[x]) / h) for x in single}
+    corners = set(post.roc_hull(list(points.values())))
+    hull = [x for x in single if points[x] in corners and points[x][0] > 0]
+    assert hull and run(strategy="roc", width=1) == expected(hull)
+    times, chosen = [0] * n, []
+    for _ in range(3):
+        best = max((x for x in single if x not in chosen), key=lambda x: score(cover[x]) * sum(0.9 ** times[k] for k in cover[x]) / len(cover[x]))
+        chosen.append(best)
+        for k in cover[best]:
+            times[k] += 1
+    assert run(strategy="cover", width=3) == expected(chosen)
+
+
+def test_depth_two_bounds_count_different_descriptions(spark):
+    """Many conditions that imply each other must not fill a bounded result list."""
+    df = spark.createDataFrame([(float(i % 40), float(i % 7), i % 40 < 9 and i % 7 > 2) for i in range(560)], "x double, y double, t boolean")
+    run = lambda k: SubgroupDiscovery(df, Target("single_nominal", ("t",)), Settings(depth=2, max_results=k, numeric_strategy="all", minimum=0.0)).run()
+    every, few = run(0), run(15)
+    assert len({r["conditions"] for r in every}) == len(every) > 100
+    assert [(r["conditions"], round(r["quality"], 9)) for r in few] == [(r["conditions"], round(r["quality"], 9)) for r in every[:15]]
+
+
+def test_p_values(spark, small):
+    kw = dict(measure="wracc", minimum=-1.0, min_coverage=1, p_values="empirical", repeats=20, seed=3)
+    for kind in ("swap", "subsets", "descriptions"):
+        found = SubgroupDiscovery(small, Target("single_nominal", ("target",), "t"), Settings(randomised=kind, **kw | ({"repeats": 3} if kind == "swap" else {}))).run()
+        assert found and all(0 <= r["p_value"] <= 1 for r in found)
+        assert [r["p_value"] for r in found] == sorted(r["p_value"] for r in found)
+    qualities = [0.0, 0.1, 0.2, 0.3]
+    (a,) = validation.assign_p_values(small, None, Settings(p_values="empirical"), [{"quality": 0.2}], qualities)
+    (b,) = validation.assign_p_values(small, None, Settings(p_values="gaussian"), [{"quality": 0.15}], qualities)
+    assert a["p_value"] == 0.5 and b["p_value"] == pytest.approx(0.5)
+
+
+def test_propensity_of_known_descriptions(spark):
+    rows = [("ab"[i % 2], "xyz"[i % 3], (i * 7) % 10 < (6 if i % 2 else 3)) for i in range(600)]
+    df = spark.createDataFrame(rows, "k string, s string, t boolean")
+    found = SubgroupDiscovery(df, Target("single_nominal", ("t",)), Settings(measure="prop_score_wracc", minimum=-1.0), types={"s": "nominal"}, knowledge=[(Condition("k", "=", "a"),)]).run()
+    rate = {k: np.mean([r[2] for r in rows if r[0] == k]) for k in "ab"}
+    for r in found:
+        own = [x for x in rows if x[1] == r["conditions"][0].value]
+        want = (np.mean([x[2] for x in own]) - np.mean([rate[x[0]] for x in own])) * len(own) / len(rows)
+        assert r["quality"] == pytest.approx(want, abs=1e-4)
+
+
+def test_network_rescoring(spark):
+    rng = np.random.default_rng(2)
+    rows = [(bool(a), bool(a ^ (rng.random() < (0.05 if i % 2 else 0.5))), "uv"[i % 2]) for i, a in enumerate(rng.integers(0, 2, 400))]
+    df = spark.createDataFrame(rows, "p boolean, q boolean, k string")
+    target = Target("multi_label", ("p", "q"))
+    results = [{"conditions": (Condition("k", "=", v),), "quality": 0.0, "coverage": 200} for v in "uv"]
+    found = post.rescored_by_networks(df, target, results, "edit_distance", 3)
+    counts = lambda keep: {m: sum(int(a) + 2 * int(b) == m for a, b, k in rows if keep(k)) for m in range(4)}
+    learn = lambda c, seeds: [kernels.learn_network({k: n for k, n in c.items() if n}, 2, s) for s in seeds]
+    for r in found:
+        v = r["conditions"][0].value
+        want = np.mean([kernels.edit_distance(a, b, 2) for a in learn(counts(lambda k: True), range(3)) for b in learn(counts(lambda k: k == v), range(3, 6))])
+        assert r["quality"] == pytest.approx(want)
+    assert [r["quality"] for r in found] == sorted((r["quality"] for r in found), reverse=True)
+
+
+def test_database_tables_and_statement(spark):
+    url = "jdbc:derby:memory:sieve;create=true"
+    spark.createDataFrame([(1, "a"), (2, "b")], "k int, s string").write.format("jdbc").options(url=url, dbtable="things").save()
+    assert ("THINGS", "TABLE") in {tuple(r) for r in runs.list_tables(spark, url).collect()}
+    assert sorted(r[0] for r in runs.read_jdbc(spark, url, "things").collect()) == [1, 2]
+    spark.createDataFrame([(5,)], "k int").createOrReplaceTempView("fives")
+    spark.sql("drop table if exists sieve_made")
+    runs.run_create_table_as(spark, "sieve_made", "select k + 1 as k from fives")
+    assert [r[0] for r in spark.table("sieve_made").collect()] == [6]
+    spark.sql("drop table sieve_made")
+
+
+def test_operators_must_suit_types():
+    with pytest.raises(ValueError):
+        runs.parse_condition("s <= 3", {"s": "nominal"})
+    assert runs.parse_condition("x in (1.0, 2.0]", {"x": "numeric"}).operator == "between"
