@@ -7,8 +7,11 @@ Two different texts get one node with probability n^2 / 2^65.
 
 from __future__ import annotations
 
+import ctypes
+import re
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -25,11 +28,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared folder; only where none is named (tests) a temporary one."""
+    """Use the cluster's shared folder. Where none is named, a local session (tests) takes a temporary one; a cluster has no folder that all can read."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+        raise ValueError("name a folder that driver and executors share in spark.checkpoint.dir")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="sieveline-checkpoint-"))
 
 
@@ -67,7 +72,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """64-bit hash of a word, remembered; emptied when it holds too many words."""
 
-    LIMIT = 400_000
+    LIMIT = 100_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:
@@ -105,6 +110,57 @@ def sliding_min(h: np.ndarray, w: int) -> np.ndarray:
     return out[:n]
 
 
+def give_back() -> None:
+    """Return what this worker process has freed to the system: it lives on for other stages, beside those of other cores."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def lean(run: Callable) -> Callable:
+    """A mapInArrow function that gives memory back after its partition."""
+
+    @wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped
+
+
+def lean_group(run: Callable) -> Callable:
+    """An applyInArrow function that gives memory back after a group."""
+
+    @wraps(run)
+    def wrapped(data: pa.Table) -> pa.Table:
+        try:
+            return run(data)
+        finally:
+            give_back()
+
+    return wrapped
+
+
+def scratch(df: DataFrame, *names: str) -> list[str]:
+    """Column names made of these that the table does not have."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """Broadcast a table of narrow rows that is counted to have at most so many; leave others to a shuffled join."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def text_chunks(batches: Iterator[pa.RecordBatch], limit: int = 4 << 20, column: str = "text") -> Iterator[tuple[pa.RecordBatch, list]]:
     """Slices of the batches of about ``limit`` bytes of text (one row at least), with their texts."""
     for batch in batches:
@@ -118,6 +174,17 @@ def text_chunks(batches: Iterator[pa.RecordBatch], limit: int = 4 << 20, column:
             yield part, part.column(column).to_pylist()
 
 
+def few_at_once(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...], limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches of about ``limit`` bytes in these columns (one row at least)."""
+    for batch in batches:
+        if batch.num_rows:
+            size = sum(np.asarray(pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False), dtype=np.int64) for c in columns)
+            group = np.cumsum(size + 64) // limit
+            starts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(starts, starts[1:]):
+                yield batch.slice(a, b - a)
+
+
 def slices(counts: np.ndarray) -> np.ndarray:
     """Offsets of runs with these lengths."""
     out = np.zeros(len(counts) + 1, np.int64)
@@ -129,18 +196,19 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     """(node, label): the smallest node of each connected component of an undirected edge list.
 
     Alternates large-star and small-star steps; each round is a shuffle of the
-    remaining links and ends in the shared checkpoint folder. A node with very
-    many links is only ever aggregated by min, with a partial aggregate first.
+    remaining links and ends in the shared checkpoint folder. Minima of a node's
+    links have a partial aggregate; they are dealt anew before they meet the links
+    again, so that both sides of that join are plain exchanges, which adaptive
+    execution splits where one node has very many links.
     """
-    spark = edges.sparkSession
     links = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     links = cut(links)
-    last = None
+    parts, last = partitions(links.sparkSession), None
     for _ in range(rounds):
         both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).repartition(parts)
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low2 = large.groupBy("u").agg(F.min("v").alias("m"))
+        low2 = large.groupBy("u").agg(F.min("v").alias("m")).repartition(parts)
         small = large.join(low2, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         links = cut(small.where("u <> v").distinct())
         state = links.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("long"))).first()

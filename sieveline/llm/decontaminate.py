@@ -3,15 +3,17 @@
 Every window of ``span`` words holds ``span - k + 1`` k-grams; the one with
 the least hash is its fingerprint. Equal windows have equal fingerprints, so a
 join of the distinct fingerprints of documents and benchmark finds every
-document that shares a window. Those hits are then extended: only windows
-around a matching k-gram are cut out and compared, as text, with the
-benchmark's windows. An item of fewer than ``span`` words is one window; its
-length is compared at every position.
+document that shares a window. Those hits are then extended: the documents that
+have any are taken apart into k-grams once more, these are joined with the
+document's matches by hash, and only windows around a matching k-gram are cut out
+and compared, as text, with the benchmark's windows. An item of fewer than
+``span`` words is one window; its length is compared at every position.
 
 Words are maximal runs of characters other than ASCII non-alphanumerics, with
 A-Z lower-cased. Null or empty text has no words. Null ids stay in the result;
 a benchmark item without words matches nothing; repeated rows keep one result
-row each; equal item ids count once. Extra columns are ignored.
+row each; equal item ids count once, and items without an id are found but not
+listed. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import cut, node_of, table, text_or_empty
+from sieveline.llm.common import cut, node_of, partitions, scratch, small, table, text_or_empty
 
 SPAN, GRAM = 10, 5
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -50,10 +52,9 @@ def _fingerprints(df: DataFrame, short: list[int], span: int, k: int) -> DataFra
     return df.withColumn("fps", F.array_distinct(fps))
 
 
-def _short_hits(n: Column, size: int) -> Column:
-    """Spans (start, len) of windows of a short length whose hash is among hits."""
-    spans = F.transform(_positions(n, size), lambda i: F.struct(i.alias("start"), F.lit(size).alias("len")))
-    return F.filter(spans, lambda x: F.array_contains("hits", F.xxhash64(F.lit(size), F.slice("words", x["start"], size))))
+def _places(size: int, tag: int) -> Column:
+    """(len, start, fp) of every run of ``size`` words; len is the tag, 0 for k-grams."""
+    return F.transform(_positions(F.size("words"), size), lambda i: F.struct(F.lit(tag).alias("len"), i.alias("start"), F.xxhash64(F.lit(tag), F.slice("words", i, size)).alias("fp")))
 
 
 def benchmark_windows(benchmark: DataFrame, span: int = SPAN) -> DataFrame:
@@ -63,11 +64,6 @@ def benchmark_windows(benchmark: DataFrame, span: int = SPAN) -> DataFrame:
     return items.select("item_id", "len", F.explode(F.transform(starts, lambda i: F.slice("w", i, F.col("len")))).alias("words"))
 
 
-def _small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast what is counted to be small; leave the rest to a shuffled join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def contamination(documents: DataFrame, benchmark: DataFrame, span: int = SPAN, k: int = GRAM) -> DataFrame:
     """One row per document row: doc_id, node, n_words, n_hit, items (sorted distinct item ids as strings)."""
     windows = benchmark_windows(benchmark, span)
@@ -79,34 +75,38 @@ def contamination(documents: DataFrame, benchmark: DataFrame, span: int = SPAN,
 
     docs = documents.select("doc_id", node_of().alias("node"), words_of().alias("words"))
     docs = _fingerprints(docs, short, span, k).select("doc_id", "node", F.size("words").alias("n_words"), F.explode(F.concat(F.array(F.lit(None).cast("bigint")), "fps")).alias("fp"))
-    joined = docs.join(_small(tests.withColumn("found", F.lit(True))), "fp", "left").where("fp is null or found")
+    joined = docs.join(small(tests.withColumn("found", F.lit(True)), BROADCAST_ROWS), "fp", "left").where("fp is null or found")
     per_doc = cut(joined.groupBy("doc_id", "node", "n_words").agg(F.collect_set("fp").alias("hits"), F.count_if(F.col("fp").isNull()).alias("copies")))
 
-    suspects = per_doc.where(F.size("hits") > 0).groupBy("node").agg(F.first("hits").alias("hits"))
-    suspects = cut(suspects)
-    texts = documents.select(node_of().alias("node"), F.col("text")).join(_small(suspects, 20_000), "node").groupBy("node").agg(F.first("text").alias("text"), F.first("hits").alias("hits"))
-    cand = texts.select("node", "hits", words_of().alias("words")).withColumn("grams", _gram_hashes("words", k, 0))
-    n = F.size("words")
-    near = F.filter(_positions(n, k), lambda i: F.array_contains("hits", F.get("grams", i - 1)))
-    around = F.flatten(F.transform(near, lambda p: F.when(n >= span, F.sequence(F.greatest(p - (span - k), F.lit(1)), F.greatest(F.least(p, n - (span - 1)), F.greatest(p - (span - k), F.lit(1))))).otherwise(F.array().cast("array<int>"))))
-    pieces = [F.transform(F.array_distinct(F.filter(around, lambda s: s <= n - (span - 1))), lambda s: F.struct(s.alias("start"), F.lit(span).alias("len")))]
-    pieces += [_short_hits(n, size) for size in short]
-    cut_out = F.transform(F.concat(*pieces), lambda x: F.struct(x["start"].alias("start"), x["len"].alias("len"), F.concat_ws(" ", F.slice("words", x["start"], x["len"])).alias("win")))
-    found = cand.select("node", F.explode(cut_out).alias("x")).select("node", "x.start", "x.len", "x.win")
+    # each suspect text once: its k-grams and short windows by place, then those among its matches
+    hits = cut(per_doc.where(F.size("hits") > 0).select("node", F.explode("hits").alias("fp")).distinct())
+    suspects = hits.select("node").distinct()
+    texts = documents.select(node_of().alias("node"), "text").join(small(suspects, BROADCAST_ROWS), "node").groupBy("node").agg(F.first("text").alias("text"))
+    cand = texts.select("node", words_of("text").alias("words"))
+    places = [_places(size, tag) for size, tag in [(k, 0), *((size, size) for size in short)]]
+    met = cand.select("node", F.size("words").alias("n"), F.explode(F.concat(*places)).alias("x")).select("node", "n", "x.len", "x.start", "x.fp").join(hits, ["node", "fp"])
+    first, last = F.greatest(F.col("start") - (span - k), F.lit(1)), F.least("start", F.col("n") - (span - 1))
+    around = F.when(F.col("len") > 0, F.array("start")).when(first <= last, F.sequence(first, last))
+    starts = met.select("node", F.when(F.col("len") > 0, F.col("len")).otherwise(span).alias("len"), F.explode(around).alias("start")).distinct()
+    starts = starts.groupBy("node").agg(F.collect_list(F.struct("start", "len")).alias("starts"))  # at most some for each word of one text
+    cut_out = F.transform("starts", lambda x: F.struct(x["start"].alias("start"), x["len"].alias("len"), F.concat_ws(" ", F.slice("words", x["start"], x["len"])).alias("win")))
+    found = cand.join(starts, "node").select("node", F.explode(cut_out).alias("x")).select("node", "x.start", "x.len", "x.win")
     by_window = windows.select("item_id", "len", F.concat_ws(" ", "words").alias("win")).groupBy("win", "len").agg(F.collect_set(F.col("item_id").cast("string")).alias("items"))
     matched = found.join(by_window, ["win", "len"])
     hit = matched.groupBy("node").agg(
         F.array_distinct(F.flatten(F.collect_set(F.sequence(F.col("start"), F.col("start") + F.col("len") - 1)))).alias("hit_words"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
     )
-    out = per_doc.join(hit, "node", "left").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    # dealt anew, so that adaptive execution can split the rows of one text
+    out = per_doc.drop("hits").join(hit.repartition(partitions(documents.sparkSession)), "node", "left").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return out.select("doc_id", "node", F.col("n_words").cast("long"), F.coalesce(F.size("hit_words"), F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
 def clean(documents: DataFrame, benchmark: DataFrame, span: int = SPAN, k: int = GRAM) -> DataFrame:
     """Documents without those that hold a benchmark window; columns unchanged."""
-    hit = cut(contamination(documents, benchmark, span, k).where("n_hit > 0").select("node").distinct())
-    return documents.withColumn("__node", node_of()).join(_small(hit.withColumnRenamed("node", "__node")), "__node", "left_anti").select(*documents.columns)
+    node = scratch(documents, "node")[0]
+    hit = cut(contamination(documents, benchmark, span, k).where("n_hit > 0").select(F.col("node").alias(node)).distinct())
+    return documents.withColumn(node, node_of()).join(small(hit, BROADCAST_ROWS), node, "left_anti").select(*documents.columns)
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,29 +8,30 @@ numpy by backpropagation through time with Adam, on windows of a bounded
 sample of labelled rows: about ``DOCS_PER_LANG`` documents of each language and
 ``WINDOWS_PER_DOC`` windows of each.
 
-A text without letters (null and empty ones too) is ``und`` with score 0. If no
-row is labelled every text is ``und``. Ids may be null or repeat; extra columns
-are ignored; equal texts get one label.
+A text without letters (characters of a Unicode letter category; null and empty
+texts have none) is ``und`` with score 0. If no row is labelled every text is
+``und``. Ids may be null (held out, as in ``held_out``) or repeat; columns of the
+names that are added are replaced, other extra columns stay; equal texts get one
+label.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
-from sieveline.llm.common import held_out, table, text_chunks, text_or_empty
+from sieveline.llm.common import held_out, lean, scratch, table, text_chunks
 
 HIDDEN, WINDOW, BATCH = 8, 128, 4096
+#: Bytes of text labelled at once.
+TEXT_BYTES = 2 << 20
 DOCS_PER_LANG, WINDOWS_PER_DOC = 400, 3
 EPOCHS, STEP_BATCH, RATE, SEED = 6, 128, 0.02, 17
 #: A rejected document has no letters or a score below this.
 LEAST_SCORE = 0.5
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 class BiGRU:
@@ -196,8 +197,9 @@ def fit(documents: DataFrame, per_lang: int = DOCS_PER_LANG) -> BiGRU | None:
     if not counts:
         return None
     share = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, int(min(1.0, per_lang / n) * (1 << 30)))))
-    rows = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 30)) < share[F.col("lang")]).select("doc_id", "lang", "text")
+    rows = rows.where(F.pmod(F.xxhash64("doc_id", "text", F.lit(SEED)), F.lit(1 << 30)) < share[F.col("lang")]).select("doc_id", "lang", "text")
 
+    @lean
     def pick(batches):
         for batch, texts in text_chunks(batches):
             out = []
@@ -208,7 +210,10 @@ def fit(documents: DataFrame, per_lang: int = DOCS_PER_LANG) -> BiGRU | None:
                 out += [(lang, data[a : a + WINDOW]) for a in sorted(set(starts.tolist())) if data]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.binary())], names=["lang", "window"])
 
-    sample = sorted((lang, bytes(w)) for lang, w in rows.mapInArrow(pick, "lang string, window binary").collect())
+    picked = rows.mapInArrow(pick, "lang string, window binary")
+    # rows may be copies of each other: at most twice the expected sample comes to the driver
+    picked = picked.orderBy(F.xxhash64("window"), "window", "lang").limit(2 * per_lang * WINDOWS_PER_DOC * len(counts))
+    sample = sorted((lang, bytes(w)) for lang, w in picked.collect())
     languages = sorted({lang for lang, _ in sample})
     if not languages:
         return None
@@ -217,13 +222,19 @@ def fit(documents: DataFrame, per_lang: int = DOCS_PER_LANG) -> BiGRU | None:
     return BiGRU(languages).train(x, lengths, y)
 
 
-def identify(documents: DataFrame, model: BiGRU | None) -> DataFrame:
-    """All columns of documents and lang_pred, score, position_labels (positions by label, in the order of the model's languages)."""
+#: Columns that ``identify`` adds.
+ADDED = ("lang_pred", "score", "position_labels")
+
+
+def identify(documents: DataFrame, model: BiGRU | None, names: tuple[str, str, str] = ADDED) -> DataFrame:
+    """All columns of documents and, under these names, language, score and positions by label (in the order of the model's languages)."""
     languages = model.languages if model else []
+    documents = documents.drop(*names).withColumn("text", F.col("text").cast("string"))
 
+    @lean
     def label(batches):
-        for batch, texts in text_chunks(batches, column="__text"):
-            data = [t.encode("utf-8", "surrogatepass") if t and _LETTER.search(t) else b"" for t in texts]
+        for batch, texts in text_chunks(batches, TEXT_BYTES):
+            data = [t.encode("utf-8", "surrogatepass") if t and any(map(str.isalpha, t)) else b"" for t in texts]
             n = len(data)
             probs, labels = np.zeros((n, max(1, len(languages)))), np.zeros((n, max(1, len(languages))))
             x, lengths, owner = windows_of(data)
@@ -235,15 +246,12 @@ def identify(documents: DataFrame, model: BiGRU | None) -> DataFrame:
             mean = probs / total[:, None]
             best = mean.argmax(axis=1)
             found = [bool(d) and model is not None for d in data]
-            columns = [c for c in batch.schema.names if c != "__text"]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in columns), pa.array([languages[b] if f else "und" for b, f in zip(best.tolist(), found)], pa.string()),
+                [*batch.columns, pa.array([languages[b] if f else "und" for b, f in zip(best.tolist(), found)], pa.string()),
                  pa.array(np.where(found, np.clip(np.round(mean[np.arange(n), best], 6), 0, 1), 0.0)), pa.array(labels.astype(np.int64).tolist(), pa.list_(pa.int64()))],
-                names=[*columns, "lang_pred", "score", "position_labels"])
+                names=[*batch.schema.names, *names])
 
-    source = documents.drop("lang_pred", "score", "position_labels").withColumn("__text", text_or_empty())
-    schema = source.drop("__text").schema.add("lang_pred", "string").add("score", "double").add("position_labels", ArrayType(LongType()))
-    return source.mapInArrow(label, schema)
+    return documents.mapInArrow(label, StructType([*documents.schema.fields, *(StructField(n, t) for n, t in zip(names, (StringType(), DoubleType(), ArrayType(LongType()))))]))
 
 
 def lengths_of(data: list[bytes]) -> np.ndarray:
@@ -258,7 +266,6 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_identified(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Documents whose language is found with a score of LEAST_SCORE or more; columns unchanged."""
-    model = fit(docs)
-    names = docs.columns
-    judged = identify(docs.select(F.struct(*names).alias("row"), "text"), model)
-    return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select("row.*")
+    found, score, _ = names = scratch(docs, *ADDED)
+    judged = identify(docs, fit(docs), tuple(names))
+    return judged.where((F.col(found) != "und") & (F.col(score) >= LEAST_SCORE)).select(*docs.columns)

@@ -14,7 +14,9 @@ coefficient: 64 bytes make a block, byte minus 96 its coefficients in zigzag
 order, six blocks a 4:2:0 unit (four luma, two chroma; missing ones are zero),
 all quantisers 1. The script is DC with one bit held back, its refinement,
 luma 1-5 with one bit held back, its refinement, luma 6-63, and both chroma
-bands. A comment holds the payload's length.
+bands. A comment holds the payload's length. A payload of more than PICTURE bytes
+becomes several pictures, one file after the other in one value, which are
+written and read one at a time: memory does not grow with a text's pixels.
 
 Null text is empty; every payload is padded with zero bytes to a positive
 multiple of 64. Ids may be null or repeat; extra columns are ignored; equal
@@ -32,13 +34,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from sieveline.llm.common import table, text_chunks, text_or_empty
+from sieveline.llm.common import lean, table, text_chunks, text_or_empty
 
 #: Fixed values of the format: zigzag position -> row-major position.
 ZIGZAG = np.array([i * 8 + j for s in range(15) for i, j in ([(k, s - k) for k in range(8) if 0 <= s - k < 8] if s % 2 else [(s - k, k) for k in range(8) if 0 <= s - k < 8])])
 SHIFT = 96
 #: Bytes of texts or files worked on at once.
 CHUNK = 384 << 10
+#: Most payload bytes of one picture (whole 4:2:0 units).
+PICTURE = 384 << 10
 #: (components, first, last, high, low) of each scan written.
 SCRIPT = [((0, 1, 2), 0, 0, 0, 1), ((0, 1, 2), 0, 0, 1, 0), ((0,), 1, 5, 0, 1), ((0,), 1, 5, 1, 0), ((0,), 6, 63, 0, 0), ((1,), 1, 63, 0, 0), ((2,), 1, 63, 0, 0)]
 _END = re.compile(rb"\xff[^\x00\xd0-\xd7\xff]")
@@ -573,40 +577,79 @@ def payload_of(picture: Picture) -> bytes:
     return (units.reshape(-1)[:size] + SHIFT).astype(np.uint8).tobytes()
 
 
-def feature_of(rgb: np.ndarray) -> str:
-    """Height, width, whole-number channel means times 1000, and a checksum of the tensor."""
-    h, w, _ = rgb.shape
-    means = rgb.reshape(-1, 3).sum(axis=0, dtype=np.int64) * 1000 // (h * w)
-    return f"{h}x{w}:{means[0]}:{means[1]}:{means[2]}:{zlib.crc32(rgb.tobytes()):08x}"
+def encode_long(data: bytes) -> bytes:
+    """The files of one payload of any length, one after the other."""
+    return b"".join(encode_payloads([data[a : a + PICTURE]])[0] for a in range(0, len(data), PICTURE))
+
+
+def pictures(media: bytes) -> list[bytes]:
+    """The files of one value: the end marker of one is followed by the start marker of the next."""
+    cuts = [m.start() + 2 for m in re.finditer(rb"\xff\xd9\xff\xd8", media)]
+    return [media[a:b] for a, b in zip([0, *cuts], [*cuts, len(media)])]
+
+
+class Reading:
+    """What is known of a payload after each of its pictures: digests, sizes and sums; the tensors' bytes if asked for."""
+
+    def __init__(self, tensors: bool):
+        self.sha, self.size, self.tail = hashlib.sha256(), 0, b""
+        self.height, self.width, self.pixels, self.sums, self.crc = 0, 0, 0, np.zeros(3, np.int64), 0
+        self.rgb = [] if tensors else None
+
+    def add(self, picture: Picture) -> "Reading":
+        payload, rgb = payload_of(picture), picture.rgb()
+        self.sha.update(payload)
+        self.size, self.tail = self.size + len(payload), (self.tail + payload[-64:])[-64:]
+        h, w, _ = rgb.shape
+        self.height, self.width, self.pixels = self.height + h, max(self.width, w), self.pixels + h * w
+        self.sums += rgb.reshape(-1, 3).sum(axis=0, dtype=np.int64)
+        data = rgb.tobytes()
+        self.crc = zlib.crc32(data, self.crc)
+        if self.rgb is not None:
+            self.rgb.append(data)
+        return self
+
+    def feature(self) -> str:
+        """Height (of all pictures), greatest width, whole-number channel means times 1000, and a checksum of the tensors."""
+        means = self.sums * 1000 // self.pixels
+        return f"{self.height}x{self.width}:{means[0]}:{means[1]}:{means[2]}:{self.crc:08x}"
 
 
 def store(documents: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, media (the file), of every text."""
-    kind = dict(documents.dtypes)["doc_id"]
+    """doc_id, n_bytes, media (the file, or files), of every text."""
+    kind = documents.schema["doc_id"].dataType.simpleString()
 
+    @lean
     def write(batches):
         for batch, texts in text_chunks(batches, CHUNK):
             data = [t.encode("utf-8", "surrogatepass") for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(d) for d in data], pa.int64()), pa.array(encode_payloads([padded(d) for d in data]), pa.binary())], names=["doc_id", "n_bytes", "media"])
+            whole = [padded(d) for d in data]
+            files = [encode_long(whole[0])] if len(whole) == 1 else encode_payloads(whole)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(d) for d in data], pa.int64()), pa.array(files, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
     return documents.select("doc_id", text_or_empty().alias("text")).mapInArrow(write, f"doc_id {kind}, n_bytes long, media binary")
 
 
 def load(stored: DataFrame, tensors: bool = False) -> DataFrame:
-    """Reads stored files back: payload digests, the feature and, if asked for, height, width and the RGB tensor's bytes."""
-    kind = dict(stored.dtypes)["doc_id"]
+    """Reads stored files back: payload digests, the feature and, if asked for, height, width and the RGB tensor's bytes (of several pictures one after the other)."""
+    kind = stored.schema["doc_id"].dataType.simpleString()
 
+    @lean
     def read(batches):
         for batch, files in text_chunks(batches, CHUNK, "media"):
-            rows = []
-            for doc, n, f, p in zip(batch.column("doc_id").to_pylist(), batch.column("n_bytes").to_pylist(), files, decode(files)):
-                payload, rgb = payload_of(p), p.rgb()
-                rows.append((doc, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(f), hashlib.sha256(f).hexdigest(), feature_of(rgb), *((p.height, p.width, rgb.tobytes()) if tensors else ())))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+            split = [pictures(f) for f in files]
+            if max(map(len, split)) == 1:
+                found = [Reading(tensors).add(p) for p in decode(files)]
+            else:
+                found = [Reading(tensors) for _ in files]
+                for r, own in zip(found, split):
+                    for one in own:
+                        r.add(decode([one])[0])
+            rows = [(r.size, r.sha.hexdigest(), zlib.crc32(r.tail), len(f), hashlib.sha256(f).hexdigest(), r.feature(), *((r.height, r.width, b"".join(r.rgb)) if tensors else ())) for r, f in zip(found, files)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *(pa.array(c, t) for c, t in zip(zip(*rows), types))], names=names)
 
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", *(["height", "width", "rgb"] if tensors else [])]
-    types = [None, pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), *([pa.int32(), pa.int32(), pa.binary()] if tensors else [])]
-    types[0] = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), *([pa.int32(), pa.int32(), pa.binary()] if tensors else [])]
     schema = f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" + (", height int, width int, rgb binary" if tensors else "")
     return stored.mapInArrow(read, schema)
 

@@ -10,12 +10,18 @@ numbers, rounded down.
 
 A leaf with budget b and a tokens takes b div a whole epochs and, of the next
 one, the longest prefix of its documents in a seeded order that fits the rest.
-The order is that of md5(seed, epoch, id). To cut a prefix without putting a
-leaf's rows in one task, tokens are summed by leaf and the first three digits
-of the digest; only the digit group where the prefix ends is sorted.
+The order is that of md5(seed, epoch, id), then id, then tokens. Tokens are
+counted once; what is then kept of a document is its id, path and count. A leaf's
+prefix is found as the place where it ends: tokens are summed by leaf and the
+first three digits of the digest, and only the group of digits where the prefix
+ends is put in order. Documents are selected by comparing them with that place,
+so texts are never dealt by leaf.
 
 Nulls in the path are ``unknown``; nodes without a weight have 1; documents
 without tokens are not selected; equal rows are counted each, ids may be null.
+Of rows that are alike in id and count at the end of a prefix as many are taken
+as fit. ``mix_documents`` adds ``copies`` (``copies_`` where the table has that
+column already).
 """
 
 from __future__ import annotations
@@ -23,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import cut, table, text_or_empty
+from sieveline.llm.common import cut, scratch, small, table, text_or_empty
 
 SEED, EPOCHS = "mix-1", 4
 #: Budget as a fraction of the input's tokens.
@@ -31,6 +37,8 @@ BUDGET = (1, 2)
 WEIGHTS = {"domain": {"d0": 4, "d1": 3, "d2": 2, "d3": 1}, "language": {"en": 3, "de": 2, "fr": 2, "es": 2}, "source": {"src0": 2}}
 LEVELS = ("domain", "language", "source")
 _PREFIX = 3
+#: Leaves (rows of a few values) that may be broadcast; they are counted first.
+BROADCAST_ROWS = 200_000
 
 
 def weight_of(level: str, weights: dict) -> Column:
@@ -84,38 +92,64 @@ def path_of() -> dict[str, Column]:
     }
 
 
-def select_tokens(rows: DataFrame, weights: dict = WEIGHTS, budget: tuple[int, int] = BUDGET, epochs: int = EPOCHS, seed: str = SEED) -> DataFrame:
-    """Adds copies to rows (id, domain, language, source, n_tokens, ...): how often each is to be read."""
+def _ordered(rows: DataFrame, plan: DataFrame, seed: str) -> DataFrame:
+    """Rows with their leaf's plan and their place in its order."""
+    marked = rows.join(small(plan, BROADCAST_ROWS), list(LEVELS))
+    digest = F.md5(F.concat_ws(":", F.lit(seed), F.col("whole").cast("string"), F.coalesce(F.col("id").cast("string"), F.lit(""))).cast("binary"))
+    return marked.withColumn("at", F.struct(digest.alias("digest"), "id", "n_tokens"))
+
+
+def leaf_ends(rows: DataFrame, weights: dict = WEIGHTS, budget: tuple[int, int] = BUDGET, epochs: int = EPOCHS, seed: str = SEED) -> DataFrame:
+    """For each leaf of rows (id, domain, language, source, n_tokens): whole epochs, the place where the prefix ends (the first that does not fit), and how many rows of that very place still fit."""
     leaves = cut(rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens")))
     total = leaves.agg(F.sum("tokens")).first()[0] or 0
     plan = leaf_budgets(leaves, total * budget[0] // budget[1], weights, epochs)
-    plan = cut(plan.withColumns({"whole": F.expr("case when tokens > 0 then budget div tokens else 0 end"), "rest": F.col("budget") % F.greatest("tokens", F.lit(1))}))
-    marked = rows.join(plan.select(*LEVELS, "whole", "rest"), list(LEVELS))
-    marked = marked.withColumn("digest", F.md5(F.concat_ws(":", F.lit(seed), F.col("whole").cast("string"), F.coalesce(F.col("id").cast("string"), F.lit(""))).cast("binary")))
-    marked = marked.withColumn("digits", F.substring("digest", 1, _PREFIX))
+    plan = cut(plan.select(*LEVELS, F.expr("case when tokens > 0 then budget div tokens else 0 end").alias("whole"), (F.col("budget") % F.greatest("tokens", F.lit(1))).alias("rest")))
+    marked = _ordered(rows, plan, seed).withColumn("digits", F.substring("at.digest", 1, _PREFIX))
     sums = marked.groupBy(*LEVELS, "digits").agg(F.sum("n_tokens").alias("sum"), F.first("rest").alias("rest"))
     running = Window.partitionBy(*LEVELS).orderBy("digits")
-    ends = sums.withColumn("through", F.sum("sum").over(running)).where("through > rest").groupBy(*LEVELS).agg(F.min("digits").alias("last"), F.min_by(F.col("through") - F.col("sum"), "digits").alias("taken"))
-    marked = marked.join(cut(ends), list(LEVELS), "left")
-    sure = F.col("last").isNull() | (F.col("digits") < F.col("last"))
-    inside = marked.where(F.col("digits") == F.col("last"))
-    within = Window.partitionBy(*LEVELS).orderBy("digest", "id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0)
-    inside = inside.withColumn("extra", (F.col("taken") + F.sum("n_tokens").over(within) <= F.col("rest")).cast("long"))
-    outside = marked.where(F.col("last").isNull() | (F.col("digits") != F.col("last"))).withColumn("extra", sure.cast("long"))
-    out = inside.unionByName(outside).withColumn("copies", F.when(F.col("n_tokens") > 0, F.col("whole") + F.col("extra")).otherwise(0).cast("long"))
-    return out.drop("whole", "rest", "digest", "digits", "last", "taken", "extra")
+    group = sums.withColumn("through", F.sum("sum").over(running)).where("through > rest").groupBy(*LEVELS).agg(F.min("digits").alias("digits"), F.min_by(F.col("through") - F.col("sum"), "digits").alias("taken"))
+    inside = marked.join(small(cut(group), BROADCAST_ROWS), [*LEVELS, "digits"]).groupBy(*LEVELS, "at", "n_tokens").agg(F.count(F.lit(1)).alias("alike"), F.first("rest").alias("rest"), F.first("taken").alias("taken"))
+    own = F.col("alike") * F.col("n_tokens")
+    left = F.col("rest") - F.col("taken") - F.sum(own).over(Window.partitionBy(*LEVELS).orderBy("at")) + own
+    ends = inside.withColumns({"left": left, "own": own}).where("own > left").groupBy(*LEVELS).agg(F.min("at").alias("end"), F.min_by(F.expr("left div n_tokens"), "at").alias("some"))
+    return cut(plan.select(*LEVELS, "whole").join(ends, list(LEVELS), "left"))
+
+
+def taken(rows: DataFrame, ends: DataFrame, seed: str = SEED) -> DataFrame:
+    """Adds copies to rows (id, domain, language, source, n_tokens, ...): how often each is to be read."""
+    marked = _ordered(rows, ends, seed)
+    copies = lambda extra: F.when(F.col("n_tokens") > 0, F.col("whole") + extra.cast("long")).otherwise(0).cast("long")
+    before = F.coalesce(F.col("at") < F.col("end"), F.lit(True))
+    tie = F.coalesce((F.col("at") == F.col("end")) & (F.col("some") > 0), F.lit(False))
+    out = marked.withColumn("copies", copies(before)).select(*rows.columns, "copies")
+    if ends.where("some > 0").limit(1).count():  # equal ids with equal counts at the end of a prefix
+        place = F.row_number().over(Window.partitionBy(*LEVELS).orderBy(F.xxhash64(*rows.columns)))
+        at_end = marked.where(tie).withColumn("copies", copies(place <= F.col("some"))).select(*rows.columns, "copies")
+        out = marked.where(~tie).withColumn("copies", copies(before)).select(*rows.columns, "copies").union(at_end)
+    return out
+
+
+def counted(documents: DataFrame, *more: Column) -> DataFrame:
+    """(id, domain, language, source, n_tokens, more...) of documents."""
+    return documents.select(F.col("doc_id").alias("id"), n_tokens().alias("n_tokens"), *(c.alias(k) for k, c in path_of().items()), *more)
+
+
+def select_tokens(rows: DataFrame, weights: dict = WEIGHTS, budget: tuple[int, int] = BUDGET, epochs: int = EPOCHS, seed: str = SEED) -> DataFrame:
+    """Adds copies to narrow rows (id, domain, language, source, n_tokens)."""
+    rows = cut(rows)
+    return taken(rows, leaf_ends(rows, weights, budget, epochs, seed), seed)
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = table(spark, sf_dir, "documents")
-    rows = documents.select(F.col("doc_id").alias("id"), n_tokens().alias("n_tokens"), *(c.alias(k) for k, c in path_of().items()))
-    return select_tokens(rows).select(F.col("id").alias("doc_id"), *LEVELS, "n_tokens", "copies")
+    return select_tokens(counted(table(spark, sf_dir, "documents"))).select(F.col("id").alias("doc_id"), *LEVELS, "n_tokens", "copies")
 
 
 def mix_documents(docs: DataFrame) -> DataFrame:
     """The selected documents with all their columns and copies."""
-    rows = docs.select(F.col("doc_id").alias("id"), n_tokens().alias("n_tokens"), *(c.alias(k) for k, c in path_of().items()), F.struct(*docs.columns).alias("row"))
-    return select_tokens(rows).where("copies > 0").select("row.*", "copies")
+    ends = leaf_ends(cut(counted(docs)))
+    name = scratch(docs, "copies")[0]
+    return taken(counted(docs, F.struct(*docs.columns).alias("row")), ends).where("copies > 0").select("row.*", F.col("copies").alias(name))
 
 
 OP10_SQL = r"""

@@ -12,6 +12,9 @@ m follows the set's size level (n/8 to n/4), and a set emits at its own level
 and, when a partner a third larger may reach it, at the next, so that partners
 always meet at one level. Below 8 shingles frequent ones are indexed singly.
 
+A shingle is known by 40 bits of its hash and by its part; with p parts two sets
+of n shingles share one falsely with a probability of n^2 / (p 2^40).
+
 Texts that share a signature are first compared with one member of it, the one
 whose shingles are the most widespread: for copies with edits that is the
 original or the one closest to it. Of what then lies in different components,
@@ -19,7 +22,9 @@ only pairs that can still reach the similarity are compared: they share no more
 than the lesser number of their shingles that other texts hold, and no more
 than their common part with that member plus what each shares besides. So
 groups of copies cost about a linear number of comparisons, and no link between
-components is lost. Comparisons intersect whole sets.
+components is lost. A signature with many texts left is dealt in squares of
+SQUARE by SQUARE texts, so that no task gets all of them. Comparisons intersect
+whole sets.
 
 Empty or null texts have empty sets and link with nothing; equal texts with
 words always link; ids may repeat or be null (a null never becomes a
@@ -33,16 +38,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import U64, WordHashes, components, cut, grams, mix, node_of, table, text_or_empty
-from sieveline.llm.postings import shared_tokens
+from sieveline.llm.common import U64, WordHashes, components, cut, grams, mix, node_of, partitions, scratch, small, table, text_or_empty
+from sieveline.llm.postings import heavy_tokens, measured, shared_tokens
 
 SHINGLE = 5
 #: Similarity as a fraction: 75 / 100.
 PART, WHOLE = 75, 100
 #: 4 log2 of the number of texts up to which a shingle is rare (32 texts).
 RARE_CLASS = 20
+#: Texts of one signature on a side of what one task compares.
+SQUARE = 512
+#: Rows of a few numbers that may be broadcast; they are counted first.
+BROADCAST_ROWS = 200_000
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-_SCHEMA = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("spread", pa.int64()), ("tokens", pa.binary()), ("sigs", pa.list_(pa.int64()))])
+_SCHEMA = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("spread", pa.int64()), ("tokens", pa.list_(pa.int64())), ("sigs", pa.list_(pa.int64()))])
 
 
 def shingles(texts: list) -> tuple[list, list]:
@@ -98,7 +107,7 @@ def _finish(node: int, n: int, tokens: np.ndarray, classes: np.ndarray) -> tuple
     sigs = signatures(n, tokens, classes)
     if sigs is None:
         return node, n, None, None, None
-    return node, n, int(classes.astype(np.int64).sum()) * 1000 // n, np.sort(tokens).tobytes(), sigs.view(np.int64)
+    return node, n, int(classes.astype(np.int64).sum()) * 1000 // n, np.sort(tokens).view(np.int64), sigs.view(np.int64)
 
 
 def _enough(common: Column, na: str, nb: str) -> Column:
@@ -110,44 +119,52 @@ def _compared(pairs: DataFrame, live: DataFrame) -> DataFrame:
     """(a, na, b, nb, common) of distinct pairs (a, b) of nodes."""
     left = live.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
     right = live.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
+    return pairs.join(right, "b").join(left, "a").select("a", "na", "b", "nb", F.size(F.array_intersect("ta", "tb")).cast("long").alias("common"))
+
 
-    def check(batches):
-        for batch in batches:
-            common = []
-            for ta, tb in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist()):
-                both = np.concatenate((np.frombuffer(ta, U64), np.frombuffer(tb, U64)))
-                both.sort()
-                common.append(int((both[1:] == both[:-1]).sum()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("a", "na", "b", "nb")), pa.array(common, pa.int64())], names=["a", "na", "b", "nb", "common"])
+def _left_over(rest: DataFrame) -> DataFrame:
+    """Pairs (a, b) of texts of one signature in different components that can still reach the similarity."""
+    plain = F.least("ma", "mb")
+    through = F.least("commona", "commonb") + F.least(F.col("ma") - F.col("commona"), F.col("mb") - F.col("commonb"))
+    able = (F.col("labela") < F.col("labelb")) & _enough(F.least(plain, F.coalesce(through, plain)), "na", "nb")
+    once = F.array_min(F.array_intersect("sigsa", "sigsb")) == F.col("sig")  # a pair comes out of one signature only
 
-    return pairs.join(right, "b").join(left, "a").mapInArrow(check, "a long, na long, b long, nb long, common long")
+    def met(one: DataFrame, other: DataFrame, *keys: str) -> DataFrame:
+        x, y = (side.select(*keys, *(F.col(c).alias(c + k) for c in ("node", "n", "m", "label", "common", "sigs"))) for k, side in (("a", one), ("b", other)))
+        return x.join(y, list(keys)).where(able & once).select(F.col("nodea").alias("a"), F.col("nodeb").alias("b"))
+
+    many = cut(rest.groupBy("sig").agg(F.count(F.lit(1)).alias("texts")).where(F.col("texts") > SQUARE))
+    if not many.limit(1).count():
+        return met(rest, rest, "sig")
+    many = small(many, BROADCAST_ROWS)
+    few = rest.join(many, "sig", "left_anti")
+    rows = rest.join(many, "sig").withColumn("side", F.ceil(F.col("texts") / SQUARE).cast("int")).withColumn("own", F.pmod(F.xxhash64("node", F.lit(11)), F.col("side")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("side") - 1))
+    return met(few, few, "sig").union(met(rows.withColumn("i", F.col("own")).withColumn("j", every), rows.withColumn("j", F.col("own")).withColumn("i", every), "sig", "i", "j"))
 
 
 def classes_of(documents: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(nodes: node, n; labels: node, label for the nodes that have links to other texts)."""
     docs = documents.select(node_of(text).alias("node"), text_or_empty(text).alias("text"))
-    sets = cut(shared_tokens(docs, shingles, _finish, _SCHEMA))
-    live = sets.where("sigs is not null").withColumn("m", (F.length("tokens") / 8).cast("long"))
+    deal = partitions(docs.sparkSession)
+    total, parts = measured(docs)
+    sets = cut(shared_tokens(docs, shingles, _finish, _SCHEMA, parts, heavy_tokens(docs, shingles, total, parts)))
+    live = sets.where("sigs is not null").withColumn("m", F.size("tokens").cast("long"))
     index = live.select(F.explode("sigs").alias("sig"), "node", "n", "m", "spread")
-    hubs = index.groupBy("sig").agg(F.max(F.struct("spread", "node", "n", "m")).alias("hub"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
+    # what an aggregate makes is dealt anew before it meets rows, so that adaptive execution can split a signature of very many texts
+    hubs = index.groupBy("sig").agg(F.max(F.struct("spread", "node", "n", "m")).alias("hub"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").repartition(deal)
     met = cut(index.drop("spread").join(hubs.select("sig", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.m").alias("hub_m")), "sig"))
     stars = met.where("node <> hub").where(_enough(F.least("m", "hub_m"), "n", "hub_n")).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     tested = cut(_compared(stars, live.select("node", "n", "tokens")))
     found = tested.where(_enough(F.col("common"), "na", "nb")).select("a", "b")
     labels = components(found)
     known = met.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    split = known.groupBy("sig").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 < l1").select("sig")
+    split = known.groupBy("sig").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 < l1").select("sig").repartition(deal)
     rest = known.where("node <> hub").join(split, "sig").join(tested.select(F.col("a").alias("hub"), F.col("b").alias("node"), "common"), ["hub", "node"], "left")
     # without a test the hub was out of reach: nothing is known of what they share
     rest = rest.select("sig", "node", "n", "m", "label", "common")
     rest = cut(rest.join(rest.groupBy("node").agg(F.collect_set("sig").alias("sigs")), "node"))
-    x, y = (rest.select("sig", *(F.col(c).alias(c + k) for c in ("node", "n", "m", "label", "common", "sigs"))) for k in ("a", "b"))
-    plain = F.least("ma", "mb")
-    through = F.least("commona", "commonb") + F.least(F.col("ma") - F.col("commona"), F.col("mb") - F.col("commonb"))
-    able = (F.col("labela") < F.col("labelb")) & _enough(F.least(plain, F.coalesce(through, plain)), "na", "nb")
-    once = F.array_min(F.array_intersect("sigsa", "sigsb")) == F.col("sig")  # a pair comes out of one signature only
-    left_over = x.join(y, "sig").where(able & once)
-    more = cut(_compared(left_over.select(F.col("nodea").alias("a"), F.col("nodeb").alias("b")).distinct(), live.select("node", "n", "tokens")))
+    more = cut(_compared(_left_over(rest).distinct(), live.select("node", "n", "tokens")))
     more = more.where(_enough(F.col("common"), "na", "nb")).select("a", "b")
     if more.limit(1).count():
         labels = components(found.union(more))
@@ -157,37 +174,42 @@ def classes_of(documents: DataFrame, text: str = "text") -> tuple[DataFrame, Dat
 def labelled(documents: DataFrame, *columns: str) -> DataFrame:
     """These columns of every document row, n (shingles) and label (a node of its component)."""
     nodes, labels = classes_of(documents)
-    rows = documents.select(*columns, node_of().alias("node")).join(nodes, "node").join(labels, "node", "left")
-    return rows.select(*columns, "n", F.coalesce("label", "node").alias("label"))
+    node, n, label = scratch(documents.select(*columns), "node", "n", "label")
+    # dealt anew, so that adaptive execution can split the rows of one text
+    known = nodes.join(labels, "node", "left").select(F.col("node").alias(node), F.col("n").alias(n), F.coalesce("label", "node").alias(label)).repartition(partitions(documents.sparkSession))
+    rows = documents.select(*columns, node_of().alias(node)).join(known, node)
+    return rows.select(*columns, F.col(n).alias("n"), F.col(label).alias("label"))
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id: the least id of a document's component."""
-    rows = labelled(documents, "doc_id")
-    least = rows.where("n > 0").groupBy("label").agg(F.min("doc_id").alias("least"))
+    rows = cut(labelled(documents, "doc_id"))
+    least = rows.where("n > 0").groupBy("label").agg(F.min("doc_id").alias("least")).repartition(partitions(documents.sparkSession))
     return rows.join(least, "label", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
 
-def one_of_each(documents: DataFrame, broadcast_rows: int = 500_000) -> DataFrame:
+def one_of_each(documents: DataFrame) -> DataFrame:
     """Documents without all but one of each component: the least id stays (null last), of equal ids one text, of its rows one. Texts without words all stay.
 
     Decided by id and text only, never by a row's place, so that another split of the files or a lost executor changes nothing.
     """
-    rows = documents.withColumn("__node", node_of())
+    node, first, own_id, stays, again, other = scratch(documents, "node", "first", "id", "stays", "rows", "other")
+    rows = documents.withColumn(node, node_of())
     nodes, labels = classes_of(documents)
-    keys = rows.groupBy(F.col("__node").alias("node"), "doc_id").agg(F.count(F.lit(1)).alias("rows"))
-    keys = cut(keys.join(nodes.where("n > 0").select("node"), "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
-    first = keys.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("x")).select("label", F.col("x.node").alias("__first"), F.col("x.doc_id").alias("__id"))
-    stays = (F.col("node") == F.col("__first")) & F.col("doc_id").eqNullSafe(F.col("__id"))
-    judged = keys.join(first, "label").select(F.col("node").alias("__n"), F.col("doc_id").alias("__d"), stays.alias("__stays"), "rows")
-    taken = cut(judged.where("not __stays or rows > 1").drop("rows"))
-    few = taken.limit(broadcast_rows + 1).count() <= broadcast_rows
-    own = (F.col("__node") == F.col("__n")) & F.col("doc_id").eqNullSafe(F.col("__d"))
-    out = rows.join(F.broadcast(taken) if few else taken, own, "left_anti").select(*documents.columns)
-    again = taken.where("__stays")
-    if again.limit(1).count():
+    keys = rows.groupBy(node, "doc_id").agg(F.count(F.lit(1)).alias(again))
+    known = nodes.where("n > 0").join(labels, "node", "left").select(F.col("node").alias(node), F.coalesce("label", "node").alias(first))
+    deal = partitions(documents.sparkSession)
+    keys = cut(keys.repartition(deal).join(known.repartition(deal), node))
+    least = keys.groupBy(first).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", node)).alias(other)).repartition(deal)
+    kept = (F.col(node) == F.col(f"{other}.{node}")) & F.col("doc_id").eqNullSafe(F.col(f"{other}.doc_id"))
+    judged = keys.join(least, first).select(F.col(node).alias(other), F.col("doc_id").alias(own_id), kept.alias(stays), again)
+    taken = cut(judged.where(~F.col(stays) | (F.col(again) > 1)).drop(again))
+    own = (F.col(node) == F.col(other)) & F.col("doc_id").eqNullSafe(F.col(own_id))
+    out = rows.join(small(taken, BROADCAST_ROWS), own, "left_anti").select(*documents.columns)
+    repeated = taken.where(F.col(stays))
+    if repeated.limit(1).count():
         row = F.min_by(F.struct(*documents.columns), F.xxhash64(*documents.columns))
-        out = out.union(rows.join(F.broadcast(again) if few else again, own, "left_semi").groupBy("__node", "doc_id").agg(row.alias("x")).select("x.*"))
+        out = out.union(rows.join(small(repeated, BROADCAST_ROWS), own, "left_semi").groupBy(node, "doc_id").agg(row.alias(other)).select(f"{other}.*"))
     return out
 
 

@@ -6,10 +6,14 @@ run lengths and 40-bit residuals as bytes. A part sorts what it gets and
 answers, packed again and addressed by node, with every token that at least two
 different texts hold and a class that grows with the number of those texts.
 
-Tokens held by more than a share of a bounded sample of texts ("heavy") never
-travel: they are known to every task, get the highest class and cannot make one
-part large. The sample decides the route of a token only; any set of heavy
-tokens gives right results as long as each occurs in two texts.
+The number of parts follows the counted bytes of text, so that what one group
+of rows needs in a Python worker stays about the same at every size; a part is
+sorted in slices of its tokens, so that little more than its rows is in memory.
+
+Tokens that a sample of texts shows to be in more than HEAVY_SHARE of all texts,
+or in more than HEAVY_ROWS of them ("heavy"), never travel: they are known to
+every task, get the highest class and cannot make one part large. The sample
+decides the route of a token only; any set of heavy tokens gives right results.
 
 All results are sets, so recomputed tasks may deliver rows in another order.
 """
@@ -23,11 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import U64, partitions, slices, text_chunks
+from sieveline.llm.common import U64, lean, lean_group, partitions, slices, text_chunks
 
-#: Texts sampled, in expectation, to find heavy tokens; share of the sample that makes a token heavy.
-SAMPLE_TEXTS, HEAVY_SHARE, HEAVY_LEAST = 20_000, 0.005, 50
+#: Least texts sampled, in expectation, to find heavy tokens; share and number of texts that make a token heavy; least texts of the sample that must show it.
+SAMPLE_TEXTS, HEAVY_SHARE, HEAVY_ROWS, HEAVY_LEAST = 20_000, 0.005, 2_000_000, 50
 HEAVY_CLASS = 255
+#: Bytes of text whose tokens make a part, most parts, and tokens sorted at once.
+PART_BYTES, MOST_PARTS, SLICE = 16 << 20, 1 << 21, 400_000
 RESIDUAL = U64((1 << 40) - 1)
 
 Extract = Callable[[list], tuple[list, list]]  # texts -> (distinct tokens of each, size of each)
@@ -60,23 +66,30 @@ def grouped(part: np.ndarray, nodes: np.ndarray, *values: np.ndarray) -> Iterato
         yield int(part[a]), own[at], counts, *(v[a:b] for v in values)
 
 
-def heavy_tokens(docs: DataFrame, extract: Extract, parts: int) -> np.ndarray:
-    """Tokens in at least HEAVY_SHARE of a sample of about SAMPLE_TEXTS texts; at most tokens / (share * sample)."""
-    total = max(1, docs.count())
-    share = min(1.0, SAMPLE_TEXTS / total)
-    sample = docs.where(F.pmod(F.xxhash64("node", F.lit(7)), F.lit(1 << 30)) < int(share * (1 << 30))) if share < 1 else docs
-    least = max(HEAVY_LEAST, int(HEAVY_SHARE * total * share))
+def measured(docs: DataFrame) -> tuple[int, int]:
+    """(number of texts, number of parts) of rows (node, text)."""
+    total, size = docs.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
+    return max(1, total), min(MOST_PARTS, max(partitions(docs.sparkSession), -(-(size or 0) // PART_BYTES)))
+
 
+def heavy_tokens(docs: DataFrame, extract: Extract, total: int, parts: int, rows: int = HEAVY_ROWS) -> np.ndarray:
+    """Tokens in about HEAVY_SHARE of all texts or in ``rows`` of them, by a sample that shows HEAVY_LEAST such texts at least."""
+    rate = max(1.0, min(HEAVY_SHARE * total, rows)) / total
+    share = min(1.0, max(SAMPLE_TEXTS / total, HEAVY_LEAST / (rate * total)))
+    sample = docs.where(F.rand(7) < share) if share < 1 else docs  # by rows, so that a text of very many copies shows
+    least = max(HEAVY_LEAST, int(rate * total * share))
+
+    @lean
     def count(batches):
         for batch, texts in text_chunks(batches):
             keep = first_of_each(batch.column("node").to_numpy())
             tokens, _ = extract([texts[i] for i in keep])
             flat, n = np.unique(routed(np.concatenate(tokens), parts) if tokens else np.empty(0, U64), return_counts=True)
-            often = n >= 3
+            often = n >= 1 + (rate * len(keep) >= 1) + (rate * len(keep) >= 5)  # what is rarer here is not heavy, or counts for little
             yield pa.RecordBatch.from_arrays([pa.array(flat[often].view(np.int64)), pa.array(n[often])], names=["token", "n"])
 
-    rows = sample.select("node", "text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("token").collect()
-    return np.sort(np.array([r[0] for r in rows], np.int64).view(U64))
+    found = sample.select("node", "text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("token").collect()
+    return np.sort(np.array([r[0] for r in found], np.int64).view(U64))
 
 
 def _member(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -85,15 +98,14 @@ def _member(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
     return sorted_values[np.minimum(np.searchsorted(sorted_values, x), len(sorted_values) - 1)] == x
 
 
-def shared_tokens(docs: DataFrame, extract: Extract, finish: Callable, schema: pa.Schema, heavy: np.ndarray | None = None) -> DataFrame:
+def shared_tokens(docs: DataFrame, extract: Extract, finish: Callable, schema: pa.Schema, parts: int, heavy: np.ndarray) -> DataFrame:
     """A row of ``schema`` for each distinct node of docs (node, text).
 
     ``finish(node, size, tokens, classes)`` makes the row's values from the
     tokens that other texts hold too (uint64) and their classes (uint8).
     """
-    parts = min(partitions(docs.sparkSession), 1 << 23)
-    heavy = heavy_tokens(docs, extract, parts) if heavy is None else heavy
 
+    @lean
     def send(batches):
         for batch, texts in text_chunks(batches):
             nodes = batch.column("node").to_numpy()
@@ -119,37 +131,46 @@ def shared_tokens(docs: DataFrame, extract: Extract, finish: Callable, schema: p
                 rows.append((part, 0, own.tobytes(), n.tobytes(), values.astype(np.uint32).tobytes(), (values >> U64(32)).astype(np.uint8).tobytes()))
             yield frame(_ARROW, rows)
 
+    def settled(node: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The (node, token) pairs whose token has two nodes or more, each once, and the token's class."""
+        order = np.argsort(token)
+        node, token = node[order], token[order]
+        same = token[1:] == token[:-1]
+        many = np.zeros(len(token), bool)
+        many[1:] |= same
+        many[:-1] |= same
+        node, token = node[many], token[many]
+        order = np.lexsort((node, token))
+        node, token = node[order], token[order]
+        fresh = np.ones(len(token), bool)
+        fresh[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])
+        node, token = node[fresh], token[fresh]
+        _, where, count = np.unique(token, return_inverse=True, return_counts=True)
+        df = count[where]
+        keep = df > 1
+        return node[keep], token[keep], np.minimum(4 * np.log2(df[keep]), HEAVY_CLASS - 1).astype(np.uint8)
+
+    @lean_group
     def answer(data: pa.Table) -> pa.Table:
-        rows, nodes, tokens = [], [], []
+        rows, sent = [], []
         for part, kind, *blobs in zip(*(data.column(c).to_pylist() for c in _ARROW.names)):
             if kind == 1:
                 rows.append((part, 1, *blobs))
-                continue
-            nodes.append(np.repeat(np.frombuffer(blobs[0], np.int64), np.frombuffer(blobs[1], np.int32)))
-            tokens.append(np.frombuffer(blobs[2], np.uint32).astype(U64) | (np.frombuffer(blobs[3], np.uint8).astype(U64) << U64(32)) | U64(part << 40))
-        if nodes:
-            node, token = np.concatenate(nodes), np.concatenate(tokens)
-            del nodes, tokens
-            order = np.argsort(token)
-            node, token = node[order], token[order]
-            same = token[1:] == token[:-1]
-            many = np.zeros(len(token), bool)
-            many[1:] |= same
-            many[:-1] |= same
-            node, token = node[many], token[many]
-            order = np.lexsort((node, token))
-            node, token = node[order], token[order]
-            fresh = np.ones(len(token), bool)
-            fresh[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])
-            node, token = node[fresh], token[fresh]
-            _, where, count = np.unique(token, return_inverse=True, return_counts=True)
-            df = count[where]
-            node, token, df = node[df > 1], token[df > 1], df[df > 1]
-            level = np.minimum(4 * np.log2(df), HEAVY_CLASS - 1).astype(np.uint8)
-            for part, own, n, t, c in grouped((node.view(U64) % U64(parts)).astype(np.int64), node, token, level):
-                rows.append((part, 2, own.tobytes(), n.tobytes(), t.tobytes(), c.tobytes()))
+            else:
+                sent.append(tuple(np.frombuffer(b, t) for b, t in zip(blobs, (np.int64, np.int32, np.uint32, np.uint8))))
+        if sent:
+            sets = -(-sum(len(m[2]) for m in sent) // SLICE)
+            found = []
+            for k in range(sets):
+                own = [m[2] % np.uint32(sets) == k for m in sent]
+                token = np.concatenate([(m[2][o].astype(U64) | (m[3][o].astype(U64) << U64(32)) | U64(part << 40)) for m, o in zip(sent, own)])
+                found.append(settled(np.concatenate([np.repeat(m[0], m[1])[o] for m, o in zip(sent, own)]), token))
+            node, token, level = (np.concatenate(x) for x in zip(*found))
+            for home, own, n, t, c in grouped((node.view(U64) % U64(parts)).astype(np.int64), node, token, level):
+                rows.append((home, 2, own.tobytes(), n.tobytes(), t.tobytes(), c.tobytes()))
         return pa.Table.from_batches([frame(_ARROW, rows)])
 
+    @lean_group
     def collect(data: pa.Table) -> pa.Table:
         size_of: dict[int, int] = {}
         nodes, tokens, classes = [], [], []

@@ -18,6 +18,7 @@ ids may be null or repeat; extra columns are ignored.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import table, text_chunks, text_or_empty
+from sieveline.llm.common import lean, scratch, table, text_chunks, text_or_empty
 
 #: The kinds in order and their patterns; least lengths follow.
 KINDS = ("assign", "access", "hex", "markov")
@@ -96,28 +97,50 @@ def find_spans(texts: list[str], model: MarkovRatio | None) -> list[list[tuple[i
             a, b = a[keep], b[keep]
         owner = np.searchsorted(begin, a, "right") - 1
         found += zip(owner.tolist(), (a - begin[owner]).tolist(), (b - begin[owner]).tolist(), [kind] * len(a))
+    ends, at = {}, {}
     for i, a, b, kind in found:
         if not texts[i].isascii():
-            a, b = (len(data[i][:x].decode("utf-8", "surrogatepass")) for x in (a, b))
-        if kind == "hex" or not any(a < e and s < b for s, e, _ in spans[i]):
+            if i not in at:  # bytes that start a character, counted up to each byte
+                at[i] = np.concatenate(([0], np.cumsum((np.frombuffer(data[i], np.uint8) & 0xC0) != 0x80)))
+            a, b = int(at[i][a]), int(at[i][b])
+        if kind == "hex":
             spans[i].append((a, b, kind))
+        else:
+            if i not in ends:
+                ends[i] = _merged(spans[i])
+            starts, stops = ends[i]
+            k = bisect.bisect_left(starts, b) - 1  # the last merged span that starts before b
+            if k < 0 or stops[k] <= a:
+                spans[i].append((a, b, kind))
     for s in spans:
         s.sort(key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
     return spans
 
 
+def _merged(spans: list) -> tuple[list, list]:
+    """Starts and ends of the union of spans, in order."""
+    starts, stops = [], []
+    for a, b, _ in sorted(spans):
+        if stops and a <= stops[-1]:
+            stops[-1] = max(stops[-1], b)
+        else:
+            starts.append(a)
+            stops.append(b)
+    return starts, stops
+
+
 def train_from(documents: DataFrame) -> MarkovRatio:
     total = max(1, documents.count())
     share = int(min(1.0, SAMPLE_DOCS / total) * (1 << 30))
 
+    @lean
     def sample(batches):
         for _, texts in text_chunks(batches):
             good, bad = set(), set()
             for text, spans in zip(texts, find_spans(texts, None)):
-                bad.update(text[a:b].split("=")[-1].split(":")[-1].strip(" \"'") for a, b, _ in spans)
-                rest = text
-                for a, b, _ in sorted(spans, reverse=True):
-                    rest = rest[:a] + " " + rest[b:]
+                bad.update(ASSIGN.fullmatch(text, a, b)[2] if kind == "assign" else text[a:b] for a, b, kind in spans)
+                starts, stops = _merged(spans)
+                rest = " ".join(text[a:b] for a, b in zip([0, *stops], [*starts, len(text)]))
                 good.update(re.findall(r"[A-Za-z0-9+/_=-]{6,}", rest))
             rows = [(x, 0) for x in sorted(good)] + [(x, 1) for x in sorted(bad) if x]
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows], pa.string()), pa.array([y for _, y in rows], pa.int32())], names=["value", "label"])
@@ -140,6 +163,7 @@ def scan(documents: DataFrame, model: MarkovRatio | None) -> DataFrame:
     """doc_id, spans (kind:start:end, joined) and counts by kind; base holds the patterns' spans alone."""
     kind = dict(documents.dtypes)["doc_id"]
 
+    @lean
     def find(batches):
         for batch, texts in text_chunks(batches):
             spans = find_spans(texts, model)
@@ -175,6 +199,7 @@ def redact(documents: DataFrame, model: MarkovRatio | None = None) -> DataFrame:
     """Documents with their secrets replaced; n_chars, where present, follows. Other columns and null texts stay."""
     model = model or train_from(documents)
 
+    @lean
     def clean(batches):
         for batch, texts in text_chunks(batches):
             done = [redacted(t, s) for t, s in zip(texts, find_spans([t or "" for t in texts], model))]

@@ -3,14 +3,17 @@
 A window is ``span`` consecutive words of one document. Its minimiser is the
 least hash of the ``seed``-word grams within it; consecutive windows with one
 minimiser form a super-k-mer, which travels as one packed string of word hashes
-to the bucket of its minimiser, so that equal windows always meet. There the
-windows' hashes are sorted and equal neighbours compared word by word.
+(64 bits each) to the bucket of its minimiser, so that equal windows always meet.
+There the windows' hashes are sorted and equal neighbours compared word by word.
 
 Before that a cheaper exchange of the minimisers alone finds those that occur
 more than once; only their super-k-mers travel. Windows of heavy minimisers
-(found on a bounded sample, which decides the route only) are spread by their
-own hash instead, and repeats within a chunk of texts are settled there, so a
-passage that a third of the documents share does not fill one bucket.
+(found on a sample, which decides the route only) are spread by their own hash
+instead, of 128 bits, and repeats within a chunk of texts are settled there, so
+a passage that a third of the documents share does not fill one bucket.
+
+Texts are dealt by their hash once, copies collapsed before; what is found
+about a text comes back to that place, and rows get it by a join of ids.
 
 Every word covered by a window that also starts anywhere else, in the same
 document too, is removed. Copies of a text are counted by their text hash.
@@ -27,12 +30,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import U64, WordHashes, cut, grams, node_of, partitions, sliding_min, table, text_chunks, text_or_empty
-from sieveline.llm.postings import RESIDUAL, ROWS, _ARROW, _member, first_of_each, frame, grouped, heavy_tokens, routed, shared_tokens
+from sieveline.llm.common import U64, WordHashes, grams, lean, lean_group, mix, node_of, sliding_min, table, text_chunks, text_or_empty
+from sieveline.llm.postings import ROWS, _ARROW, _member, first_of_each, frame, grouped, heavy_tokens, measured, routed, shared_tokens
 
 SPAN, SEED = 35, 8
+#: Occurrences that make a minimiser heavy, if they are not HEAVY_SHARE of the texts before.
+HEAVY_ROWS = 200_000
 _FLAGS = pa.schema([("node", pa.int64()), ("tokens", pa.binary())])
-LOW = U64(0xFFFFFFFF)
+_WIDE = np.dtype([("a", U64), ("b", U64)])
+
+
+def _wide_hashes(h: np.ndarray, span: int) -> np.ndarray:
+    """128-bit hash of every ``span`` consecutive word hashes."""
+    out = np.empty(max(0, len(h) - span + 1), _WIDE)
+    out["a"], out["b"] = grams(h, span), grams(mix(h + U64(1)), span)
+    return out
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -99,17 +111,14 @@ def _repeated(hashes: np.ndarray, sequence) -> np.ndarray:
     return out
 
 
-def repeated_windows(rows: DataFrame, span: int = SPAN, seed: int = SEED) -> DataFrame:
-    """(node, spans): packed (first window, number) pairs, uint32, of repeated windows of rows (doc_id, node, text).
-
-    Copies of one text count once here.
-    """
-    spark = rows.sparkSession
-    parts = min(partitions(spark), 1 << 23)
+def repeated_windows(rows: DataFrame, texts: DataFrame, span: int = SPAN, seed: int = SEED) -> DataFrame:
+    """(node, spans): packed (first window, number) pairs, uint32, of repeated windows of the distinct texts (node, text) of rows."""
     extract = _minimisers(span, seed)
-    heavy = heavy_tokens(rows, extract, parts)
-    flags = cut(shared_tokens(rows, extract, lambda node, n, t, c: (node, np.sort(t).tobytes()), _FLAGS, heavy))
+    total, parts = measured(rows)
+    heavy = heavy_tokens(rows, extract, total, parts, HEAVY_ROWS)
+    flags = shared_tokens(texts, extract, lambda node, n, t, c: (node, np.sort(t).tobytes()), _FLAGS, parts, heavy)
 
+    @lean
     def send(batches):
         hashes = WordHashes()
         for batch, texts in text_chunks(batches):
@@ -127,16 +136,15 @@ def repeated_windows(rows: DataFrame, span: int = SPAN, seed: int = SEED) -> Dat
                 values, count = np.unique(seeds, return_counts=True)  # a minimiser may come again within its own run
                 hot = _member(heavy, token)
                 keep = (_member(flagged, token) | _member(values[count > 1], low)) & ~hot
-                words = (h & LOW).astype(np.uint32)
                 for t, a, m in zip(token[keep].tolist(), at[keep].tolist(), n[keep].tolist()):
                     packed["part"].append(t >> 40)
                     packed["node"].append(nodes[i])
                     packed["start"].append(a)
                     packed["len"].append(m)
-                    packed["words"].append(words[a : a + m + span - 1])
+                    packed["words"].append(h[a : a + m + span - 1])
                 if hot.any():
                     starts = np.concatenate([np.arange(a, a + m) for a, m in zip(at[hot], n[hot])])
-                    lone.append((np.full(len(starts), nodes[i]), starts, grams(h & LOW, span)[starts]))
+                    lone.append((np.full(len(starts), nodes[i]), starts, _wide_hashes(h, span)[starts]))
             if packed["part"]:
                 part, start, m = (np.array(packed[k], np.int64) for k in ("part", "start", "len"))
                 index = np.arange(len(part))
@@ -148,10 +156,11 @@ def repeated_windows(rows: DataFrame, span: int = SPAN, seed: int = SEED) -> Dat
                 local = count[where] > 1
                 rows += _address(node[local], start[local], parts)
                 node, start, value = node[first], start[first], value[first]
-                for p, own, n, s, v in grouped(((value >> U64(40)) % U64(parts)).astype(np.int64), node, start, value):
+                for p, own, n, s, v in grouped((value["a"] % U64(parts)).astype(np.int64), node, start, value):
                     rows.append((p, 1, own.tobytes(), n.tobytes(), s.astype(np.uint32).tobytes(), v.tobytes()))
             yield frame(_ARROW, rows)
 
+    @lean_group
     def count(data: pa.Table) -> pa.Table:
         rows, nodes, starts, words, offsets, lens, alone = [], [], [], [], [], [], []
         for part, kind, *b in zip(*(data.column(c).to_pylist() for c in _ARROW.names)):
@@ -160,20 +169,20 @@ def repeated_windows(rows: DataFrame, span: int = SPAN, seed: int = SEED) -> Dat
                 continue
             own = np.repeat(np.frombuffer(b[0], np.int64), np.frombuffer(b[1], np.int32))
             if kind == 1:
-                alone.append((own, np.frombuffer(b[2], np.uint32).astype(np.int64), np.frombuffer(b[3], U64)))
+                alone.append((own, np.frombuffer(b[2], np.uint32).astype(np.int64), np.frombuffer(b[3], _WIDE)))
                 continue
             s, m = np.frombuffer(b[2], np.uint32).astype(np.int64).reshape(2, len(own))
             nodes.append(own)
             starts.append(s)
             lens.append(m)
-            words.append(np.frombuffer(b[3], np.uint32))
+            words.append(np.frombuffer(b[3], U64))
         if nodes:
             node, start, m = np.concatenate(nodes), np.concatenate(starts), np.concatenate(lens)
             flat = np.concatenate(words)
             begin = np.cumsum(m + span - 1) - (m + span - 1)
             ordinal = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m)
             place = np.repeat(begin, m) + ordinal
-            value = grams(flat.astype(U64), span)[place]
+            value = grams(flat, span)[place]
             node, start = np.repeat(node, m), np.repeat(start, m) + ordinal
             order = np.lexsort((start, node))
             fresh = np.ones(len(order), bool)
@@ -194,6 +203,7 @@ def repeated_windows(rows: DataFrame, span: int = SPAN, seed: int = SEED) -> Dat
             rows += _address(node[n[where] > 1], start[n[where] > 1], parts)
         return pa.Table.from_batches([frame(_ARROW, rows)])
 
+    @lean_group
     def collect(data: pa.Table) -> pa.Table:
         nodes, first, number = [], [], []
         for _, _, *b in zip(*(data.column(c).to_pylist() for c in _ARROW.names)):
@@ -206,7 +216,7 @@ def repeated_windows(rows: DataFrame, span: int = SPAN, seed: int = SEED) -> Dat
         own, at = np.unique(node[order], return_index=True)
         return pa.Table.from_batches([frame(_SPANS, [(x, s.tobytes()) for x, s in zip(own.tolist(), np.split(spans, at[1:]))] if len(own) else [])])
 
-    marked = rows.join(flags, "node", "left").select("doc_id", "node", "text", "tokens")
+    marked = texts.join(flags, "node", "left").select("node", "text", "tokens")
     return marked.mapInArrow(send, ROWS).groupBy("part").applyInArrow(count, ROWS).groupBy("part").applyInArrow(collect, "node long, spans binary")
 
 
@@ -223,35 +233,40 @@ def covered(n_words: int, spans: bytes | None, span: int = SPAN) -> np.ndarray:
     return np.cumsum(edge)[:n_words] > 0
 
 
-def dedup_substrings(documents: DataFrame, span: int = SPAN, seed: int = SEED) -> DataFrame:
-    """One row per document row: doc_id, n_words, n_removed, kept (its remaining words, joined by one space)."""
-    rows = documents.select("doc_id", node_of().alias("node"), text_or_empty().alias("text"))
-    spans = repeated_windows(rows, span, seed)
-    copies = documents.select(node_of().alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    found = spans.withColumn("copies", F.lit(1).cast("long")).union(copies.select("node", F.lit(None).cast("binary").alias("spans"), "copies"))
-    found = cut(found.groupBy("node").agg(F.max("spans").alias("spans"), F.max("copies").alias("copies")))
+def _by_text(documents: DataFrame, span: int, seed: int) -> DataFrame:
+    """(node, n_words, n_removed, kept) of every distinct text."""
+    rows = documents.select(node_of().alias("node"), text_or_empty().alias("text"))
+    texts = rows.groupBy("node").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
+    spans = repeated_windows(rows, texts.select("node", "text"), span, seed)
 
+    @lean
     def apply(batches):
         for batch, texts in text_chunks(batches):
             n_words, n_removed, kept = [], [], []
             for text, packed, copies in zip(texts, batch.column("spans").to_pylist(), batch.column("copies").to_pylist()):
                 words = words_of(text)
-                if (copies or 0) > 1 and len(words) >= span:
+                if copies > 1 and len(words) >= span:
                     gone = np.ones(len(words), bool)
                 else:
                     gone = covered(len(words), packed, span)
                 n_words.append(len(words))
                 n_removed.append(int(gone.sum()))
                 kept.append(b" ".join(w for w, g in zip(words, gone.tolist()) if not g) if n_removed[-1] else b" ".join(words))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary())], names=["doc_id", "n_words", "n_removed", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary())], names=["node", "n_words", "n_removed", "kept"])
+
+    return texts.join(spans, "node", "left").select("node", "text", "spans", "copies").mapInArrow(apply, "node long, n_words long, n_removed long, kept binary")
+
 
-    kind = dict(documents.dtypes)["doc_id"]
-    done = rows.join(found, "node", "left").select("doc_id", "text", "spans", "copies").mapInArrow(apply, f"doc_id {kind}, n_words long, n_removed long, kept binary")
-    return done
+def dedup_substrings(documents: DataFrame, span: int = SPAN, seed: int = SEED, digest: bool = False) -> DataFrame:
+    """One row per document row: doc_id, n_words, n_removed, kept (its remaining words, joined by one space; or kept_sha256)."""
+    found = _by_text(documents, span, seed)
+    if digest:
+        found = found.select("node", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+    return documents.select("doc_id", node_of().alias("node")).join(found, "node").drop("node")
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_substrings(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+    return dedup_substrings(table(spark, sf_dir, "documents"), digest=True)
 
 
 OP8_SQL = r"""

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from sieveline.llm.common import table, text_chunks, text_or_empty
+from sieveline.llm.common import lean, table, text_chunks, text_or_empty
 
 VOCABULARY = os.environ.get("SIEVELINE_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 #: Fixed value: the vocabulary's pre-tokenising pattern.
@@ -76,6 +76,7 @@ def count_tokens(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFram
     """doc_id, n_tokens, n_sections, n_crossing, section_tokens."""
     kind = dict(documents.dtypes)["doc_id"]
 
+    @lean
     def run(batches):
         for batch, texts in text_chunks(batches):
             rows = []

@@ -14,8 +14,10 @@ bounded samples (SAMPLE_P, SAMPLE_U texts in expectation) of rows whose
 crc32(doc_id) leaves no 0 by 5; labels are used for nothing else.
 
 The score is 1 / (1 + e^-g). Null and empty texts score the model's bias; with
-no toxic labels every score is 0. Ids may repeat (a label counts once by id);
-extra columns are ignored; equal texts get equal scores.
+no toxic labels, and where documents are empty, every score is 0. Ids may repeat
+(a label counts once by id) or be null (held out, as in ``held_out``); extra
+columns are ignored; equal texts get equal scores. Copies of rows may swell a
+sample to twice its expected size at most.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import held_out, table, text_chunks, text_or_empty
+from sieveline.llm.common import held_out, lean, table, text_chunks, text_or_empty
 
 SAMPLE_P, SAMPLE_U, WORDS, LEAST_TEXTS = 2000, 6000, 4096, 6
 EPOCHS, BATCH_P, BATCH_U, RATE, DECAY, KEPT_WEIGHT, FINAL_STEPS, SEED = 40, 256, 768, 0.05, 1.5e-3, 0.3, 200, 3
@@ -104,9 +106,10 @@ def fit(documents: DataFrame, labels: DataFrame) -> PULinear | None:
         return None
     prior = toxic / total
     draw = lambda df, bound, n, tag: df.where(F.pmod(F.xxhash64("doc_id", F.lit(tag)), F.lit(1 << 30)) < int(min(1.0, bound / max(1, n)) * (1 << 30)))
-    p = rows.join(F.broadcast(draw(marks.where("toxic = 1"), SAMPLE_P, toxic, 1).select("doc_id").limit(2 * SAMPLE_P)), "doc_id")
+    p = rows.join(F.broadcast(draw(marks.where("toxic = 1"), SAMPLE_P, toxic, 1).select("doc_id").orderBy("doc_id").limit(2 * SAMPLE_P)), "doc_id")
     u = draw(rows, SAMPLE_U, rows.count(), 2)
 
+    @lean
     def tokens(batches):
         for batch, texts in text_chunks(batches):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.string()), batch.column("p"), pa.array([sorted(words_of(t)) for t in texts], pa.list_(pa.string()))], names=["id", "p", "words"])
@@ -116,12 +119,14 @@ def fit(documents: DataFrame, labels: DataFrame) -> PULinear | None:
     words = [r[0] for r in kept.collect()]
     index = {w: i for i, w in enumerate(words)}
 
+    @lean
     def positions(batches):
         for batch in batches:
             own = [sorted(index[w] for w in ws if w in index) for ws in batch.column("words").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("p"), pa.array([np.array(x, np.uint16).tobytes() for x in own], pa.binary())], names=["id", "p", "at"])
 
-    found = sorted((r[1], r[0] or "", bytes(r[2])) for r in sample.mapInArrow(positions, "id string, p int, at binary").collect())
+    placed = sample.mapInArrow(positions, "id string, p int, at binary").orderBy(F.desc("p"), F.xxhash64("at", "id"), "at", "id").limit(2 * (SAMPLE_P + SAMPLE_U))
+    found = sorted((r[1], r[0] or "", bytes(r[2])) for r in placed.collect())
     matrix = np.zeros((len(found), len(words)), np.uint8)
     for i, (_, _, at) in enumerate(found):
         matrix[i, np.frombuffer(at, np.uint16)] = 1
@@ -135,6 +140,7 @@ def score(documents: DataFrame, model: PULinear | None) -> DataFrame:
     """doc_id and score of every row."""
     kind = dict(documents.dtypes)["doc_id"]
 
+    @lean
     def run(batches):
         for batch, texts in text_chunks(batches):
             values = model.scores(texts) if model else np.zeros(len(texts))
