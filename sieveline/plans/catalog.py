@@ -17,6 +17,7 @@ from sieveline.operators.search import SubgroupDiscovery, as_table, discover, pe
 from sieveline.operators.stats import statistics
 from sieveline.plans import measures_catalog as mc
 from sieveline.sources import runs, text
+from sieveline.streaming.windows import windowed_qualities
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = dict(mc.QUERIES)
@@ -432,3 +433,9 @@ _add("IO18_result_list", lambda s, d: s.read.csv(_written(s, "results", lambda p
 _add("IO14_concept_list", lambda s, d: runs.read_concept_list(s, _written(s, "concepts", lambda p: runs.write_concept_list(_table(s, d, "nation").select("n_name"), p))), "select n_name as concept from nation")
 _add("IO16_knowledge", lambda s, d: (lambda known: _li(s, d).agg(*(F.count_if(model.conjunction(c)).alias(f"n{i}") for i, c in enumerate(sorted(known, key=model.text_of)))))(runs.read_knowledge(s, _written(s, "knowledge", lambda p: s.createDataFrame([("l_quantity <= 5.0 AND l_returnflag = 'R'",), ("l_discount in (0.02, 0.05]",)], "value string").write.text(p)), {Q: model.NUMERIC, D: model.NUMERIC, "l_returnflag": model.NOMINAL})),
      "select count(*) filter (l_discount > 0.02 and l_discount <= 0.05) as n0, count(*) filter (l_quantity <= 5 and l_returnflag = 'R') as n1 from lineitem")
+
+# --- streams ---------------------------------------------------------------------------------
+
+_KINDS = [(_C("event_type", "=", "click"),), (_C("value", "<=", 50.0),)]
+_add("ST01_windowed_qualities", lambda s, d: windowed_qualities(_table(s, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value", (F.col("user_id") % 3 == 0).alias("hit")), "ts", "1 day", "30 days", _KINDS, Target("single_nominal", ("hit",))).select(F.date_format("start", "yyyy-MM-dd").alias("day"), "subgroup", F.col("B").cast("long").alias("coverage"), _r("quality").alias("quality")),
+     "with e as (select strftime(date_trunc('day', ts), '%Y-%m-%d') as day, (user_id % 3 = 0)::int as t, event_type = 'click' as s0, value <= 50 as s1 from events), w as (select day, count(*)::double as N, sum(t)::double as H from e group by 1), g as (select day, 0 as subgroup, count(*) filter (s0)::double as B, sum(t) filter (s0)::double as HB from e group by 1 union all select day, 1, count(*) filter (s1)::double, sum(t) filter (s1)::double from e group by 1) select day, subgroup, B::bigint as coverage, case when B > 0 then case when H = 0 or H = N then 0.0 else round(HB / N - (H / N) * (B / N), 6) + 0.0 end end as quality from g join w using (day)")
