@@ -236,8 +236,11 @@ def covered(n_words: int, spans: bytes | None, span: int = SPAN) -> np.ndarray:
 def _by_text(documents: DataFrame, span: int, seed: int) -> DataFrame:
     """(node, n_words, n_removed, kept) of every distinct text."""
     rows = documents.select(node_of().alias("node"), text_or_empty().alias("text"))
-    texts = rows.groupBy("node").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
-    spans = repeated_windows(rows, texts.select("node", "text"), span, seed)
+    texts = rows.groupBy("node").agg(F.first("text").alias("text"))  # the same each time it is used, so that it is dealt once
+    spans = repeated_windows(rows, texts, span, seed)
+    copies = rows.groupBy("node").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    found = spans.withColumn("copies", F.lit(1).cast("long")).union(copies.select("node", F.lit(None).cast("binary").alias("spans"), "copies"))
+    found = found.groupBy("node").agg(F.max("spans").alias("spans"), F.max("copies").alias("copies"))
 
     @lean
     def apply(batches):
@@ -245,7 +248,7 @@ def _by_text(documents: DataFrame, span: int, seed: int) -> DataFrame:
             n_words, n_removed, kept = [], [], []
             for text, packed, copies in zip(texts, batch.column("spans").to_pylist(), batch.column("copies").to_pylist()):
                 words = words_of(text)
-                if copies > 1 and len(words) >= span:
+                if (copies or 1) > 1 and len(words) >= span:
                     gone = np.ones(len(words), bool)
                 else:
                     gone = covered(len(words), packed, span)
@@ -254,7 +257,7 @@ def _by_text(documents: DataFrame, span: int, seed: int) -> DataFrame:
                 kept.append(b" ".join(w for w, g in zip(words, gone.tolist()) if not g) if n_removed[-1] else b" ".join(words))
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary())], names=["node", "n_words", "n_removed", "kept"])
 
-    return texts.join(spans, "node", "left").select("node", "text", "spans", "copies").mapInArrow(apply, "node long, n_words long, n_removed long, kept binary")
+    return texts.join(found, "node", "left").select("node", "text", "spans", "copies").mapInArrow(apply, "node long, n_words long, n_removed long, kept binary")
 
 
 def dedup_substrings(documents: DataFrame, span: int = SPAN, seed: int = SEED, digest: bool = False) -> DataFrame:
