@@ -84,7 +84,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, span: int = SPAN,
     texts = documents.select(node_of().alias("node"), "text").join(small(suspects, BROADCAST_ROWS), "node").groupBy("node").agg(F.first("text").alias("text"))
     cand = texts.select("node", words_of("text").alias("words"))
     places = [_places(size, tag) for size, tag in [(k, 0), *((size, size) for size in short)]]
-    met = cand.select("node", F.size("words").alias("n"), F.explode(F.concat(*places)).alias("x")).select("node", "n", "x.len", "x.start", "x.fp").join(hits, ["node", "fp"])
+    met = cand.select("node", F.size("words").alias("n"), F.explode(F.concat(*places)).alias("x")).select("node", "n", "x.len", "x.start", "x.fp").join(small(hits, BROADCAST_ROWS), ["node", "fp"])
     first, last = F.greatest(F.col("start") - (span - k), F.lit(1)), F.least("start", F.col("n") - (span - 1))
     around = F.when(F.col("len") > 0, F.array("start")).when(first <= last, F.sequence(first, last))
     starts = met.select("node", F.when(F.col("len") > 0, F.col("len")).otherwise(span).alias("len"), F.explode(around).alias("start")).distinct()

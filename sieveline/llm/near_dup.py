@@ -122,6 +122,14 @@ def _compared(pairs: DataFrame, live: DataFrame) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").select("a", "na", "b", "nb", F.size(F.array_intersect("ta", "tb")).cast("long").alias("common"))
 
 
+def _possible(pairs: DataFrame, live: DataFrame) -> DataFrame:
+    """The pairs whose sets, by 31 bits of each shingle, share enough: half of what travels for a comparison of whole shingles, which follows for these. Shingles of one set that look alike count as shared."""
+    brief = live.select("node", "n", "m", F.array_distinct(F.transform("tokens", lambda t: t.bitwiseAND(0x7FFFFFFF).cast("int"))).alias("t"))
+    left, right = (brief.select(F.col("node").alias(k), F.col("n").alias("n" + k), (F.col("m") - F.size("t")).alias("m" + k), F.col("t").alias("t" + k)) for k in "ab")
+    common = F.size(F.array_intersect("ta", "tb")) + F.col("ma") + F.col("mb")
+    return pairs.join(right, "b").join(left, "a").where(_enough(common, "na", "nb")).select("a", "b")
+
+
 def _left_over(rest: DataFrame) -> DataFrame:
     """Pairs (a, b) of texts of one signature in different components that can still reach the similarity."""
     plain = F.least("ma", "mb")
@@ -164,7 +172,8 @@ def classes_of(documents: DataFrame, text: str = "text") -> tuple[DataFrame, Dat
     # without a test the hub was out of reach: nothing is known of what they share
     rest = rest.select("sig", "node", "n", "m", "label", "common")
     rest = cut(rest.join(rest.groupBy("node").agg(F.collect_set("sig").alias("sigs")), "node"))
-    more = cut(_compared(_left_over(rest).distinct(), live.select("node", "n", "tokens")))
+    possible = cut(_possible(_left_over(rest).distinct(), live))
+    more = cut(_compared(possible, live.select("node", "n", "tokens")))
     more = more.where(_enough(F.col("common"), "na", "nb")).select("a", "b")
     if more.limit(1).count():
         labels = components(found.union(more))

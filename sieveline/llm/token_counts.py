@@ -7,8 +7,8 @@ equal overlaps to the first. Counting sections one by one would give other
 numbers, since a token may cross a boundary.
 
 Sections are spans that cover the text without gaps: here its lines, each with
-the line feed that ends it. The vocabulary file's path is a parameter; the file
-must be at that place on every worker. Null or empty text has no tokens and no
+the line feed that ends it. The vocabulary file's path is a parameter; the driver
+sends the file to the workers. Null or empty text has no tokens and no
 sections. Ids may be null or repeat; extra columns are ignored.
 """
 
@@ -20,6 +20,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 
 from sieveline.llm.common import lean, table, text_chunks, text_or_empty
@@ -75,9 +76,12 @@ def attribute(start: np.ndarray, end: np.ndarray, section_ends: np.ndarray) -> t
 def count_tokens(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """doc_id, n_tokens, n_sections, n_crossing, section_tokens."""
     kind = dict(documents.dtypes)["doc_id"]
+    name = os.path.basename(vocabulary)
+    documents.sparkSession.sparkContext.addFile(vocabulary)
 
     @lean
     def run(batches):
+        path = SparkFiles.get(name)
         for batch, texts in text_chunks(batches):
             rows = []
             for text in texts:
@@ -85,7 +89,7 @@ def count_tokens(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFram
                     rows.append((0, 0, 0, []))
                     continue
                 ends = line_sections(text)
-                counts, crossing = attribute(*token_spans(text, vocabulary), ends)
+                counts, crossing = attribute(*token_spans(text, path), ends)
                 rows.append((int(counts.sum()), len(ends), crossing, counts))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))))], names=["doc_id", "n_tokens", "n_sections", "n_crossing", "section_tokens"])
 
