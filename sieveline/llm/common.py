@@ -161,7 +161,18 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def text_chunks(batches: Iterator[pa.RecordBatch], limit: int = 4 << 20, column: str = "text") -> Iterator[tuple[pa.RecordBatch, list]]:
+#: Bytes of a record batch that go to a Python worker at once, where the session leaves Spark's default.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Ask for record batches of BATCH_BYTES instead of 64 MB, which both the JVM and the worker hold; a session's own setting stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) in (None, "67108864b", "64m", "64MB"):
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
+def text_chunks(batches: Iterator[pa.RecordBatch], limit: int = 2 << 20, column: str = "text") -> Iterator[tuple[pa.RecordBatch, list]]:
     """Slices of the batches of about ``limit`` bytes of text (one row at least), with their texts."""
     for batch in batches:
         if batch.num_rows == 0:
@@ -174,17 +185,6 @@ def text_chunks(batches: Iterator[pa.RecordBatch], limit: int = 4 << 20, column:
             yield part, part.column(column).to_pylist()
 
 
-def few_at_once(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...], limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches of about ``limit`` bytes in these columns (one row at least)."""
-    for batch in batches:
-        if batch.num_rows:
-            size = sum(np.asarray(pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False), dtype=np.int64) for c in columns)
-            group = np.cumsum(size + 64) // limit
-            starts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
-            for a, b in zip(starts, starts[1:]):
-                yield batch.slice(a, b - a)
-
-
 def slices(counts: np.ndarray) -> np.ndarray:
     """Offsets of runs with these lengths."""
     out = np.zeros(len(counts) + 1, np.int64)

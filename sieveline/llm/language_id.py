@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
-from sieveline.llm.common import held_out, lean, scratch, table, text_chunks
+from sieveline.llm.common import held_out, lean, scratch, small_batches, table, text_chunks
 
 HIDDEN, WINDOW, BATCH = 8, 128, 4096
 #: Bytes of text labelled at once.
@@ -192,6 +192,7 @@ def windows_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def fit(documents: DataFrame, per_lang: int = DOCS_PER_LANG) -> BiGRU | None:
     """Train on labelled rows that are not held out; None if there are none."""
+    small_batches(documents.sparkSession)
     rows = documents.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
     if not counts:
@@ -229,6 +230,7 @@ ADDED = ("lang_pred", "score", "position_labels")
 def identify(documents: DataFrame, model: BiGRU | None, names: tuple[str, str, str] = ADDED) -> DataFrame:
     """All columns of documents and, under these names, language, score and positions by label (in the order of the model's languages)."""
     languages = model.languages if model else []
+    small_batches(documents.sparkSession)
     documents = documents.drop(*names).withColumn("text", F.col("text").cast("string"))
 
     @lean

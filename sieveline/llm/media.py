@@ -34,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from sieveline.llm.common import lean, table, text_chunks, text_or_empty
+from sieveline.llm.common import lean, small_batches, table, text_chunks, text_or_empty
 
 #: Fixed values of the format: zigzag position -> row-major position.
 ZIGZAG = np.array([i * 8 + j for s in range(15) for i, j in ([(k, s - k) for k in range(8) if 0 <= s - k < 8] if s % 2 else [(s - k, k) for k in range(8) if 0 <= s - k < 8])])
@@ -617,6 +617,7 @@ class Reading:
 
 def store(documents: DataFrame) -> DataFrame:
     """doc_id, n_bytes, media (the file, or files), of every text."""
+    small_batches(documents.sparkSession)
     kind = documents.schema["doc_id"].dataType.simpleString()
 
     @lean
@@ -632,6 +633,7 @@ def store(documents: DataFrame) -> DataFrame:
 
 def load(stored: DataFrame, tensors: bool = False) -> DataFrame:
     """Reads stored files back: payload digests, the feature and, if asked for, height, width and the RGB tensor's bytes (of several pictures one after the other)."""
+    small_batches(stored.sparkSession)
     kind = stored.schema["doc_id"].dataType.simpleString()
 
     @lean

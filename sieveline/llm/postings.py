@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import U64, lean, lean_group, partitions, slices, text_chunks
+from sieveline.llm.common import U64, lean, lean_group, partitions, slices, small_batches, text_chunks
 
 #: Least texts sampled, in expectation, to find heavy tokens; share and number of texts that make a token heavy; least texts of the sample that must show it.
 SAMPLE_TEXTS, HEAVY_SHARE, HEAVY_ROWS, HEAVY_LEAST = 20_000, 0.005, 2_000_000, 50
@@ -68,6 +68,7 @@ def grouped(part: np.ndarray, nodes: np.ndarray, *values: np.ndarray) -> Iterato
 
 def measured(docs: DataFrame) -> tuple[int, int]:
     """(number of texts, number of parts) of rows (node, text)."""
+    small_batches(docs.sparkSession)
     total, size = docs.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
     return max(1, total), min(MOST_PARTS, max(partitions(docs.sparkSession), -(-(size or 0) // PART_BYTES)))
 

@@ -19,7 +19,6 @@ ids may be null or repeat; extra columns are ignored.
 from __future__ import annotations
 
 import bisect
-import hashlib
 import re
 
 import numpy as np
@@ -27,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import lean, scratch, table, text_chunks, text_or_empty
+from sieveline.llm.common import lean, small_batches, table, text_chunks, text_or_empty
 
 #: The kinds in order and their patterns; least lengths follow.
 KINDS = ("assign", "access", "hex", "markov")
@@ -130,6 +129,7 @@ def _merged(spans: list) -> tuple[list, list]:
 
 
 def train_from(documents: DataFrame) -> MarkovRatio:
+    small_batches(documents.sparkSession)
     total = max(1, documents.count())
     share = int(min(1.0, SAMPLE_DOCS / total) * (1 << 30))
 
@@ -161,6 +161,7 @@ def _joined(spans: list, kinds: tuple = KINDS) -> str:
 
 def scan(documents: DataFrame, model: MarkovRatio | None) -> DataFrame:
     """doc_id, spans (kind:start:end, joined) and counts by kind; base holds the patterns' spans alone."""
+    small_batches(documents.sparkSession)
     kind = dict(documents.dtypes)["doc_id"]
 
     @lean
@@ -197,6 +198,7 @@ def redacted(text: str | None, spans: list) -> str | None:
 
 def redact(documents: DataFrame, model: MarkovRatio | None = None) -> DataFrame:
     """Documents with their secrets replaced; n_chars, where present, follows. Other columns and null texts stay."""
+    small_batches(documents.sparkSession)
     model = model or train_from(documents)
 
     @lean

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 
-from sieveline.llm.common import lean, table, text_chunks, text_or_empty
+from sieveline.llm.common import lean, small_batches, table, text_chunks, text_or_empty
 
 VOCABULARY = os.environ.get("SIEVELINE_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 #: Fixed value: the vocabulary's pre-tokenising pattern.
@@ -75,6 +75,7 @@ def attribute(start: np.ndarray, end: np.ndarray, section_ends: np.ndarray) -> t
 
 def count_tokens(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """doc_id, n_tokens, n_sections, n_crossing, section_tokens."""
+    small_batches(documents.sparkSession)
     kind = dict(documents.dtypes)["doc_id"]
     name = os.path.basename(vocabulary)
     documents.sparkSession.sparkContext.addFile(vocabulary)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import held_out, lean, table, text_chunks, text_or_empty
+from sieveline.llm.common import held_out, lean, small_batches, table, text_chunks, text_or_empty
 
 SAMPLE_P, SAMPLE_U, WORDS, LEAST_TEXTS = 2000, 6000, 4096, 6
 EPOCHS, BATCH_P, BATCH_U, RATE, DECAY, KEPT_WEIGHT, FINAL_STEPS, SEED = 40, 256, 768, 0.05, 1.5e-3, 0.3, 200, 3
@@ -99,6 +99,7 @@ def _descend(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs:
 
 
 def fit(documents: DataFrame, labels: DataFrame) -> PULinear | None:
+    small_batches(documents.sparkSession)
     rows = documents.where(~held_out() & F.col("text").isNotNull()).select("doc_id", "text")
     marks = labels.where(~held_out() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     total, toxic = marks.agg(F.count(F.lit(1)), F.count_if(F.col("toxic") == 1)).first()
@@ -138,6 +139,7 @@ def fit(documents: DataFrame, labels: DataFrame) -> PULinear | None:
 
 def score(documents: DataFrame, model: PULinear | None) -> DataFrame:
     """doc_id and score of every row."""
+    small_batches(documents.sparkSession)
     kind = dict(documents.dtypes)["doc_id"]
 
     @lean
