@@ -511,3 +511,40 @@ def test_operators_must_suit_types():
     with pytest.raises(ValueError):
         runs.parse_condition("s <= 3", {"s": "nominal"})
     assert runs.parse_condition("x in (1.0, 2.0]", {"x": "numeric"}).operator == "between"
+
+
+@pytest.mark.parametrize("target, measure", [(Target("single_nominal", ("l_returnflag",), "R"), "normalised_wracc"), (Target("single_numeric", ("l_extendedprice",)), "z_score"), (Target("single_numeric", ("l_extendedprice",)), "explained_variance")])
+def test_a_selection_equals_the_rows_it_keeps(spark, target, measure):
+    df = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").select("l_returnflag", "l_linestatus", "l_quantity", "l_tax", "l_extendedprice")
+    settings = Settings(measure=measure, minimum=0.0, depth=2, width=5, max_results=20)
+    kept = F.col("l_linestatus") == "O"
+    types = {"l_quantity": "numeric", "l_tax": "numeric"}
+    a = SubgroupDiscovery(df, target, settings, types=types, selection=kept).run()
+    b = SubgroupDiscovery(df.where(kept), target, settings, types=types).run()
+    shown = lambda rs: [(model.text_of(r["conditions"]), r["coverage"], round(r["quality"], 9), round(r["secondary"], 6)) for r in rs]
+    assert a and shown(a) == shown(b)
+
+
+def test_missing_values_are_in_no_condition(spark):
+    rows = [(None if i % 5 == 0 else float(i % 10), None if i % 7 == 0 else "ab"[i % 2], None if i % 6 == 0 else i % 2 == 0, float(i)) for i in range(210)]
+    df = spark.createDataFrame(rows, "n double, s string, b boolean, y double")
+    found = {model.text_of(r["conditions"]): r for r in SubgroupDiscovery(df, Target("single_numeric", ("y",)), Settings(measure="average", minimum=float("-inf"), numeric_strategy="all", min_coverage=1)).run()}
+    own = {"s = 'a'": [r[3] for r in rows if r[1] == "a"], "b = '1'": [r[3] for r in rows if r[2]], "b = '0'": [r[3] for r in rows if not r[2]], "n <= 4.0": [r[3] for r in rows if r[0] is not None and r[0] <= 4]}
+    for text_, values in own.items():
+        assert found[text_]["coverage"] == len(values) and found[text_]["secondary"] == pytest.approx(np.mean(values))
+    assert not any("None" in t or "nan" in t for t in found)
+    # a missing target counts nowhere
+    holes = df.withColumn("y", F.when(F.col("y") % 3 != 0, F.col("y")))
+    (r,) = [r for r in SubgroupDiscovery(holes, Target("single_numeric", ("y",)), Settings(measure="average", minimum=float("-inf"), min_coverage=1), types={"s": "nominal"}).run() if r["conditions"][0].value == "a"]
+    assert r["coverage"] == sum(x[1] == "a" and x[3] % 3 != 0 for x in rows)
+
+
+def test_value_sets_are_the_best_prefix(spark):
+    rng = np.random.default_rng(9)
+    rows = [("abcdefgh"[k], bool(rng.random() < k / 8)) for k in rng.integers(0, 8, 400)]
+    df = spark.createDataFrame(rows, "s string, t boolean")
+    (best,) = SubgroupDiscovery(df, Target("single_nominal", ("t",)), Settings(measure="wracc", minimum=0.0, nominal_sets=True)).run()
+    share = np.mean([r[1] for r in rows])
+    score = lambda own: sum(r[1] - share for r in rows if r[0] in own) / len(rows)
+    every = [{v for i, v in enumerate("abcdefgh") if m >> i & 1} for m in range(1, 255)]
+    assert best["quality"] == pytest.approx(max(map(score, every))) == pytest.approx(score(best["conditions"][0].value))
