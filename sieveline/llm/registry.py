@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sieveline.llm import decontaminate, fill_middle, language_id, media, mixing, near_dup, secrets, substring_dedup, token_counts, toxicity, url_filter
+from sieveline.llm import clustering, decontaminate, fill_middle, language_id, media, mixing, near_dup, secrets, substring_dedup, token_counts, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": url_filter.op1,
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_benchmark_decontamination": decontaminate.op9,
     "op10_mixing": mixing.op10,
     "op11_fill_in_middle": fill_middle.op11,
+    "op12_centroid_clustering": clustering.op12,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -28,4 +29,5 @@ ORACLE_SQL: dict[str, str] = {
     "op9_benchmark_decontamination": decontaminate.OP9_SQL,
     "op10_mixing": mixing.OP10_SQL,
     "op11_fill_in_middle": fill_middle.OP11_SQL,
+    "op12_centroid_clustering": clustering.OP12_SQL,
 }
