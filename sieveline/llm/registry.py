@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sieveline.llm import clustering, decontaminate, fill_middle, language_id, media, mixing, near_dup, secrets, substring_dedup, token_counts, toxicity, url_filter
+from sieveline.llm import clustering, decontaminate, fill_middle, language_id, media, mixing, near_dup, packing, secrets, substring_dedup, token_counts, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": url_filter.op1,
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_mixing": mixing.op10,
     "op11_fill_in_middle": fill_middle.op11,
     "op12_centroid_clustering": clustering.op12,
+    "op13_packing": packing.op13,
 }
 
 ORACLE_SQL: dict[str, str] = {
