@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 from sieveline import model
 from sieveline.functions import kernels, measures
 from sieveline.model import AT_LEAST, AT_MOST, BETWEEN, BINARY, ELEMENT_OF, EQUALS, NOMINAL, NUMERIC, Conditions
-from sieveline.operators import tables
+from sieveline.operators import cover_index, tables
 from sieveline.operators.stats import Statistics
 
 #: Predicates in one projection; more would overrun generated methods.
@@ -259,6 +261,26 @@ def quality_of(measure: measures.Measure) -> Column:
     return run(*map(F.col, measure.columns)) if measure.columns else run(plain)
 
 
+def quality_at(stats: Statistics, measure: str) -> Callable[[str, str], Column]:
+    """A measure of covered rows and positives as a column of the SQL of these two."""
+    expression, numbers = stats.measures[measure].expression, {k: f"{float(v)!r}D" for k, v in stats.whole.items()}
+
+    def quality(b: str, h: str) -> Column:
+        names = numbers | {"B": f"({b})", "HB": f"({h})"}
+        return F.expr(f"cast({re.sub(r'[A-Za-z_][A-Za-z_0-9]*', lambda m: names.get(m[0], m[0]), expression)} as double)")
+
+    return quality
+
+
+def reach(stats: Statistics, measure: str) -> Column:
+    """The most that any part of a subgroup (coverage, support) can score: for convex measures at a corner of what it may cover of positives and others; unbounded else."""
+    if measure not in CONVEX or "HB" not in stats.parts:
+        return F.lit(float("inf"))
+    quality = quality_at(stats, measure)
+    corner = lambda b, h: F.when(F.expr(f"{b} > 0"), quality(f"cast({b} as double)", f"cast({h} as double)")).otherwise(0.0)
+    return F.greatest(corner("support", "support"), corner("coverage - support", "0"), corner("coverage", "support"), F.lit(0.0))
+
+
 def scored(rows: DataFrame, stats: Statistics, measure: str) -> DataFrame:
     """Adds coverage, quality, secondary and tertiary."""
     rows = rows.withColumns({k: F.lit(float(v)) for k, v in stats.whole.items()})
@@ -277,9 +299,28 @@ def _shaped(df: DataFrame, stats: Statistics) -> DataFrame:
     return df.select("cand", "attr", "op", *(F.col(c) if c in df.columns else F.lit(None).cast(t).alias(c) for c, t in _SHAPE.items()), *stats.parts)
 
 
-def level(df: DataFrame, beam: list[Conditions], types: dict[str, str], stats: Statistics, settings: model.Settings, wide: dict[str, list[float]] | None = None, best: bool = False) -> DataFrame:
-    """Scored refinements of every candidate in the beam; with ``best``, of intervals only those among which the best one is."""
-    return _level(values(df, beam, types, stats), types, stats, settings, wide, best)
+def level(df: DataFrame, beam: list[Conditions], types: dict[str, str], stats: Statistics, settings: model.Settings, wide: dict[str, list[float]] | None = None, best: bool = False, codes: dict[str, cover_index.Codes] | None = None, last: float | None = None) -> DataFrame:
+    """Scored refinements of every candidate in the beam; with ``best``, of intervals only those among which the best one is.
+
+    With codes, rows meet the candidates by the index of conditions. Then, where
+    only the best cut counts and the measure is convex, attributes with very many
+    values are searched from coarse to fine; ``last`` is the quality to be passed
+    where no beam follows.
+    """
+    if codes is None:
+        return _level(values(df, beam, types, stats), types, stats, settings, wide, best)
+    operators = model.SETTINGS[settings.numeric_operators]
+    bounded = best and settings.numeric_strategy == "best" and settings.measure in CONVEX and "HB" in stats.parts and set(operators) <= {AT_MOST, AT_LEAST}
+    ranged = {a: c for a, c in codes.items() if bounded and c.ranged and a in types}
+    rest = {a: t for a, t in types.items() if a not in ranged}
+    pieces = [_level(cover_index.values(df, beam, rest, codes, stats), rest, stats, settings, wide, best)] if rest else []
+    if ranged:
+        quality = quality_at(stats, settings.measure)
+        n = stats.whole["N"]
+        gate = lambda b, h: F.expr(f"{b} > greatest(1, {settings.min_coverage}) and {b} <= {n!r} * {settings.max_coverage_share!r} and {h} >= {settings.min_support}")
+        cuts = cover_index.bounded_cuts(df, beam, types, ranged, stats, operators, quality, gate, float("-inf") if last is None else last)
+        pieces.append(scored(_shaped(cuts, stats), stats, settings.measure))
+    return reduce(DataFrame.union, pieces)
 
 
 def level_with_sets(df: DataFrame, beam: list[Conditions], types: dict[str, str], stats: Statistics, settings: model.Settings, wide: dict[str, list[float]] | None = None) -> tuple[DataFrame, DataFrame | None]:

@@ -1,18 +1,30 @@
-"""Subgroup discovery: a driver loop over depth; each level is one job over all candidates and attributes.
-
-A level's gated rows are written once to the shared checkpoint folder; results
-and the next beam are taken from there. Rows that come to one description by
-another order of conditions, or by conditions that imply each other, are one
-before any bound applies. Only results and the next beam come to the driver. An
-unbounded beam (breadth, best and depth first without a time limit find the same
-subgroups) is bounded by the number of gated refinements; more than MOST_CARRIED
-are an error that asks for a tighter gate.
+"""Subgroup discovery: rounds of refinement; each is one job over all its candidates and attributes.
+
+A round's gated rows are written once to the shared folder, and deleted when
+results and the next candidates are taken from them. Rows that come to one
+description by another order of conditions, or by conditions that imply each
+other, are one before any bound applies. Only results and the next candidates
+come to the driver.
+
+Beams (plain, ROC, cover-based) go level by level and keep a bounded part of each.
+The other orders keep all gated refinements in a frontier and differ in what
+they take from it next: breadth first a whole level; best first the best ones,
+and none whose every specialisation must stay below the results that are known;
+depth first the children of the last branch, from a table of that branch's rows
+alone. More than MOST_CARRIED waiting descriptions are an error that asks for a
+tighter gate.
+
+A time limit or ``cancel()`` interrupts the running round. What was found before
+is returned: of beams the levels that ended, of the others the rounds.
 """
 
 from __future__ import annotations
 
+import heapq
+import itertools
 import math
-import time
+import threading
+import uuid
 
 import numpy as np
 import pandas as pd
@@ -22,12 +34,18 @@ from pyspark.sql import functions as F
 from sieveline import model
 from sieveline.functions import measures
 from sieveline.model import Condition, Conditions, Settings, Target
-from sieveline.operators import kernel_search, post, refine, tables
+from sieveline.operators import cover_index, kernel_search, post, refine, tables
 from sieveline.operators.propensity import with_propensity
 from sieveline.operators.stats import RANK, positive, statistics
 
 #: Descriptions that an unbounded beam or result list may bring to the driver.
 MOST_CARRIED = 1_000_000
+#: Candidates of a round of a frontier: of best first, and of breadth first under a time limit.
+ROUND = 512
+#: Strategies that keep every gated refinement.
+FRONTIER = ("breadth", "best_first", "depth_first")
+#: The part of a table's rows below which a branch gets a table of its own.
+SHRINK = 0.5
 
 
 def _condition(row, types: dict[str, str]) -> Condition:
@@ -55,66 +73,185 @@ class SubgroupDiscovery:
         self.types = types if types is not None else found
         self.order = {a: i for i, a in enumerate(df.columns)}
         self.kernel = target.type in kernel_search.TARGETS or settings.measure in kernel_search.MEASURES
-        self.stats = None
+        self.stats = self.group = None
+        self.cancelled = False
+
+    def cancel(self) -> None:
+        """Stop the search; safe to call from another thread. ``run`` returns what was found so far."""
+        self.cancelled = True
+        if self.group:
+            self.df.sparkSession.sparkContext._jsc.sc().cancelJobGroupAndFutureJobs(self.group)
 
     def run(self) -> list[dict]:
         """Ranked results: dictionaries with conditions (a tuple), depth, coverage, quality, secondary, tertiary."""
         s = self.settings
         described = {c.attribute for own in self.knowledge for c in own}
         self.df = self.df.select(*dict.fromkeys([*self.types, *self.target.columns, *sorted(described)]))
+        context = self.df.sparkSession.sparkContext
+        before = {k: context.getLocalProperty(k) for k in ("spark.jobGroup.id", "spark.job.description", "spark.job.interruptOnCancel")}
+        self.cancelled, self.expanded, self.results, self.group = False, 0, {}, f"search-{uuid.uuid4().hex}"
+        context.setJobGroup(self.group, "subgroup search", True)
+        timer = threading.Timer(60 * s.max_minutes, self.cancel) if s.max_minutes > 0 else None
+        try:
+            if timer:
+                timer.daemon = True
+                timer.start()
+            self._search()
+        except Exception:
+            if not self.cancelled:
+                raise
+        finally:
+            if timer:
+                timer.cancel()
+            self.group = None
+            for k, v in before.items():
+                context.setLocalProperty(k, v)
+        out = sorted(self.results.values(), key=lambda r: (-r["quality"], -r["coverage"], [c.key(self.order) for c in r["conditions"]]))
+        if s.min_improvement:
+            out = post.without_weak_specialisations(out, s.min_improvement)
+        out = out[: s.max_results] if s.max_results > 0 else out
+        if s.p_values:
+            from sieveline.operators import validation
+
+            validation.assign_p_values(self.df, self.target, s, out)
+        return out
+
+    def _search(self) -> None:
+        s = self.settings
         if s.measure in measures.PROPENSITY:
             self.df = with_propensity(self.df, self.target, self.knowledge)
         if self.target.type == "single_ordinal" and not self.kernel:
             self.df = tables.with_mid_rank(self.df, self.target.columns[0], RANK)
         self.stats = kernel_search.base(self.df, self.target) if self.kernel else statistics(self.df, self.target)
         self.wide = {} if self.kernel else refine.wide_bounds(self.df, self.types)
+        self.codes = None
         if s.min_support and "HB" not in self.stats.parts:
             raise ValueError("min_support needs a nominal target: only its positives are counted")
-        measure = s.measure
-        minimum = s.minimum if s.minimum is not None else self.stats.measures[measure].minimum
-        total = int(self.stats.whole["N"])
-        beam: list[tuple[Conditions, int, float]] = [(c, total, 0.0) for c in (s.beam_seed or [()])]
+        self.minimum = s.minimum if s.minimum is not None else self.stats.measures[s.measure].minimum
+        self.total = int(self.stats.whole["N"])
+        start: list[tuple[Conditions, int, float]] = [(c, self.total, 0.0) for c in (s.beam_seed or [()])]
         if s.beam_seed:
             counts = self.df.agg(*(F.count_if(model.conjunction(c)).alias(f"c{i}") for i, c in enumerate(s.beam_seed))).first()
-            beam = [(c, n, 0.0) for c, n in zip(s.beam_seed, counts)]
-        results: dict[Conditions, dict] = {}
-        started = time.monotonic()
-        for depth in range(1, s.depth + 1):
-            if not beam or (s.max_minutes > 0 and time.monotonic() - started > 60 * s.max_minutes):
-                break
-            candidates = [c for c, _, _ in beam]
-            rows = self._level(candidates)
-            parents = self.df.sparkSession.createDataFrame([(i, n) for i, (_, n, _) in enumerate(beam)], "cand int, parent bigint")
-            rows = rows.join(F.broadcast(parents), "cand").where(F.col("coverage") < F.col("parent"))
-            if s.min_support:
-                rows = rows.where(F.col("support") >= s.min_support)
-            result_gate = (F.col("coverage") >= s.min_coverage) & (F.col("coverage") <= total * s.max_coverage_share) & (F.col("quality") > minimum)
-            beam_gate = (F.col("coverage") > s.min_coverage) & (F.col("coverage") > 1) & F.lit(depth < s.depth)
-            rows = rows.withColumns({"as_result": F.coalesce(result_gate, F.lit(False)), "in_beam": F.coalesce(beam_gate, F.lit(False))}).where("as_result or in_beam")
-            rows = tables.materialised(rows)
-            best = "best" in s.numeric_strategy or s.numeric_strategy == "intervals"
-            for_result, for_beam = rows.where("as_result"), rows.where("in_beam")
-            if best or s.nominal_sets:
-                for_result, for_beam = refine.best_per_operator(for_result, best), refine.best_per_operator(for_beam, best)
-            if s.nominal_sets:
-                for_result, for_beam = refine.with_sets(for_result, self.ordered), refine.with_sets(for_beam, self.ordered)
-            for_result = self._described(for_result, candidates, depth, results)
-            ranked = self._ranked()
-            for row in self._bounded(for_result.orderBy(*ranked), s.max_results):
-                own = self._own(row, candidates)
-                if own:
-                    results[own] = {"conditions": own, "depth": depth, "coverage": row["coverage"], "quality": row["quality"], "secondary": row["secondary"], "tertiary": row["tertiary"], "p_value": None}
-            if depth < s.depth:
-                beam = self._next(self._described(for_beam, candidates, depth), candidates)
-        out = sorted(results.values(), key=lambda r: (-r["quality"], -r["coverage"], [c.key(self.order) for c in r["conditions"]]))
-        if s.min_improvement:
-            out = post.without_weak_specialisations(out, s.min_improvement)
-        out = out[: s.max_results] if s.max_results > 0 else out
-        if s.p_values:
-            from sieveline.operators import validation
+            start = [(c, n, 0.0) for c, n in zip(s.beam_seed, counts)]
+        if s.strategy == "depth_first":
+            self._depth_first(start)
+        elif s.strategy in FRONTIER:
+            self._frontier(start)
+        else:
+            beam = start
+            for depth in range(s.depth):
+                if not beam:
+                    break
+                beam = self._round(self.df, beam, [depth] * len(beam), self._next)
+
+    def _round(self, df: DataFrame, beam: list[tuple], depths: list[int], follow) -> list:
+        """Refine candidates (conditions, coverage, quality) of these depths: takes up results, and returns ``follow(rows, candidates)`` of what may be refined further."""
+        s = self.settings
+        candidates = [c for c, _, _ in beam]
+        last = min(depths) + 1 >= s.depth
+        self.expanded += len(beam)
+        rows = self._level(df, candidates, last)
+        parents = self.df.sparkSession.createDataFrame([(i, n, d) for i, ((_, n, _), d) in enumerate(zip(beam, depths))], "cand int, parent bigint, depth int")
+        rows = rows.join(F.broadcast(parents), "cand").where(F.col("coverage") < F.col("parent"))
+        if s.min_support:
+            rows = rows.where(F.col("support") >= s.min_support)
+        result_gate = (F.col("coverage") >= s.min_coverage) & (F.col("coverage") <= self.total * s.max_coverage_share) & (F.col("quality") > self.minimum)
+        beam_gate = (F.col("coverage") > s.min_coverage) & (F.col("coverage") > 1) & (F.col("depth") + 1 < s.depth)
+        rows = rows.withColumns({"as_result": F.coalesce(result_gate, F.lit(False)), "in_beam": F.coalesce(beam_gate, F.lit(False))}).where("as_result or in_beam")
+        rows, remove = tables.written(rows)
+        best = "best" in s.numeric_strategy or s.numeric_strategy == "intervals"
+        for_result, for_beam = rows.where("as_result"), rows.where("in_beam")
+        if best or s.nominal_sets:
+            for_result, for_beam = refine.best_per_operator(for_result, best), refine.best_per_operator(for_beam, best)
+        if s.nominal_sets:
+            for_result, for_beam = refine.with_sets(for_result, self.ordered), refine.with_sets(for_beam, self.ordered)
+        for_result = self._described(for_result, candidates, depths, self.results if s.strategy not in FRONTIER else ())
+        for row in self._bounded(for_result.orderBy(*self._ranked()), s.max_results):
+            own, depth = self._own(row, candidates), depths[row["cand"]] + 1
+            if own and (own not in self.results or depth < self.results[own]["depth"]):
+                self.results[own] = {"conditions": own, "depth": depth, "coverage": row["coverage"], "quality": row["quality"], "secondary": row["secondary"], "tertiary": row["tertiary"], "p_value": None}
+        found = [] if last else follow(self._described(for_beam, candidates, depths), candidates)
+        remove()
+        return found
 
-            validation.assign_p_values(self.df, self.target, s, out)
-        return out
+    def _waiting(self, rows: DataFrame, candidates: list[Conditions]) -> list[tuple]:
+        """Every row as (conditions, coverage, quality, reach, number of its candidate), in rank."""
+        rows = rows.withColumn("reach", refine.reach(self.stats, self.settings.measure) if not self.kernel else F.lit(float("inf")))
+        return [(self._own(r, candidates), r["coverage"], r["quality"], r["reach"], r["cand"]) for r in self._bounded(rows.orderBy(*self._ranked()), 0)]
+
+    def _threshold(self) -> float:
+        """What a description must reach to matter: beyond the minimum, and as good as the worst of as many results as are asked for."""
+        s = self.settings
+        if s.max_results <= 0 or s.min_improvement or len(self.results) < s.max_results:
+            return -math.inf
+        return heapq.nlargest(s.max_results, (r["quality"] for r in self.results.values()))[-1]
+
+    def _frontier(self, start: list[tuple]) -> None:
+        """Breadth and best first: a queue of all that may be refined, taken in rounds."""
+        s = self.settings
+        best = s.strategy == "best_first"
+        number = itertools.count()
+        key = lambda quality, depth: (-quality,) if best else (depth, -quality)
+        queue = [(*key(math.inf, 0), next(number), c, n, q, math.inf, 0) for c, n, q in start]
+        depth_of = {c: 0 for c, *_ in start}
+        while queue:
+            least, batch = self._threshold() if best else -math.inf, []
+            width = ROUND if best or s.max_minutes > 0 else len(queue)
+            while queue and len(batch) < width and (best or not batch or queue[0][0] == batch[0][-1]):
+                *_, c, n, q, reach, depth = heapq.heappop(queue)
+                if depth == depth_of[c] and (not best or (reach >= least and reach > self.minimum)):
+                    batch.append((c, n, q, depth))
+            if not batch:
+                continue
+            depths = [b[-1] for b in batch]
+            for c, n, q, reach, parent in self._round(self.df, [b[:3] for b in batch], depths, self._waiting):
+                depth = depths[parent] + 1
+                if depth < depth_of.get(c, s.depth):
+                    depth_of[c] = depth
+                    heapq.heappush(queue, (*key(q, depth), next(number), c, n, q, reach, depth))
+            if len(queue) > MOST_CARRIED:
+                raise ValueError(f"more than {MOST_CARRIED} descriptions wait to be refined: raise min_coverage or the minimum quality")
+
+    def _depth_first(self, start: list[tuple]) -> None:
+        """A stack of branches: children of one candidate, refined on a table of that candidate's rows."""
+        s = self.settings
+        stack: list = [(self.df, self.total, start, 0)]
+        depth_of = {c: 0 for c, *_ in start}
+        while stack:
+            top = stack.pop()
+            if callable(top):  # a branch has ended: its table goes
+                top()
+                continue
+            df, rows, group, depth = top
+            if callable(df):  # a branch begins
+                df, rows, remove = df()
+                if remove:
+                    stack.append(remove)
+            group = [(c, n, q) for c, n, q in group if depth == depth_of[c]]
+            if not group:
+                continue
+            children: dict[int, list] = {}
+            for c, n, q, _, parent in self._round(df, group, [depth] * len(group), self._waiting):
+                if depth + 1 < depth_of.get(c, s.depth):
+                    depth_of[c] = depth + 1
+                    children.setdefault(parent, []).append((c, n, q))
+            for parent in sorted(children, reverse=True):  # the best branch ends on top
+                stack.append((self._branch(df, rows, group[parent]), rows, children[parent], depth + 1))
+            if len(depth_of) > MOST_CARRIED:
+                raise ValueError(f"more than {MOST_CARRIED} descriptions: raise min_coverage or the minimum quality")
+
+    def _branch(self, df: DataFrame, rows: int, candidate: tuple):
+        """Makes (table, rows, function that deletes it) of a candidate's rows when its branch begins; a table that would hardly shrink is only filtered."""
+
+        def make():
+            conditions, n, _ = candidate
+            own = df.where(model.conjunction(conditions)) if conditions else df
+            if n > SHRINK * rows:
+                return own, rows, None
+            own, remove = tables.written(own)
+            return own, n, remove
+
+        return make
 
     def _own(self, row, candidates: list[Conditions]) -> Conditions:
         return model.canonical((*candidates[row["cand"]], _condition(row, self.types)), self.order)
@@ -129,9 +266,9 @@ class SubgroupDiscovery:
             raise ValueError(f"more than {MOST_CARRIED} descriptions at one level: raise min_coverage or the minimum quality, or bound the results")
         return found
 
-    def _described(self, rows: DataFrame, candidates: list[Conditions], depth: int, known: dict = ()) -> DataFrame:
-        """Of the rows of one description the first in rank; none of a description that is known already."""
-        if depth == 1 and len(candidates) == 1:
+    def _described(self, rows: DataFrame, candidates: list[Conditions], depths: list[int], known: dict = ()) -> DataFrame:
+        """Of the rows of one description the first in depth and rank; none of a description that is known already."""
+        if candidates == [()]:
             return rows
         order, types = self.order, self.types
         names = ["cand", "attr", "op", "v", "lo", "hi", "s", "set"]
@@ -147,7 +284,7 @@ class SubgroupDiscovery:
         if known:
             earlier = rows.sparkSession.createDataFrame([(repr(k),) for k in known], "description string")
             keyed = keyed.join(tables.few(earlier), "description", "left_anti")
-        turn = F.struct(-F.col("quality"), -F.col("coverage"), *self._tie_order())
+        turn = F.struct("depth", -F.col("quality"), -F.col("coverage"), *self._tie_order())
         return keyed.groupBy("description").agg(F.min_by(F.struct(*rows.columns), turn).alias("x")).select("x.*")
 
     def _tie_order(self) -> list:
@@ -156,25 +293,28 @@ class SubgroupDiscovery:
         operator = F.create_map(*(F.lit(x) for o, i in model.OPERATOR_ORDER.items() for x in (o, i)))
         return [place[F.col("attr")], operator[F.col("op")], F.col("v"), F.col("lo"), F.col("hi"), F.col("s"), F.col("cand")]
 
-    def _level(self, beam: list[Conditions]) -> DataFrame:
+    def _level(self, df: DataFrame, beam: list[Conditions], last: bool) -> DataFrame:
+        """Scored refinements; of many candidates by the index of conditions."""
         self.ordered = None
         if self.kernel:
-            return kernel_search.level(self.df, beam, self.types, self.stats, self.settings, self.target)
-        if not self.settings.nominal_sets:
-            return refine.level(self.df, beam, self.types, self.stats, self.settings, self.wide, best=True)
-        rows, self.ordered = refine.level_with_sets(self.df, beam, self.types, self.stats, self.settings, self.wide)
-        return rows
+            return kernel_search.level(df, beam, self.types, self.stats, self.settings, self.target)
+        if self.settings.nominal_sets:
+            rows, self.ordered = refine.level_with_sets(df, beam, self.types, self.stats, self.settings, self.wide)
+            return rows
+        if len(beam) > refine.CHUNK and self.codes is None:
+            self.codes = cover_index.number_values(self.df, self.types)
+        codes = self.codes if len(beam) > refine.CHUNK else None
+        return refine.level(df, beam, self.types, self.stats, self.settings, self.wide, True, codes, self.minimum if last else None)
 
     def _next(self, rows: DataFrame, candidates: list[Conditions]) -> list[tuple]:
         """The next beam."""
         s, ranked = self.settings, self._ranked()
-        wide = s.strategy in ("breadth", "best_first", "depth_first")
         if s.strategy == "roc" and "H" in self.stats.whole:
             found = self._on_hull(rows)
         elif s.strategy == "cover":
             found = self._covering(rows.orderBy(*ranked), candidates)
         else:
-            found = self._bounded(rows.orderBy(*ranked), 0 if wide else s.width)
+            found = self._bounded(rows.orderBy(*ranked), s.width)
         out = [(self._own(r, candidates), r["coverage"], r["quality"]) for r in found]
         out = list({c: (c, n, q) for c, n, q in reversed(out)}.values())
         return sorted(out, key=lambda r: (-r[2], -r[1], [c.key(self.order) for c in r[0]]))

@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 import re
 import tempfile
+import uuid
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -31,6 +33,19 @@ def shared_folder(spark) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def written(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
+    """The table, written once to the shared folder, and a function that deletes it."""
+    spark = df.sparkSession
+    folder = f"{shared_folder(spark)}/written-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+
+    def remove() -> None:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    return spark.read.schema(df.schema).parquet(folder), remove
+
+
 #: Rows of a few values that may be broadcast; they are counted first.
 FEW = 200_000
 
