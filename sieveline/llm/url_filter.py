@@ -7,18 +7,18 @@ path starts with ``/path``; the longest fitting rule gives the verdict.
 
 For urls that no rule fits, FP-growth mines which combinations of url tokens go
 with a verdict in labelled urls. Every host label, path segment and query key is
-a token. What is mined is made smaller without losing a rule: tokens below
-MIN_SUPPORT are in no rule; tokens that lie in the same labelled urls are one
+a token. A combination has at most LONGEST tokens, MIN_SUPPORT of the labelled
+urls and LEAST_ROWS of them. What is mined is made smaller without losing one:
+rarer tokens are in none; tokens that lie in the same labelled urls are one
 item, which a url has when it has any of them; tokens of all labelled urls add
-nothing to a combination and are rules of their own. A set of more than MAX_ITEMS
-items that is repeated often enough to be frequent, with all its 2^items
-combinations, is an error that asks for a greater support. Rules below
-MIN_SUPPORT or MIN_CONFIDENCE are dropped, as are rules that a more general one
-with no less confidence makes redundant. They
-are matched through an inverted index from each rule's rarest token; the
-matching rule of greatest confidence, then support, then least tokens decides, and
-without one a url is allowed. At most MAX_RULES rules go to the executors as a
-table in memory; more are an error that asks for a greater support.
+nothing to a combination and are rules of their own; urls of many tokens are
+dealt into baskets of few (see ``_baskets``), so that long urls that differ in a
+token, or copies of one, never make FP-growth list the combinations of long
+frequent sets. Rules below MIN_CONFIDENCE are dropped, as are rules that a more
+general one with no less confidence makes redundant. They are matched through
+an inverted index from each rule's rarest token; the matching rule of greatest
+confidence, then support, then least tokens decides, and without one a url is
+allowed. The executors get a table of the MAX_RULES best rules in this order.
 
 Null urls, and urls without ``://``, have empty host and path and are allowed.
 Repeated rows keep one result row each; extra columns are ignored.
@@ -26,6 +26,11 @@ Repeated rows keep one result row each; extra columns are ignored.
 
 from __future__ import annotations
 
+import itertools
+import math
+from collections import Counter
+
+import pandas as pd
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,7 +40,8 @@ from sieveline.llm.common import cut, table
 #: The rules, as (rule, verdict).
 RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
 MIN_SUPPORT, MIN_CONFIDENCE, MAX_RULES = 0.005, 0.6, 20_000
-MAX_ITEMS = 20
+#: Tokens of a rule at most, rows that must show it at least, and tokens in a basket that FP-growth gets at most.
+LONGEST, LEAST_ROWS, MAX_ITEMS = 3, 3, 10
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
@@ -94,20 +100,66 @@ def items_of(labelled: DataFrame, min_support: float = MIN_SUPPORT) -> tuple[dic
     return items, everywhere
 
 
-def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, items: dict[str, str] | None = None, everywhere: set[str] = frozenset()) -> DataFrame:
-    """(tokens, verdict, confidence, support) from rows (tokens, verdict); pruned. With items, tokens are first replaced by their items."""
+def _baskets(labelled: DataFrame, least: int, longest: int) -> DataFrame:
+    """Baskets (row, items) of the frequent tokens of rows (tokens, verdict), of few tokens each, so that FP-growth never meets a long frequent set.
+
+    Tokens get colours, by falling frequency in turn. For every set of up to
+    ``longest`` of the colours that a row has, it gives one basket of its tokens of
+    these colours, marked with them. A set of so many tokens lies, under the mark of
+    its own colours, in a basket of every row that has it, so its count there is
+    exact. There are as many colours as keep every basket within MAX_ITEMS; where
+    one is enough, each row is one basket.
+    """
+    counts = labelled.select(F.explode("tokens").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    frequent = [r[0] for r in counts.orderBy(F.desc("n"), "t").select("t").collect()]
+    rank = {t: i for i, t in enumerate(frequent)}
+    tries = [1, *(c for c in (2**i for i in range(2, 31)) if c < 2 * max(len(frequent), 2))]
+
+    def loads(tokens):
+        out = []
+        for own in tokens:
+            places = [rank[t] for t in own if t in rank]
+            out.append([sum(sorted(Counter(p % c for p in places).values())[-longest:]) for c in tries])
+        return pd.Series(out)
+
+    load = F.pandas_udf(loads, "array<int>")("tokens")
+    most = labelled.select(load.alias("load")).agg(*(F.max(F.col("load")[i]) for i in range(len(tries)))).first()
+    colours = next((c for c, n in zip(tries, most) if (n or 0) <= MAX_ITEMS), tries[-1])
+
+    def split(tokens):
+        out = []
+        for own in tokens:
+            by: dict[int, list] = {}
+            for t in sorted({t for t in own if t in rank}, key=rank.get):
+                by.setdefault(rank[t] % colours, []).append(t)
+            marks = [m for n in range(1, longest + 1) for m in itertools.combinations(sorted(by), n)]
+            out.append([[f"{'.'.join(map(str, m))}|{c}|{t}" for c in m for t in by[c]] for m in marks])
+        return pd.Series(out)
+
+    parts = F.explode(F.pandas_udf(split, "array<array<string>>")("tokens"))
+    rows = labelled.select(parts.alias("items"), "verdict").where(F.size("items") > 0)
+    marked = F.concat(F.substring_index(F.col("items")[0], "|", 1), F.lit("|verdict="), "verdict")
+    return cut(rows.select(F.array_append("items", marked).alias("items")))
+
+
+def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, items: dict[str, str] | None = None, everywhere: set[str] = frozenset(), longest: int = LONGEST) -> DataFrame:
+    """(tokens, verdict, confidence, support) of up to ``longest`` tokens, shown by LEAST_ROWS rows at least, from rows (tokens, verdict); pruned. With items, tokens are first replaced by their items."""
+    total = labelled.count()
     if items is not None:
         put = lambda own: own.map(lambda ts: sorted({items[t] for t in ts if t in items} - everywhere))
         labelled = cut(labelled.select(F.pandas_udf(put, "array<string>")("tokens").alias("tokens"), "verdict"))
-        total = labelled.count()
-        if labelled.where(F.size("tokens") > MAX_ITEMS).groupBy("tokens").count().where(F.col("count") >= min_support * total).limit(1).count():
-            raise ValueError(f"a set of more than {MAX_ITEMS} tokens is frequent: raise min_support")
-    baskets = labelled.select(F.array_append("tokens", F.concat(F.lit("verdict="), "verdict")).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
-    rules = model.associationRules.where(F.col("consequent")[0].startswith("verdict=") & ~F.exists("antecedent", lambda t: t.startswith("verdict=")))
+    least = max(LEAST_ROWS, math.ceil(min_support * total - 1e-9))
+    baskets = _baskets(labelled, least, longest)
+    made = max(1, baskets.count())
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, (least - 0.5) / made), minConfidence=min_confidence).fit(baskets)
+    rules = model.associationRules.where(F.col("consequent")[0].contains("|verdict=") & (F.size("antecedent") <= longest) & ~F.exists("antecedent", lambda t: t.contains("|verdict=")))
+    mark, colours = F.substring_index(F.col("antecedent")[0], "|", 1), F.array_sort(F.array_distinct(F.transform("antecedent", lambda t: F.split_part(t, F.lit("|"), F.lit(2)).cast("int"))))
+    rules = rules.where(mark == F.array_join(F.transform(colours, lambda c: c.cast("string")), "."))
+    after = lambda t, n: F.substring(t, F.length(F.substring_index(t, "|", n)) + 2, F.length(t))
+    rules = rules.select(F.transform("antecedent", lambda t: after(t, 2)).alias("antecedent"), F.array(after(F.col("consequent")[0], 1)).alias("consequent"), "confidence", (F.round(F.col("support") * made) / total).alias("support"))
     rules = rules.select(F.array_sort("antecedent").alias("tokens"), F.expr("substring(consequent[0], 9)").alias("verdict"), "confidence", "support")
     if everywhere:
-        share = labelled.groupBy("verdict").agg((F.count(F.lit(1)) / total).alias("support")).where((F.col("support") >= min_support) & (F.col("support") >= min_confidence))
+        share = labelled.groupBy("verdict").agg((F.count(F.lit(1)) / total).alias("support")).where((F.col("support") * total >= least - 0.5) & (F.col("support") >= min_confidence))
         rules = rules.unionByName(share.select(F.explode(F.array(*(F.array(F.lit(t)) for t in sorted(everywhere)))).alias("tokens"), "verdict", F.col("support").alias("confidence"), "support"))
     rules = cut(rules)
     # a rule is redundant when one with one token less says the same with no less confidence
@@ -127,9 +179,8 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES) -> DataFrame:
     items, found = {}, []
     if labelled.limit(1).count():
         items, everywhere = items_of(labelled)
-        found = [row.asDict() for row in mine(labelled, items=items, everywhere=everywhere).limit(MAX_RULES + 1).collect()]
-    if len(found) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules: raise min_support")
+        mined = mine(labelled, items=items, everywhere=everywhere)
+        found = [row.asDict() for row in mined.orderBy(F.desc("confidence"), F.desc("support"), "tokens", "verdict").limit(MAX_RULES).collect()]
     return match(rows, found, items).select("page_id", "host", "path", "rule", F.coalesce("said", "mined.verdict", F.lit("allow")).alias("verdict"), F.when(F.col("said").isNull(), F.array_join("mined.tokens", " ")).alias("mined"))
 
 
@@ -148,8 +199,6 @@ def match(rows: DataFrame, rules: list[dict], items: dict[str, str] | None = Non
         index.setdefault(min(r["tokens"], key=lambda t: (seen[t], t)), []).append((place, frozenset(r["tokens"])))
 
     def best(tokens):
-        import pandas as pd
-
         out = []
         for own in tokens:
             own = {(items or {}).get(t, t): t for t in sorted(own, reverse=True)} if own is not None else {}

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -360,9 +361,49 @@ def test_items_lose_no_rule(spark):
     probe = spark.createDataFrame([(["twin=1"],)], "tokens array<string>")
     hit = url_filter.match(probe, [{"tokens": ["a=1"], "verdict": "block", "confidence": 0.9, "support": 0.1}], items).first().mined
     assert hit.verdict == "block" and hit.tokens == ["twin=1"]
-    one = spark.createDataFrame([([f"t{i}=1" for i in range(30) if i != k % 31], "block") for k in range(310)], "tokens array<string>, verdict string")
-    with pytest.raises(ValueError):
-        url_filter.mine(one, 0.005, 0.6, *url_filter.items_of(one)).count()
+
+
+def plain_rules(rows, least, confidence, longest):
+    """All rules of up to so many tokens, unpruned, by counting."""
+    import itertools
+
+    found = {}
+    for ts, v in rows:
+        for n in range(1, longest + 1):
+            for own in itertools.combinations(sorted(set(ts)), n):
+                found.setdefault(own, []).append(v)
+    for own, said in found.items():
+        for v in set(said):
+            if said.count(v) >= least and said.count(v) / len(said) >= confidence:
+                yield own, v, round(said.count(v) / len(said), 9), round(said.count(v) / len(rows), 9)
+
+
+def pruned(rules):
+    known = {(own, v): c for own, v, c, _ in rules}
+    return {r for r in rules if len(r[0]) == 1 or not any(known.get((r[0][:i] + r[0][i + 1 :], r[1]), -1) >= r[2] for i in range(len(r[0])))}
+
+
+@pytest.mark.parametrize("many", [False, True])
+def test_rules_of_long_urls_match_counting(spark, many):
+    """Rows within one basket, and rows of many tokens that are dealt into baskets."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for _ in range(120):
+        ts = [f"t{i}=1" for i in range(26 if many else 7) if rng.random() < (0.8 if many else 0.5)]
+        rows.append((ts, "block" if ("t1=1" in ts and "t2=1" not in ts) or rng.random() < 0.2 else "allow"))
+    df = spark.createDataFrame(rows, "tokens array<string>, verdict string")
+    got = {(tuple(r.tokens), r.verdict, round(r.confidence, 9), round(r.support, 9)) for r in url_filter.mine(df, 0.1, 0.6).collect()}
+    want = pruned(list(plain_rules(rows, 12, 0.6, url_filter.LONGEST)))
+    assert got == want and got
+
+
+def test_small_and_repetitive_tables_raise_nothing(spark):
+    keys = [f"k{i}" for i in range(22)]
+    urls = ["http://a.example.net/x?" + "&".join(f"{k}=1" for k in keys), *(f"http://b.example.net/en/?{k}=1" for k in keys)]
+    assert url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).count() == 23
+    urls = ["http://c.example.net/" + ("en" if k % 2 else "de") + "/?" + "&".join(f"k{i}=1" for i in range(30) if (i * 7 + k) % 31 > 5) for k in range(300)]
+    began = time.time()
+    assert url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).count() == 300 and time.time() - began < 120
 
 
 def test_mined_rules_match_brute_force(spark):
