@@ -131,24 +131,23 @@ def _possible(pairs: DataFrame, live: DataFrame) -> DataFrame:
 
 
 def _left_over(rest: DataFrame) -> DataFrame:
-    """Pairs (a, b) of texts of one signature in different components that can still reach the similarity."""
+    """Distinct pairs (a, b) of texts of one signature in different components that can still reach the similarity; what is held of a text does not grow with the square of its signatures."""
     plain = F.least("ma", "mb")
     through = F.least("commona", "commonb") + F.least(F.col("ma") - F.col("commona"), F.col("mb") - F.col("commonb"))
     able = (F.col("labela") < F.col("labelb")) & _enough(F.least(plain, F.coalesce(through, plain)), "na", "nb")
-    once = F.array_min(F.array_intersect("sigsa", "sigsb")) == F.col("sig")  # a pair comes out of one signature only
 
     def met(one: DataFrame, other: DataFrame, *keys: str) -> DataFrame:
-        x, y = (side.select(*keys, *(F.col(c).alias(c + k) for c in ("node", "n", "m", "label", "common", "sigs"))) for k, side in (("a", one), ("b", other)))
-        return x.join(y, list(keys)).where(able & once).select(F.col("nodea").alias("a"), F.col("nodeb").alias("b"))
+        x, y = (side.select(*keys, *(F.col(c).alias(c + k) for c in ("node", "n", "m", "label", "common"))) for k, side in (("a", one), ("b", other)))
+        return x.join(y, list(keys)).where(able).select(F.col("nodea").alias("a"), F.col("nodeb").alias("b"))
 
     many = cut(rest.groupBy("sig").agg(F.count(F.lit(1)).alias("texts")).where(F.col("texts") > SQUARE))
     if not many.limit(1).count():
-        return met(rest, rest, "sig")
+        return met(rest, rest, "sig").distinct()
     many = small(many, BROADCAST_ROWS)
     few = rest.join(many, "sig", "left_anti")
     rows = rest.join(many, "sig").withColumn("side", F.ceil(F.col("texts") / SQUARE).cast("int")).withColumn("own", F.pmod(F.xxhash64("node", F.lit(11)), F.col("side")).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.col("side") - 1))
-    return met(few, few, "sig").union(met(rows.withColumn("i", F.col("own")).withColumn("j", every), rows.withColumn("j", F.col("own")).withColumn("i", every), "sig", "i", "j"))
+    return met(few, few, "sig").union(met(rows.withColumn("i", F.col("own")).withColumn("j", every), rows.withColumn("j", F.col("own")).withColumn("i", every), "sig", "i", "j")).distinct()
 
 
 def classes_of(documents: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -170,9 +169,8 @@ def classes_of(documents: DataFrame, text: str = "text") -> tuple[DataFrame, Dat
     split = known.groupBy("sig").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 < l1").select("sig").repartition(deal)
     rest = known.where("node <> hub").join(split, "sig").join(tested.select(F.col("a").alias("hub"), F.col("b").alias("node"), "common"), ["hub", "node"], "left")
     # without a test the hub was out of reach: nothing is known of what they share
-    rest = rest.select("sig", "node", "n", "m", "label", "common")
-    rest = cut(rest.join(rest.groupBy("node").agg(F.collect_set("sig").alias("sigs")), "node"))
-    possible = cut(_possible(_left_over(rest).distinct(), live))
+    rest = cut(rest.select("sig", "node", "n", "m", "label", "common"))
+    possible = cut(_possible(_left_over(rest), live))
     more = cut(_compared(possible, live.select("node", "n", "tokens")))
     more = more.where(_enough(F.col("common"), "na", "nb")).select("a", "b")
     if more.limit(1).count():

@@ -32,6 +32,8 @@ from sieveline.llm.common import U64, lean, lean_group, partitions, slices, smal
 #: Least texts sampled, in expectation, to find heavy tokens; share and number of texts that make a token heavy; least texts of the sample that must show it.
 SAMPLE_TEXTS, HEAVY_SHARE, HEAVY_ROWS, HEAVY_LEAST = 20_000, 0.005, 2_000_000, 50
 HEAVY_CLASS = 255
+#: Tokens that may go to every task as heavy; of more, the most widespread do.
+MOST_HEAVY = 1_000_000
 #: Bytes of text whose tokens make a part, most parts, and tokens sorted at once.
 PART_BYTES, MOST_PARTS, SLICE = 16 << 20, 1 << 21, 400_000
 RESIDUAL = U64((1 << 40) - 1)
@@ -89,7 +91,7 @@ def heavy_tokens(docs: DataFrame, extract: Extract, total: int, parts: int, rows
             often = n >= 1 + (rate * len(keep) >= 1) + (rate * len(keep) >= 5)  # what is rarer here is not heavy, or counts for little
             yield pa.RecordBatch.from_arrays([pa.array(flat[often].view(np.int64)), pa.array(n[often])], names=["token", "n"])
 
-    found = sample.select("node", "text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("token").collect()
+    found = sample.select("node", "text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "token").limit(MOST_HEAVY).select("token").collect()
     return np.sort(np.array([r[0] for r in found], np.int64).view(U64))
 
 

@@ -245,3 +245,28 @@ def test_pipeline_with_odd_rows(spark, tmp_path):
                 assert after.count() == docs.count() and not any(re.search("hunter2", r.text) for r in after.collect())
             docs = after
         assert docs.count() > 0 if own else docs.count() == 0
+
+
+def test_near_duplicates_of_long_texts_take_linear_space(spark):
+    """Three texts that share half of their words in pairs: what is written grows with their length, not with its square."""
+    folder = spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    size = lambda: path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+    took = []
+    for n in (2000, 8000):
+        parts = [" ".join(f"{k}{i}" for i in range(n // 2)) for k in "abc"]
+        texts = [f"{parts[0]} {parts[1]}", f"{parts[1]} {parts[2]}", f"{parts[2]} {parts[0]}"]
+        before = size()
+        got = near_dup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+        assert {r.doc_id: r.component_id for r in got} == {0: 0, 1: 1, 2: 2}
+        took.append(size() - before)
+    assert took[1] < 6 * max(took[0], 200_000), took
+
+
+def test_windows_are_compared_in_blocks(monkeypatch):
+    monkeypatch.setattr(substring_dedup, "PAIRS", 3)
+    hashes = np.array([5, 5, 7, 5, 9, 7, 8, 9, 9], np.uint64)
+    words = np.array([1, 1, 2, 3, 4, 2, 6, 4, 4])
+    asked = []
+    mask = substring_dedup._repeated(hashes, lambda i: asked.append(len(i)) or words[i][:, None])
+    assert mask.tolist() == [True, True, True, False, True, True, False, True, True] and max(asked[:4]) <= 3
