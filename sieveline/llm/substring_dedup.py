@@ -33,7 +33,9 @@ from sieveline.llm.postings import ROWS, _ARROW, _member, first_of_each, frame,
 
 SPAN, SEED = 35, 8
 #: Occurrences that make a minimiser heavy, if they are not HEAVY_SHARE of the texts before.
-HEAVY_ROWS = 200_000
+HEAVY_ROWS = 50_000
+#: Pairs of windows compared word by word at once.
+PAIRS = 50_000
 _FLAGS = pa.schema([("node", pa.int64()), ("tokens", pa.binary())])
 _WIDE = np.dtype([("a", U64), ("b", U64)])
 
@@ -95,7 +97,7 @@ def _repeated(hashes: np.ndarray, sequence) -> np.ndarray:
     out = np.zeros(len(h), bool)
     if same.any():
         left, right = order[:-1][same], order[1:][same]
-        unlike = ~(sequence(left) == sequence(right)).all(axis=1)
+        unlike = np.concatenate([~(sequence(left[i : i + PAIRS]) == sequence(right[i : i + PAIRS])).all(axis=1) for i in range(0, len(left), PAIRS)])
         if unlike.any():  # two windows with one hash: tell them apart by their words
             for value in np.unique(hashes[left[unlike]]):
                 group = np.flatnonzero(hashes == value)
