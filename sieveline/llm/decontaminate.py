@@ -92,7 +92,8 @@ def contamination(documents: DataFrame, benchmark: DataFrame, span: int = SPAN,
     cut_out = F.transform("starts", lambda x: F.struct(x["start"].alias("start"), x["len"].alias("len"), F.concat_ws(" ", F.slice("words", x["start"], x["len"])).alias("win")))
     found = cand.join(starts, "node").select("node", F.explode(cut_out).alias("x")).select("node", "x.start", "x.len", "x.win")
     by_window = windows.select("item_id", "len", F.concat_ws(" ", "words").alias("win")).groupBy("win", "len").agg(F.collect_set(F.col("item_id").cast("string")).alias("items"))
-    matched = found.join(by_window, ["win", "len"])
+    # dealt anew, so that adaptive execution can split a window that very many documents hold
+    matched = found.join(by_window.repartition(partitions(documents.sparkSession)), ["win", "len"])
     hit = matched.groupBy("node").agg(
         F.array_distinct(F.flatten(F.collect_set(F.sequence(F.col("start"), F.col("start") + F.col("len") - 1)))).alias("hit_words"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
