@@ -193,27 +193,100 @@ def extreme_intervals(points: np.ndarray) -> list[tuple[int, int]]:
 
 #: Measures that are convex in covered rows and positives: their best interval is a corner.
 CONVEX = {"wracc", "normalised_wracc", "abs_wracc", "chi_squared", "information_gain", "mutual_information"}
-#: Cut values of one attribute: for the best interval by corners, and for all pairs. More are an error.
-MOST_CUTS, MOST_PAIRED = 2_000_000, 20_000
+#: Cut values of one attribute for all pairs; more are an error.
+MOST_PAIRED = 20_000
+#: For best intervals: cut values up to which an attribute is one group, most ranges of values of others, and hulls merged at once.
+GROUP_CUTS, MOST_RANGES, FAN = 20_000, 4096, 64
+
+
+def _corner_rows(cand, attr, cuts: np.ndarray, sums: dict[str, np.ndarray]) -> dict:
+    """Intervals between pairs of running sums that hold the best one."""
+    i, j = np.array(extreme_intervals(np.stack((sums["B"], sums["HB"]), axis=1)), np.int64).reshape(-1, 2).T
+    return {"cand": cand, "attr": attr, "lo": cuts[i], "hi": cuts[j]} | {c: r[j] - r[i] for c, r in sums.items()}
 
 
 def best_intervals(g: DataFrame, stats: Statistics) -> DataFrame:
-    """Intervals (lo, hi] that hold the best one by any convex measure of B and HB, in about linear time."""
+    """Intervals (lo, hi] that hold the best one by any convex measure of B and HB, in about linear time.
+
+    An attribute with many cut values is dealt in ranges of them. Of a range's
+    running sums only those on their convex hull can end or begin a best interval
+    that reaches beyond it; hulls of FAN neighbouring ranges are merged in one
+    group, and their hull goes on to the next round. So no group holds more than
+    a range's values or FAN hulls.
+    """
     parts = list(stats.parts)
+    g = tables.materialised(g.where("v is not null"))
+    most = max((r["n"] for r in g.groupBy("cand", "attr").agg(F.count(F.lit(1)).alias("n")).groupBy("attr").agg(F.max("n").alias("n")).collect()), default=0)
+    if most > GROUP_CUTS:
+        return _best_of_ranges(g, stats, min(MOST_RANGES, -(-most // GROUP_CUTS)))
 
     def corners(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > MOST_CUTS:
-            raise ValueError(f"more than {MOST_CUTS} cut values of an attribute: take numeric_strategy bins")
         pdf = pdf.sort_values("v")
         v = np.concatenate(([-np.inf], pdf["v"].to_numpy(float)[:-1], [np.inf]))
         run = {c: np.concatenate(([0.0], np.cumsum(pdf[c].to_numpy(float)))) for c in parts}
-        i, j = np.array(extreme_intervals(np.stack((run["B"], run["HB"]), axis=1))).T
-        return pd.DataFrame({"cand": pdf["cand"].iloc[0], "attr": pdf["attr"].iloc[0], "lo": v[i], "hi": v[j]} | {c: r[j] - r[i] for c, r in run.items()})
+        return pd.DataFrame(_corner_rows(pdf["cand"].iloc[0], pdf["attr"].iloc[0], v, run))
 
     found = _blocks(g, stats).groupBy("cand", "attr").applyInPandas(corners, "cand int, attr string, lo double, hi double, " + ", ".join(f"{c} double" for c in parts))
     return found.select("cand", "attr", F.lit(BETWEEN).alias("op"), "lo", "hi", *parts)
 
 
+def _best_of_ranges(g: DataFrame, stats: Statistics, ranges: int) -> DataFrame:
+    parts = list(stats.parts)
+    cuts = {r["attr"]: np.array(sorted(set(r["c"])), float) for r in g.groupBy("attr").agg(F.percentile_approx("v", [i / ranges for i in range(1, ranges)] or [0.5], 2 * MOST_RANGES).alias("c")).collect()}
+
+    def range_of(attr: pd.Series, v: pd.Series) -> pd.Series:
+        out = np.zeros(len(v), np.int32)
+        for a in attr.unique():
+            own = (attr == a).to_numpy()
+            out[own] = np.searchsorted(cuts[a], v.to_numpy()[own], "left")
+        return pd.Series(out)
+
+    g = g.withColumn("node", F.pandas_udf(range_of, "int")("attr", "v"))
+    ratio = F.col("HB") / F.col("B")
+    sums = g.groupBy("cand", "attr", "node").agg(*(F.sum(p).alias("all_" + p) for p in parts), F.min_by(ratio, "v").alias("first"), F.max_by(ratio, "v").alias("last"))
+    order = Window.partitionBy("cand", "attr").orderBy("node")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("cand", "attr", "node", *(F.coalesce(F.sum("all_" + p).over(before), F.lit(0.0)).alias("from_" + p) for p in parts), F.lag("node").over(order).isNull().alias("begins"),
+                       F.lead("node").over(order).isNull().alias("ends"), F.coalesce(F.lead("first").over(order) == F.col("last"), F.lit(False)).alias("goes_on"))
+    shape = "cand int, attr string, node int, kind string, lo double, hi double, " + ", ".join(f"{c} double" for c in parts)
+
+    def out(cand, attr, node, v, run) -> pd.DataFrame:
+        """Intervals found in a group, and its hull (one row a corner, its cut value as hi)."""
+        found = pd.DataFrame(_corner_rows(cand, attr, v, run) | {"node": node, "kind": "interval"}) if len(v) > 1 else pd.DataFrame()
+        on = _hull(np.stack((run["B"], run["HB"]), axis=1))[0]
+        hull = pd.DataFrame({"cand": cand, "attr": attr, "node": node, "kind": "hull", "lo": np.nan, "hi": v[on]} | {c: r[on] for c, r in run.items()})
+        return pd.concat([found, hull]).reindex(columns=["cand", "attr", "node", "kind", "lo", "hi", *parts])
+
+    def local(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("v")
+        first = pdf.iloc[0]
+        share = pdf["HB"].to_numpy(float) / pdf["B"].to_numpy(float)
+        # neighbouring values of one class ratio are one block; only a block's end is a cut
+        kept = np.append(share[1:] != share[:-1], not first["goes_on"])
+        v = pdf["v"].to_numpy(float).copy()
+        if first["ends"]:
+            v[-1] = np.inf
+        run = {c: (first["from_" + c] + np.cumsum(pdf[c].to_numpy(float)))[kept] for c in parts}
+        v = v[kept]
+        if first["begins"]:
+            v, run = np.concatenate(([-np.inf], v)), {c: np.concatenate(([0.0], r)) for c, r in run.items()}
+        if not len(v):
+            return pd.DataFrame(columns=["cand", "attr", "node", "kind", "lo", "hi", *parts])
+        return out(first["cand"], first["attr"], first["node"], v, run)
+
+    def merged(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("hi")
+        return out(pdf["cand"].iloc[0], pdf["attr"].iloc[0], pdf["node"].iloc[0], pdf["hi"].to_numpy(float), {c: pdf[c].to_numpy(float) for c in parts})
+
+    made = tables.materialised(g.join(sums, ["cand", "attr", "node"]).groupBy("cand", "attr", "node").applyInPandas(local, shape))
+    found, left = [made.where("kind = 'interval'")], ranges
+    while left > 1:
+        left = -(-left // FAN)
+        made = tables.materialised(made.where("kind = 'hull'").withColumn("node", F.expr(f"node div {FAN}").cast("int")).groupBy("cand", "attr", "node").applyInPandas(merged, shape))
+        found.append(made.where("kind = 'interval'"))
+    return reduce(DataFrame.union, found).select("cand", "attr", F.lit(BETWEEN).alias("op"), "lo", "hi", *parts)
+
+
 def nominal_values(g: DataFrame, stats: Statistics) -> DataFrame:
     return g.where("s is not null").select("cand", "attr", F.lit(EQUALS).alias("op"), "s", *stats.parts)
 

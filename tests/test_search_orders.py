@@ -121,3 +121,21 @@ def test_cancel_from_another_thread(mixed):
     threading.Timer(3, search.cancel).start()
     began = time.time()
     assert search.run() == [] and time.time() - began < 30
+
+
+@pytest.mark.parametrize("measure", ["wracc", "chi_squared"])
+def test_best_interval_of_ranges_equals_one_group(spark, monkeypatch, measure):
+    """Ranges of about 12 values, hulls merged three at a time, against one group and against all pairs."""
+    rng = random.Random(4)
+    rows = [(float(rng.randrange(400)), float(i % 90), rng.random() < (0.8 if 100 < i < 200 else 0.3)) for i in range(1500)]
+    df = spark.createDataFrame([(x, y, t if x > 40 else x % 2 == 0) for x, y, t in rows], "x double, y double, t boolean")
+    types, stats = {"x": model.NUMERIC, "y": model.NUMERIC}, statistics(df, T)
+    settings = Settings(measure=measure, minimum=-1.0, numeric_strategy="intervals")
+    beam = [(), (C("y", "<=", 50.0),)]
+    best = lambda: sorted(map(tuple, refine.best_per_operator(refine.level(df, beam, types, stats, settings, {}, best=True)).select("cand", "attr", "lo", "hi", "coverage", F.round("quality", 9)).collect()))
+    one = best()
+    monkeypatch.setattr(refine, "GROUP_CUTS", 12)
+    monkeypatch.setattr(refine, "FAN", 3)
+    assert best() == one and len(one) == 4
+    monkeypatch.setattr(refine, "CONVEX", set())
+    assert [r[-1] for r in best()] == [r[-1] for r in one]
