@@ -196,7 +196,7 @@ CONVEX = {"wracc", "normalised_wracc", "abs_wracc", "chi_squared", "information_
 #: Cut values of one attribute for all pairs; more are an error.
 MOST_PAIRED = 20_000
 #: For best intervals: cut values up to which an attribute is one group, most ranges of values of others, and hulls merged at once.
-GROUP_CUTS, MOST_RANGES, FAN = 20_000, 4096, 64
+GROUP_CUTS, MOST_RANGES, FAN = 5_000, 4096, 64
 
 
 def _corner_rows(cand, attr, cuts: np.ndarray, sums: dict[str, np.ndarray]) -> dict:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from sieveline import model
 from sieveline.functions import kernels, measures
 from sieveline.model import Condition, Settings, Target
-from sieveline.operators import post, refine, tables, validation
+from sieveline.operators import cover_index, post, refine, tables, validation
 from sieveline.operators.search import SubgroupDiscovery, as_table, discover, per_target_value
 from sieveline.operators.stats import statistics
 from sieveline.plans import measures_catalog as mc
@@ -219,6 +219,8 @@ ORACLE_SQL["RF05_bins"] = f"{_U}, {_CUT}, k2 as (select b, min(v) as v from (sel
 _IV = "with src as (select *, (l_returnflag = 'R')::int as t from lineitem), w as (select count(*)::double as N, sum(t)::double as H from src), g0 as (select l_discount as v, count(*)::double as b, sum(t)::double as hb from src group by 1), g1 as (select *, (hb / b is distinct from lag(hb / b) over (order by v))::int as new from g0), g2 as (select *, sum(new) over (order by v) as k from g1), g as (select max(v) as v, sum(b) as b, sum(hb) as hb from g2 group by k), p as (select v, max(v) over () as top, sum(b) over (order by v) as cb, sum(hb) over (order by v) as chb from g), lo as (select v as lo, cb as lb, chb as lhb from p where v < top union all select '-infinity'::double, 0, 0), s as (select lo, case when v = top then 'infinity'::double else v end as hi, cb - lb as B, chb - lhb as HB from p, lo where lo < v)"
 _add("WN05_interval_scan", lambda s, d: _scan(s, d, R, "wracc", D, numeric_strategy="intervals").select("lo", "hi", "coverage", "quality"), f"{_IV} select lo, hi, B::bigint as coverage, {_WR} as quality from s, w")
 _add("RF07_best_interval", lambda s, d: _scan(s, d, R, "wracc", D, numeric_strategy="intervals").orderBy(F.desc("quality"), F.desc("coverage"), "lo", "hi").limit(1).select("lo", "hi", "coverage", "quality"), f"{_IV} select lo, hi, B::bigint as coverage, {_WR} as quality from s, w order by quality desc, coverage desc, lo, hi limit 1")
+_add("RF07_best_interval_many_values", lambda s, d: (lambda df: refine.level(df, [()], {"l_extendedprice": model.NUMERIC}, statistics(df, R), Settings(numeric_strategy="intervals"), {}, best=True).agg(F.round(F.max("quality"), 5).alias("quality")))(_li(s, d, "l_extendedprice", "l_returnflag")),
+     "with w as (select count(*)::bigint as N, count(*) filter (l_returnflag = 'R')::bigint as H from lineitem), g as (select l_extendedprice as v, count(*) filter (l_returnflag = 'R')::bigint * any_value(N) - count(*)::bigint * any_value(H) as x from lineitem, w group by 1), s as (select v, sum(x) over (order by v) as run from g), m as (select run, min(run) over (order by v rows between unbounded preceding and 1 preceding) as low from s) select round(max(run - least(coalesce(low, 0), 0)) / any_value(N::double * N), 5) as quality from m, w")
 _add("WN06_best_per_operator", lambda s, d: refine.best_per_operator(_scan(s, d, R, "wracc", *mc.ATTRIBUTES).withColumn("cand", F.lit(0))).select("attr", "op", "v", "coverage", "quality"),
      f"select attr, op, v, coverage, quality from (select *, row_number() over (partition by attr, op order by quality desc, v) as p from ({ORACLE_SQL['QN02_wracc']})) where p = 1")
 _PLACES = "select o_orderkey, row_number() over (order by o_totalprice desc, o_orderkey)::bigint as place from orders"
@@ -288,6 +290,21 @@ _add("SR02_roc_beam", _search(depth=2, strategy="roc"),
 _add("SR03_cover_based_beam", _search(depth=2, strategy="cover", width=5))
 _add("SR07_beam_seed", _search(depth=1, beam_seed=[(_C("l_linestatus", "=", "O"),)]), f"select conditions, 1 as depth, coverage, quality, secondary, tertiary from ({_conjunctions(True)}) where depth = 2 and conditions like '%l_linestatus = ''O''%'")
 _add("SR08_time_limit", _search(depth=2, max_minutes=30.0), _conjunctions(True))
+
+
+def _index_level(s: SparkSession, d: str) -> DataFrame:
+    """A wide level: every pair of cuts of quantity and discount, refined by line status through the index of conditions."""
+    df, described = _li(s, d, Q, D, "l_linestatus", "l_returnflag"), {Q: model.NUMERIC, D: model.NUMERIC, "l_linestatus": model.NOMINAL}
+    codes = cover_index.number_values(df, described)
+    cuts = [(q, x) for q in codes[Q].values for x in codes[D].values]
+    beam = [(_C(Q, "<=", q), _C(D, ">=", x)) for q, x in cuts]
+    rows = refine.level(df, beam, {"l_linestatus": model.NOMINAL}, statistics(df, R), Settings(), codes=codes)
+    known = s.createDataFrame([(i, q, x) for i, (q, x) in enumerate(cuts)], "cand int, quantity double, discount double")
+    return rows.join(F.broadcast(known), "cand").select("quantity", "discount", F.col("s").alias("status"), "coverage", _r("quality").alias("quality"))
+
+
+_add("SR06_index_of_conditions", _index_level,
+     "with w as (select count(*)::double as N, count(*) filter (l_returnflag = 'R')::double as H from lineitem), q as (select distinct l_quantity as quantity from lineitem), x as (select distinct l_discount as discount from lineitem), g as (select l_quantity, l_discount, l_linestatus, count(*) as b, count(*) filter (l_returnflag = 'R') as hb from lineitem group by all), r as (select quantity, discount, l_linestatus as status, sum(b)::double as B, sum(hb)::double as HB from g, q, x where l_quantity <= quantity and l_discount >= discount group by all) select quantity::double as quantity, discount::double as discount, status, B::bigint as coverage, round(HB / N - (H / N) * (B / N), 6) + 0.0 as quality from r, w")
 _add("SR09_members", lambda s, d: _flags(s, d).where(model.conjunction((_C("line", "=", "n2"), _C("taxed", "=", True)))), "select l_returnflag, l_linestatus, 'n' || l_linenumber as line, l_tax >= 0.04 as taxed from lineitem where l_linenumber = 2 and l_tax >= 0.04")
 _add("SR10_per_target_value", lambda s, d: per_target_value(_flags(s, d).drop("line", "taxed"), "l_returnflag", Settings(minimum=-1.0)).select("target_value", "conditions", "coverage", _r("quality").alias("quality")),
      "with v as (select distinct l_returnflag as target_value from lineitem), w as (select count(*)::double as N from lineitem) select target_value, 'l_linestatus = ''' || l_linestatus || '''' as conditions, count(*) as coverage, round(count(*) filter (l_returnflag = target_value) / any_value(N) - ((select count(*) from lineitem x where x.l_returnflag = target_value) / any_value(N)) * (count(*) / any_value(N)), 6) + 0.0 as quality from lineitem, v, w group by target_value, l_linestatus")
@@ -395,13 +412,26 @@ _W = Settings(measure="wracc", minimum=-1.0)
 _add("VA01_random_subsets", lambda s, d: s.createDataFrame([(float(x),) for x in validation.random_subset_qualities(_li(s, d, "l_returnflag"), R, _W, [600] * 20)], "quality double"))
 _add("VA02_random_descriptions", lambda s, d: (lambda df: s.createDataFrame([(model.text_of(c), q) for c, q in (lambda cs: zip(cs, validation.description_qualities(df, R, _W, cs)))(validation.random_descriptions(df, {Q: model.NUMERIC, "l_linestatus": model.NOMINAL}, 2, 20))], "conditions string, quality double"))(_li(s, d, Q, "l_linestatus", "l_returnflag")))
 _add("VA03_swap_randomisation", lambda s, d: s.createDataFrame([(x,) for x in validation.swap_randomised(_flags(s, d).drop("taxed"), R, _W, 2)], "quality double"))
-_QS = [0.01, 0.03, 0.02, 0.05, 0.04]
-_add("VA04_thresholds", lambda s, d: s.createDataFrame([(a, round(t, 9)) for a, t in validation.thresholds(_QS).items()], "alpha double, threshold double"), "with q as (select avg(x) as m, stddev_samp(x) as sd from (values (0.01::double), (0.03), (0.02), (0.05), (0.04)) as t(x)) select a as alpha, round(m + z * sd, 9) as threshold from q, (values (0.01::double, 2.3263478740408408::double), (0.05, 1.6448536269514722), (0.1, 1.2815515655446004)) as z(a, z)")
-_add("VA05_p_values", lambda s, d: s.createDataFrame([(x, validation.empirical_p(x, _QS)) for x in (0.0, 0.02, 0.045)], "quality double, p double"), "select q as quality, avg((x >= q)::int)::double as p from (values (0.01::double), (0.03), (0.02), (0.05), (0.04)) as t(x), (values (0.0::double), (0.02), (0.045)) as s(q) group by q")
+
+#: Qualities to compare with: those of nine given parts of the table.
+_CUTS = [float(v) for v in range(5, 50, 5)]
+_NULL_SQL = "cut as (select unnest(range(5, 50, 5))::double as c), null_q as (select avg((l_returnflag = 'R' and l_quantity <= c)::int) - avg((l_returnflag = 'R')::int) * avg((l_quantity <= c)::int) as x from lineitem, cut group by c), own as (select avg((l_returnflag = 'R' and l_linestatus = k)::int) - avg((l_returnflag = 'R')::int) * avg((l_linestatus = k)::int) as q from lineitem, (select distinct l_linestatus as k from lineitem) group by k)"
+
+
+def _null(s: SparkSession, d: str) -> list[float]:
+    return validation.description_qualities(_li(s, d, Q, "l_returnflag"), R, _W, [(_C(Q, "<=", v),) for v in _CUTS])
+
+
+def _own_qualities(s: SparkSession, d: str) -> list[dict]:
+    return SubgroupDiscovery(_li(s, d, "l_linestatus", "l_returnflag"), R, _W).run()
+
+
+_add("VA04_thresholds", lambda s, d: s.createDataFrame([(a, round(t, 9)) for a, t in validation.thresholds(_null(s, d)).items()], "alpha double, threshold double"), f"with {_NULL_SQL}, q as (select avg(x) as m, stddev_samp(x) as sd from null_q) select a as alpha, round(m + z * sd, 9) as threshold from q, (values (0.01::double, 2.3263478740408408::double), (0.05, 1.6448536269514722), (0.1, 1.2815515655446004)) as z(a, z)")
+_add("VA05_p_values", lambda s, d: (lambda q: s.createDataFrame([(round(r["quality"], 9), validation.empirical_p(r["quality"], q)) for r in _own_qualities(s, d)], "quality double, p double"))(_null(s, d)), f"with {_NULL_SQL} select round(q, 9) as quality, avg((x >= q)::int)::double as p from null_q, own group by q")
 _add("VA05_result_p_values", lambda s, d: (lambda x: as_table(s, validation.assign_p_values(x[0], R, Settings(p_values="empirical"), x[1], [-0.0005, 0.0, 0.0001, 0.0002, 0.001])).select("conditions", _r("quality").alias("quality"), "p_value"))(_results(s, d, depth=1, max_results=0)),
      f"select conditions, quality, (select avg((x >= quality)::int)::double from (values (-0.0005::double), (0.0), (0.0001), (0.0002), (0.001)) as t(x)) as p_value from ({_conjunctions(False)})")
-_add("VA06_set_p", lambda s, d: s.createDataFrame([(validation.set_p(0.03, _QS),)], "p double"), "select avg((x > 0.03)::int)::double as p from (values (0.01::double), (0.03), (0.02), (0.05), (0.04)) as t(x)")
-_add("VA07_regression_test", lambda s, d: s.createDataFrame([(round(validation.regression_test([{"quality": x} for x in (0.1, 0.08, 0.02)], _QS, 2), 6),)], "score double"), "select round((0.09 - avg(x)) / stddev_samp(x), 6) as score from (values (0.01::double), (0.03), (0.02), (0.05), (0.04)) as t(x)")
+_add("VA06_set_p", lambda s, d: s.createDataFrame([(validation.set_p(_own_qualities(s, d)[0]["quality"], _null(s, d)),)], "p double"), f"with {_NULL_SQL} select avg((x > (select max(q) from own))::int)::double as p from null_q")
+_add("VA07_regression_test", lambda s, d: s.createDataFrame([(round(validation.regression_test(_own_qualities(s, d), _null(s, d), 2), 6),)], "score double"), f"with {_NULL_SQL} select round(((select sum(q) / 2 from (select q from own order by q desc limit 2)) - avg(x)) / stddev_samp(x), 6) as score from null_q")
 _add("VA08_threshold_from_randomisation", lambda s, d: s.createDataFrame([(validation.thresholds(validation.swap_randomised(_flags(s, d).drop("taxed"), R, _W, 3))[0.05],)], "threshold double"))
 _add("VA09_folds", lambda s, d: tables.materialised(validation.with_folds(_li(s, d, "l_orderkey"), 10)).groupBy("fold").agg(F.count(F.lit(1)).alias("n")), "select f::int as fold, (select count(*) from lineitem) // 10 + (case when f < (select count(*) from lineitem) % 10 then 1 else 0 end) as n from range(10) as t(f)")
 _add("VA10_random_numeric", lambda s, d: s.createDataFrame([(float(x),) for x in validation.random_subset_qualities(_li(s, d, Q), Target("single_numeric", (Q,)), Settings(measure="z_score"), [500] * 10)], "quality double"))
