@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from sieveline import model
 from sieveline.functions import kernels, measures
 from sieveline.model import Condition, Settings, Target
-from sieveline.operators import cover_index, post, refine, tables, validation
+from sieveline.operators import cover_index, post, rank_agreement, refine, tables, validation
 from sieveline.operators.search import SubgroupDiscovery, as_table, discover, per_target_value
 from sieveline.operators.stats import statistics
 from sieveline.plans import measures_catalog as mc
@@ -196,6 +196,8 @@ _add("AG31_mean_of_top", lambda s, d: tables.mean_of_top(_table(s, d, "orders").
      "select o_orderstatus as strategy, round(avg(o_totalprice), 4) + 0.0 as mean_quality from (select *, row_number() over (partition by o_orderstatus order by o_totalprice desc, o_orderkey) as p from orders) where p <= 10 group by 1")
 _add("AG32_kendall_tau", lambda s, d: (lambda r: s.createDataFrame([(round(tables.kendall_tau([x[1] for x in r], [x[2] for x in r]), 6),)], "tau double"))(_li(s, d).groupBy("l_linenumber").agg(F.count(F.lit(1)), F.count_if(F.col("l_returnflag") == "R")).collect()),
      "with g as (select l_linenumber as k, count(*) as a, count(*) filter (l_returnflag = 'R') as b from lineitem group by 1) select round(sum(sign(x.a - y.a) * sign(x.b - y.b))::double / count(*), 6) + 0.0 as tau from g x join g y on x.k < y.k")
+_add("AG32_kendall_of_orders", lambda s, d: (lambda x: s.createDataFrame([(round(x[0], 9), x[1])], "tau double, n long"))(rank_agreement.kendall(_table(s, d, "orders").select("o_totalprice", F.unix_date(F.col("o_orderdate").cast("date")).alias("day")), "o_totalprice", "day")),
+     "with o as (select o_totalprice as p, o_orderdate::date as t, row_number() over () as i from orders) select round(sum(sign(a.p - b.p) * sign(a.t - b.t))::double / ((select count(*) from orders) * ((select count(*) from orders) - 1) / 2), 9) + 0.0 as tau, (select count(*) from orders) as n from o a join o b on a.i < b.i")
 _add("AG33_bayes_rule", lambda s, d: post.bayes_statistics(_li(s, d), F.col(Q) <= 20, F.col("l_returnflag") == "R").select(*(_r(c).alias(c) for c in ("x_given_t", "x_given_not_t", "t_given_x", "t_given_not_x"))),
      "with c as (select (l_quantity <= 20)::int as x, (l_returnflag = 'R')::int as t from lineitem) select round(avg(x) filter (t = 1), 6) + 0.0 as x_given_t, round(avg(x) filter (t = 0), 6) + 0.0 as x_given_not_t, round(avg(t) filter (x = 1), 6) + 0.0 as t_given_x, round(avg(t) filter (x = 0), 6) + 0.0 as t_given_not_x from c")
 
