@@ -16,7 +16,7 @@ from sieveline.operators import cover_index, post, rank_agreement, refine, table
 from sieveline.operators.search import SubgroupDiscovery, as_table, discover, per_target_value
 from sieveline.operators.stats import statistics
 from sieveline.plans import measures_catalog as mc
-from sieveline.sources import runs, text
+from sieveline.sources import arff, runs, text
 from sieveline.streaming.windows import windowed_qualities
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -458,6 +458,19 @@ def _written(s: SparkSession, name: str, write: Callable[[str], None]) -> str:
 _NATION = "select n_nationkey::double as n_nationkey, n_name, n_regionkey::double as n_regionkey from nation"
 _add("IO01_text", lambda s, d: text.read_text(s, _written(s, "text", lambda p: text.write_text(_table(s, d, "nation"), p))), _NATION)
 _add("IO02_delimiter", lambda s, d: text.read_text(s, _written(s, "tabs", lambda p: _table(s, d, "nation").coalesce(1).write.csv(p, header=True, sep="\t"))), _NATION)
+_add("IO03_inferred_types", lambda s, d: text.typed(_table(s, d, "orders").select(F.col("o_orderkey").cast("string").alias("key"), F.format_string(" %s ", F.col("o_totalprice").cast("string")).alias("price"), (F.col("o_orderkey") % 2).cast("string").alias("odd"), F.concat(F.lit("k"), F.col("o_custkey").cast("string")).alias("customer"))),
+     "select o_orderkey::double as key, o_totalprice::double as price, o_orderkey % 2 = 1 as odd, 'k' || o_custkey as customer from orders")
+
+
+def _arff(s: SparkSession, d: str) -> DataFrame:
+    """Orders as an ARFF file, read back."""
+    head = ["@relation orders", "@attribute key numeric", "@attribute price real", "@attribute odd {0,1}", "@attribute customer string", "@data"]
+    lines = s.createDataFrame([(0, i, x) for i, x in enumerate(head)], "part int, place long, value string")
+    rows = _table(s, d, "orders").select(F.lit(1).alias("part"), F.col("o_orderkey").alias("place"), F.concat_ws(",", "o_orderkey", "o_totalprice", F.col("o_orderkey") % 2, F.format_string("'c %s'", F.col("o_custkey").cast("string"))).alias("value"))
+    return arff.read_arff(s, _written(s, "arff", lambda p: lines.union(rows).coalesce(1).sortWithinPartitions("part", "place").select("value").write.text(p)))
+
+
+_add("IO08_arff", _arff, "select o_orderkey::double as key, o_totalprice::double as price, o_orderkey % 2 = 1 as odd, 'c ' || o_custkey as customer from orders")
 _add("IO05_fields", lambda s, d: text.read_text(s, _written(s, "quoted", lambda p: _table(s, d, "nation").select("n_nationkey", F.concat("n_name", F.lit(", x")).alias("n_name")).coalesce(1).write.csv(p, header=True, quoteAll=True))), "select n_nationkey::double as n_nationkey, n_name || ', x' as n_name from nation")
 _add("IO07_declared_types", lambda s, d: text.read_text(s, _written(s, "typed", lambda p: text.write_text(_table(s, d, "nation"), p)), {"n_regionkey": model.NOMINAL}), "select n_nationkey::double as n_nationkey, n_name, n_regionkey::varchar as n_regionkey from nation")
 _add("IO17_member_rows", lambda s, d: text.read_text(s, _written(s, "members", lambda p: text.write_text(_li(s, d, "l_orderkey", "l_linenumber", Q), p, model.conjunction((_C(Q, "<=", 5.0),))))), "select l_orderkey::double as l_orderkey, l_linenumber::double as l_linenumber, l_quantity from lineitem where l_quantity <= 5")
