@@ -97,7 +97,7 @@ def test_depth_first_tables_go(mixed, tmp_path):
 def test_time_limit_interrupts_a_round(spark, mixed, strategy):
     """Every row takes 20 ms from the second round on: a round alone is longer than the limit."""
     df = mixed.select("n", "f", "t", "y")
-    search = SubgroupDiscovery(df, T, Settings(min_coverage=2, depth=4, minimum=-1.0, strategy=strategy, numeric_strategy="all", max_minutes=8 / 60))
+    search = SubgroupDiscovery(df, T, Settings(min_coverage=2, depth=4, minimum=-1.0, strategy=strategy, numeric_strategy="all", max_minutes=12 / 60))
     rounds = search._level
 
     def slow(table, beam, last):
