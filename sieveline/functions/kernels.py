@@ -13,8 +13,10 @@ import numpy as np
 
 #: Grid points of a density, deviations at which a kernel is cut, and the greatest weighted squared Hellinger distance.
 GRID, CUT, MOST_HELLINGER = 1001, 4.0, 4 / 27
-#: Grid points a side of a density of two columns.
-POINTS = 40
+#: Fixed values of densities of two columns: deviations by which a grid reaches beyond all rows, and grid steps in a deviation.
+REACH, STEPS = 3.0, math.sqrt(2)
+#: Deviations beyond which exp(-z^2 / 2) is 0 as a double.
+VANISHED = 38.7
 
 
 def log_gamma(x) -> np.ndarray:
@@ -54,26 +56,24 @@ def density(values: np.ndarray, counts: np.ndarray, grid: np.ndarray, h: float)
     return kernel_sums(values, counts, grid, h) / (counts.sum() * h * math.sqrt(2 * math.pi))
 
 
-def divergence(name: str, p: np.ndarray, q: np.ndarray, share: float, cell: float = 1.0) -> float:
-    """Plain sums over grid points of the density p compared with and the subgroup's density q, times the cell's size where one is given.
-
-    With two columns a point without subgroup density makes the Kullback-Leibler
-    sum infinite, with one column it adds nothing.
-    """
+def weighted(name: str) -> bool:
+    """Whether a divergence is multiplied by the subgroup's share of rows."""
     base = name.replace("_2d", "")
-    if "hellinger" in base:
-        value = 0.5 * ((np.sqrt(p) - np.sqrt(q)) ** 2).sum() * cell
-    elif "kullback" in base:
+    return base.endswith("weighted") and not base.endswith("unweighted") or base.endswith("adjusted") or base == "cwracc"
+
+
+def divergence(name: str, p: np.ndarray, q: np.ndarray, share: float) -> float:
+    """Plain sums over the points of one column's grid: the density p of all rows against the subgroup's density q."""
+    if "hellinger" in name:
+        value = 0.5 * ((np.sqrt(p) - np.sqrt(q)) ** 2).sum()
+    elif "kullback" in name:
         ok = q > 0
-        if base != name and not ok.all():
-            return math.inf
         with np.errstate(divide="ignore"):
-            value = float((q[ok] * np.log(q[ok] / p[ok])).sum()) * cell
+            value = float((q[ok] * np.log(q[ok] / p[ok])).sum())
     else:
-        value = np.abs(p - q).sum() * cell
-    weighted = base.endswith("weighted") and not base.endswith("unweighted") or base.endswith("adjusted") or base == "cwracc"
-    value *= share if weighted else 1.0
-    return float(value / MOST_HELLINGER if base.endswith("adjusted") else value)
+        value = np.abs(p - q).sum()
+    value *= share if weighted(name) else 1.0
+    return float(value / MOST_HELLINGER if name.endswith("adjusted") else value)
 
 
 DENSITY = ("squared_hellinger", "squared_hellinger_weighted", "squared_hellinger_weighted_adjusted", "kullback_leibler", "kullback_leibler_weighted", "cwracc", "cwracc_unweighted")
@@ -89,33 +89,48 @@ def moments(n: float, sx: float, sy: float, sxx: float, syy: float, sxy: float)
     return mean, (second - n * np.outer(mean, mean)) / (n - 1)
 
 
-def plane_of(n: float, cov: np.ndarray, n_out: float, cov_out: np.ndarray, low: np.ndarray, high: np.ndarray, points: int = POINTS) -> dict | None:
-    """Bandwidth matrices of subgroup and complement (covariance times n^(-1/3)) and a common grid of three deviations around all rows; None for degenerate data."""
+def plane_of(n: float, cov: np.ndarray, n_out: float, cov_out: np.ndarray, low: np.ndarray, high: np.ndarray) -> dict | None:
+    """Bandwidth matrices of subgroup and complement (covariance times n^(-1/3)) and their common grid; None for degenerate data.
+
+    The grid reaches three of the larger deviation beyond all rows, in steps of the smaller one by sqrt 2.
+    """
     if min(n, n_out) < 3:
         return None
     ha, hb = cov * n ** (-1 / 3), cov_out * n_out ** (-1 / 3)
-    if min(np.linalg.det(ha), np.linalg.det(hb)) <= 1e-12:
+    if any(np.diag(h).min() <= 0 or np.linalg.det(h) <= 1e-12 * np.diag(h).prod() for h in (ha, hb)):
         return None
-    reach = 3 * np.sqrt(np.maximum(np.diag(ha), np.diag(hb)))
-    axes = [np.linspace(low[i] - reach[i], high[i] + reach[i], points) for i in (0, 1)]
-    return {"inside": ha, "outside": hb, "axes": axes, "cell": (axes[0][1] - axes[0][0]) * (axes[1][1] - axes[1][0])}
+    sd = np.sqrt([np.diag(ha), np.diag(hb)])
+    reach, step = REACH * sd.max(axis=0), sd.min(axis=0) / STEPS
+    size = np.floor((high - low + 2 * reach) / step).astype(int)
+    return {"inside": ha, "outside": hb, "axes": [low[j] - reach[j] + step[j] * np.arange(size[j]) for j in (0, 1)], "cell": float(step.prod())}
 
 
-def plane_sums(rows: np.ndarray, counts: np.ndarray, axes: list[np.ndarray], h: np.ndarray) -> np.ndarray:
-    """Sum of Gaussian kernels (height 1) of two columns at the points of a grid; in coordinates where the kernel is round."""
-    w = np.linalg.cholesky(np.linalg.inv(h))
-    x, grid = rows @ w, np.stack(np.meshgrid(*axes, indexing="ij"), axis=-1).reshape(-1, 2) @ w
-    out = np.zeros(len(grid))
-    for a in range(0, len(x), 512):
-        z = (grid[:, :1] - x[None, a : a + 512, 0]) ** 2
-        z += (grid[:, 1:] - x[None, a : a + 512, 1]) ** 2
-        z *= -0.5
-        out += np.exp(z, out=z) @ counts[a : a + 512]
-    return out
+def plane_sums(rows: np.ndarray, counts: np.ndarray, axes: list[np.ndarray], h: np.ndarray, block: int = 256) -> np.ndarray:
+    """Sum of Gaussian kernels (height 1) of two columns at the points of a grid; in coordinates where the kernel is round.
+
+    Neighbouring rows go together to the part of the grid where their kernels have not vanished.
+    """
+    w, reach = np.linalg.cholesky(np.linalg.inv(h)), VANISHED * np.sqrt(np.diag(h))
+    out = np.zeros((len(axes[0]), len(axes[1])))
+    tile = [np.floor(rows[:, j] / reach[j]) for j in (0, 1)]
+    order = np.lexsort((rows[:, 1], tile[1], tile[0]))
+    for a in range(0, len(order), block):
+        own, c = rows[order[a : a + block]], counts[order[a : a + block]]
+        part = tuple(slice(*np.searchsorted(axes[j], (own[:, j].min() - reach[j], own[:, j].max() + reach[j]))) for j in (0, 1))
+        grid = np.stack(np.meshgrid(axes[0][part[0]], axes[1][part[1]], indexing="ij"), axis=-1)
+        shape, points, x = grid.shape[:2], grid.reshape(-1, 2) @ w, own @ w
+        each = max(1, 4_000_000 // max(1, len(points)))
+        for b in range(0, len(x), each):
+            z = (points[:, :1] - x[None, b : b + each, 0]) ** 2
+            z += (points[:, 1:] - x[None, b : b + each, 1]) ** 2
+            z *= -0.5
+            out[part] += (np.exp(z, out=z) @ c[b : b + each]).reshape(shape)
+    return out.ravel()
 
 
-def plane_density(sums: np.ndarray, n: float, h: np.ndarray) -> np.ndarray:
-    return sums / (n * 2 * math.pi * math.sqrt(np.linalg.det(h)))
+def plane_factor(n: float, h: np.ndarray) -> float:
+    """What a sum of kernels is multiplied by to be a density."""
+    return float(1 / (n * 2 * math.pi * math.sqrt(np.linalg.det(h))))
 
 
 def silverman(n: float, columns: int) -> float:

@@ -241,7 +241,8 @@ def test_pair_measures_match_brute_force(pairs, measure):
         else:
             ha, hb = (np.cov(z, rowvar=False) * len(z) ** (-1 / 3) for z in (x, y))
             both, reach = np.concatenate((x, y)), 3 * np.sqrt(np.maximum(np.diag(ha), np.diag(hb)))
-            axes = [np.linspace(both[:, i].min() - reach[i], both[:, i].max() + reach[i], 40) for i in (0, 1)]
+            step = np.sqrt(np.minimum(np.diag(ha), np.diag(hb)) / 2)
+            axes = [both[:, i].min() - reach[i] + step[i] * np.arange(int((np.ptp(both[:, i]) + 2 * reach[i]) / step[i])) for i in (0, 1)]
             grid = np.array([(a, b) for a in axes[0] for b in axes[1]])
 
             def density(z, h):
@@ -254,6 +255,28 @@ def test_pair_measures_match_brute_force(pairs, measure):
         assert r["quality"] == pytest.approx(want, rel=1e-6)
 
 
+def test_pair_densities_of_far_and_degenerate_sides(spark):
+    rows = [(float(i % 7), float(i % 5), "near") for i in range(70)] + [(1e4 + i % 9, float(i % 4), "far") for i in range(72)] + [(3.0, float(i), "line") for i in range(20)]
+    df = spark.createDataFrame(rows, "p double, q double, k string")
+    run = lambda m: {r["conditions"][0].value: r for r in SubgroupDiscovery(df, Target("multi_numeric", ("p", "q")), Settings(measure=m, minimum=float("-inf"))).run()}
+    found = run("kullback_leibler_2d")
+    assert found["far"]["quality"] == math.inf and found["line"]["quality"] == 0.0
+    apart = run("squared_hellinger_2d")
+    assert apart["line"]["quality"] == 0.0 and 0 < apart["far"]["quality"] <= 1.01
+    assert SubgroupDiscovery(df.where("false"), Target("multi_numeric", ("p", "q")), Settings(measure="cwracc_2d")).run() == []
+
+
+def test_plane_sums_of_wide_grids():
+    rng = np.random.default_rng(3)
+    rows, counts = np.concatenate((rng.normal(size=(300, 2)), rng.normal(size=(300, 2)) * 0.5 + (150.0, -90.0))), rng.integers(1, 5, 600).astype(float)
+    h = np.array([[0.3, 0.1], [0.1, 0.4]])
+    axes = [np.arange(-5.0, 160.0, 0.9), np.arange(-100.0, 10.0, 1.1)]
+    d = np.stack(np.meshgrid(*axes, indexing="ij"), axis=-1).reshape(-1, 1, 2) - rows[None]
+    want = np.exp(-0.5 * np.einsum("gni,ij,gnj->gn", d, np.linalg.inv(h), d)) @ counts
+    got = kernels.plane_sums(rows, counts, axes, h)
+    assert got == pytest.approx(want, rel=1e-9, abs=0.0) and (got > 0).sum() == (want > 0).sum()
+
+
 @pytest.mark.parametrize("measure", ["squared_hellinger", "kullback_leibler_weighted", "cwracc_unweighted"])
 def test_density_measures_match_brute_force(pairs, measure):
     rows, df = pairs
