@@ -29,6 +29,10 @@ MEASURES = {*kernels.DENSITY, *kernels.DENSITY_2D, "l2", "edit_distance", "weed"
 MOST = 5000
 #: Distinct rows of one side for which ``l2`` of three or more columns compares all pairs; more are an error.
 MOST_PAIRED = 20_000
+#: Cells of densities of two columns in the smallest deviation of a kernel: a density at z deviations errs by about z^2 / (24 FINE^2).
+FINE = 32
+#: Numbers of grids that a task adds up before it passes them on.
+MOST_HELD = 8_000_000
 _SCORES = "i int, quality double, secondary double, tertiary double"
 
 
@@ -59,10 +63,12 @@ def _dealt(rows: DataFrame, sides: int, *values: str) -> DataFrame:
 
 def _of_one_column(data: DataFrame, marked: DataFrame, found: int, measure: str) -> DataFrame:
     """Densities over a grid fixed from all rows; the whole table counts as refinement -1."""
-    row = data.agg(F.count("x0"), F.stddev_samp("x0"), F.percentile("x0", F.array(F.lit(0.25), F.lit(0.75))), F.min("x0"), F.max("x0")).first()
-    h = kernels.bandwidth_of(row[0], row[1] or 0.0, *row[2], row[3], row[4])
-    grid = kernels.grid_of(row[3], row[4], h)
-    everything = _counted(data, "x0").select(F.lit(-1).alias("i"), "x0", "c")
+    row = data.agg(F.count("x0"), F.stddev_samp("x0"), F.min("x0"), F.max("x0")).first()
+    counts = tables.materialised(_counted(data, "x0"))
+    quartiles = tables.quantiles(counts, "x0", "c", {"q1": 0.25, "q3": 0.75}).first()
+    h = kernels.bandwidth_of(row[0], row[1] or 0.0, *quartiles, row[2], row[3])
+    grid = kernels.grid_of(row[2], row[3], h)
+    everything = counts.select(F.lit(-1).alias("i"), "x0", "c")
     inside = tables.materialised(_counted(marked, "i", "x0"))
 
     def partial(frames):
@@ -110,37 +116,98 @@ def _moments(sides: DataFrame, names: list[str]) -> list:
     return [np.array(centre[k : 2 * k], float), np.array(centre[2 * k :], float), sides.groupBy("i").agg(*aggs).orderBy("i").collect()]
 
 
+def _sums_about(rows: DataFrame, names: list[str], centre: list[float], *keys: str) -> list:
+    """Counts, sums and sums of products of two columns about a centre, in the order that ``kernels.moments`` takes."""
+    x, y = (F.col(n) - F.lit(c) for n, c in zip(names, centre))
+    terms = (F.lit(1.0), x, y, x * x, y * y, x * y)
+    return rows.groupBy(*keys).agg(*(F.sum(t).alias(f"m{j}") for j, t in enumerate(terms))).collect()
+
+
+def _in_cells(rows: DataFrame, names: list[str], low: np.ndarray, width: np.ndarray, *keys: str) -> DataFrame:
+    """(keys, p0, p1, c, o0, o1): rows counted by cell, with the sums of their places inside it."""
+    at = [F.col(n) - F.lit(float(a)) for n, a in zip(names, low)]
+    place = [F.floor(x / F.lit(float(w))) for x, w in zip(at, width)]
+    own = rows.select(*keys, *(p.alias(f"p{j}") for j, p in enumerate(place)), *((x - p * F.lit(float(w))).alias(f"o{j}") for j, (x, p, w) in enumerate(zip(at, place, width))))
+    return own.groupBy(*keys, "p0", "p1").agg(F.count(F.lit(1)).cast("double").alias("c"), F.sum("o0").alias("o0"), F.sum("o1").alias("o1"))
+
+
+def _plane_term(name: str) -> tuple[Column, bool]:
+    """What a point of a grid of two columns with densities q (subgroup) and p (rest) adds, and whether a point without q makes the sum infinite."""
+    p, q = F.col("p"), F.col("q")
+    if "hellinger" in name:
+        return F.pow(F.sqrt(p) - F.sqrt(q), 2) / 2, False
+    if "kullback" in name:
+        return F.when(q == 0, 0.0).when(p == 0, math.inf).otherwise(q * (F.ln(q) - F.ln(p))), True
+    return F.abs(p - q), False
+
+
 def _of_two_columns(data: DataFrame, marked: DataFrame, found: int, measure: str, names: list[str]) -> DataFrame:
-    """Subgroup against complement on a common grid for each refinement."""
-    sides = _sides(data, marked, found, names)
-    low, high, rows = _moments(sides, names)
-    planes = {}
-    for r in rows:
-        a, b = ((r[f"n_{w}"], r[f"s_{w}_x0"], r[f"s_{w}_x1"], r[f"s_{w}_x0_x0"], r[f"s_{w}_x1_x1"], r[f"s_{w}_x0_x1"]) for w in "cd")
-        if min(a[0], b[0]) >= 3 and (plane := kernels.plane_of(a[0], kernels.moments(*a)[1], b[0], kernels.moments(*b)[1], low, high)):
-            planes[r["i"]] = plane | {"n": a[0], "m": b[0]}
+    """Subgroup against complement on a common grid for each refinement, whose step follows the bandwidths.
+
+    Rows are merged in cells of a FINEth of the smallest deviation; a cell stands at the mean of its rows, of a
+    refinement's and of the others each. What is outside is a cell's whole less what is inside, so that no row is
+    written for a refinement that does not cover it.
+    """
+    first = data.agg(*(f(x) for f in (F.avg, F.min, F.max) for x in names)).first()
+    if first[0] is None:
+        return data.sparkSession.createDataFrame([], _SCORES)
+    centre, low, high = list(first[:2]), np.array(first[2:4], float), np.array(first[4:], float)
+    whole = np.array(_sums_about(data, names, centre)[0], float)
+    planes, flat = {}, []
+    for r in _sums_about(marked, names, centre, "i"):
+        own = np.array(r[1:], float)
+        rest = whole - own
+        plane = kernels.plane_of(own[0], kernels.moments(*own)[1], rest[0], kernels.moments(*rest)[1], low, high) if min(own[0], rest[0]) >= 3 else None
+        if plane:
+            planes[r["i"]] = plane | {"n": own[0], "m": rest[0]}
+        else:
+            flat.append((r["i"], 0.0, float(own[0]), float(rest[0])))  # degenerate data
+    out = data.sparkSession.createDataFrame(flat, _SCORES)
+    if not planes:
+        return out
+    width = np.min([np.sqrt(np.diag(p[k])) for p in planes.values() for k in ("inside", "outside")], axis=0) / FINE
+    inside = _in_cells(marked, names, low, width, "i").groupBy("p0", "p1").agg(F.collect_list(F.struct("i", "c", "o0", "o1")).alias("e"))
+    entries = [F.coalesce(F.col(f"e.{k}"), F.array().cast(f"array<{t}>")).alias(f"e_{k}") for k, t in (("i", "int"), ("c", "double"), ("o0", "double"), ("o1", "double"))]
+    cells = tables.materialised(_in_cells(data, names, low, width).join(inside, ["p0", "p1"], "left").select("p0", "p1", "c", "o0", "o1", *entries))
+
+    def flush(sums):
+        for i, pair in sums.items():
+            some = np.flatnonzero((pair[0] > 0) | (pair[1] > 0))
+            yield pd.DataFrame({"i": np.int32(i), "g": some.astype(np.int64), "s": pair[0][some], "t": pair[1][some]})
 
     def partial(frames):
-        sums: dict[int, list] = {}
+        sums: dict[int, np.ndarray] = {}
         for pdf in frames:
-            for i, own in pdf.groupby("i"):
-                if i in planes:
-                    p, x = planes[i], own[names].to_numpy(float)
-                    new = [kernels.plane_sums(x[w > 0], w[w > 0], p["axes"], p[k]) for w, k in ((own["c"].to_numpy(float), "inside"), (own["d"].to_numpy(float), "outside"))]
-                    sums[i] = [a + b for a, b in zip(sums[i], new)] if i in sums else new
-        for i, (s, t) in sums.items():
-            yield pd.DataFrame({"i": np.int32(i), "g": np.arange(len(s), dtype=np.int32), "s": s, "t": t})
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        i = int(pdf["i"].iloc[0])
-        p, pdf = planes[i], pdf.sort_values("g")
-        own, rest = kernels.plane_density(pdf["s"].to_numpy(float), p["n"], p["inside"]), kernels.plane_density(pdf["t"].to_numpy(float), p["m"], p["outside"])
-        return pd.DataFrame([(i, kernels.divergence(measure, rest, own, p["n"] / (p["n"] + p["m"]), p["cell"]), p["n"], p["m"])], columns=["i", "quality", "secondary", "tertiary"])
-
-    sums = _dealt(sides, found, *names).mapInPandas(partial, "i int, g int, s double, t double").groupBy("i", "g").agg(F.sum("s").alias("s"), F.sum("t").alias("t"))
-    flat = [(r["i"], 0.0, float(r["n_c"]), float(r["n_d"])) for r in rows if r["i"] not in planes]  # degenerate data
-    out = sums.groupBy("i").applyInPandas(compare, _SCORES)
-    return out.union(data.sparkSession.createDataFrame(flat, _SCORES)) if flat else out
+            corner = low + pdf[["p0", "p1"]].to_numpy(float) * width
+            c, o = pdf["c"].to_numpy(float), pdf[["o0", "o1"]].to_numpy(float)
+            row = np.repeat(np.arange(len(pdf)), pdf["e_i"].str.len())
+            member, own_c = np.concatenate(pdf["e_i"].tolist()), np.concatenate(pdf["e_c"].tolist())
+            own_o = np.stack([np.concatenate(pdf[k].tolist()) for k in ("e_o0", "e_o1")], axis=1)
+            order = np.argsort(member, kind="stable")
+            for i, p in planes.items():
+                mine = order[slice(*np.searchsorted(member[order], (i, i + 1)))]
+                at, d, far = row[mine], c.copy(), o.copy()
+                d[at] -= own_c[mine]
+                far[at] -= own_o[mine]
+                some = d > 0
+                new = np.stack([kernels.plane_sums(corner[at] + own_o[mine] / own_c[mine, None], own_c[mine], p["axes"], p["inside"]),
+                                kernels.plane_sums(corner[some] + far[some] / d[some, None], d[some], p["axes"], p["outside"])])
+                sums[i] = sums[i] + new if i in sums else new
+                if sum(x.size for x in sums.values()) > MOST_HELD:
+                    yield from flush(sums)
+                    sums = {}
+        yield from flush(sums)
+
+    sums = cells.mapInPandas(partial, "i int, g long, s double, t double").groupBy("i", "g").agg(F.sum("s").alias("s"), F.sum("t").alias("t"))
+    known = [(i, float(p["n"]), float(p["m"]), kernels.plane_factor(p["n"], p["inside"]), kernels.plane_factor(p["m"], p["outside"]), p["cell"], len(p["axes"][0]) * len(p["axes"][1])) for i, p in planes.items()]
+    known = data.sparkSession.createDataFrame(known, "i int, n double, m double, fs double, ft double, cell double, points bigint")
+    points = sums.join(F.broadcast(known), "i").select("i", (F.col("s") * F.col("fs")).alias("q"), (F.col("t") * F.col("ft")).alias("p"))
+    term, infinite = _plane_term(measure)
+    totals = points.groupBy("i").agg(F.sum(term).alias("total"), F.count_if(F.col("q") > 0).alias("covered")).join(F.broadcast(known), "i")
+    quality = F.col("total") * F.col("cell") * (F.col("n") / (F.col("n") + F.col("m")) if kernels.weighted(measure) else F.lit(1.0)) / F.lit(kernels.MOST_HELLINGER if "adjusted" in measure else 1.0)
+    if infinite:
+        quality = F.when(F.col("covered") < F.col("points"), F.lit(math.inf)).otherwise(quality)
+    return totals.select("i", quality.alias("quality"), F.col("n").alias("secondary"), F.col("m").alias("tertiary")).union(out)
 
 
 def _l2(data: DataFrame, marked: DataFrame, found: int, names: list[str]) -> DataFrame:
@@ -213,11 +280,11 @@ def _networks(data: DataFrame, marked: DataFrame, target: Target, settings: Sett
 
 
 def _median_deviations(data: DataFrame, marked: DataFrame) -> DataFrame:
-    """mmad of the ranks among all rows: their median and median absolute deviation, as exact percentiles of counted values."""
+    """mmad of the ranks among all rows: their median and median absolute deviation, from running counts."""
     ranks = tables.mid_ranks(_counted(data, "x0"), "x0", "c").select("x0", "rank")
     rows = tables.materialised(_counted(marked, "i", "x0").join(tables.few(ranks), "x0"))
-    own = rows.groupBy("i").agg(F.sum("c").alias("B"), F.percentile("rank", F.lit(0.5), F.col("c").cast("long")).alias("med"), F.sum(F.col("c") * F.col("rank")).alias("S1"))
-    far = rows.join(F.broadcast(own), "i").groupBy("i").agg(F.percentile(F.abs(F.col("rank") - F.col("med")), F.lit(0.5), F.col("c").cast("long")).alias("mad"))
+    own = rows.groupBy("i").agg(F.sum("c").alias("B"), F.sum(F.col("c") * F.col("rank")).alias("S1"))
+    far = tables.counted_medians(rows, "rank", "c", ("i",)).withColumnRenamed("median", "med")
     return own.join(far, "i").select("i", F.coalesce(F.expr(measures.ORDINAL["mmad"].expression), F.lit(0.0)).cast("double").alias("quality"), (F.col("S1") / F.col("B")).alias("secondary"), F.col("med").alias("tertiary"))
 
 
@@ -242,7 +309,7 @@ def level(df: DataFrame, beam: list[Conditions], types: dict[str, str], stats: S
     own = [(*beam[r["cand"]], _condition(r, types)) for r in found]
     values = _value_columns(target)
     names = [f"x{i}" for i in range(len(values))]
-    data = df.select("*", *values).where(" and ".join(f"{n} is not null" for n in names))
+    data = df.select("*", *values).where(" and ".join(f"{n} is not null and not isnan({n})" for n in names))
     marked = refine.membership(data.drop("cand") if "cand" in data.columns else data, own).withColumnRenamed("cand", "i").select("i", *names)
     data = data.select(*names)
     measure = settings.measure

@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -55,17 +56,40 @@ def few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def running(df: DataFrame, order: str, parts: list[str], keys: tuple[str, ...] = (), ascending: bool = True, buckets: int = 256) -> DataFrame:
+#: Values of which one task takes all, and about how many a range holds beyond that.
+SMALL, IN_RANGE = 20_000, 100_000
+#: Ranges that cut points are looked for; more rows make longer ranges.
+MOST_RANGES = 10_000
+
+
+def range_cuts(df: DataFrame, x: Column, rows: int) -> list[float]:
+    """Cut points of about equal ranges; their number grows with the rows."""
+    buckets = min(max(256, rows // IN_RANGE), MOST_RANGES)
+    return sorted(set(df.agg(F.percentile_approx(x, [i / buckets for i in range(1, buckets)], max(10_000, 4 * buckets))).first()[0] or []))
+
+
+def range_of(x: Column, cuts: list[float]) -> Column:
+    """How many of the sorted cut points are not above a number: by blocks of them, then within one."""
+    if not cuts:
+        return F.lit(0)
+    bounds, side = F.lit(np.array(cuts, float)), math.isqrt(len(cuts)) + 1
+    block = F.size(F.filter(F.lit(np.array(cuts[::side], float)), lambda c: c <= x))
+    return F.when(block == 0, 0).otherwise((block - 1) * side + F.size(F.filter(F.slice(bounds, (block - 1) * side + 1, F.lit(side)), lambda c: c <= x)))
+
+
+def running(df: DataFrame, order: str, parts: list[str], keys: tuple[str, ...] = (), ascending: bool = True) -> DataFrame:
     """Adds run_<part>, the sum over all rows of a group up to each one's value of ``order`` (numbers, distinct in a group).
 
-    In ranges of the value first: sums by range give offsets, so that no task gets a whole group.
+    Beyond SMALL rows in ranges of the value: sums by range give offsets, so that no task gets a whole group.
     """
     x = F.col(order)
-    cuts = sorted(set(df.agg(F.percentile_approx(x, [i / buckets for i in range(1, buckets)], 10_000)).first()[0] or []))
-    bounds = F.array(*map(F.lit, cuts)).cast("array<double>")
-    parted = df.withColumn("__b", F.size(F.filter(bounds, lambda c: c <= x)))
-    sums = parted.groupBy(*keys, "__b").agg(*(F.sum(p).alias(p) for p in parts))
     turn = (lambda c: F.col(c).asc()) if ascending else (lambda c: F.col(c).desc())
+    rows = df.count()
+    if rows <= SMALL:
+        own = Window.partitionBy(*keys).orderBy(turn(order)).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumns({f"run_{p}": F.sum(p).over(own) for p in parts})
+    parted = df.withColumn("__b", range_of(x, range_cuts(df, x, rows)))
+    sums = parted.groupBy(*keys, "__b").agg(*(F.sum(p).alias(p) for p in parts))
     earlier = Window.partitionBy(*keys).orderBy(turn("__b")).rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(*keys, "__b", *(F.coalesce(F.sum(p).over(earlier), F.lit(0)).alias("__" + p) for p in parts))
     inside = Window.partitionBy(*keys, "__b").orderBy(turn(order)).rowsBetween(Window.unboundedPreceding, 0)
@@ -73,6 +97,37 @@ def running(df: DataFrame, order: str, parts: list[str], keys: tuple[str, ...] =
     return out.withColumns({f"run_{p}": F.col(f"run_{p}") + F.col("__" + p) for p in parts}).drop("__b", *("__" + p for p in parts))
 
 
+def counted(df: DataFrame, column: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, v, n): the known numbers of a column, counted."""
+    x = F.col(f"`{column}`").cast("double")
+    return materialised(df.where(x.isNotNull() & ~F.isnan(x)).groupBy(*keys, x.alias("v")).agg(F.count(F.lit(1)).cast("double").alias("n")))
+
+
+def quantiles(counts: DataFrame, value: str, count: str, shares: dict[str, float], keys: tuple[str, ...] = ()) -> DataFrame:
+    """Interpolated quantiles of counted values by group, exact: a running count finds the values at the two places next to each share.
+
+    Only sums and minima are kept for a group, whatever the number of its values.
+    """
+    totals = counts.groupBy(*keys).agg(F.sum(count).alias("__total"))
+    run = running(counts, value, [count], keys)
+    run = run.join(few(totals), list(keys)) if keys else run.withColumn("__total", F.lit(totals.first()[0]))
+    place = {k: (F.col("__total") - 1) * p for k, p in shares.items()}
+    at = lambda where: F.min(F.when(F.col(f"run_{count}") > where, F.col(value)))
+    found = run.groupBy(*keys).agg(F.first("__total").alias("__total"), *(f.alias(f"{side}_{k}") for k, p in place.items() for side, f in (("lo", at(F.floor(p))), ("hi", at(F.ceil(p))))))
+    return found.select(*keys, *((F.col(f"lo_{k}") + (p - F.floor(p)) * (F.col(f"hi_{k}") - F.col(f"lo_{k}"))).alias(k) for k, p in place.items()))
+
+
+def medians(df: DataFrame, column: str, keys: tuple[str, ...]) -> DataFrame:
+    """(keys, median, mad): median of a column by group, and median distance from it."""
+    return counted_medians(counted(df, column, keys), "v", "n", keys)
+
+
+def counted_medians(counts: DataFrame, value: str, count: str, keys: tuple[str, ...]) -> DataFrame:
+    middle = materialised(quantiles(counts, value, count, {"median": 0.5}, keys))
+    far = counts.join(few(middle), list(keys)).groupBy(*keys, F.abs(F.col(value) - F.col("median")).alias("__far")).agg(F.sum(count).alias("__n"))
+    return middle.join(quantiles(materialised(far), "__far", "__n", {"mad": 0.5}, keys), list(keys))
+
+
 def mid_ranks(counts: DataFrame, value: str, count: str) -> DataFrame:
     """Adds rank, the mean place from 1 of the rows with each value, to counts by value."""
     return running(counts, value, [count]).withColumn("rank", F.col(f"run_{count}") - (F.col(count) - 1) / 2).drop(f"run_{count}")
@@ -168,10 +223,16 @@ def histogram(df: DataFrame, name: str, target: Column, bins: int) -> DataFrame:
     return df.where(F.col(name).isNotNull()).groupBy(equal_width_bin(F.col(name), lo, hi, bins).alias("bin"), target.alias("target")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def descriptives(c: str) -> dict[str, Column]:
-    x = F.col(c).cast("double")
-    q = lambda p: F.percentile(x, F.lit(p))
-    return {"n": F.count(x), "mean": F.avg(x), "variance": F.var_samp(x), "sd": F.stddev_samp(x), "median": q(0.5), "iqr": q(0.75) - q(0.25), "skewness": F.skewness(x), "kurtosis": F.kurtosis(x), "minimum": F.min(x), "maximum": F.max(x)}
+DESCRIBED = ("n", "mean", "variance", "sd", "median", "iqr", "skewness", "kurtosis", "minimum", "maximum")
+
+
+def described(df: DataFrame, column: str) -> DataFrame:
+    """One row of the usual numbers of a column; median and quartiles come from its counts by value."""
+    x = F.col(f"`{column}`").cast("double")
+    q1, median, q3 = quantiles(counted(df, column), "v", "n", {"q1": 0.25, "q2": 0.5, "q3": 0.75}).first()
+    number = lambda v: F.lit(v).cast("double")
+    aggs = {"n": F.count(x), "mean": F.avg(x), "variance": F.var_samp(x), "sd": F.stddev_samp(x), "median": number(median), "iqr": number(None if q1 is None else q3 - q1), "skewness": F.skewness(x), "kurtosis": F.kurtosis(x), "minimum": F.min(x), "maximum": F.max(x)}
+    return df.where(~F.isnan(x)).agg(*(aggs[k].alias(k) for k in DESCRIBED))
 
 
 def bin_rules(n: float, sd: float, iqr: float, skew: float, width: float) -> dict[str, float]:
@@ -190,12 +251,10 @@ def trapezoid(df: DataFrame, x: str, y: str) -> Column:
     return (F.col(x) - F.lag(x).over(w)) * (F.col(y) + F.lag(y).over(w)) / 2
 
 
-def score_order(df: DataFrame, score: str, key: str, name: str = "place", buckets: int = 256) -> DataFrame:
+def score_order(df: DataFrame, score: str, key: str, name: str = "place") -> DataFrame:
     """Place of every row from 1 by falling score (missing ones last), equals by key: in ranges of the score, with offsets, so that no task gets all rows."""
     x = F.col(score).cast("double")
-    cuts = sorted(set(df.agg(F.percentile_approx(x, [i / buckets for i in range(1, buckets)])).first()[0] or []))
-    bounds = F.array(*map(F.lit, cuts)).cast("array<double>")
-    parted = df.withColumn("__b", F.when(x.isNull(), -1).otherwise(F.size(F.filter(bounds, lambda c: c <= x))))
+    parted = df.withColumn("__b", F.when(x.isNull(), -1).otherwise(range_of(x, range_cuts(df, x, df.count()))))
     sizes = parted.groupBy("__b").count()
     offsets = sizes.select("__b", F.coalesce(F.sum("count").over(Window.orderBy(F.desc("__b")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
     inside = F.row_number().over(Window.partitionBy("__b").orderBy(F.desc(score), key))

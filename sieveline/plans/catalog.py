@@ -124,8 +124,12 @@ _add("AG04_counts_and_positives", lambda s, d: _cells(s, d, R, Q, D)[0].select("
      f"select 'l_quantity' as attr, l_quantity as v, count(*) as n, sum({_IS_R}::int)::bigint as positives from lineitem group by 2 union all select 'l_discount', l_discount, count(*), sum({_IS_R}::int)::bigint from lineitem group by 2")
 _add("AG05_counts_and_sums", lambda s, d: _li(s, d).groupBy(D).agg(F.count(F.lit(1)).alias("n"), F.sum(Q).alias("total")), f"select l_discount, count(*) as n, sum(l_quantity) as total {_G}")
 _add("AG06_counts_sums_squares", lambda s, d: _li(s, d).groupBy(D).agg(F.count(F.lit(1)).alias("n"), F.sum(Q).alias("total"), F.sum(F.col(Q) * F.col(Q)).alias("squares")), f"select l_discount, count(*) as n, sum(l_quantity) as total, sum(l_quantity * l_quantity) as squares {_G}")
-_add("AG07_statistics", lambda s, d: _li(s, d).groupBy("l_returnflag").agg(F.count(Q).alias("n"), F.sum(Q).alias("total"), _r(F.var_pop(Q) * F.count(Q), 3).alias("ssd"), F.median(Q).alias("median")).join(_li(s, d).join(_li(s, d).groupBy("l_returnflag").agg(F.median(Q).alias("m")), "l_returnflag").groupBy("l_returnflag").agg(F.median(F.abs(F.col(Q) - F.col("m"))).alias("mad")), "l_returnflag"),
+_add("AG07_statistics", lambda s, d: _li(s, d).groupBy("l_returnflag").agg(F.count(Q).alias("n"), F.sum(Q).alias("total"), _r(F.var_pop(Q) * F.count(Q), 3).alias("ssd")).join(tables.medians(_li(s, d), Q, ("l_returnflag",)), "l_returnflag"),
      "select l_returnflag, count(l_quantity) as n, sum(l_quantity) as total, round(var_pop(l_quantity) * count(l_quantity), 3) + 0.0 as ssd, median(l_quantity) as median, mad(l_quantity) as mad from lineitem group by 1")
+_add("AG07_medians_of_prices", lambda s, d: tables.medians(_li(s, d), "l_extendedprice", ("l_returnflag", "l_linestatus")).select("l_returnflag", "l_linestatus", _r("median", 3).alias("median"), _r("mad", 3).alias("mad")),
+     "select l_returnflag, l_linestatus, round(median(l_extendedprice), 3) + 0.0 as median, round(mad(l_extendedprice), 3) + 0.0 as mad from lineitem group by all")
+_add("AG28_quantiles_of_prices", lambda s, d: tables.quantiles(tables.counted(_li(s, d), "l_extendedprice", ("l_returnflag",)), "v", "n", {f"q{i}": i / 10 for i in range(11)}, ("l_returnflag",)).select("l_returnflag", *(_r(f"q{i}", 3).alias(f"q{i}") for i in range(11))),
+     "select l_returnflag, " + ", ".join(f"round(quantile_cont(l_extendedprice, {i / 10}), 3) + 0.0 as q{i}" for i in range(11)) + " from lineitem group by 1")
 _add("AG08_average", lambda s, d: _li(s, d).where("l_returnflag = 'R'").agg(_r(F.avg("l_extendedprice"), 3).alias("mean")), "select round(avg(l_extendedprice), 3) + 0.0 as mean from lineitem where l_returnflag = 'R'")
 _add("AG09_count_value", lambda s, d: _li(s, d).agg(F.count_if(F.col("l_returnflag") == "A").alias("n")), "select count(*) filter (l_returnflag = 'A') as n from lineitem")
 _add("AG10_min_max", lambda s, d: _li(s, d).agg(*((f(c) + 0.0).alias(f"{n}_{c}") for c in mc.ATTRIBUTES for n, f in (("min", F.min), ("max", F.max)))), "select " + ", ".join(f"case when {n}({c}) = 0 then 0.0::double else {n}({c}) end as {n}_{c}" for c in mc.ATTRIBUTES for n in ("min", "max")) + " from lineitem")
@@ -179,12 +183,12 @@ _SIDES = {"in": "l_returnflag = 'R'", "out": "l_returnflag <> 'R'"}
 _add("AG26_two_sided_covariance", lambda s, d: _li(s, d).agg(*(f.alias(f"{n}_{k}") for k, c in _SIDES.items() for n, f in (("var", _r(F.var_samp(F.when(F.expr(c), F.col(Q))), 5)), ("cov", _r(F.covar_samp(F.when(F.expr(c), F.col(Q)), F.when(F.expr(c), F.col(D))), 7))))),
      "select " + ", ".join(f"round({f} filter ({c}), {n}) + 0.0 as {a}_{k}" for k, c in _SIDES.items() for a, f, n in (("var", "var_samp(l_quantity)", 5), ("cov", "covar_samp(l_quantity, l_discount)", 7))) + " from lineitem")
 _add("AG27_histogram", lambda s, d: tables.histogram(_li(s, d), Q, F.col("l_returnflag"), 7), "with m as (select min(l_quantity) as lo, max(l_quantity) as hi from lineitem) select least(floor((l_quantity - lo) / ((hi - lo) / 7)), 6)::int as bin, l_returnflag as target, count(*) as n from lineitem, m group by 1, 2")
-_add("AG28_descriptives", lambda s, d: _li(s, d).agg(*(_r(c, 4).alias(k) if k not in ("n",) else c.alias(k) for k, c in tables.descriptives(Q).items())),
+_add("AG28_descriptives", lambda s, d: tables.described(_li(s, d), Q).select(*((_r(k, 4) if k != "n" else F.col(k)).alias(k) for k in tables.DESCRIBED)),
      "select count(l_quantity) as n, round(avg(l_quantity), 4) + 0.0 as mean, round(var_samp(l_quantity), 4) + 0.0 as variance, round(stddev_samp(l_quantity), 4) + 0.0 as sd, round(quantile_cont(l_quantity, 0.5), 4) + 0.0 as median, round(quantile_cont(l_quantity, 0.75) - quantile_cont(l_quantity, 0.25), 4) + 0.0 as iqr, round(sum(power(l_quantity - mu, 3)) / count(*) / power(any_value(sp), 3), 4) + 0.0 as skewness, round(sum(power(l_quantity - mu, 4)) / count(*) / power(any_value(sp), 4) - 3, 4) + 0.0 as kurtosis, round(min(l_quantity), 4) + 0.0 as minimum, round(max(l_quantity), 4) + 0.0 as maximum from lineitem, (select avg(l_quantity) as mu, stddev_pop(l_quantity) as sp from lineitem)")
 
 
 def _rules(s: SparkSession, d: str) -> DataFrame:
-    row = _li(s, d).agg(*(c.alias(k) for k, c in tables.descriptives(Q).items())).first()
+    row = tables.described(_li(s, d), Q).first()
     return s.createDataFrame([(k, round(float(v), 4)) for k, v in tables.bin_rules(row["n"], row["sd"], row["iqr"], row["skewness"], row["maximum"] - row["minimum"]).items()], "rule string, value double")
 
 
@@ -351,6 +355,35 @@ for _i, _m in enumerate(kernels.DENSITY, 16):
     _add(f"QU{_i}_{_m}", _kernel(Target("single_numeric", (Q,)), _m, lambda s, d: _li(s, d).select(Q, "l_returnflag", "l_linestatus")), _density_sql(_m))
 for _i, _m in enumerate([*kernels.DENSITY_2D, "l2"], 1):
     _add(f"QM{_i:02d}_{_m}", _kernel(Target("multi_numeric", (Q, "price")), _m))
+
+def _rounded(s: SparkSession, d: str) -> DataFrame:
+    return _li(s, d).select((F.floor(F.col(Q) / 5) * 5.0).alias(Q), (F.floor(F.col("l_extendedprice") / 5000) * 5.0).alias("price"), "l_returnflag", "l_linestatus")
+
+
+def _plane_sql(measure: str) -> str:
+    """Densities of flag and status groups and of the other rows on a grid in steps of the bandwidth, and what their difference comes to."""
+    weighted = "any_value(n / (n + m)) * " if kernels.weighted(measure) else ""
+    term = "0.5 * power(sqrt(p) - sqrt(q), 2)" if "hellinger" in measure else "q * ln(q / p)" if "kullback" in measure else "abs(p - q)"
+    value = f"{weighted}sum({term}) * any_value(dx * dy)" + (f" / {kernels.MOST_HELLINGER!r}" if "adjusted" in measure else "")
+    group = lambda c: f"select '{c} = ''' || {c} || '''' as conditions, v, w, count(*)::double as n from t group by all"
+    moments = ", ".join(f"sum({k}) as {k}, sum({k} * v) / sum({k}) as mv_{k}, sum({k} * w) / sum({k}) as mw_{k}" for k in "cd")
+    cov = lambda k, a, b: f"sum({k} * ({a} - m{a}_{k}) * ({b} - m{b}_{k})) / (sum({k}) - 1) * power(sum({k}), -1.0 / 3)"
+    matrix = ", ".join(f"{cov(k, a, b)} as {a}{b}_{k}" for k in "cd" for a, b in ("vv", "ww", "vw"))
+    kernel = lambda k: f"sum({k} * exp(-0.5 * (ww_{k} * power(gx - v, 2) - 2 * vw_{k} * (gx - v) * (gy - w) + vv_{k} * power(gy - w, 2)) / det_{k})) / any_value(n{k} * 2 * pi() * sqrt(det_{k}))"
+    low_high = "min(v) as lv, max(v) as hv, min(w) as lw, max(w) as hw"
+    return f"""with t as (select floor(l_quantity / 5) * 5.0 as v, floor(l_extendedprice / 5000) * 5.0 as w, l_returnflag, l_linestatus from lineitem),
+g as ({group('l_returnflag')} union all {group('l_linestatus')}), names as (select distinct conditions from g), a as (select v, w, count(*)::double as n from t group by all),
+sides as (select conditions, a.v, a.w, coalesce(g.n, 0) as c, a.n - coalesce(g.n, 0) as d from a cross join names left join g using (conditions, v, w)),
+means as (select conditions, {moments}, {low_high} from sides group by 1),
+h as (select conditions, any_value(means.c) as nc, any_value(means.d) as nd, {matrix.replace('sum(c)', 'any_value(means.c)').replace('sum(d)', 'any_value(means.d)').replace('sum(c *', 'sum(sides.c *').replace('sum(d *', 'sum(sides.d *')}, any_value(lv) as lv, any_value(hv) as hv, any_value(lw) as lw, any_value(hw) as hw from sides join means using (conditions) group by 1),
+k as (select *, vv_c * ww_c - vw_c * vw_c as det_c, vv_d * ww_d - vw_d * vw_d as det_d, 3 * sqrt(greatest(vv_c, vv_d)) as rx, 3 * sqrt(greatest(ww_c, ww_d)) as ry, sqrt(least(vv_c, vv_d) / 2) as dx, sqrt(least(ww_c, ww_d) / 2) as dy from h),
+grid as (select *, lv - rx + i * dx as gx, lw - ry + j * dy as gy from (select *, unnest(range(floor((hw - lw + 2 * ry) / dy)::bigint)) as j from (select *, unnest(range(floor((hv - lv + 2 * rx) / dx)::bigint)) as i from k))),
+dens as (select conditions, i, j, any_value(dx) as dx, any_value(dy) as dy, any_value(nc) as n, any_value(nd) as m, {kernel('c')} as q, {kernel('d')} as p from grid join sides using (conditions) group by all)
+select conditions, any_value(n)::bigint as coverage, round({value}, 6) + 0.0 as quality from dens group by 1"""
+
+
+for _i, _m in enumerate(kernels.DENSITY_2D, 1):
+    _add(f"QM{_i:02d}_{_m}_rounded", _kernel(Target("multi_numeric", (Q, "price")), _m, _rounded), _plane_sql(_m))
 for _i, _m in enumerate(["auc", "wmw_ranks", "inverse_wmw_ranks", "abs_wmw_ranks", "mmad"], 1):
     _RK = "with r as (select l_returnflag, rank() over (order by l_quantity) + (count(*) over (partition by l_quantity) - 1) / 2.0 as k from lineitem), w as (select count(*)::double as N from r), m as (select l_returnflag, median(k) as med from r group by 1), g as (select l_returnflag, count(*)::double as B, sum(k)::double as S, any_value(med) as med, median(abs(k - med)) as mad from r join m using (l_returnflag) group by 1)"
     _Z = "(S - B * (N + 1) / 2) / sqrt(B * (N - B) * (N + 1) / 12)"
