@@ -356,7 +356,10 @@ def reach(stats: Statistics, measure: str) -> Column:
 
 def scored(rows: DataFrame, stats: Statistics, measure: str) -> DataFrame:
     """Adds coverage, quality, secondary and tertiary."""
-    rows = rows.withColumns({k: F.lit(float(v)) for k, v in stats.whole.items()})
+    if stats.whole_of is not None:
+        rows = rows.join(F.broadcast(stats.whole_of), "cand")
+    else:
+        rows = rows.withColumns({k: F.lit(float(v)) for k, v in stats.whole.items()})
     e = lambda text: F.expr(f"cast({text} as double)")
     quality = quality_of(stats.measures[measure])
     return rows.where(f"{stats.count} > 0").select(

@@ -25,6 +25,7 @@ import itertools
 import math
 import threading
 import uuid
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -74,7 +75,7 @@ class SubgroupDiscovery:
         self.order = {a: i for i, a in enumerate(df.columns)}
         self.kernel = target.type in kernel_search.TARGETS or settings.measure in kernel_search.MEASURES
         self.stats = self.group = None
-        self.cancelled = False
+        self.cancelled, self.carried = False, ()
 
     def cancel(self) -> None:
         """Stop the search; safe to call from another thread. ``run`` returns what was found so far."""
@@ -84,9 +85,14 @@ class SubgroupDiscovery:
 
     def run(self) -> list[dict]:
         """Ranked results: dictionaries with conditions (a tuple), depth, coverage, quality, secondary, tertiary."""
+        self._explore()
+        return self._finished(list(self.results.values()))
+
+    def _explore(self) -> None:
+        """The search as a group of jobs that a timer or ``cancel`` can interrupt."""
         s = self.settings
         described = {c.attribute for own in self.knowledge for c in own}
-        self.df = self.df.select(*dict.fromkeys([*self.types, *self.target.columns, *sorted(described)]))
+        self.df = self.df.select(*dict.fromkeys([*self.types, *self.target.columns, *sorted(described), *self.carried]))
         context = self.df.sparkSession.sparkContext
         before = {k: context.getLocalProperty(k) for k in ("spark.jobGroup.id", "spark.job.description", "spark.job.interruptOnCancel")}
         self.cancelled, self.expanded, self.results, self.group = False, 0, {}, f"search-{uuid.uuid4().hex}"
@@ -106,7 +112,10 @@ class SubgroupDiscovery:
             self.group = None
             for k, v in before.items():
                 context.setLocalProperty(k, v)
-        out = sorted(self.results.values(), key=lambda r: (-r["quality"], -r["coverage"], [c.key(self.order) for c in r["conditions"]]))
+
+    def _finished(self, results: list[dict]) -> list[dict]:
+        s = self.settings
+        out = sorted(results, key=lambda r: (-r["quality"], -r["coverage"], [c.key(self.order) for c in r["conditions"]]))
         if s.min_improvement:
             out = post.without_weak_specialisations(out, s.min_improvement)
         out = out[: s.max_results] if s.max_results > 0 else out
@@ -151,11 +160,11 @@ class SubgroupDiscovery:
         last = min(depths) + 1 >= s.depth
         self.expanded += len(beam)
         rows = self._level(df, candidates, last)
-        parents = self.df.sparkSession.createDataFrame([(i, n, d) for i, ((_, n, _), d) in enumerate(zip(beam, depths))], "cand int, parent bigint, depth int")
+        parents = self.df.sparkSession.createDataFrame([(i, n, d, *g) for i, ((_, n, _), d, g) in enumerate(zip(beam, depths, self._groups(candidates)))], "cand int, parent bigint, depth int, run int, total bigint")
         rows = rows.join(F.broadcast(parents), "cand").where(F.col("coverage") < F.col("parent"))
         if s.min_support:
             rows = rows.where(F.col("support") >= s.min_support)
-        result_gate = (F.col("coverage") >= s.min_coverage) & (F.col("coverage") <= self.total * s.max_coverage_share) & (F.col("quality") > self.minimum)
+        result_gate = (F.col("coverage") >= s.min_coverage) & (F.col("coverage") <= F.col("total") * s.max_coverage_share) & (F.col("quality") > self.minimum)
         beam_gate = (F.col("coverage") > s.min_coverage) & (F.col("coverage") > 1) & (F.col("depth") + 1 < s.depth)
         rows = rows.withColumns({"as_result": F.coalesce(result_gate, F.lit(False)), "in_beam": F.coalesce(beam_gate, F.lit(False))}).where("as_result or in_beam")
         rows, remove = tables.written(rows)
@@ -174,6 +183,10 @@ class SubgroupDiscovery:
         remove()
         return found
 
+    def _groups(self, candidates: list[Conditions]) -> list[tuple[int, int]]:
+        """The run that each candidate belongs to, and its number of rows."""
+        return [(0, self.total)] * len(candidates)
+
     def _waiting(self, rows: DataFrame, candidates: list[Conditions]) -> list[tuple]:
         """Every row as (conditions, coverage, quality, reach, number of its candidate), in rank."""
         rows = rows.withColumn("reach", refine.reach(self.stats, self.settings.measure) if not self.kernel else F.lit(float("inf")))
@@ -371,12 +384,17 @@ def discover(df: DataFrame, target: Target, settings: Settings, **kw) -> DataFra
 
 
 def per_target_value(df: DataFrame, column: str, settings: Settings) -> DataFrame:
-    """A run for each value of the target against the rest, as one table."""
-    out = None
-    for (value,) in df.select(column).where(F.col(column).isNotNull()).distinct().orderBy(column).collect():
-        part = discover(df, Target("single_nominal", (column,), value), settings).withColumn("target_value", F.lit(value))
-        out = part if out is None else out.union(part)
-    return out
+    """A run for each value of the target against the rest, as one table: all in one search where the settings allow it."""
+    from sieveline.operators import runs_together
+
+    if runs_together.suits(Target("single_nominal", (column,)), settings) and dict(df.dtypes)[column] == "string":
+        values, runs = runs_together.of_values(df, column)
+        found = runs_together.SearchTogether(df, Target("single_nominal", (column,), ""), settings, runs).run_all() if values else []
+    else:
+        values = [r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().orderBy(column).collect()]
+        found = [SubgroupDiscovery(df, Target("single_nominal", (column,), v), settings).run() for v in values]
+    parts = [as_table(df.sparkSession, own).withColumn("target_value", F.lit(v)) for v, own in zip(values, found)]
+    return reduce(DataFrame.union, parts) if parts else as_table(df.sparkSession, []).withColumn("target_value", F.lit(None).cast("string"))
 
 
 __all__ = ["SubgroupDiscovery", "as_table", "discover", "per_target_value", "positive"]

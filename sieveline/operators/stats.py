@@ -16,7 +16,10 @@ RANK, PROPENSITY = "__rank", "__propensity"
 
 @dataclass
 class Statistics:
-    """parts: name -> value of a row, to be summed; whole: name -> number for all rows; texts: expressions of a result."""
+    """parts: name -> value of a row, to be summed; whole: name -> number for all rows; texts: expressions of a result.
+
+    whole_of: these numbers by candidate (cand), where candidates are of runs over different rows.
+    """
 
     parts: dict[str, Column]
     whole: dict[str, float]
@@ -24,6 +27,7 @@ class Statistics:
     secondary: str
     tertiary: str
     measures: dict[str, measures.Measure]
+    whole_of: DataFrame | None = None
 
 
 def positive(target: Target) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from sieveline import model
 from sieveline.model import Condition, Settings, Target
+from sieveline.operators import runs_together
 from sieveline.operators.post import normal_cdf
 from sieveline.operators.refine import quality_of
 from sieveline.operators.search import SubgroupDiscovery
@@ -93,11 +94,13 @@ def description_qualities(df: DataFrame, target: Target, settings: Settings, des
 def swap_randomised(df: DataFrame, target: Target, settings: Settings, repeats: int, seed: int = 10) -> list[float]:
     """The best quality of a run on each of ``repeats`` tables with a permuted target."""
     quiet = replace(settings, max_results=1, minimum=float("-inf"), p_values="")
-    out = []
-    for i in range(repeats):
-        found = SubgroupDiscovery(permuted(df, target.columns, seed + 2 * i), target, quiet).run()
-        out.append(found[0]["quality"] if found else 0.0)
-    return out
+    if runs_together.suits(target, quiet):
+        own = df.select(*dict.fromkeys([*model.attribute_types(df, target.columns), *target.columns]))
+        rows, runs = runs_together.of_permutations(own, target, repeats, seed)
+        found = runs_together.SearchTogether(rows, target, quiet, runs).run_all()
+    else:
+        found = [SubgroupDiscovery(permuted(df, target.columns, seed + 2 * i), target, quiet).run() for i in range(repeats)]
+    return [own[0]["quality"] if own else 0.0 for own in found]
 
 
 def fitted(qualities: list[float]) -> tuple[float, float]:
@@ -162,5 +165,12 @@ def with_folds(df: DataFrame, k: int = 10, seed: int = 1) -> DataFrame:
 
 
 def cross_validate(df: DataFrame, target: Target, settings: Settings, k: int = 10, seed: int = 1) -> list[list[dict]]:
-    folded = materialised(with_folds(df, k, seed))
-    return [SubgroupDiscovery(folded.where(F.col("fold") != i).drop("fold"), target, settings).run() for i in range(k)]
+    """Results on the rows outside each fold."""
+    return results_by_fold(materialised(with_folds(df, k, seed)), "fold", k, target, settings)
+
+
+def results_by_fold(folded: DataFrame, fold: str, k: int, target: Target, settings: Settings) -> list[list[dict]]:
+    """The same for folds 0..k-1 that a column of the table gives: all in one search where the settings allow it."""
+    if runs_together.suits(target, settings):
+        return runs_together.SearchTogether(folded, target, settings, runs_together.of_folds(folded, target, fold, k)).run_all()
+    return [SubgroupDiscovery(folded.where(~F.col(fold).eqNullSafe(i)).drop(fold), target, settings).run() for i in range(k)]

@@ -469,6 +469,17 @@ _add("VA06_set_p", lambda s, d: s.createDataFrame([(validation.set_p(_own_qualit
 _add("VA07_regression_test", lambda s, d: s.createDataFrame([(round(validation.regression_test(_own_qualities(s, d), _null(s, d), 2), 6),)], "score double"), f"with {_NULL_SQL} select round(((select sum(q) / 2 from (select q from own order by q desc limit 2)) - avg(x)) / stddev_samp(x), 6) as score from null_q")
 _add("VA08_threshold_from_randomisation", lambda s, d: s.createDataFrame([(validation.thresholds(validation.swap_randomised(_flags(s, d).drop("taxed"), R, _W, 3))[0.05],)], "threshold double"))
 _add("VA09_folds", lambda s, d: tables.materialised(validation.with_folds(_li(s, d, "l_orderkey"), 10)).groupBy("fold").agg(F.count(F.lit(1)).alias("n")), "select f::int as fold, (select count(*) from lineitem) // 10 + (case when f < (select count(*) from lineitem) % 10 then 1 else 0 end) as n from range(10) as t(f)")
+_FOLDED = "with f as (select unnest(range(5))::int as fold), src as (select l_orderkey % 5 as g, 'n' || l_linenumber as line, l_linestatus, (l_returnflag = 'R')::int as t from lineitem), x as (select fold, line, l_linestatus, t from src join f on g <> fold), w as (select fold, count(*)::double as N, sum(t)::double as H from x group by 1), r as (select fold, 'line = ''' || line || '''' as conditions, count(*)::double as B, sum(t)::double as HB from x group by fold, line union all select fold, 'l_linestatus = ''' || l_linestatus || '''', count(*), sum(t) from x group by fold, l_linestatus)"
+
+
+def _by_fold(s: SparkSession, d: str) -> DataFrame:
+    df = _li(s, d).select("l_linestatus", F.concat(F.lit("n"), F.col("l_linenumber").cast("string")).alias("line"), "l_returnflag", (F.col("l_orderkey") % 5).cast("int").alias("fold"))
+    found = validation.results_by_fold(df, "fold", 5, R, Settings(minimum=-1.0))
+    return reduce(DataFrame.union, [as_table(s, own).withColumn("fold", F.lit(i)) for i, own in enumerate(found)]).select("fold", "conditions", "coverage", _r("quality").alias("quality"))
+
+
+_add("VA09_results_by_fold", _by_fold, f"{_FOLDED} select fold, conditions, B::bigint as coverage, round(B / N * (HB / B - H / N), 6) + 0.0 as quality from r join w using (fold)")
+_add("VA03_swap_randomisation_many", lambda s, d: s.createDataFrame([(x,) for x in validation.swap_randomised(_flags(s, d).drop("taxed"), R, _W, 100)], "quality double"))
 _add("VA10_random_numeric", lambda s, d: s.createDataFrame([(float(x),) for x in validation.random_subset_qualities(_li(s, d, Q), Target("single_numeric", (Q,)), Settings(measure="z_score"), [500] * 10)], "quality double"))
 
 # --- sources and sinks ---------------------------------------------------------------------

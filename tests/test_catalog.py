@@ -9,7 +9,7 @@ import pytest
 from sieveline.plans import catalog
 
 FOLDER = "/root/testdata/sf0.001"
-NAMES = ["flagship", "QN05_chi_squared", "QU13_t_test", "QC05_correlation_distance", "QR01_ssd_complement", "QB04_absolute_risk", "QK07_lr_covariance", "RF05_bins", "RF07_best_interval", "RF04_best_value_set", "SR06_breadth_first", "WN08_subranking_loss", "AG15_base_intervals", "PP05_grouping", "VA09_folds",
+NAMES = ["flagship", "QN05_chi_squared", "QU13_t_test", "QC05_correlation_distance", "QR01_ssd_complement", "QB04_absolute_risk", "QK07_lr_covariance", "RF05_bins", "RF07_best_interval", "RF04_best_value_set", "SR06_breadth_first", "WN08_subranking_loss", "AG15_base_intervals", "PP05_grouping", "VA09_folds", "VA09_results_by_fold", "SR10_per_target_value", "QM04_kullback_leibler_2d_rounded", "AG28_quantiles_of_prices",
          "AG20_bdeu", "QS01_subranking_loss", "QO04_abs_wmw_ranks", "QU16_squared_hellinger", "QN20_bayesian_score", "QN21_prop_score_wracc", "QC06_correlation_p", "QR05_cooks_distance", "SR02_roc_beam", "TK03_bounded_beam",
          "PP01_minimum_improvement", "PP04_pattern_team", "PP06_roc_hull", "PP09_threshold_areas", "VA05_result_p_values", "IO05_fields", "IO16_knowledge", "WN07_score_order", "ST01_windowed_qualities"]
 
