@@ -62,9 +62,9 @@ SMALL, IN_RANGE = 20_000, 100_000
 MOST_RANGES = 10_000
 
 
-def range_cuts(df: DataFrame, x: Column, rows: int) -> list[float]:
-    """Cut points of about equal ranges; their number grows with the rows."""
-    buckets = min(max(256, rows // IN_RANGE), MOST_RANGES)
+def range_cuts(df: DataFrame, x: Column, rows: int, buckets: int | None = None) -> list[float]:
+    """Cut points of about equal ranges; their number grows with the rows unless it is given."""
+    buckets = buckets or min(max(256, rows // IN_RANGE), MOST_RANGES)
     return sorted(set(df.agg(F.percentile_approx(x, [i / buckets for i in range(1, buckets)], max(10_000, 4 * buckets))).first()[0] or []))
 
 
@@ -251,10 +251,10 @@ def trapezoid(df: DataFrame, x: str, y: str) -> Column:
     return (F.col(x) - F.lag(x).over(w)) * (F.col(y) + F.lag(y).over(w)) / 2
 
 
-def score_order(df: DataFrame, score: str, key: str, name: str = "place") -> DataFrame:
+def score_order(df: DataFrame, score: str, key: str, name: str = "place", buckets: int | None = None) -> DataFrame:
     """Place of every row from 1 by falling score (missing ones last), equals by key: in ranges of the score, with offsets, so that no task gets all rows."""
     x = F.col(score).cast("double")
-    parted = df.withColumn("__b", F.when(x.isNull(), -1).otherwise(range_of(x, range_cuts(df, x, df.count()))))
+    parted = df.withColumn("__b", F.when(x.isNull(), -1).otherwise(range_of(x, range_cuts(df, x, df.count(), buckets))))
     sizes = parted.groupBy("__b").count()
     offsets = sizes.select("__b", F.coalesce(F.sum("count").over(Window.orderBy(F.desc("__b")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
     inside = F.row_number().over(Window.partitionBy("__b").orderBy(F.desc(score), key))
