@@ -1,15 +1,19 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-A linear model over the presence of words is trained in numpy from confirmed
+A linear model over the presence of features is trained in numpy from confirmed
 toxic texts (P) and unlabelled texts (U) with the risk estimator
 
     pi * E_P[l(g)] + max(0, E_U[l(-g)] - pi * E_P[l(-g)]),   l(z) = log(1 + e^-z)
 
 where pi is the share of toxic texts among labelled training rows. When the
-bracket is negative the step goes against its gradient, as the method has it;
-an absolute penalty selects words, whose weights are then fitted again. The bias
-is set to the cut of least estimated error.
-Features are the ``WORDS`` most widespread words of the sample. P and U are
+bracket is negative the step goes against its gradient, as the method has it.
+Features are 64-bit hashes of whole words and of their first 4, 5 and 6 letters,
+which forms of one word share. An absolute penalty (soft thresholds after each
+step) leaves few weights, of either sign; these are fitted again under a smaller
+one. The bias is set to the cut of least estimated error.
+A feature takes part when ``LEAST_SHARE`` of P or of U has it (and ``LEAST_TEXTS``
+texts at least): below, the penalty keeps its weight at 0 anyway. So there are at
+most 2 / LEAST_SHARE times as many as a text has on average. P and U are
 bounded samples (SAMPLE_P, SAMPLE_U texts in expectation) of rows whose
 crc32(doc_id) leaves no 0 by 5; labels are used for nothing else.
 
@@ -26,13 +30,14 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import held_out, lean, small_batches, table, text_chunks, text_or_empty
+from sieveline.llm.common import held_out, lean, slices, small_batches, table, text_chunks, text_or_empty
 
-SAMPLE_P, SAMPLE_U, WORDS, LEAST_TEXTS = 2000, 6000, 4096, 6
-EPOCHS, BATCH_P, BATCH_U, RATE, DECAY, KEPT_WEIGHT, FINAL_STEPS, SEED = 40, 256, 768, 0.05, 1.5e-3, 0.3, 200, 3
+SAMPLE_P, SAMPLE_U, LEAST_SHARE, LEAST_TEXTS, OPENINGS = 2000, 6000, 0.02, 3, (4, 5, 6)
+EPOCHS, BATCH_P, BATCH_U, RATE, PENALTY, FINAL_STEPS, SEED = 40, 256, 768, 0.05, 1e-3, 200, 3
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -40,27 +45,90 @@ def words_of(text: str) -> set[str]:
     return set(_WORD.findall(text.lower()))
 
 
+def features_of(word: str) -> list[int]:
+    """Hashes of a word and of its openings, as signed 64-bit integers."""
+    found = [xxhash.xxh3_64_intdigest(word.encode())]
+    found += [xxhash.xxh3_64_intdigest(word[:n].encode(), seed=n) for n in OPENINGS if len(word) > n]
+    return [h - (1 << 64) if h >> 63 else h for h in found]
+
+
+class _Places(dict):
+    """The places of a word's features in an index, remembered; emptied when it holds too many words."""
+
+    LIMIT = 200_000
+
+    def __init__(self, index: dict[int, int]):
+        self.index_of_hash = index
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        if len(self) >= self.LIMIT:
+            self.clear()
+        own = self[word] = tuple(i for i in map(self.index_of_hash.get, features_of(word)) if i is not None)
+        return own
+
+    def of(self, words: set[str]) -> np.ndarray:
+        """Sorted distinct places of all features of a text."""
+        out: set[int] = set()
+        for word in words:
+            own = self[word]
+            if own:
+                out.update(own)
+        return np.array(sorted(out), np.int64)
+
+
 class PULinear:
-    def __init__(self, words: list[str], weights: np.ndarray, bias: float):
-        self.index = {w: i for i, w in enumerate(words)}
-        self.weights, self.bias = weights, bias
+    def __init__(self, hashes: list[int], weights: np.ndarray, bias: float):
+        kept = np.flatnonzero(weights)
+        self.index = {hashes[j]: i for i, j in enumerate(kept)}
+        self.weights, self.bias = weights[kept], bias
 
     def scores(self, texts: list[str]) -> np.ndarray:
-        get, w = self.index.get, self.weights
-        out = np.empty(len(texts))
-        for i, text in enumerate(texts):
-            own = sorted(j for j in map(get, words_of(text)) if j is not None)
-            out[i] = w[own].sum() + self.bias
+        places = _Places(self.index)
+        out = np.array([self.weights[places.of(words_of(text))].sum() for text in texts]) + self.bias
         return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
 
 
-def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs: int = EPOCHS, seed: int = SEED) -> tuple[np.ndarray, float]:
-    """Weights and bias from two 0/1 matrices (texts, words): a sparse pass, then one over the words it kept, nearly without penalty."""
-    first, _ = _descend(positive, unlabelled, prior, epochs, DECAY, seed, BATCH_P, BATCH_U)
-    kept = np.flatnonzero(first >= KEPT_WEIGHT)
-    weights = np.zeros(positive.shape[1])
-    weights[kept], bias = _descend(positive[:, kept], unlabelled[:, kept], prior, FINAL_STEPS, DECAY / 50, seed, len(positive), len(unlabelled))
-    return weights, bias - _threshold(positive[:, kept] @ weights[kept] + bias, unlabelled[:, kept] @ weights[kept] + bias, prior)
+class Presence:
+    """Texts as lists of the places of their features: row ``i`` is ``places[start[i]:start[i + 1]]``."""
+
+    def __init__(self, rows: list[np.ndarray], width: int):
+        self.width, self.start = width, slices(np.array([len(r) for r in rows], np.int64))
+        self.places = np.concatenate(rows).astype(np.int64) if rows else np.empty(0, np.int64)
+
+    @classmethod
+    def of(cls, matrix: np.ndarray) -> Presence:
+        return cls([np.flatnonzero(r) for r in matrix], matrix.shape[1])
+
+    def __len__(self) -> int:
+        return len(self.start) - 1
+
+    def take(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(position in ``rows``, place) of all their features."""
+        sizes = self.start[rows + 1] - self.start[rows]
+        ends = np.cumsum(sizes)
+        return np.repeat(np.arange(len(rows)), sizes), self.places[np.repeat(self.start[rows] - ends + sizes, sizes) + np.arange(sizes.sum())]
+
+    def only(self, kept: np.ndarray) -> Presence:
+        """The same texts with these features alone."""
+        at = np.full(self.width, -1, np.int64)
+        at[kept] = np.arange(len(kept))
+        places, row = at[self.places], np.repeat(np.arange(len(self)), np.diff(self.start))
+        out = Presence([], len(kept))
+        out.places, out.start = places[places >= 0], slices(np.bincount(row[places >= 0], minlength=len(self)))
+        return out
+
+    def sums(self, weights: np.ndarray) -> np.ndarray:
+        row, place = self.take(np.arange(len(self)))
+        return np.bincount(row, weights[place], len(self))
+
+
+def train(positive: Presence, unlabelled: Presence, prior: float, epochs: int = EPOCHS, seed: int = SEED) -> tuple[np.ndarray, float]:
+    """Weights and bias: a sparse pass, then one over the features it kept, under a fifth of the penalty."""
+    first, _ = _descend(positive, unlabelled, prior, epochs, PENALTY, seed, BATCH_P, BATCH_U)
+    kept = np.flatnonzero(first)
+    p, u, weights = positive.only(kept), unlabelled.only(kept), np.zeros(positive.width)
+    weights[kept], bias = _descend(p, u, prior, FINAL_STEPS, PENALTY / 5, seed, len(p), len(u))
+    return weights, bias - _threshold(p.sums(weights[kept]) + bias, u.sums(weights[kept]) + bias, prior)
 
 
 def _threshold(p: np.ndarray, u: np.ndarray, prior: float) -> float:
@@ -73,28 +141,29 @@ def _threshold(p: np.ndarray, u: np.ndarray, prior: float) -> float:
     return float(cuts[np.flatnonzero(risk <= risk.min() + 1e-12)[-1]])
 
 
-def _descend(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs: int, decay: float, seed: int, batch_p: int, batch_u: int) -> tuple[np.ndarray, float]:
+def _descend(positive: Presence, unlabelled: Presence, prior: float, epochs: int, penalty: float, seed: int, batch_p: int, batch_u: int) -> tuple[np.ndarray, float]:
     rng = np.random.default_rng(seed)
-    n = positive.shape[1]
+    n = positive.width
     theta, m, s = np.zeros(n + 1), np.zeros(n + 1), np.zeros(n + 1)
     theta[n] = -2.0
     step, steps = 0, epochs * max(1, -(-len(unlabelled) // batch_u))
     for _ in range(epochs):
         order = rng.permutation(len(unlabelled))
         for i in range(0, len(order), batch_u):
-            u = unlabelled[order[i : i + batch_u]].astype(np.float32)
-            p = positive[rng.integers(0, len(positive), batch_p) if batch_p < len(positive) else slice(None)].astype(np.float32)
-            gp, gu = (x @ theta[:n].astype(np.float32) + theta[n] for x in (p, u))
+            picked = (rng.integers(0, len(positive), batch_p) if batch_p < len(positive) else np.arange(len(positive)), order[i : i + batch_u])
+            (rp, cp), (ru, cu) = positive.take(picked[0]), unlabelled.take(picked[1])
+            gp, gu = (np.bincount(r, theta[c], len(x)) + theta[n] for r, c, x in zip((rp, ru), (cp, cu), picked))
             sp, su = (1 / (1 + np.exp(-np.clip(g, -30, 30))) for g in (gp, gu))
             negative = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
-            mean = lambda x, k: np.append(k @ x, k.sum()) / len(k)
-            rest = mean(u, su) - prior * mean(p, sp)
-            grad = prior * mean(p, sp - 1) + rest if negative >= 0 else -rest
-            grad[:n] += decay * np.sign(theta[:n])
+            mean = lambda r, c, k: np.append(np.bincount(c, k[r], n), k.sum()) / len(k)
+            rest = mean(ru, cu, su) - prior * mean(rp, cp, sp)
+            grad = prior * mean(rp, cp, sp - 1) + rest if negative >= 0 else -rest
             step += 1
             m += 0.1 * (grad - m)
             s += 0.01 * (grad * grad - s)
-            theta -= RATE * (1 - step / (steps + 1)) * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-6)
+            rate = RATE * (1 - step / (steps + 1)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-3)
+            theta -= rate * m / (1 - 0.9**step)
+            theta[:n] = np.sign(theta[:n]) * np.maximum(0, np.abs(theta[:n]) - rate[:n] * penalty)
     return theta[:n].copy(), float(theta[n])
 
 
@@ -113,28 +182,30 @@ def fit(documents: DataFrame, labels: DataFrame) -> PULinear | None:
     @lean
     def tokens(batches):
         for batch, texts in text_chunks(batches):
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.string()), batch.column("p"), pa.array([sorted(words_of(t)) for t in texts], pa.list_(pa.string()))], names=["id", "p", "words"])
+            hashes = [sorted({h for w in words_of(t) for h in features_of(w)}) for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.string()), batch.column("p"), pa.array(hashes, pa.list_(pa.int64()))], names=["id", "p", "features"])
 
-    sample = p.withColumn("p", F.lit(1)).union(u.withColumn("p", F.lit(0))).mapInArrow(tokens, "id string, p int, words array<string>")
-    kept = sample.select(F.explode("words").alias("w")).groupBy("w").count().where(F.col("count") >= LEAST_TEXTS).orderBy(F.desc("count"), "w").limit(WORDS)
-    words = [r[0] for r in kept.collect()]
-    index = {w: i for i, w in enumerate(words)}
+    sample = p.withColumn("p", F.lit(1)).union(u.withColumn("p", F.lit(0))).mapInArrow(tokens, "id string, p int, features array<long>")
+    n_p, n_u = sample.agg(F.count_if(F.col("p") == 1), F.count_if(F.col("p") == 0)).first()
+    if not n_p or not n_u:
+        return None
+    counts = sample.select("p", F.explode("features").alias("h")).groupBy("h").agg(F.count_if(F.col("p") == 1).alias("np"), F.count_if(F.col("p") == 0).alias("nu"))
+    enough = (F.col("np") >= max(LEAST_TEXTS, LEAST_SHARE * n_p)) | (F.col("nu") >= max(LEAST_TEXTS, LEAST_SHARE * n_u))
+    hashes = sorted(r[0] for r in counts.where(enough).select("h").collect())
+    known = np.array(hashes, np.int64)
 
     @lean
     def positions(batches):
         for batch in batches:
-            own = [sorted(index[w] for w in ws if w in index) for ws in batch.column("words").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("p"), pa.array([np.array(x, np.uint16).tobytes() for x in own], pa.binary())], names=["id", "p", "at"])
+            own = [np.flatnonzero(np.isin(known, np.array(x, np.int64))).astype(np.uint32).tobytes() for x in batch.column("features").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("p"), pa.array(own, pa.binary())], names=["id", "p", "at"])
 
     placed = sample.mapInArrow(positions, "id string, p int, at binary").orderBy(F.desc("p"), F.xxhash64("at", "id"), "at", "id").limit(2 * (SAMPLE_P + SAMPLE_U))
     found = sorted((r[1], r[0] or "", bytes(r[2])) for r in placed.collect())
-    matrix = np.zeros((len(found), len(words)), np.uint8)
-    for i, (_, _, at) in enumerate(found):
-        matrix[i, np.frombuffer(at, np.uint16)] = 1
-    is_p = np.array([x[0] == 1 for x in found], bool)
-    if not is_p.any() or is_p.all():
+    split = {kind: Presence([np.frombuffer(at, np.uint32) for k, _, at in found if k == kind], len(hashes)) for kind in (0, 1)}
+    if not len(split[0]) or not len(split[1]):
         return None
-    return PULinear(words, *train(matrix[is_p], matrix[~is_p], prior))
+    return PULinear(hashes, *train(split[1], split[0], prior))
 
 
 def score(documents: DataFrame, model: PULinear | None) -> DataFrame:

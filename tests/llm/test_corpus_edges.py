@@ -123,7 +123,7 @@ def test_pu_steps_match_a_plain_version():
         bracket = lambda t: loss(-g(u, t)).mean() - prior * loss(-g(p, t)).mean()
         risk = (lambda t: prior * loss(g(p, t)).mean() + bracket(t)) if bracket(theta) >= 0 else (lambda t: -bracket(t))
         grad = np.array([(risk(theta + e) - risk(theta - e)) / 2e-6 for e in np.eye(4) * 1e-6])
-        weights, bias = toxicity._descend(p, u, prior, 1, 0.0, 0, len(p), len(u))
+        weights, bias = toxicity._descend(toxicity.Presence.of(p), toxicity.Presence.of(u), prior, 1, 0.0, 0, len(p), len(u))
         moved = np.append(weights, bias) - theta
         keep = np.abs(grad) > 1e-6
         assert (np.sign(moved[keep]) == -np.sign(grad[keep])).all() and np.abs(moved[~keep]).max(initial=0) < 0.05
@@ -132,6 +132,23 @@ def test_pu_steps_match_a_plain_version():
     assert risks[cut] == min(risks.values())
 
 
+def test_pu_weights_of_either_sign_and_areas_under_the_curve():
+    """Presence lists give a matrix's sums; words that speak for and against the label get weights of their sign."""
+    rng = np.random.default_rng(8)
+    dense = rng.integers(0, 2, (30, 7))
+    rows, w = toxicity.Presence.of(dense), rng.normal(size=7)
+    assert np.allclose(rows.sums(w), dense @ w) and np.allclose(rows.only(np.array([1, 4])).sums(w[:2]), dense[:, [1, 4]] @ w[:2])
+    row, place = rows.take(np.array([3, 3, 0]))
+    assert [place[row == i].tolist() for i in range(3)] == [np.flatnonzero(dense[i]).tolist() for i in (3, 3, 0)]
+    toxic = rng.random(3000) < 0.3
+    seen = np.stack([rng.random(3000) < np.where(toxic, a, b) for a, b in ((0.7, 0.05), (0.05, 0.6), (0.4, 0.4))], 1).astype(int)
+    weights, bias = toxicity.train(toxicity.Presence.of(seen[:1500][toxic[:1500]]), toxicity.Presence.of(seen[:1500]), 0.3)
+    assert weights[0] > 0.5 and weights[1] < -0.5 and abs(weights[2]) < min(weights[0], -weights[1])
+    g = seen[1500:] @ weights + bias
+    pos, neg = g[toxic[1500:]], g[~toxic[1500:]]
+    assert np.mean((pos[:, None] > neg) + 0.5 * (pos[:, None] == neg)) > 0.9 and np.mean((g >= 0) == toxic[1500:]) > 0.85
+
+
 def test_attribution_matches_a_count_of_characters():
     rng = random.Random(8)
     encoding, sizes = token_counts.encoder(token_counts.VOCABULARY)
