@@ -13,6 +13,7 @@ from sieveline import model
 from sieveline.functions import kernels
 from sieveline.model import Target
 from sieveline.operators import refine, tables
+from sieveline.operators.patterns import Patterns, pattern_counts  # noqa: F401
 
 
 def without_weak_specialisations(results: list[dict], least: float) -> list[dict]:
@@ -20,37 +21,24 @@ def without_weak_specialisations(results: list[dict], least: float) -> list[dict
     return [r for r in results if not any(model.specialises(r["conditions"], o["conditions"]) and r["quality"] - o["quality"] <= least for o in results)]
 
 
-def pattern_counts(df: DataFrame, subgroups: list[tuple]) -> DataFrame:
-    """(mask array<boolean>, n): rows by which subgroups cover them; at most one row for each distinct pattern."""
-    return df.select(F.array(*(model.conjunction(c) for c in subgroups)).alias("mask")).groupBy("mask").agg(F.count(F.lit(1)).alias("n"))
-
-
-def masks(df: DataFrame, subgroups: list[tuple], bound: int = 1_000_000) -> tuple[np.ndarray, np.ndarray]:
-    """Patterns and their counts on the driver; more than ``bound`` patterns are an error."""
-    rows = pattern_counts(df, subgroups).limit(bound + 1).collect()
-    if len(rows) > bound:
-        raise ValueError(f"more than {bound} cover patterns: choose fewer subgroups")
-    return np.array([r[0] for r in rows], bool).reshape(len(rows), len(subgroups)), np.array([r[1] for r in rows], np.int64)
-
-
 def cover_choice(df: DataFrame, rows: list[dict], k: int, alpha: float = 0.9, others: float = -math.inf) -> tuple[list[int], bool]:
     """Greedy choice of k: a subgroup's quality times the mean of alpha^(times its rows are covered already).
 
     Returns indices, and whether no subgroup with a quality of ``others`` or less would have been chosen before one of them.
+    Subgroups without rows weigh nothing. Of equals the first is chosen.
     """
     if not rows:
         return [], True
-    cover, n = masks(df, [r["conditions"] for r in rows])
-    times, left, chosen = np.zeros(len(n)), list(range(len(rows))), []
-    size = np.maximum(n @ cover, 1)
-    while left and len(chosen) < k:
-        weight = ((alpha**times * n) @ cover) / size
-        best = max(left, key=lambda i: (rows[i]["quality"] * weight[i], -i))
-        if rows[best]["quality"] * weight[best] < others:
-            return chosen, False
-        chosen.append(best)
-        left.remove(best)
-        times += cover[:, best]
+    with Patterns(df, [r["conditions"] for r in rows]) as patterns:
+        left, chosen = list(range(len(rows))), []
+        while left and len(chosen) < k:
+            covered = patterns.by_times(chosen)
+            weight = covered @ alpha ** np.arange(covered.shape[1]) / np.maximum(covered.sum(1), 1)
+            best = max(left, key=lambda i: (rows[i]["quality"] * weight[i], -i))
+            if rows[best]["quality"] * weight[best] < others:
+                return chosen, False
+            chosen.append(best)
+            left.remove(best)
     return chosen, len(chosen) == k or others == -math.inf
 
 
@@ -58,48 +46,43 @@ def cover_based(df: DataFrame, rows: list[dict], k: int, alpha: float = 0.9) ->
     return [rows[i] for i in cover_choice(df, rows, k, alpha)[0]]
 
 
-def entropy(counts: np.ndarray) -> float:
-    p = counts[counts > 0] / counts.sum()
-    return float(-(p * np.log2(p)).sum())
-
-
-def joint_entropy(cover: np.ndarray, n: np.ndarray, columns: list[int]) -> float:
-    _, where = np.unique(cover[:, columns], axis=0, return_inverse=True)
-    return entropy(np.bincount(where.ravel(), weights=n))
-
-
 def pattern_team(df: DataFrame, results: list[dict], k: int) -> list[int]:
-    """Indices of a greedy choice of k subgroups with the greatest joint entropy."""
-    cover, n = masks(df, [r["conditions"] for r in results])
+    """Indices of a greedy choice of k subgroups with the greatest joint entropy; of equals the first."""
     team: list[int] = []
-    while len(team) < min(k, len(results)):
-        team.append(max((i for i in range(len(results)) if i not in team), key=lambda i: (joint_entropy(cover, n, [*team, i]), -i)))
+    if not results:
+        return team
+    with Patterns(df, [r["conditions"] for r in results]) as patterns:
+        while len(team) < min(k, len(results)):
+            h = patterns.entropies(team)
+            team.append(max((i for i in range(len(results)) if i not in team), key=lambda i: (h[i], -i)))
     return team
 
 
-def correlations(cover: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Phi correlations of covers; 0 where one is constant."""
-    total = n.sum()
-    p = (n @ cover) / total
-    both = (cover * n[:, None]).T @ cover / total
+def correlations(both: np.ndarray, size: np.ndarray, team: list[int], total: int) -> np.ndarray:
+    """Phi correlations of covers with those of a team, from numbers of rows; 0 where one is constant."""
+    p = size / total
     sd = np.sqrt(p * (1 - p))
     with np.errstate(divide="ignore", invalid="ignore"):
-        r = (both - np.outer(p, p)) / np.outer(sd, sd)
+        r = (both / total - np.outer(p, p[team])) / np.outer(sd, sd[team])
     return np.where(np.isfinite(r), r, 0.0)
 
 
 def group_by_team(df: DataFrame, results: list[dict], team: list[int]) -> list[int]:
     """For each result the team member whose cover correlates most with its own (absolute value)."""
-    r = np.abs(correlations(*masks(df, [x["conditions"] for x in results])))
-    return [team[int(np.argmax(r[i, team]))] for i in range(len(results))]
+    if not results:
+        return []
+    with Patterns(df, [x["conditions"] for x in results]) as patterns:
+        r = np.abs(correlations(patterns.together(team), patterns.by_times([])[:, 0], team, patterns.rows()))
+    return [team[int(np.argmax(x))] for x in r]
 
 
 def cover_redundancy(df: DataFrame, results: list[dict]) -> tuple[float, float]:
     """(mean over rows of |times covered - mean| / mean, joint entropy)."""
-    cover, n = masks(df, [r["conditions"] for r in results])
-    times = cover.sum(axis=1)
+    with Patterns(df, [r["conditions"] for r in results]) as patterns:
+        n, h = patterns.times(), patterns.entropy()
+    times = np.arange(len(n))
     mean = (times * n).sum() / n.sum()
-    return float((np.abs(times - mean) * n).sum() / n.sum() / mean), joint_entropy(cover, n, list(range(len(results))))
+    return float((np.abs(times - mean) * n).sum() / n.sum() / mean), h
 
 
 def roc_hull(points: list[tuple[float, float]]) -> list[tuple[float, float]]:

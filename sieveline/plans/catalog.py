@@ -153,8 +153,7 @@ _add("AG19_binary_selection", lambda s, d: _li(s, d).select("l_orderkey", *(mode
 
 
 def _network_counts(s: SparkSession, d: str) -> dict[int, int]:
-    cover, n = post.masks(_li(s, d), _TEAM)
-    return {int(sum(int(b) << i for i, b in enumerate(row))): int(c) for row, c in zip(cover, n)}
+    return {sum(int(b) << i for i, b in enumerate(mask)): n for mask, n in post.pattern_counts(_li(s, d), _TEAM).collect()}
 
 
 _FAMILIES = ((0, ()), (1, (0,)), (3, (2,)))
@@ -428,6 +427,16 @@ _add("PP04_pattern_team", lambda s, d: s.createDataFrame([(i, x) for i, x in enu
      _TEAM_CTE + " select 0 as place, i as subgroup from f3 union all select 1, j from f3 union all select 2, k from f3")
 _add("PP05_grouping", lambda s, d: s.createDataFrame(list(enumerate(post.group_by_team(_li(s, d), _RES, [0, 2]))), "subgroup int, member int"),
      f"with b as (select {_BITS} from lineitem) " + " union all ".join(f"select {i} as subgroup, case when abs(coalesce(corr(b{i}::int, b0::int), 0)) >= abs(coalesce(corr(b{i}::int, b2::int), 0)) then 0 else 2 end as member from b" for i in range(5)))
+_RATED = [r | {"quality": q} for r, q in zip(_RES, (0.30, 0.32, 0.29, 0.31, 0.28))]
+_CHOICE_CTE = f"with b as (select [{', '.join(f'b{i}::int' for i in range(5))}] as l from (select {_BITS} from lineitem)), q(i, quality) as (values (0, 0.30::double), (1, 0.32), (2, 0.29), (3, 0.31), (4, 0.28)), c1 as (select i as a1 from q order by quality desc, i limit 1)"
+for _k in (2, 3):
+    _held, _next = ", ".join(f"a{i}" for i in range(1, _k)), f"a{_k}"
+    _weight = f"power(0.9, {' + '.join(f'l[a{i} + 1]' for i in range(1, _k))})"
+    _CHOICE_CTE += f", c{_k} as (select {_held}, i as {_next} from (select {_held}, i, quality * sum({_weight} * l[i + 1]) / greatest(sum(l[i + 1]), 1) as v from b, q, c{_k - 1} where i not in ({_held}) group by {_held}, i, quality) order by v desc, i limit 1)"
+_add("PP03_cover_choice", lambda s, d: s.createDataFrame(list(enumerate(post.cover_choice(_li(s, d), _RATED, 3)[0])), "place int, subgroup int"),
+     _CHOICE_CTE + " select 0 as place, a1 as subgroup from c3 union all select 1, a2 from c3 union all select 2, a3 from c3")
+_add("PP04_cover_redundancy", lambda s, d: (lambda x: s.createDataFrame([(round(x[0], 6), round(x[1], 6))], "redundancy double, entropy double"))(post.cover_redundancy(_li(s, d), _RES)),
+     f"with b as (select {_BITS} from lineitem), t as (select {' + '.join(f'b{i}::int' for i in range(5))} as t from b), h as (select {_ENTROPY(*range(5))} as h) select round(avg(abs(t - m)) / any_value(m), 6) + 0.0 as redundancy, round(any_value(h), 6) + 0.0 as entropy from t, (select avg(t) as m from t), h")
 _add("PP06_roc_points", lambda s, d: (lambda x: s.createDataFrame([(round(a, 6), round(b, 6)) for a, b in post.roc(x[1], float(x[0].count()), float(x[0].where(F.col("l_returnflag") == "R").count()))[0]], "fpr double, tpr double"))(_results(s, d, depth=1, max_results=0)),
      f"select round((coverage - tertiary) / (N - H), 6) + 0.0 as fpr, round(tertiary / H, 6) + 0.0 as tpr from ({_conjunctions(False)}), (select count(*)::double as N, count(*) filter (l_returnflag = 'R')::double as H from lineitem)")
 _add("PP06_roc_hull", lambda s, d: (lambda x: s.createDataFrame([(round(post.roc(x[1], float(x[0].count()), float(x[0].where(F.col("l_returnflag") == "R").count()))[1], 6),)], "area double"))(_results(s, d, depth=1, max_results=0)),
