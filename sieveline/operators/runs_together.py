@@ -21,9 +21,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sieveline.functions import measures
-from sieveline.model import EQUALS, NOMINAL, NUMERIC, Condition, Conditions, Settings, Target
-from sieveline.operators import cover_index, refine, tables
-from sieveline.operators.search import MOST_CARRIED, SubgroupDiscovery
+from sieveline.model import EQUALS, NOMINAL, NUMERIC, RESULT_SCHEMA, Condition, Conditions, Settings, Target
+from sieveline.operators import cover_index, post, refine, tables
+from sieveline.operators.search import MOST_CARRIED, SubgroupDiscovery, result_rows
 from sieveline.operators.stats import Statistics, positive
 
 #: The attribute of the condition by which a candidate belongs to a run; it is evaluated by no row.
@@ -205,3 +205,40 @@ def of_permutations(df: DataFrame, target: Target, repeats: int, seed: int) -> t
         return None, np.stack([permutation(places, n, seed + i) < h for i in range(repeats)])
 
     return rows, Runs([(n, h)] * repeats, F.col(name), (name,), label)
+
+
+def of_thresholds(rows: int, column: str, found: list[tuple[float, int]]) -> Runs:
+    """Run i has the rows whose number is at least the i-th threshold as its positives; ``found`` gives their count."""
+    cuts = np.array([t for t, _ in found], float)
+
+    def label(keys, hits):
+        return None, keys.to_numpy(zero_copy_only=False)[None] >= cuts[:, None]
+
+    return Runs([(rows, h) for _, h in found], F.col(column), (column,), label)
+
+
+#: Thresholds that are searched together; their results are gated and ranked threshold by threshold.
+THRESHOLDS = 256
+
+
+def threshold_searches(df: DataFrame, column: str, settings: Settings, together: int = THRESHOLDS) -> DataFrame:
+    """A search of its own for the target ``column >= threshold`` at every distinct number but the least: threshold, the
+    columns of a result list, whether a result is a corner of the ROC hull of its threshold, and the area under that hull.
+
+    Rows without a number take no part. Thresholds come in groups of ``together``, each one search over the table, so
+    that no round carries the candidates of all; the driver holds the list of results, as of any search. Thresholds without results have no rows; a column of fewer than two
+    numbers has no threshold.
+    """
+    spark, value, mark = df.sparkSession, "__value", "__positive"
+    x = F.col(f"`{column}`").cast("double")
+    rows = tables.materialised(df.where(x.isNotNull() & ~F.isnan(x)).withColumns({value: x, mark: F.lit("1")}).drop(column))
+    n, parts = rows.count(), []
+    run = tables.running(tables.counted(rows, value), "v", ["n"], ascending=False)
+    thresholds = tables.materialised(run.where(F.col("run_n") < n).select(F.col("v").alias("t"), F.col("run_n").cast("long").alias("h")))
+    target, last = Target("single_nominal", (mark,), "1"), float("-inf")
+    while found := [(r["t"], r["h"]) for r in thresholds.where(F.col("t") > last).orderBy("t").limit(together).collect()]:
+        last = found[-1][0]
+        for (t, h), own in zip(found, SearchTogether(rows, target, settings, of_thresholds(n, value, found)).run_all()):
+            points, area = post.roc(own, float(n), float(h))
+            parts += [(t, *r, corner, area) for r, corner in zip(result_rows(own), post.on_roc_hull(points))]
+    return spark.createDataFrame(parts, f"threshold double, {RESULT_SCHEMA}, on_hull boolean, area double")

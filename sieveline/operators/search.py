@@ -373,10 +373,13 @@ class SubgroupDiscovery:
         return as_table(spark or self.df.sparkSession, self.run() if results is None else results)
 
 
+def result_rows(results: list[dict]) -> list[tuple]:
+    """The eight columns of a result list, by row."""
+    return [(i, r["depth"], int(r["coverage"]), float(r["quality"]), *((None if r[k] is None else float(r[k])) for k in ("secondary", "tertiary", "p_value")), model.text_of(r["conditions"])) for i, r in enumerate(results, 1)]
+
+
 def as_table(spark: SparkSession, results: list[dict]) -> DataFrame:
-    """The eight columns of a result list."""
-    rows = [(i, r["depth"], int(r["coverage"]), float(r["quality"]), *((None if r[k] is None else float(r[k])) for k in ("secondary", "tertiary", "p_value")), model.text_of(r["conditions"])) for i, r in enumerate(results, 1)]
-    return spark.createDataFrame(rows, model.RESULT_SCHEMA)
+    return spark.createDataFrame(result_rows(results), model.RESULT_SCHEMA)
 
 
 def discover(df: DataFrame, target: Target, settings: Settings, **kw) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from sieveline import model
 from sieveline.functions import kernels, measures
 from sieveline.model import Condition, Settings, Target
-from sieveline.operators import cover_index, post, rank_agreement, refine, tables, validation
+from sieveline.operators import cover_index, post, rank_agreement, refine, runs_together, tables, validation
 from sieveline.operators.search import SubgroupDiscovery, as_table, discover, per_target_value
 from sieveline.operators.stats import statistics
 from sieveline.plans import measures_catalog as mc
@@ -450,6 +450,17 @@ _SWEEP = "with v as (select 0 as subgroup, l_quantity as v from lineitem where l
 _add("PP09_threshold_sweep", lambda s, d: post.threshold_points(_li(s, d), Q, _LINES).select("threshold", "subgroup", _r("fpr").alias("fpr"), _r("tpr").alias("tpr")), _SWEEP + " select threshold, subgroup, round(fpr, 6) + 0.0 as fpr, round(tpr, 6) + 0.0 as tpr from p")
 _add("PP09_threshold_areas", lambda s, d: post.threshold_areas(_li(s, d), Q, _LINES).select("threshold", _r("area").alias("area")),
      _SWEEP + ", q as (select threshold, fpr as x, tpr as y from p union select threshold, 0.0::double, 0.0::double from t union select threshold, 1.0::double, 1.0::double from t), hull as (select distinct threshold, x, y from q p where not exists (select 1 from q a, q b where a.threshold = p.threshold and b.threshold = p.threshold and a.x < p.x and b.x > p.x and p.y <= a.y + (b.y - a.y) * (p.x - a.x) / (b.x - a.x) + 1e-12) and not exists (select 1 from q where q.threshold = p.threshold and q.x = p.x and q.y > p.y)) select threshold, round(sum((x - lx) * (y + ly) / 2), 6) + 0.0 as area from (select *, lag(x) over (partition by threshold order by x) as lx, lag(y) over (partition by threshold order by x) as ly from hull) group by threshold")
+_SEARCHES = "with c as (select 'l_linestatus = ''' || l_linestatus || '''' as conditions, l_quantity as v from lineitem union all select 'line = ''n' || l_linenumber || '''', l_quantity from lineitem), t as (select distinct l_quantity as threshold from lineitem where l_quantity > (select min(l_quantity) from lineitem)), w as (select threshold, count(*)::double as N, count(*) filter (l_quantity >= threshold)::double as H from lineitem, t group by 1), r as (select conditions, threshold, count(*)::double as B, count(*) filter (v >= threshold)::double as HB from c, t group by all)"
+
+
+def _heavy_sweep(s: SparkSession, d: str) -> DataFrame:
+    df = _li(s, d).select("l_linestatus", F.concat(F.lit("n"), F.col("l_linenumber").cast("string")).alias("line"), Q)
+    return runs_together.threshold_searches(df, Q, Settings(measure="wracc", minimum=-1.0, max_results=0))
+
+
+_add("PP09_search_by_threshold", lambda s, d: _heavy_sweep(s, d).select("threshold", "conditions", "coverage", _r("quality", 9).alias("quality")), _SEARCHES + " select threshold, conditions, B::bigint as coverage, round(B / N * (HB / B - H / N), 9) + 0.0 as quality from r join w using (threshold)")
+_add("PP09_search_by_threshold_areas", lambda s, d: _heavy_sweep(s, d).select("threshold", _r("area").alias("area")).distinct(),
+     _SEARCHES + ", p as (select threshold, (B - HB) / (N - H) as x, HB / H as y from r join w using (threshold)), q as (select threshold, x, y from p union select threshold, 0.0::double, 0.0::double from t union select threshold, 1.0::double, 1.0::double from t), hull as (select distinct threshold, x, y from q p where not exists (select 1 from q a, q b where a.threshold = p.threshold and b.threshold = p.threshold and a.x < p.x and b.x > p.x and p.y <= a.y + (b.y - a.y) * (p.x - a.x) / (b.x - a.x) + 1e-12) and not exists (select 1 from q where q.threshold = p.threshold and q.x = p.x and q.y > p.y)) select threshold, round(sum((x - lx) * (y + ly) / 2), 6) + 0.0 as area from (select *, lag(x) over (partition by threshold order by x) as lx, lag(y) over (partition by threshold order by x) as ly from hull) group by threshold")
 _add("PP10_discard_members", lambda s, d: _li(s, d).where(~model.conjunction(_TEAM[0]) & ~model.conjunction(_TEAM[4])).select(*_FLAGS), _where(f"not ({_TEAM_SQL[0]}) and not ({_TEAM_SQL[4]})"))
 _add("PP11_model_data", lambda s, d: _li(s, d).withColumn("inside", F.col("l_returnflag") == "R").groupBy("inside").agg(_r(F.regr_slope(D, Q), 9).alias("slope"), _r(F.regr_intercept(D, Q), 9).alias("intercept")), "select l_returnflag = 'R' as inside, round(regr_slope(l_discount, l_quantity), 9) + 0.0 as slope, round(regr_intercept(l_discount, l_quantity), 9) + 0.0 as intercept from lineitem group by 1")
 _W = Settings(measure="wracc", minimum=-1.0)

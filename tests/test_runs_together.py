@@ -5,8 +5,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from sieveline.model import Settings, Target
-from sieveline.operators import runs_together, validation
+from sieveline.model import Settings, Target, text_of
+from sieveline.operators import post, runs_together, validation
 from sieveline.operators.search import SubgroupDiscovery, per_target_value
 
 TARGET = Target("single_nominal", ("t",), "a")
@@ -68,3 +68,22 @@ def test_permuted_targets(table):
     for i in range(3):
         alone = SubgroupDiscovery(swapped.select("n", "k", "b", f"y{i}"), Target("single_nominal", (f"y{i}",)), settings).run()
         assert found[i] == pytest.approx(alone[0]["quality"])
+
+
+@pytest.mark.parametrize("together", [256, 3])
+def test_searches_by_threshold_match_single_runs(table, together):
+    """Every threshold finds what a search for its own binary target finds, in groups of any size; corners and areas follow from its points."""
+    settings = Settings(minimum=-0.5, depth=2, width=3, max_results=6)
+    df = table.select("n", "k", "b", F.concat(F.lit("f"), "fold").alias("f"))
+    got: dict = {}
+    for r in runs_together.threshold_searches(df, "n", settings, together).collect():
+        got.setdefault(r["threshold"], []).append(r)
+    known = df.where("n is not null and not isnan(n)")
+    assert sorted(got) == sorted(r[0] for r in known.select("n").distinct().collect())[1:]
+    for t in sorted(got)[::5]:
+        rows = known.withColumn("t", F.when(F.col("n") >= t, "1").otherwise("0")).drop("n")
+        alone = SubgroupDiscovery(rows, Target("single_nominal", ("t",), "1"), settings).run()
+        assert [(r["conditions"], r["coverage"], r["quality"]) for r in got[t]] == [(text_of(x["conditions"]), x["coverage"], pytest.approx(x["quality"])) for x in alone]
+        points, area = post.roc(alone, float(rows.count()), float(rows.where("t = '1'").count()))
+        assert [r["on_hull"] for r in got[t]] == post.on_roc_hull(points) and got[t][0]["area"] == pytest.approx(area)
+    assert runs_together.threshold_searches(df.where("n = 3"), "n", settings).count() == 0
