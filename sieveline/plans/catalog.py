@@ -458,7 +458,7 @@ def _heavy_sweep(s: SparkSession, d: str) -> DataFrame:
     return runs_together.threshold_searches(df, Q, Settings(measure="wracc", minimum=-1.0, max_results=0))
 
 
-_add("PP09_search_by_threshold", lambda s, d: _heavy_sweep(s, d).select("threshold", "conditions", "coverage", _r("quality", 9).alias("quality")), _SEARCHES + " select threshold, conditions, B::bigint as coverage, round(B / N * (HB / B - H / N), 9) + 0.0 as quality from r join w using (threshold)")
+_add("PP09_search_by_threshold", lambda s, d: _heavy_sweep(s, d).select("threshold", "conditions", "coverage", _r("quality", 12).alias("quality")), _SEARCHES + " select threshold, conditions, B::bigint as coverage, round(B / N * (HB / B - H / N), 12) + 0.0 as quality from r join w using (threshold)")
 _add("PP09_search_by_threshold_areas", lambda s, d: _heavy_sweep(s, d).select("threshold", _r("area").alias("area")).distinct(),
      _SEARCHES + ", p as (select threshold, (B - HB) / (N - H) as x, HB / H as y from r join w using (threshold)), q as (select threshold, x, y from p union select threshold, 0.0::double, 0.0::double from t union select threshold, 1.0::double, 1.0::double from t), hull as (select distinct threshold, x, y from q p where not exists (select 1 from q a, q b where a.threshold = p.threshold and b.threshold = p.threshold and a.x < p.x and b.x > p.x and p.y <= a.y + (b.y - a.y) * (p.x - a.x) / (b.x - a.x) + 1e-12) and not exists (select 1 from q where q.threshold = p.threshold and q.x = p.x and q.y > p.y)) select threshold, round(sum((x - lx) * (y + ly) / 2), 6) + 0.0 as area from (select *, lag(x) over (partition by threshold order by x) as lx, lag(y) over (partition by threshold order by x) as ly from hull) group by threshold")
 _add("PP10_discard_members", lambda s, d: _li(s, d).where(~model.conjunction(_TEAM[0]) & ~model.conjunction(_TEAM[4])).select(*_FLAGS), _where(f"not ({_TEAM_SQL[0]}) and not ({_TEAM_SQL[4]})"))
