@@ -117,6 +117,19 @@ def quantiles(counts: DataFrame, value: str, count: str, shares: dict[str, float
     return found.select(*keys, *((F.col(f"lo_{k}") + (p - F.floor(p)) * (F.col(f"hi_{k}") - F.col(f"lo_{k}"))).alias(k) for k, p in place.items()))
 
 
+def base_intervals(df: DataFrame, column: str, hit: Column) -> DataFrame:
+    """(upper, n, positives) of the longest runs of neighbouring values with one share of positives: no cut inside them can be best.
+
+    Values meet the one before by their places, and runs are numbered by a running count, so that no task gets all values.
+    """
+    x = F.col(f"`{column}`").cast("double")
+    counts = df.where(x.isNotNull() & ~F.isnan(x)).groupBy(x.alias("v")).agg(F.count(F.lit(1)).cast("double").alias("b"), F.count_if(hit).cast("double").alias("hb"))
+    placed = materialised(running(counts.withColumn("one", F.lit(1)), "v", ["one"]).withColumnRenamed("run_one", "place"))
+    before = placed.select((F.col("place") + 1).alias("place"), (F.col("hb") / F.col("b")).alias("share"))
+    marked = placed.join(before, "place", "left").withColumn("new", (~F.col("share").eqNullSafe(F.col("hb") / F.col("b"))).cast("int"))
+    return running(materialised(marked), "v", ["new"]).groupBy("run_new").agg(F.max("v").alias("upper"), F.sum("b").alias("n"), F.sum("hb").alias("positives")).drop("run_new")
+
+
 def medians(df: DataFrame, column: str, keys: tuple[str, ...]) -> DataFrame:
     """(keys, median, mad): median of a column by group, and median distance from it."""
     return counted_medians(counted(df, column, keys), "v", "n", keys)

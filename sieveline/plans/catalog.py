@@ -87,7 +87,7 @@ _add("PF16_missing_mask", lambda s, d: _li(s, d).withColumn("x", F.when(F.pmod("
      "select x is null as is_missing, count(*) as n from (select case when l_orderkey % 7 <> 0 then l_tax end as x from lineitem) group by 1")
 _add("PF17_column_groups", lambda s, d: tables.without_columns_of(tables.with_columns_of(_li(s, d, "l_orderkey", Q), {"dom_a": F.col(Q) * 2, "x_b": F.col(Q) + 1}), "dom_"), "select l_orderkey, l_quantity, l_quantity + 1 as x_b from lineitem")
 _add("PF18_type_census", lambda s, d: s.createDataFrame([(k, *v) for k, v in tables.type_census(_li(s, d), {Q, "l_returnflag"}).items()], "kind string, columns int, enabled int"),
-     "select * from (values ('nominal', 2, 1), ('numeric', 8, 1), ('binary', 0, 0)) as t(kind, columns, enabled)")
+     "with k(kind) as (values ('nominal'), ('numeric'), ('binary')), c as (select column_name, case when column_type = 'BOOLEAN' then 'binary' when column_type = 'VARCHAR' then 'nominal' when column_type <> 'DATE' and column_type not like 'TIMESTAMP%' then 'numeric' end as kind from (describe select * from lineitem)) select kind, count(column_name)::int as columns, (count(*) filter (column_name in ('l_quantity', 'l_returnflag')))::int as enabled from k left join c using (kind) group by kind")
 _add("PF19_exact_sample", lambda s, d: tables.materialised(validation.sample_exactly(_li(s, d, "l_orderkey"), 100)).agg(F.count(F.lit(1)).alias("n")), "select 100::bigint as n")
 _add("PF20_value_mask", lambda s, d: s.createDataFrame([(x,) for x in tables.subset_by_mask(sorted(r[0] for r in _li(s, d, "l_returnflag").distinct().collect()), 5)], "value string"),
      "select value from (select l_returnflag as value, row_number() over (order by l_returnflag) as i from (select distinct l_returnflag from lineitem)) where i in (1, 3)")
@@ -139,8 +139,10 @@ _add("AG13_cross_table", lambda s, d: _li(s, d).groupBy("l_linestatus").agg(F.co
 _add("AG14_rate_order", lambda s, d: _li(s, d).groupBy("l_linenumber").agg((F.count_if(F.col("l_returnflag") == "R") / F.count(F.lit(1))).alias("rate")).withColumn("place", F.row_number().over(Window.orderBy(F.desc("rate"), "l_linenumber"))).select("l_linenumber", "place"),
      "select l_linenumber, row_number() over (order by rate desc, l_linenumber)::int as place from (select l_linenumber, avg((l_returnflag = 'R')::int) as rate from lineitem group by 1)")
 _EQ = "with g as (select l_discount as v, count(*)::double as b, sum((l_returnflag = 'R')::int)::double as hb from lineitem group by 1), m as (select *, (hb / b is distinct from lag(hb / b) over (order by v))::int as new from g), k as (select *, sum(new) over (order by v) as block from m)"
-_add("AG15_base_intervals", lambda s, d: (lambda g: g.withColumn("new", (~F.lag("r").over(Window.orderBy("v")).eqNullSafe(F.col("r"))).cast("int")).withColumn("block", F.sum("new").over(Window.orderBy("v"))).groupBy("block").agg(F.max("v").alias("upper"), F.sum("b").alias("n"), F.sum("hb").alias("positives")).drop("block"))(_li(s, d).groupBy(F.col(D).alias("v")).agg(F.count(F.lit(1)).cast("double").alias("b"), F.count_if(F.col("l_returnflag") == "R").cast("double").alias("hb")).withColumn("r", F.col("hb") / F.col("b"))),
+_add("AG15_base_intervals", lambda s, d: tables.base_intervals(_li(s, d), D, F.col("l_returnflag") == "R"),
      _EQ + " select max(v) as upper, sum(b) as n, sum(hb) as positives from k group by block")
+_add("AG15_base_intervals_of_prices", lambda s, d: tables.base_intervals(_li(s, d), "l_extendedprice", F.col("l_returnflag") == "R"),
+     _EQ.replace("l_discount", "l_extendedprice") + " select max(v) as upper, sum(b) as n, sum(hb) as positives from k group by block")
 _TEAM = [(_C(Q, "<=", 10.0),), (_C(Q, "<=", 20.0),), (_C(D, ">=", 0.05),), (_C("l_returnflag", "=", "R"),), (_C("l_linestatus", "=", "O"), _C("l_tax", ">=", 0.04))]
 _TEAM_SQL = ["l_quantity <= 10", "l_quantity <= 20", "l_discount >= 0.05", "l_returnflag = 'R'", "l_linestatus = 'O' and l_tax >= 0.04"]
 _BITS = ", ".join(f"({c}) as b{i}" for i, c in enumerate(_TEAM_SQL))
@@ -442,7 +444,7 @@ _add("PP06_roc_points", lambda s, d: (lambda x: s.createDataFrame([(round(a, 6),
 _add("PP06_roc_hull", lambda s, d: (lambda x: s.createDataFrame([(round(post.roc(x[1], float(x[0].count()), float(x[0].where(F.col("l_returnflag") == "R").count()))[1], 6),)], "area double"))(_results(s, d, depth=1, max_results=0)),
      f"with c as ({_conjunctions(False)}), {_POINTS}, hull as (select distinct x, y from q p where {_HULL.replace('p.x > 0 and ', '')}) select round(sum((x - lx) * (y + ly) / 2), 6) + 0.0 as area from (select x, y, lag(x) over (order by x) as lx, lag(y) over (order by x) as ly from hull)")
 _SAME = [{"conditions": c} for c in ((_C(Q, "<=", 10.0),), (_C(Q, "<=", 10.5),), (_C(D, ">=", 0.05),), (_C(Q, "<=", 10.0), _C(Q, "<=", 30.0)))]
-_add("PP07_alternatives", lambda s, d: s.createDataFrame([(min(g), x) for g in post.alternatives(_li(s, d), "l_orderkey", _SAME) for x in g], "first int, subgroup int"), "select * from (values (0, 0), (0, 1), (2, 2), (0, 3)) as t(first, subgroup)")
+_add("PP07_alternatives", lambda s, d: s.createDataFrame([(min(g), x) for g in post.alternatives(_li(s, d), "l_orderkey", _SAME) for x in g], "first int, subgroup int"), f"with b as (select l_quantity <= 10 as b0, l_quantity <= 10.5 as b1, l_discount >= 0.05 as b2, l_quantity <= 10 and l_quantity <= 30 as b3 from lineitem), p as ({' union all '.join(f'select {i} as first, {j} as subgroup from b having count(*) filter (b{i} <> b{j}) = 0' for i in range(4) for j in range(i, 4))}) select min(first)::int as first, subgroup::int as subgroup from p group by subgroup")
 _NETWORK = Target("multi_label", ("r", "o", "cheap", "taxed"))
 _add("PP08_network_rescoring", lambda s, d: (lambda df: as_table(s, post.rescored_by_networks(df, _NETWORK, SubgroupDiscovery(df, _NETWORK, Settings(measure="weed", minimum=float("-inf"), min_coverage=20)).run())).select("conditions", "coverage", _r("quality").alias("quality")))(_labels(s, d)))
 _LINES = [{"conditions": (_C("l_linestatus", "=", x),)} for x in "FO"] + [{"conditions": (_C(D, ">=", 0.05),)}]

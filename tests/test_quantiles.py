@@ -60,3 +60,25 @@ def test_range_of(spark):
     cuts = [float(i * i) for i in range(1000)]
     df = spark.createDataFrame([(x,) for x in (-1.0, 0.0, 0.5, 99.0, 100.0, 998001.0, 1e9, 480249.0)], "x double")
     assert [r[0] for r in df.select(tables.range_of(F.col("x"), cuts)).collect()] == [sum(c <= x for c in cuts) for (x,) in df.collect()]
+
+
+@pytest.mark.parametrize("small", [20_000, 10])
+def test_base_intervals_match_a_plain_scan(spark, monkeypatch, small):
+    """Runs of neighbouring values with one share of positives, by one task and by ranges of values; missing numbers take no part."""
+    monkeypatch.setattr(tables, "SMALL", small)
+    rng = np.random.default_rng(2)
+    rows = [(float(v), bool(rng.random() < 0.5)) for v in rng.integers(0, 300, 700)] + [(None, True), (float("nan"), True)]
+    seen: dict = {}
+    for v, hit in rows[:-2]:
+        n, h = seen.get(v, (0, 0))
+        seen[v] = n + 1, h + hit
+    plain: list = []
+    for v in sorted(seen):
+        n, h = seen[v]
+        if plain and plain[-1][3] == h / n:
+            plain[-1] = [v, plain[-1][1] + n, plain[-1][2] + h, h / n]
+        else:
+            plain.append([v, n, h, h / n])
+    df = spark.createDataFrame(rows, "x double, hit boolean")
+    assert sorted(tuple(r) for r in tables.base_intervals(df, "x", F.col("hit")).collect()) == [tuple(map(float, p[:3])) for p in plain]
+    assert tables.base_intervals(df.where("false"), "x", F.col("hit")).count() == 0
