@@ -77,9 +77,12 @@ class Patterns:
 
     def _numbers(self, f: Sums, width: int) -> np.ndarray:
         """Sums by place, where there is one key."""
-        found = self._added(f)
         out = np.zeros(width, np.int64)
-        for r in found.itertuples() if isinstance(found, pd.DataFrame) else found.collect():
+        if self.own is not None:
+            _, places, numbers, _ = f(*self.own)
+            out[places] = numbers
+            return out
+        for r in self._added(f).collect():
             out[r.place] = r.n
         return out
 
