@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass, field
+from decimal import ROUND_HALF_UP, Decimal
 from functools import reduce
 
 import numpy as np
@@ -154,6 +155,14 @@ class Settings:
     p_values: str = ""
     randomised: str = "swap"
     repeats: int = 100
+    #: Descriptions are ranked by qualities rounded to this many digits (None: exact ones): of those that agree the one that covers more comes first.
+    digits: int | None = None
+
+    def rank(self, quality: float) -> float:
+        """The quality that counts for a rank, rounded as Spark rounds."""
+        if self.digits is None or not math.isfinite(quality):
+            return quality
+        return float(Decimal(repr(float(quality))).quantize(Decimal(1).scaleb(-self.digits), ROUND_HALF_UP)) + 0.0
 
 
 def attribute_types(df: DataFrame, leave_out: tuple[str, ...] = ()) -> dict[str, str]:

@@ -115,7 +115,7 @@ class SubgroupDiscovery:
 
     def _finished(self, results: list[dict]) -> list[dict]:
         s = self.settings
-        out = sorted(results, key=lambda r: (-r["quality"], -r["coverage"], [c.key(self.order) for c in r["conditions"]]))
+        out = sorted(results, key=lambda r: (-s.rank(r["quality"]), -r["coverage"], [c.key(self.order) for c in r["conditions"]]))
         if s.min_improvement:
             out = post.without_weak_specialisations(out, s.min_improvement)
         out = out[: s.max_results] if s.max_results > 0 else out
@@ -197,7 +197,8 @@ class SubgroupDiscovery:
         s = self.settings
         if s.max_results <= 0 or s.min_improvement or len(self.results) < s.max_results:
             return -math.inf
-        return heapq.nlargest(s.max_results, (r["quality"] for r in self.results.values()))[-1]
+        least = heapq.nlargest(s.max_results, (r["quality"] for r in self.results.values()))[-1]
+        return least if s.digits is None else least - 10.0**-s.digits
 
     def _frontier(self, start: list[tuple]) -> None:
         """Breadth and best first: a queue of all that may be refined, taken in rounds."""
@@ -270,7 +271,8 @@ class SubgroupDiscovery:
         return model.canonical((*candidates[row["cand"]], _condition(row, self.types)), self.order)
 
     def _ranked(self) -> list:
-        return [F.col("quality").desc(), F.col("coverage").desc(), *self._tie_order()]
+        quality, digits = F.col("quality"), self.settings.digits
+        return [(quality if digits is None else F.round(quality, digits)).desc(), F.col("coverage").desc(), *self._tie_order()]
 
     def _bounded(self, rows: DataFrame, bound: int) -> list:
         """The first rows, or all of them as long as they are not too many for the driver."""
@@ -330,7 +332,7 @@ class SubgroupDiscovery:
             found = self._bounded(rows.orderBy(*ranked), s.width)
         out = [(self._own(r, candidates), r["coverage"], r["quality"]) for r in found]
         out = list({c: (c, n, q) for c, n, q in reversed(out)}.values())
-        return sorted(out, key=lambda r: (-r[2], -r[1], [c.key(self.order) for c in r[0]]))
+        return sorted(out, key=lambda r: (-s.rank(r[2]), -r[1], [c.key(self.order) for c in r[0]]))
 
     def _on_hull(self, rows: DataFrame) -> list:
         """All rows on the upper hull of their ROC points: each task keeps its own hull, the hull of these is that of all."""

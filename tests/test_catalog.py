@@ -31,3 +31,24 @@ def test_entry(spark):
 
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     assert __spark_entry__.entry(spark).count() > 0
+
+
+@pytest.fixture(scope="module")
+def ties(spark, tmp_path_factory):
+    """A line table where two line numbers agree in quality to six digits only: the one of 303 rows is below the one of 300 by 2.5e-7."""
+    rows = []
+    for line, n, hits in [(1, 300, 120), (2, 303, 121), (3, 700, 220), (4, 697, 206)]:
+        rows += [("R" if i < hits else "A", "F" if i % 11 < 1 else "O", line, 0.06 if i % 3 else 0.01) for i in range(n)]
+    folder = str(tmp_path_factory.mktemp("ties"))
+    df = spark.createDataFrame(rows, "l_returnflag string, l_linestatus string, l_linenumber int, l_tax double")
+    df.coalesce(1).toPandas().to_parquet(f"{folder}/lineitem.parquet")
+    return folder
+
+
+@pytest.mark.parametrize("name", ["TK01_bounded_results", "TK02_admission", "SR04_best_first"])
+def test_ranks_are_those_of_rounded_qualities(spark, ties, name):
+    con = duckdb.connect()
+    con.execute(f"create view lineitem as select * from '{ties}/lineitem.parquet'")
+    own = catalog.QUERIES[name](spark, ties)
+    rows = lambda x: sorted(map(repr, x))
+    assert rows(map(tuple, own.collect())) == rows(con.execute(catalog.ORACLE_SQL[name]).fetchall())
