@@ -138,6 +138,8 @@ class Settings:
     depth: int = 1
     min_coverage: int = 2
     max_coverage_share: float = 1.0
+    #: Rows that a result may cover at most, whatever their share (0: no bound).
+    max_coverage: int = 0
     min_support: int = 0
     max_results: int = 0
     strategy: str = "beam"

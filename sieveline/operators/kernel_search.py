@@ -299,6 +299,7 @@ def level(df: DataFrame, beam: list[Conditions], types: dict[str, str], stats: S
     total = stats.whole["N"]
     rows = refine.level(df, beam, types, count, plain)
     rows = rows.where((F.col("coverage") >= settings.min_coverage) & (F.col("coverage") <= total * settings.max_coverage_share) & (F.col("coverage") < total))
+    rows = rows.where(F.col("coverage") <= settings.max_coverage) if settings.max_coverage else rows
     found = rows.orderBy(F.desc("coverage"), "cand", "attr", "op", "v", "s", "lo", "hi").limit(MOST + 1).collect()
     if len(found) > MOST:
         raise ValueError(f"more than {MOST} refinements at one level: raise min_coverage, lower the width or take numeric_strategy bins")

@@ -393,7 +393,7 @@ def level(df: DataFrame, beam: list[Conditions], types: dict[str, str], stats: S
     if ranged:
         quality = quality_at(stats, settings.measure)
         n = stats.whole["N"]
-        gate = lambda b, h: F.expr(f"{b} > greatest(1, {settings.min_coverage}) and {b} <= {n!r} * {settings.max_coverage_share!r} and {h} >= {settings.min_support}")
+        gate = lambda b, h: F.expr(f"{b} > greatest(1, {settings.min_coverage}) and {b} <= {n!r} * {settings.max_coverage_share!r} and {b} <= {settings.max_coverage or n!r} and {h} >= {settings.min_support}")
         cuts = cover_index.bounded_cuts(df, beam, types, ranged, stats, operators, quality, gate, float("-inf") if last is None else last)
         pieces.append(scored(_shaped(cuts, stats), stats, settings.measure))
     return reduce(DataFrame.union, pieces)

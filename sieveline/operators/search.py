@@ -165,6 +165,8 @@ class SubgroupDiscovery:
         if s.min_support:
             rows = rows.where(F.col("support") >= s.min_support)
         result_gate = (F.col("coverage") >= s.min_coverage) & (F.col("coverage") <= F.col("total") * s.max_coverage_share) & (F.col("quality") > self.minimum)
+        if s.max_coverage:
+            result_gate &= F.col("coverage") <= s.max_coverage
         beam_gate = (F.col("coverage") > s.min_coverage) & (F.col("coverage") > 1) & (F.col("depth") + 1 < s.depth)
         rows = rows.withColumns({"as_result": F.coalesce(result_gate, F.lit(False)), "in_beam": F.coalesce(beam_gate, F.lit(False))}).where("as_result or in_beam")
         rows, remove = tables.written(rows)

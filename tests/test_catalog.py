@@ -52,3 +52,14 @@ def test_ranks_are_those_of_rounded_qualities(spark, ties, name):
     own = catalog.QUERIES[name](spark, ties)
     rows = lambda x: sorted(map(repr, x))
     assert rows(map(tuple, own.collect())) == rows(con.execute(catalog.ORACLE_SQL[name]).fetchall())
+
+
+def test_gates_are_those_of_the_sql_on_larger_tables(spark, tmp_path):
+    """120,000 rows: 0.4 of them are more than the SQL's 24,000."""
+    rows = spark.range(120_000).selectExpr("if(id % 7 < 3, 'R', 'A') as l_returnflag", "if(id % 5 = 0 or id % 7 = 1, 'F', 'O') as l_linestatus", "int(id % 4 + if(id % 21 = 0, 1, 0)) as l_linenumber", "if(id % 11 < 4, 0.06, 0.01) as l_tax")
+    rows.toPandas().to_parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet'")
+    own = catalog.QUERIES["RF11_gates"](spark, str(tmp_path)).collect()
+    assert sorted(map(repr, map(tuple, own))) == sorted(map(repr, con.execute(catalog.ORACLE_SQL["RF11_gates"]).fetchall()))
+    assert catalog.QUERIES["RF03_nominal_equals"](spark, str(tmp_path)).where("coverage > 24000 and coverage <= 48000 and quality > 0").count()
