@@ -193,22 +193,41 @@ def wave_kernel_sum(a: np.ndarray, b: np.ndarray, w: dict) -> float:
 
 #: Priors of the models equal, higher and lower.
 PRIORS = (0.33333333, 0.33333333, 0.33333334)
-#: Terms summed at once.
-TERMS = 1 << 20
+#: Terms summed at once; terms that are left out come to less than e^-VANISHING of the greatest one, all together.
+TERMS, VANISHING = 1 << 20, 42.0
 
 
 def _log_beta(a, b):
     return log_gamma(a) + log_gamma(b) - log_gamma(a + b)
 
 
+def _last(holds, low: int, high: int) -> int:
+    """The last whole number of low..high up to which a falling condition holds; it holds at low."""
+    while low < high:
+        middle = (low + high + 1) // 2
+        low, high = (middle, high) if holds(middle) else (low, middle - 1)
+    return low
+
+
 def log_exceeds(c: int, d: int, a: int, b: int) -> float:
-    """ln P(X > Y) of X ~ Beta(c, d), Y ~ Beta(a, b), whole numbers: a sum of c terms or, mirrored, of b, whichever are fewer."""
+    """ln P(X > Y) of X ~ Beta(c, d), Y ~ Beta(a, b), whole numbers: a sum of c terms or, mirrored, of b, whichever are fewer.
+
+    The ratio of term k + 1 to term k is (a + k)(d + k) / ((a + b + d + k)(1 + k)), which is above 1 just where
+    (b + 1) k < ad - a - b - d: terms rise to one greatest and fall from there. Only those are summed that can count
+    for a double, about the square root of the number of rows; the others are c at most, and each below e^-VANISHING / c of
+    the greatest.
+    """
     if b < c:
         a, b, c, d = d, c, b, a
+    term = lambda k: _log_beta(a + k, b + d) - np.log(d + k) - _log_beta(1 + k, d) - _log_beta(a, b)
+    peak = min(max(-((a + b + d - a * d) // (b + 1)), 0), c - 1)
+    least = float(term(float(peak))) - VANISHING - math.log(c)
+    counts = lambda k: float(term(float(k))) >= least
+    first, last = peak - _last(lambda j: counts(peak - j), 0, peak), _last(counts, peak, c - 1)
     total = -math.inf
-    for start in range(0, c, TERMS):
-        k = np.arange(start, min(c, start + TERMS), dtype=float)
-        logs = _log_beta(a + k, b + d) - np.log(d + k) - _log_beta(1 + k, d) - _log_beta(a, b)
+    for start in range(first, last + 1, TERMS):
+        k = np.arange(start, min(last + 1, start + TERMS), dtype=float)
+        logs = term(k)
         top = float(logs.max())
         total = float(np.logaddexp(total, top + math.log(np.exp(logs - top).sum())))
     return total

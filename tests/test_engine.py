@@ -571,3 +571,13 @@ def test_value_sets_are_the_best_prefix(spark):
     score = lambda own: sum(r[1] - share for r in rows if r[0] in own) / len(rows)
     every = [{v for i, v in enumerate("abcdefgh") if m >> i & 1} for m in range(1, 255)]
     assert best["quality"] == pytest.approx(max(map(score, every))) == pytest.approx(score(best["conditions"][0].value))
+
+
+def test_bayesian_tails_sum_only_terms_that_count(monkeypatch):
+    every = lambda c, d, a, b: np.logaddexp.reduce([float(kernels._log_beta(a + k, b + d) - np.log(d + k) - kernels._log_beta(1 + k, d) - kernels._log_beta(a, b)) for k in range(c)])
+    for x in [(1, 1, 1, 1), (300, 1, 5, 900), (40, 700, 3, 41), (500, 500, 500, 500), (200, 3, 100_000, 300), (350, 90_000, 2, 400), (250, 250_000, 250, 260_000)]:
+        assert kernels.log_exceeds(*x) == pytest.approx(every(*x), rel=1e-12, abs=1e-12)
+    seen, plain = [], kernels.log_gamma
+    monkeypatch.setattr(kernels, "log_gamma", lambda x: (seen.append(np.size(x)), plain(x))[1])
+    kernels.bayesian_score(9e6, 3e6, 4.5e6, 1.501e6)
+    assert sum(seen) < 1_000_000
