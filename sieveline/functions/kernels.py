@@ -15,6 +15,8 @@ import numpy as np
 GRID, CUT, MOST_HELLINGER = 1001, 4.0, 4 / 27
 #: Fixed values of densities of two columns: deviations by which a grid reaches beyond all rows, and grid steps in a deviation.
 REACH, STEPS = 3.0, math.sqrt(2)
+#: Grid points of a column that a row is spread over, and the steepness of the bell by which it is.
+SPREAD, BELL = 14, 2.3 * 14
 #: Deviations beyond which exp(-z^2 / 2) is 0 as a double.
 VANISHED = 38.7
 
@@ -158,34 +160,52 @@ def pair_kernel_sum(a: np.ndarray, b: np.ndarray, ca: np.ndarray, cb: np.ndarray
     return float(total)
 
 
-def waves_of(low: np.ndarray, high: np.ndarray, scale: np.ndarray) -> dict:
-    """The kernel of one or two columns as a Fourier series over the rows' range.
+def wave_grid(low: np.ndarray, high: np.ndarray, scales: np.ndarray) -> dict:
+    """A grid over the rows' range on which kernels of one or two columns, of all these scales, are Fourier series.
 
-    The period leaves 9 deviations beyond the range, so that copies of the kernel
-    do not reach in; waves beyond frequency 9 weigh below 3e-18. So the sum over
-    pairs is a sum over waves, to about 1e-15 of the number of pairs, in linear time.
+    The period leaves 9 of the largest deviations beyond the range, so that copies of a kernel do not reach in; waves
+    beyond frequency 9 of the smallest weigh below 3e-18 and are left out. The grid has two points for each wave that stays.
     """
-    period = (high - low) / scale + 9.0
-    most = np.ceil(9 * period / (2 * math.pi)).astype(int)
-    return {"low": low, "scale": scale, "period": period, "k": np.arange(0, most[0] + 1), "m": np.arange(-most[1], most[1] + 1) if len(scale) > 1 else np.zeros(1, int)}
-
-
-def wave_sums(rows: np.ndarray, counts: np.ndarray, w: dict) -> np.ndarray:
-    """Complex sums of the waves over rows with counts."""
-    out = np.zeros((len(w["k"]), len(w["m"])), complex)
-    for i in range(0, len(rows), 8192):
-        t = (rows[i : i + 8192] - w["low"]) / w["scale"] * (2 * math.pi / w["period"])
-        second = np.exp(1j * np.outer(t[:, 1], w["m"])) if t.shape[1] > 1 else np.ones((len(t), 1))
-        out += np.exp(1j * np.outer(w["k"], t[:, 0])) @ (second * counts[i : i + 8192, None])
-    return out.ravel()
+    period = high - low + 9 * scales.max(axis=0)
+    most = np.ceil(9 * period / (2 * math.pi * scales.min(axis=0))).astype(int)
+    size = 2 * (2 * most + 1)
+    return {"low": low, "period": period, "most": most, "size": size, "step": period / size}
+
+
+def spread_over(rows: np.ndarray, grid: dict, out: np.ndarray) -> None:
+    """Adds each row to the SPREAD nearest grid points of every column, by a bell whose waves are known: sums of any split of the rows add up."""
+    size = grid["size"]
+    for a in range(0, len(rows), 4096):
+        t = (rows[a : a + 4096] - grid["low"]) / grid["step"]
+        at = np.ceil(t - SPREAD / 2).astype(np.int64)[:, None, :] + np.arange(SPREAD)[None, :, None]
+        bell = _bell((at - t[:, None, :]) * (2 / SPREAD))
+        at %= size
+        place, weight = at[:, :, 0], bell[:, :, 0]
+        if len(size) > 1:
+            place, weight = place[:, :, None] * size[1] + at[:, None, :, 1], weight[:, :, None] * bell[:, None, :, 1]
+        out += np.bincount(place.ravel(), weight.ravel(), len(out))
+
+
+def _bell(z: np.ndarray) -> np.ndarray:
+    return np.exp(BELL * (np.sqrt(np.maximum(1 - z * z, 0)) - 1))
+
+
+def _wave_weights(grid: dict, scale: np.ndarray) -> np.ndarray:
+    """What the product of two sides' waves is multiplied by: the kernel's own weight, less what the bell has done to both."""
+    z, share = np.polynomial.legendre.leggauss(200)
+    out = np.ones(())
+    for j, (size, most, period) in enumerate(zip(grid["size"], grid["most"], grid["period"])):
+        k = np.abs(np.rint(np.fft.fftfreq(size) * size))
+        of_bell = SPREAD / 2 * (np.cos(np.outer(np.minimum(k, most), z) * (math.pi * SPREAD / size)) @ (share * _bell(z)))
+        own = math.sqrt(2 * math.pi) * scale[j] / period * np.exp(-0.5 * (2 * math.pi * k * scale[j] / period) ** 2)
+        out = np.multiply.outer(out, np.where(k <= most, own / of_bell**2, 0.0))
+    return out
 
 
-def wave_kernel_sum(a: np.ndarray, b: np.ndarray, w: dict) -> float:
-    """The sum over pairs from both sides' waves."""
-    weigh = lambda j, p: math.sqrt(2 * math.pi) / p * np.exp(-0.5 * (2 * math.pi * j / p) ** 2)
-    weights = (np.where(w["k"] > 0, 2, 1) * weigh(w["k"], w["period"][0]))[:, None]
-    weights = weights * weigh(w["m"], w["period"][1])[None, :] if len(w["scale"]) > 1 else weights
-    return float((weights.ravel() * (a * b.conj()).real).sum())
+def wave_kernel_sum(a: np.ndarray, b: np.ndarray, grid: dict, scale: np.ndarray) -> float:
+    """The sum of exp(-M^2 / 2) over all pairs of a row of one side and one of the other, from both sides' sums at the grid points."""
+    a, b = (np.fft.fftn(x.reshape(tuple(grid["size"]))) for x in (a, b))
+    return float((_wave_weights(grid, scale) * (a * b.conj()).real).sum())
 
 
 # --- Bayes factor of a subgroup ------------------------------------------------

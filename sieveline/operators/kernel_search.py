@@ -105,15 +105,14 @@ def _sides(data: DataFrame, marked: DataFrame, found: int, names: list[str]) ->
 
 
 def _moments(sides: DataFrame, names: list[str]) -> list:
-    """Counts, sums and sums of products of each refinement and of the rest, about the means of all rows; and the ranges."""
-    centre = sides.where("i = 0").agg(*((F.sum((F.col("c") + F.col("d")) * F.col(x)) / F.sum(F.col("c") + F.col("d"))).alias(x) for x in names), *(f(x) for f in (F.min, F.max) for x in names)).first()
-    k = len(names)
+    """Counts, sums and sums of products of each refinement and of the rest, about the means of all rows."""
+    centre = sides.where("i = 0").agg(*((F.sum((F.col("c") + F.col("d")) * F.col(x)) / F.sum(F.col("c") + F.col("d"))).alias(x) for x in names)).first()
     at = {x: F.col(x) - F.lit(centre[j]) for j, x in enumerate(names)}
     pairs = [(a, b) for j, a in enumerate(names) for b in names[j:]]
     aggs = [F.sum(w).alias(f"n_{w}") for w in "cd"]
     aggs += [F.sum(F.col(w) * at[x]).alias(f"s_{w}_{x}") for w in "cd" for x in names]
     aggs += [F.sum(F.col(w) * at[a] * at[b]).alias(f"s_{w}_{a}_{b}") for w in "cd" for a, b in pairs]
-    return [np.array(centre[k : 2 * k], float), np.array(centre[2 * k :], float), sides.groupBy("i").agg(*aggs).orderBy("i").collect()]
+    return sides.groupBy("i").agg(*aggs).orderBy("i").collect()
 
 
 def _sums_about(rows: DataFrame, names: list[str], centre: list[float], *keys: str) -> list:
@@ -210,51 +209,95 @@ def _of_two_columns(data: DataFrame, marked: DataFrame, found: int, measure: str
     return totals.select("i", quality.alias("quality"), F.col("n").alias("secondary"), F.col("m").alias("tertiary")).union(out)
 
 
-def _l2(data: DataFrame, marked: DataFrame, found: int, names: list[str]) -> DataFrame:
-    """The sum of kernels over all pairs of a member and another row; of one or two columns by waves."""
-    sides = _sides(data, marked, found, names)
-    low, high, rows = _moments(sides, names)
+def _l2_by_waves(data: DataFrame, smaller: Column, found: int, names: list[str], outside: frozenset[int]) -> DataFrame:
+    """The sum of kernels over all pairs of a member and another row, of one or two columns, in one pass over the rows.
+
+    All rows, and each refinement's smaller side (``outside``: the rows it does not cover), are spread over one grid; the
+    larger side is the difference. The kernel's waves are taken from the grid, so that work grows with rows, not with
+    rows times waves, and no row is written for a refinement.
+    """
+    spark, k = data.sparkSession, len(names)
+    first = data.agg(*(f(x) for f in (F.avg, F.min, F.max) for x in names)).first()
+    if first[0] is None:
+        return spark.createDataFrame([], _SCORES)
+    low, high = np.array(first[k : 2 * k], float), np.array(first[2 * k :], float)
+    marked = data.select(F.explode(F.concat(F.array(F.lit(-1)), smaller)).alias("i"), *names)
+    about = [F.col(x) - F.lit(c) for x, c in zip(names, first)]
+    sums = marked.groupBy("i").agg(F.count(F.lit(1)).cast("double"), *(F.sum(x) for x in about), *(F.sum(x * x) for x in about)).collect()
+    sums = {r["i"]: np.array(r[1:], float) for r in sums}
     known, flat = {}, []
-    for r in rows:
-        n, m = float(r["n_c"]), float(r["n_d"])
-        sd = [np.sqrt([max(r[f"s_{w}_{x}_{x}"] - r[f"s_{w}_{x}"] ** 2 / k, 0.0) / max(k - 1, 1) for x in names]) for w, k in (("c", n), ("d", m)) if k]
-        scale = kernels.l2_scale(n, sd[0], m, sd[1]) if len(sd) == 2 else np.zeros(len(names))
+    for i in range(found):
+        own = sums.get(i, np.zeros(1 + 2 * k))
+        rest = sums[-1] - own
+        sd = [np.sqrt(np.maximum(x[1 + k :] - x[1 : 1 + k] ** 2 / x[0], 0.0) / max(x[0] - 1, 1)) for x in (own, rest) if x[0]]
+        scale = kernels.l2_scale(own[0], sd[0], rest[0], sd[1]) if len(sd) == 2 else np.zeros(k)
+        n, m = map(float, (rest[0], own[0]) if i in outside else (own[0], rest[0]))
         if (scale > 0).all():
-            known[r["i"]] = {"n": n, "m": m, "scale": scale, "waves": kernels.waves_of(low, high, scale) if len(names) < 3 else None}
+            known[i] = (scale, n, m)
         else:
-            flat.append((r["i"], 0.0, n, m))
+            flat.append((i, 0.0, n, m))
+    out = spark.createDataFrame(flat, _SCORES)
+    if not known:
+        return out
+    grid = kernels.wave_grid(low, high, np.array([scale for scale, _, _ in known.values()]))
+    points = int(grid["size"].prod())
 
-    def result(i: int, total: float) -> pd.DataFrame:
-        k = known[i]
-        return pd.DataFrame([(i, kernels.l2_of(total, k["scale"], k["n"], k["m"]), k["n"], k["m"])], columns=["i", "quality", "secondary", "tertiary"])
+    def flush(held):
+        for i, s in held.items():
+            some = np.flatnonzero(s)
+            yield pd.DataFrame({"i": np.int32(i), "g": some.astype(np.int64), "s": s[some]})
 
     def partial(frames):
-        sums: dict[int, list] = {}
+        held: dict[int, np.ndarray] = {}
         for pdf in frames:
             for i, own in pdf.groupby("i"):
-                if i in known:
-                    new = [kernels.wave_sums(own[names].to_numpy(float), own[w].to_numpy(float), known[i]["waves"]) for w in "cd"]
-                    sums[i] = [a + b for a, b in zip(sums[i], new)] if i in sums else new
-        for i, (a, b) in sums.items():
-            yield pd.DataFrame({"i": np.int32(i), "g": np.arange(len(a), dtype=np.int32), "ar": a.real, "ai": a.imag, "br": b.real, "bi": b.imag})
+                if i not in held and len(held) and (len(held) + 1) * points > MOST_HELD:
+                    yield from flush(held)
+                    held = {}
+                kernels.spread_over(own[names].to_numpy(float), grid, held.setdefault(i, np.zeros(points)))
+        yield from flush(held)
+
+    spread = marked.where(F.col("i").isin(-1, *known)).mapInPandas(partial, "i int, g long, s double").groupBy("i", "g").agg(F.sum("s").alias("s"))
+    spread = tables.materialised(spread)
+
+    def on_grid(pdf: pd.DataFrame) -> np.ndarray:
+        sums = np.zeros(points)
+        sums[pdf["g"].to_numpy()] = pdf["s"].to_numpy(float)
+        return sums
+
+    whole = on_grid(spread.where("i = -1").select("g", "s").toPandas())  # one grid
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, pdf = int(pdf["i"].iloc[0]), pdf.sort_values("g")
-        a, b = (pdf[x + "r"].to_numpy(float) + 1j * pdf[x + "i"].to_numpy(float) for x in "ab")
-        return result(i, kernels.wave_kernel_sum(a, b, known[i]["waves"]))
+        i, own = int(pdf["i"].iloc[0]), on_grid(pdf)
+        scale, n, m = known[i]
+        return pd.DataFrame([(i, kernels.l2_of(kernels.wave_kernel_sum(own, whole - own, grid, scale), scale, n, m), n, m)], columns=["i", "quality", "secondary", "tertiary"])
+
+    return spread.where("i >= 0").groupBy("i").applyInPandas(compare, _SCORES).union(out)
+
+
+def _l2_by_pairs(data: DataFrame, marked: DataFrame, found: int, names: list[str]) -> DataFrame:
+    """The same of three or more columns, from all pairs of a member and another row."""
+    sides = _sides(data, marked, found, names)
+    known, flat = {}, []
+    for r in _moments(sides, names):
+        n, m = float(r["n_c"]), float(r["n_d"])
+        sd = [np.sqrt([max(r[f"s_{w}_{x}_{x}"] - r[f"s_{w}_{x}"] ** 2 / k, 0.0) / max(k - 1, 1) for x in names]) for w, k in (("c", n), ("d", m)) if k]
+        scale = kernels.l2_scale(n, sd[0], m, sd[1]) if len(sd) == 2 else np.zeros(len(names))
+        if (scale > 0).all():
+            known[r["i"]] = (scale, n, m)
+        else:
+            flat.append((r["i"], 0.0, n, m))
 
     def paired(pdf: pd.DataFrame) -> pd.DataFrame:
         i = int(pdf["i"].iloc[0])
         if len(pdf) > MOST_PAIRED:
             raise ValueError(f"l2 of three or more columns compares at most {MOST_PAIRED} distinct rows")
         a, b = pdf[pdf["c"] > 0], pdf[pdf["d"] > 0]
-        return result(i, kernels.pair_kernel_sum(a[names].to_numpy(float), b[names].to_numpy(float), a["c"].to_numpy(float), b["d"].to_numpy(float), known[i]["scale"]))
+        scale, n, m = known[i]
+        total = kernels.pair_kernel_sum(a[names].to_numpy(float), b[names].to_numpy(float), a["c"].to_numpy(float), b["d"].to_numpy(float), scale)
+        return pd.DataFrame([(i, kernels.l2_of(total, scale, n, m), n, m)], columns=["i", "quality", "secondary", "tertiary"])
 
-    if len(names) > 2:
-        out = sides.where(F.col("i").isin(*known)).groupBy("i").applyInPandas(paired, _SCORES)
-    else:
-        sums = _dealt(sides, found, *names).mapInPandas(partial, "i int, g int, ar double, ai double, br double, bi double")
-        out = sums.groupBy("i", "g").agg(*(F.sum(x).alias(x) for x in ("ar", "ai", "br", "bi"))).groupBy("i").applyInPandas(compare, _SCORES)
+    out = sides.where(F.col("i").isin(*known)).groupBy("i").applyInPandas(paired, _SCORES)
     return out.union(data.sparkSession.createDataFrame(flat, _SCORES)) if flat else out
 
 
@@ -312,8 +355,10 @@ def level(df: DataFrame, beam: list[Conditions], types: dict[str, str], stats: S
     names = [f"x{i}" for i in range(len(values))]
     data = df.select("*", *values).where(" and ".join(f"{n} is not null and not isnan({n})" for n in names))
     marked = refine.membership(data.drop("cand") if "cand" in data.columns else data, own).withColumnRenamed("cand", "i").select("i", *names)
-    data = data.select(*names)
     measure = settings.measure
+    outside = frozenset(i for i, r in enumerate(found) if 2 * r["coverage"] > total) if measure == "l2" and len(names) < 3 else frozenset()
+    smaller = refine.covering(own, outside)
+    rows_of, data = data, data.select(*names)
     if target.type == "multi_label":
         scored = _networks(data, marked, target, settings, total)
     elif target.type == "scape":
@@ -321,7 +366,7 @@ def level(df: DataFrame, beam: list[Conditions], types: dict[str, str], stats: S
     elif measure == "mmad":
         scored = _median_deviations(data, marked)
     elif measure == "l2":
-        scored = _l2(data, marked, len(found), names)
+        scored = _l2_by_waves(rows_of, smaller, len(found), names, outside) if len(names) < 3 else _l2_by_pairs(data, marked, len(found), names)
     elif measure in kernels.DENSITY_2D:
         scored = _of_two_columns(data, marked, len(found), measure, names)
     else:

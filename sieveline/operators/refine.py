@@ -23,9 +23,10 @@ CHUNK = 50
 WIDE, BUCKETS = 200_000, 256
 
 
-def covering(beam: list[Conditions]) -> Column:
-    """The numbers of the candidates that cover a row."""
-    pieces = [F.filter(F.array(*(F.when(model.conjunction(c), F.lit(i)) for i, c in list(enumerate(beam))[a : a + CHUNK])), lambda x: x.isNotNull()) for a in range(0, len(beam), CHUNK)]
+def covering(beam: list[Conditions], outside: frozenset[int] = frozenset()) -> Column:
+    """The numbers of the candidates that cover a row; of those ``outside`` that do not."""
+    holds = lambda i, c: ~model.conjunction(c) if i in outside else model.conjunction(c)
+    pieces = [F.filter(F.array(*(F.when(holds(i, c), F.lit(i)) for i, c in list(enumerate(beam))[a : a + CHUNK])), lambda x: x.isNotNull()) for a in range(0, len(beam), CHUNK)]
     return F.concat(*pieces)
 
 

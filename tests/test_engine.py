@@ -581,3 +581,36 @@ def test_bayesian_tails_sum_only_terms_that_count(monkeypatch):
     monkeypatch.setattr(kernels, "log_gamma", lambda x: (seen.append(np.size(x)), plain(x))[1])
     kernels.bayesian_score(9e6, 3e6, 4.5e6, 1.501e6)
     assert sum(seen) < 1_000_000
+
+
+@pytest.mark.parametrize("columns", [1, 2])
+def test_l2_is_the_sum_over_all_pairs(spark, columns, monkeypatch):
+    """Both sides, small and large ones, against all pairs in one task; a side without rows and a constant column score 0."""
+    from sieveline.operators import kernel_search
+
+    rng = np.random.default_rng(5)
+    rows = [("abbbbb"[i % 6], "x" if i else "y", float(rng.integers(0, 30)), float(rng.normal() * 40 + (i % 6 == 0) * 30), 1.0) for i in range(900)]
+    df = spark.createDataFrame(rows, "s string, r string, x double, y double, flat double").repartition(5)
+    names = ["x", "y"][:columns]
+    run = lambda own: {r["conditions"][0].attribute + r["conditions"][0].value: r for r in SubgroupDiscovery(df, Target("multi_numeric", tuple(own)), Settings(measure="l2", minimum=float("-inf"), min_coverage=1), types={"s": "nominal", "r": "nominal"}).run()}
+    monkeypatch.setattr(kernel_search, "MOST_HELD", 1)
+    found = run(names)
+    assert set(found) == {"sa", "sb", "rx", "ry"}
+    data = np.array([r[2 : 2 + columns] for r in rows])
+    for key, r in found.items():
+        inside = np.array([x["sr".index(key[0])] == key[1] for x in rows])
+        a, b = data[inside], data[~inside]
+        sd = [x.std(axis=0, ddof=1) if len(x) > 1 else np.zeros(columns) for x in (a, b)]
+        scale = kernels.l2_scale(len(a), sd[0], len(b), sd[1])
+        want = kernels.l2_of(kernels.pair_kernel_sum(a, b, np.ones(len(a)), np.ones(len(b)), scale), scale, len(a), len(b))
+        assert r["quality"] == pytest.approx(want, rel=1e-11)
+        assert (r["coverage"], r["secondary"], r["tertiary"]) == (len(a), len(a), len(b))
+    assert {r["quality"] for r in run(["flat"]).values()} == {0.0}
+
+
+def test_l2_writes_no_row_for_each_refinement(spark, monkeypatch):
+    from sieveline.operators import kernel_search
+
+    monkeypatch.setattr(kernel_search, "_sides", lambda *a: pytest.fail("every row for every refinement"))
+    df = spark.range(400).selectExpr("id % 13 * 1.0 as x", "id * 0.5 as y", "string(id % 3) as s")
+    assert SubgroupDiscovery(df, Target("multi_numeric", ("x", "y")), Settings(measure="l2", minimum=float("-inf"), min_coverage=20)).run()
