@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,11 +37,15 @@ def parse_header(lines: list[str]) -> tuple[str, dict[str, str]]:
 
 
 def read_arff(spark: SparkSession, path: str, header_lines: int = 10_000) -> DataFrame:
-    """Null for ``?``; quotes around values are removed."""
+    """Null for ``?``; quotes around values are removed. A folder is one ARFF text in files by name."""
     lines = spark.read.text(path)
-    head = [r[0] for r in lines.limit(header_lines).collect()]
+    is_data, head = lambda x: x.strip().lower().startswith("@data"), []
+    for name in sorted(lines.inputFiles()):  # of several files, the header is in the first by name
+        head += [r[0] for r in spark.read.text(unquote(name)).limit(header_lines - len(head)).collect()]
+        if len(head) >= header_lines or any(map(is_data, head)):
+            break
     _, types = parse_header(head)
-    at = next(i for i, x in enumerate(head) if x.strip().lower().startswith("@data"))
+    at = next(i for i, x in enumerate(head) if is_data(x))
     skip = {x for x in head[: at + 1]}
     body = lines.where(~F.col("value").isin(*skip) & (F.trim("value") != "") & ~F.trim("value").startswith("%") & ~F.lower(F.trim("value")).startswith("@end"))
     schema = ", ".join(f"c{i} string" for i in range(len(types)))

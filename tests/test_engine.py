@@ -614,3 +614,30 @@ def test_l2_writes_no_row_for_each_refinement(spark, monkeypatch):
     monkeypatch.setattr(kernel_search, "_sides", lambda *a: pytest.fail("every row for every refinement"))
     df = spark.range(400).selectExpr("id % 13 * 1.0 as x", "id * 0.5 as y", "string(id % 3) as s")
     assert SubgroupDiscovery(df, Target("multi_numeric", ("x", "y")), Settings(measure="l2", minimum=float("-inf"), min_coverage=20)).run()
+
+
+def test_arff_in_several_files(spark, tmp_path):
+    """The header is in the first file by name, also where others are longer, a file is empty or a name has a space."""
+    folder = tmp_path / "two parts"
+    folder.mkdir()
+    (folder / "part-00000").write_text("")
+    (folder / "part-00001").write_text("@relation r\n@attribute n numeric\n@attribute b {0,1}\n@data\n1,0\n")
+    (folder / "part-00002").write_text("".join(f"{i},{i % 2}\n" for i in range(2, 3000)))
+    got = sorted(map(tuple, arff.read_arff(spark, str(folder)).collect()))
+    assert got == [(float(i), i > 1 and i % 2 == 1) for i in range(1, 3000)]
+
+
+def test_arff_query_writes_no_single_task(spark, tmp_path, monkeypatch):
+    from sieveline.plans import catalog
+
+    spark.range(20_000).selectExpr("id as o_orderkey", "id * 1.5 as o_totalprice", "id % 7 as o_custkey").write.parquet(f"{tmp_path}/orders.parquet")
+    seen, plain = [], arff.read_arff
+    monkeypatch.setattr(arff, "read_arff", lambda s, path: (seen.append(path), plain(s, path))[1])
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = sorted(map(tuple, catalog.QUERIES["IO08_arff"](spark, str(tmp_path)).collect()))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert got == [(float(i), i * 1.5, i % 2 == 1, f"c {i % 7}") for i in range(20_000)]
+    assert spark.read.text(seen[0]).select("_metadata.file_name").distinct().count() > 1
