@@ -167,29 +167,71 @@ def _hull(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(kept), np.array(edges, float).reshape(-1, 2)
 
 
+#: Running sums of which all pairs are looked at, without halving.
+PAIRED_AT_ONCE = 32
+
+
 def extreme_intervals(points: np.ndarray) -> list[tuple[int, int]]:
     """Pairs i < j of places among running sums that hold every corner of the convex hull of all differences points[j] - points[i].
 
-    By halving: differences across the middle are those of two sets. A corner of
-    these is extreme in a range of directions between normals of both sets' edges,
-    and in one such direction each set has its own extreme point.
+    All pairs within short blocks, and differences across the middle of two, four and more blocks, which are those of
+    two sets. A corner of these is extreme in a range of directions between normals of both sets' edges, and in one such
+    direction each set has its own extreme point. A set's hull comes from the hulls of its halves. Pairs whose difference
+    lies inside the hull of others are left out, and of equal differences the first pair stays.
     """
-    out: set[tuple[int, int]] = set()
-    todo = [(0, len(points))]
-    while todo:
-        a, b = todo.pop()
-        if b - a < 2:
-            continue
-        m = (a + b) // 2
-        todo += [(a, m), (m, b)]
-        (left, e), (right, f) = _hull(points[a:m]), _hull(points[m:b])
-        left, right, edges = left + a, right + m, np.concatenate((e, f, [[1.0, 0.0], [0.0, 1.0]]))
-        turn = np.arctan2(edges[:, 0], -edges[:, 1])
-        turn = np.unique(np.concatenate((turn, turn + np.pi)) % (2 * np.pi))
-        turn = np.concatenate((turn, (turn + np.append(turn[1:], turn[0] + 2 * np.pi)) / 2))
-        d = np.stack((np.cos(turn), np.sin(turn)))
-        out.update(zip(left[np.argmin(points[left] @ d, axis=0)].tolist(), right[np.argmax(points[right] @ d, axis=0)].tolist()))
-    return sorted(out)
+    n = len(points)
+    if n < 2:
+        return []
+    size = PAIRED_AT_ONCE
+    i, j = np.triu_indices(size, 1)
+    starts = np.arange(0, n, size)[:, None]
+    i, j = (starts + i).ravel(), (starts + j).ravel()
+    i, j = i[j < n], j[j < n]
+    outer = _not_inside(points[j] - points[i])
+    found = [np.stack((i[outer], j[outer]))]
+    hulls = []
+    for a in range(0, n, size):
+        kept, edges = _hull(points[a : a + size])
+        hulls.append((kept + a, edges))
+    while len(hulls) > 1:
+        merged = []
+        for (left, e), (right, f) in zip(hulls[::2], hulls[1::2]):
+            edges = np.concatenate((e, f, [[1.0, 0.0], [0.0, 1.0]]))
+            turn = np.arctan2(edges[:, 0], -edges[:, 1])
+            turn = np.unique(np.concatenate((turn, turn + np.pi)) % (2 * np.pi))
+            turn = np.concatenate((turn, (turn + np.append(turn[1:], turn[0] + 2 * np.pi)) / 2))
+            d = np.stack((np.cos(turn), np.sin(turn)))
+            found.append(np.stack((left[np.argmin(points[left] @ d, axis=0)], right[np.argmax(points[right] @ d, axis=0)])))
+            both = np.concatenate((left, right))
+            kept, edges = _hull(points[both])
+            merged.append((both[kept], edges))
+        hulls = merged + (hulls[-1:] if len(hulls) % 2 else [])
+    i, j = np.concatenate(found, axis=1)
+    outer = _not_inside(points[j] - points[i])
+    i, j = np.divmod(np.unique(i[outer] * n + j[outer]), n)
+    d = points[j] - points[i]
+    first = np.sort(np.unique(d[:, 0] + 1j * d[:, 1], return_index=True)[1])
+    return list(zip(i[first].tolist(), j[first].tolist()))
+
+
+def _not_inside(points: np.ndarray) -> np.ndarray:
+    """Which points are not strictly inside the polygon of those that are extreme in 64 directions."""
+    # without the trend, which alone would make the points a line
+    off = points[:, 1] - points[:, 0] * ((points[:, 0] @ points[:, 1]) / max(points[:, 0] @ points[:, 0], 1e-300))
+    scale = np.abs(points).max(axis=0)
+    if np.abs(off).max() <= 1e-6 * scale[1] or not scale[0]:
+        return np.ones(len(points), bool)
+    x = np.stack((points[:, 0] / scale[0], off / np.abs(off).max()), axis=1)
+    turn = np.arange(64) * (2 * np.pi / 64)
+    corner = x[np.unique([np.argmax(x @ d) for d in np.stack((np.cos(turn), np.sin(turn)), axis=1)])]
+    if len(corner) < 3:
+        return np.ones(len(x), bool)
+    middle = corner.mean(axis=0)
+    corner = corner[np.argsort(np.arctan2(*(corner - middle).T[::-1]))]
+    inside = np.ones(len(x), bool)
+    for a, b in zip(corner, np.roll(corner, -1, axis=0)):
+        inside[inside] = (b[0] - a[0]) * (x[inside, 1] - a[1]) - (b[1] - a[1]) * (x[inside, 0] - a[0]) > 1e-9
+    return ~inside
 
 
 #: Measures that are convex in covered rows and positives: their best interval is a corner.

@@ -641,3 +641,15 @@ def test_arff_query_writes_no_single_task(spark, tmp_path, monkeypatch):
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
     assert got == [(float(i), i * 1.5, i % 2 == 1, f"c {i % 7}") for i in range(20_000)]
     assert spark.read.text(seen[0]).select("_metadata.file_name").distinct().count() > 1
+
+
+def test_corners_of_intervals_are_few():
+    from sieveline.operators import refine
+
+    rng = np.random.default_rng(2)
+    p = np.vstack([[0, 0], np.cumsum(np.stack([np.ones(1500), rng.random(1500) < 0.33], axis=1), axis=0)])
+    pairs = refine.extreme_intervals(p)
+    assert len(pairs) < 600 and all(i < j for i, j in pairs)
+    i, j = np.triu_indices(len(p), 1)
+    ways = np.concatenate((rng.normal(size=(2, 50)), [[1, -1, 1, 0, 0], [-3, 3, -2, 1, -1]]), axis=1)
+    assert np.allclose((np.array([p[b] - p[a] for a, b in pairs]) @ ways).max(axis=0), ((p[j] - p[i]) @ ways).max(axis=0))
