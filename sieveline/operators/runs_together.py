@@ -165,25 +165,59 @@ def of_values(df: DataFrame, column: str) -> tuple[list[str], Runs]:
     return values, Runs([(n, m) for _, m in found], c, (), label)
 
 
-def permutation(places: np.ndarray, n: int, seed: int) -> np.ndarray:
-    """A seeded bijection of the numbers 0..n-1: six Feistel rounds on the next even number of bits, taken again where they lead beyond n - 1."""
+def permutation(places: np.ndarray, n: int, seed: int, kept: dict[int, np.ndarray] | None = None) -> np.ndarray:
+    """A seeded bijection of the numbers 0..n-1: six Feistel rounds on the next even number of bits, taken again where they lead beyond n - 1. ``kept`` holds tables of the rounds, by seed, for the next rows of one n."""
     half = np.uint64(max(1, -(-(n - 1).bit_length() // 2)))
     low = (np.uint64(1) << half) - np.uint64(1)
+    if half <= TABLED:
+        kept = {} if kept is None else kept
+        if seed not in kept:
+            kept[seed] = _round_tables(int(half), seed)
+        return _by_tables(places, n, int(half), kept[seed])
     out = places.astype(np.uint64)
     todo = np.arange(len(out))
     while len(todo):
         x = out[todo]
         left, right = x >> half, x & low
         for turn in range(6):
-            z = right + np.uint64((seed * 6 + turn + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
-            z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-            z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-            left, right = right, left ^ ((z ^ (z >> np.uint64(31))) & low)
+            left, right = right, left ^ (_mixed(right, seed * 6 + turn + 1) & low)
         out[todo] = (left << half) | right
         todo = todo[out[todo] >= n]
     return out.astype(np.int64)
 
 
+def _mixed(x: np.ndarray, number: int) -> np.ndarray:
+    z = x + np.uint64(number * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+#: Bits of half a row number up to which a round is looked up in a table of all its values.
+TABLED = 14
+
+
+def _round_tables(half: int, seed: int) -> np.ndarray:
+    every = np.arange(1 << half, dtype=np.uint64)
+    return np.stack([_mixed(every, seed * 6 + turn + 1) & np.uint64((1 << half) - 1) for turn in range(6)]).astype(np.uint16)
+
+
+def _by_tables(places: np.ndarray, n: int, half: int, tables_of: np.ndarray) -> np.ndarray:
+    out, todo = places.astype(np.int64), None
+    while todo is None or len(todo):
+        x = (out if todo is None else out[todo]).astype(np.uint32)
+        left, right = (x >> np.uint32(half)).astype(np.uint16), (x & np.uint32((1 << half) - 1)).astype(np.uint16)
+        for turn in range(6):
+            left, right = right, left ^ tables_of[turn].take(right)
+        made = (left.astype(np.int64) << half) | right
+        if todo is None:
+            out, todo = made, np.flatnonzero(made >= n)
+        else:
+            out[todo] = made
+            todo = todo[made >= n]
+    return out
+
+
 def numbered_rows(df: DataFrame, name: str) -> tuple[DataFrame, int]:
     """The table, written once, with dense row numbers from 0 by sizes of its partitions (no sort), and its number of rows."""
     own = tables.materialised(df.withColumn("__m", F.monotonically_increasing_id()))
@@ -199,10 +233,11 @@ def of_permutations(df: DataFrame, target: Target, repeats: int, seed: int) -> t
     name = "__place"
     rows, n = numbered_rows(df, name)
     h = rows.agg(F.count_if(positive(target))).first()[0]
+    kept: dict[int, np.ndarray] = {}  # filled by each task
 
     def label(keys, hits):
         places = keys.to_numpy(zero_copy_only=False)
-        return None, np.stack([permutation(places, n, seed + i) < h for i in range(repeats)])
+        return None, np.stack([permutation(places, n, seed + i, kept) < h for i in range(repeats)])
 
     return rows, Runs([(n, h)] * repeats, F.col(name), (name,), label)
 

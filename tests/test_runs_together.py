@@ -87,3 +87,15 @@ def test_searches_by_threshold_match_single_runs(table, together):
         points, area = post.roc(alone, float(rows.count()), float(rows.where("t = '1'").count()))
         assert [r["on_hull"] for r in got[t]] == post.on_roc_hull(points) and got[t][0]["area"] == pytest.approx(area)
     assert runs_together.threshold_searches(df.where("n = 3"), "n", settings).count() == 0
+
+
+def test_rounds_of_permutations_come_from_tables(monkeypatch):
+    """The same places as without tables; a task hashes a run's rounds once, not for every block of rows."""
+    places = np.random.default_rng(1).integers(0, 70_001, 500)
+    kept = {}
+    found = [runs_together.permutation(places, n, 3, k) for n, k in ((70_001, kept), (1 << 20, {}))]
+    with monkeypatch.context() as m:
+        m.setattr(runs_together, "TABLED", 0)
+        assert all((runs_together.permutation(places, n, 3) == x).all() for n, x in zip((70_001, 1 << 20), found))
+    monkeypatch.setattr(runs_together, "_mixed", lambda *a: pytest.fail("hashed again"))
+    assert (runs_together.permutation(places[:9], 70_001, 3, kept) == found[0][:9]).all()
